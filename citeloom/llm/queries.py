@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citeloom.llm import bpe, exact_dedup, mixing, quality, token_counts, url_filter
+from citeloom.llm import bpe, exact_dedup, mixing, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
 #: The rules of the url filter's query.
@@ -29,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is bad if the document that its url's last number names is labelled low quality or toxic."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_quality": op4_quality,
         "op5_token_counts": op5_token_counts,
+        "op6_secret_scan": op6_secret_scan,
         "op7_url_filter": op7_url_filter,
         "op9_mixing": op9_mixing,
         "op10_bpe_round_trip": op10_bpe_round_trip,
