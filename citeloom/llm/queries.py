@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citeloom.llm import bpe, exact_dedup, mixing, quality, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, exact_dedup, mixing, neighbours, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
 #: The rules of the url filter's query.
@@ -43,6 +43,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_secret_scan": op6_secret_scan,
         "op7_url_filter": op7_url_filter,
+        "op8_neighbours": op8_neighbours,
         "op9_mixing": op9_mixing,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
