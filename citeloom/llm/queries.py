@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citeloom.llm import bpe, exact_dedup, mixing, neighbours, quality, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
 #: The rules of the url filter's query.
@@ -20,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("__tx")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80).drop("__tx")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("__tx")
@@ -58,6 +62,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
         "op5_token_counts": op5_token_counts,
         "op6_secret_scan": op6_secret_scan,
