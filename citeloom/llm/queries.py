@@ -9,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citeloom.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, neighbours, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
 #: The rules of the url filter's query.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those that go because an earlier one is equal or near, and the digest of the text that stays."""
+    cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    return cleaned.select("doc_id", "n_lines", "n_equal", "n_near", digest)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("__tx")
 
@@ -61,6 +68,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_near_dedup": op3_near_dedup,
         "op4_quality": op4_quality,
