@@ -179,22 +179,27 @@ def _type(df: DataFrame, column: str) -> str:
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ids array<int>, n_tokens. A narrow map; nothing is truncated or padded."""
+    """Per row: id, ids array<int>, n_tokens, and round_trip: whether the ids decode to the text.
+
+    A narrow map; nothing is truncated or padded.
+    """
     kept = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer_path)
         for batch in batches:
             for part in _small(batch):
-                rows = [np.asarray(machine.encode(t or ""), np.int32) for t in part.column(1).cast(pa.string()).to_pylist()]
+                texts = [t or "" for t in part.column(1).cast(pa.string()).to_pylist()]
+                rows = [np.asarray(machine.encode(t), np.int32) for t in texts]
+                same = [machine.decode(ids.tolist()) == t for ids, t in zip(rows, texts)]
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends), pa.int64())],
-                    names=[id_col, "ids", "n_tokens"],
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())],
+                    names=[id_col, "ids", "n_tokens", "round_trip"],
                 )
 
-    return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, ids array<int>, n_tokens bigint")
+    return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
