@@ -24,19 +24,14 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import BLANKS, text_of
 
 #: Characters of a chunk: fewer than SHORTEST only at a text's end, never more than LONGEST.
-SHORTEST, LONGEST = 256, 4096
+SHORTEST, LONGEST = 1024, 4096
 #: Identifiers with several chunks that are listed in the plan; beyond it, lists carry all chunks.
 MOST_CLASHES = 10_000
 
 
-def _kind(residue: int) -> str:
-    """Regex class of the letters (and all else below U+0530) whose code point leaves ``residue`` modulo 8."""
-    return "[" + "".join(f"\\x{{{cp:x}}}" for cp in range(0x20, 0x530) if cp % 8 == residue) + "]"
-
-
-#: A chunk ends after three characters of given residues, about once in 400 characters of prose;
-#: in scripts beyond these it ends at LONGEST.
-CHUNK = f"(?s).{{{SHORTEST},{LONGEST}}}?(?<={_kind(5)}{_kind(2)}{_kind(0)})|.{{1,{LONGEST}}}"
+#: A chunk ends at the first sentence mark after SHORTEST characters, so where it ends is its content's choice,
+#: and texts that differ at one place cut alike again after the next common mark; without marks it ends at LONGEST.
+CHUNK = f"(?s).{{{SHORTEST}}}[^.!?;:。！？]{{0,{LONGEST - SHORTEST - 1}}}+.?|.{{1,{SHORTEST}}}"
 
 
 def normalised(text_col: str) -> Column:
