@@ -1,13 +1,536 @@
-"""Registry of the queries over the driver tables."""
+"""The queries over the driver tables, one or more for each operator family, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citeloom.functions import patterns as P
+from citeloom.functions import text as T
+from citeloom.operators import evaluate as E
+from citeloom.operators import extract as X
+from citeloom.operators import layout as L
+from citeloom.operators import resolve as R
+from citeloom.operators import spans as S
+from citeloom.plans.corpus import CORPUS_SQL, paragraphs
+
 FLAGSHIP = "cited_documents"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
 
-def queries() -> dict:
-    return {}
+    def keep(make):
+        _QUERIES[make.__name__] = make
+        if sql:
+            _SQL[make.__name__] = sql
+        return make
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- corpus and text functions -------------------------------------------------------------
+
+_BLANK = r"[ \t\n\r\f\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(CORPUS_SQL + "SELECT doc_key, seq, page_number, para_no, text FROM corpus")
+def templated_corpus(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select("doc_key", "seq", "page_number", "para_no", "text")
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(translate(text, '“”’‘', '""''''' ), '{_BLANK}', ' ', 'g'), ' ') AS text FROM documents")
+def compact_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.compact("text").alias("text"))
+
+
+_MERGED = """, flagged AS (
+  SELECT *, lead(text) OVER w AS nxt,
+         regexp_matches(text, '(?:January|February|March|April|May|June|July|August|September|October|November|December)\\s+\\d{1,2},$')
+           AND coalesce(regexp_matches(lead(text) OVER w, '^\\d{4}\\b'), false) AS starts
+  FROM corpus WINDOW w AS (PARTITION BY doc_key, page_number ORDER BY para_no)
+), joined AS (
+  SELECT doc_key, page_number, para_no, seq, CASE WHEN starts THEN text || ' ' || nxt ELSE text END AS text, coalesce(lag(starts) OVER (PARTITION BY doc_key, page_number ORDER BY para_no), false) AS gone FROM flagged
+), merged AS (SELECT doc_key, page_number, para_no, text, row_number() OVER (PARTITION BY doc_key ORDER BY page_number, para_no)::INT AS para_seq FROM joined WHERE NOT gone)
+"""
+
+
+@query(CORPUS_SQL + _MERGED + "SELECT doc_key, page_number, para_no, para_seq, text FROM merged")
+def merge_split_dates(spark, sf_dir):
+    return X.sequenced(paragraphs(spark, sf_dir)).select("doc_key", "page_number", "para_no", "para_seq", "text")
+
+
+@query(CORPUS_SQL + r"SELECT doc_key, seq, try_cast(nullif(regexp_extract(text, '(?:19|20)\d{2}'), '') AS INT) AS year FROM corpus")
+def parse_year(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select("doc_key", "seq", T.parse_year("text").alias("year"))
+
+
+_LOW = "lower(text)"
+_TYPE_SQL = """CASE WHEN contains(lower(text), 'act') THEN 'act' WHEN contains(lower(text), 'master circular') THEN 'master_circular' WHEN contains(lower(text), 'circular') THEN 'circular'
+  WHEN regexp_matches(lower(text), '\\bregulations?\\b') THEN 'regulations' WHEN contains(lower(text), 'notification') THEN 'notification' ELSE 'other' END"""
+
+
+@query(CORPUS_SQL + f"SELECT doc_key, seq, {_TYPE_SQL} AS document_type FROM corpus")
+def classify_document_type(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select("doc_key", "seq", T.document_type(F.col("text")).alias("document_type"))
+
+
+_RELATION_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in P.RELATIONS) + " ELSE 'references' END"
+
+
+@query(CORPUS_SQL + f"SELECT doc_key, seq, {_RELATION_SQL} AS relation_type FROM corpus")
+def classify_relation(spark, sf_dir):
+    return paragraphs(spark, sf_dir).select("doc_key", "seq", T.relation_type(F.col("text")).alias("relation_type"))
+
+
+_CONFIDENCE_SQL = f"""CASE WHEN k.alias_only THEN 0.74 WHEN k.kind IN ('act', 'regulations') THEN 0.93 WHEN k.kind = 'master_circular' AND k.date <> '' THEN 0.92
+  WHEN k.kind = 'circular' AND k.identifier <> '' THEN 0.91 WHEN k.kind = 'notification' AND k.date <> '' THEN 0.68 ELSE 0.61 END::DOUBLE"""
+
+
+@query(f"""SELECT o_orderkey, {_CONFIDENCE_SQL} AS confidence, CASE WHEN {_CONFIDENCE_SQL} > 0.9 THEN 'high' ELSE 'medium' END AS confidence_label
+FROM (SELECT o_orderkey, o_orderkey % 7 = 0 AS alias_only, ['act', 'regulations', 'master_circular', 'circular', 'notification', 'other'][o_orderkey % 6 + 1] AS kind,
+  CASE WHEN o_orderkey % 5 <> 0 THEN 'x' END AS identifier, CASE WHEN o_orderkey % 4 <> 0 THEN 'y' END AS date FROM orders) k""")
+def confidence_case(spark, sf_dir):
+    key = F.col("o_orderkey")
+    kinds = F.array(*[F.lit(x) for x in ("act", "regulations", "master_circular", "circular", "notification", "other")])
+    sure = T.confidence(key % 7 == 0, F.element_at(kinds, (key % 6 + 1).cast("int")), F.lit("t"), F.when(key % 5 != 0, "x"), F.when(key % 4 != 0, "y"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", sure.alias("s")).select("o_orderkey", "s.confidence", "s.confidence_label")
+
+
+_DATES = r"(?:(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\s+\d{4})"
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS long_form, strftime(o_orderdate, '%d-%m-%Y') AS short_form FROM orders""")
+def date_normalize(spark, sf_dir):
+    day = F.col("o_orderdate")
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", T.listing_date(F.date_format(day, "MMMM d, yyyy")).alias("long_form"), T.listing_date(F.date_format(day, "d MMM yyyy")).alias("short_form")
+    )
+
+
+@query("SELECT doc_id, CASE WHEN length(a) BETWEEN 1 AND 80 THEN a END AS alias FROM (SELECT doc_id, trim(regexp_replace(text, '" + _BLANK + "', ' ', 'g')[:90], '()[]{}\"'' ') AS a FROM documents)")
+def clean_alias(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.clean_alias(F.substring(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "), 1, 90)).alias("alias"))
+
+
+# --- pattern extraction --------------------------------------------------------------------
+
+_P1 = rf"(?i)((?:SEBI['’]s\s+)?)Master\s+Circular([^.;:\n]*?)\s+dated\s+({_DATES})([^.;:\n]*)"
+_P2 = rf"(?i)SEBI\s+Circular(?:\s+no\.)?\s+([A-Z]+(?:/[A-Z0-9().-]+)+)(?:\s+dated\s+({_DATES}))?"
+_P3 = rf"(?i)(?:{'|'.join(P.INSTRUMENTS)})\s*,?\s*((?:19|20)\d{{2}})"
+_P4 = rf"(?i)(Gazette\s+notification|notification)\s+dated\s+({_DATES})"
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_FINDINGS = f"""{_MERGED}, found AS (
+  SELECT doc_key, page_number, para_no, para_seq, text, 0 AS pattern, regexp_extract(text, {_q(_P1)}, 0) AS hit FROM merged UNION ALL
+  SELECT doc_key, page_number, para_no, para_seq, text, 1, regexp_extract(text, {_q(_P2)}, 0) FROM merged UNION ALL
+  SELECT doc_key, page_number, para_no, para_seq, text, 2, regexp_extract(text, {_q(_P3)}, 0) FROM merged UNION ALL
+  SELECT doc_key, page_number, para_no, para_seq, text, 3, regexp_extract(text, {_q(_P4)}, 0) FROM merged
+), findings AS (
+  SELECT doc_key, page_number, para_no, para_seq, text, pattern, (strpos(text, hit) - 1)::INT AS start, (strpos(text, hit) - 1 + length(hit))::INT AS "end", hit,
+    CASE pattern WHEN 0 THEN 'master_circular' WHEN 1 THEN 'circular' WHEN 2 THEN CASE WHEN contains(lower(hit), 'act') THEN 'act' ELSE 'regulations' END ELSE 'notification' END AS document_type,
+    CASE pattern WHEN 0 THEN trim('Master Circular ' || trim(regexp_extract(hit, {_q(_P1)}, 2))) WHEN 2 THEN regexp_replace(hit, 'Regulation,', 'Regulations,')
+      WHEN 3 THEN CASE WHEN starts_with(lower(hit), 'gazette') THEN 'Gazette Notification' ELSE 'Notification' END END AS title,
+    CASE pattern WHEN 1 THEN regexp_extract(hit, {_q(_P2)}, 1) END AS identifier,
+    CASE pattern WHEN 0 THEN regexp_extract(hit, {_q(_P1)}, 3) WHEN 1 THEN nullif(regexp_extract(hit, {_q(_P2)}, 2), '') WHEN 3 THEN regexp_extract(hit, {_q(_P4)}, 2) END AS date
+  FROM found WHERE hit <> ''
+), keyed AS (
+  SELECT *, try_cast(nullif(regexp_extract(coalesce(date, identifier, title), '(?:19|20)\\d{{2}}'), '') AS INT) AS year,
+    concat_ws('|', document_type, upper(coalesce(title, '')), upper(coalesce(identifier, '')), upper(coalesce(date, '')),
+      coalesce(try_cast(nullif(regexp_extract(coalesce(date, identifier, title), '(?:19|20)\\d{{2}}'), '') AS INT)::VARCHAR, '')) AS key
+  FROM findings
+)
+"""
+
+
+def _found(spark, sf_dir, rank: int) -> DataFrame:
+    rows = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir))).filter(F.col("pattern") == rank)
+    return rows.select("doc_key", "para_seq", "start", "end", "document_type", "title", "identifier", "date", "year")
+
+
+def _found_sql(rank: int) -> str:
+    return CORPUS_SQL + _FINDINGS + f'SELECT doc_key, para_seq, start, "end", document_type, title, identifier, date, year FROM keyed WHERE pattern = {rank}'
+
+
+@query(_found_sql(0))
+def extract_master_circulars(spark, sf_dir):
+    return _found(spark, sf_dir, 0)
+
+
+@query(_found_sql(1))
+def extract_identified_circulars(spark, sf_dir):
+    return _found(spark, sf_dir, 1)
+
+
+@query(_found_sql(2))
+def extract_instruments(spark, sf_dir):
+    return _found(spark, sf_dir, 2)
+
+
+@query(_found_sql(3))
+def extract_notifications(spark, sf_dir):
+    return _found(spark, sf_dir, 3)
+
+
+_DOCUMENTS = f"""{_FINDINGS}, docs AS (
+  SELECT doc_key, key, min(para_seq * 10 + pattern) AS seen, arg_min(document_type, para_seq * 10 + pattern) AS document_type, arg_min(title, para_seq * 10 + pattern) AS title,
+         arg_min(identifier, para_seq * 10 + pattern) AS identifier, arg_min(date, para_seq * 10 + pattern) AS date, arg_min(year, para_seq * 10 + pattern) AS year
+  FROM keyed GROUP BY doc_key, key
+), numbered AS (SELECT *, 'doc_' || lpad(row_number() OVER (PARTITION BY doc_key ORDER BY seen)::VARCHAR, 3, '0') AS document_id FROM docs)
+"""
+
+
+@query(CORPUS_SQL + _DOCUMENTS + """SELECT n.doc_key, n.document_id, n.document_type, n.title, n.identifier, n.date, n.year, count(*) AS n_findings, list_sort(list_distinct(list(k.page_number))) AS pages
+FROM numbered n JOIN keyed k USING (doc_key, key) GROUP BY ALL""")
+def cited_documents(spark, sf_dir):
+    """Which documents each customer's paragraphs cite, how often in full, and on which pages."""
+    text = X.sequenced(paragraphs(spark, sf_dir))
+    found = X.explicit_findings(text)
+    docs = X.documents(found)
+    where = found.join(text.select("doc_key", "para_seq", "page_number"), ["doc_key", "para_seq"]).groupBy("doc_key", "key").agg(F.count(F.lit(1)).alias("n_findings"), F.array_sort(F.collect_set("page_number")).alias("pages"))
+    return docs.join(where, ["doc_key", "key"]).select("doc_key", "document_id", "document_type", "title", "identifier", "date", "year", "n_findings", "pages")
+
+
+@query(CORPUS_SQL + _DOCUMENTS + """, since AS (
+  SELECT doc_key, key, CASE pattern WHEN 0 THEN 'master circular' ELSE 'mf regulations' END AS alias, min(para_seq * 10 + pattern) AS since FROM keyed
+  WHERE pattern = 0 OR (pattern = 2 AND contains(text, '("MF Regulations")')) GROUP BY ALL
+), bound AS (
+  SELECT k.doc_key, alias, k.para_seq, arg_max(document_id, k.para_seq * 10 + pattern) AS document_id FROM keyed k JOIN since s ON k.doc_key = s.doc_key AND k.key = s.key AND k.para_seq * 10 + pattern >= since
+  JOIN numbered n ON n.doc_key = k.doc_key AND n.key = k.key GROUP BY ALL
+) SELECT doc_key, alias, document_id, para_seq AS from_seq, coalesce(lead(para_seq) OVER (PARTITION BY doc_key, alias ORDER BY para_seq), 2147483647)::INT AS to_seq FROM bound""")
+def alias_bindings(spark, sf_dir):
+    """Which document an alias means, as of each paragraph."""
+    found = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir)))
+    return X.alias_bindings(found, X.documents(found))
+
+
+@query()
+def alias_mentions(spark, sf_dir):
+    got = X.Extraction(paragraphs(spark, sf_dir))
+    return got.aliased.select("doc_key", "para_seq", "start", "end", "document_id", "match_text")
+
+
+@query()
+def consolidated_mentions(spark, sf_dir):
+    return X.Extraction(paragraphs(spark, sf_dir)).mentions
+
+
+@query()
+def mention_summary(spark, sf_dir):
+    return X.Extraction(paragraphs(spark, sf_dir)).summary
+
+
+@query(CORPUS_SQL + f"""SELECT doc_key, max(page_number) AS page_count, nullif(regexp_extract(string_agg(text, ' ' ORDER BY para_no) FILTER (page_number = 1), '(?i){_DATES}'), '') AS issue_date
+FROM corpus GROUP BY doc_key""")
+def source_metadata(spark, sf_dir):
+    return X.source_metadata(paragraphs(spark, sf_dir)).select("doc_key", "page_count", "issue_date")
+
+
+@query(CORPUS_SQL + _FINDINGS + r"""SELECT doc_key, para_seq, pattern, nullif(regexp_extract(left(text, start), '(?i)((?:para(?:s)?|regulation(?:s)?|section(?:s)?|chapter|clause(?:s)?|annexure)[^.;:\n]{0,140})\s+of(?:\s+the)?\s*$', 1), '') AS raw,
+  list_filter([regexp_extract(left(text, start), '(?i)\bsection(?:s)?\s+([0-9]+)', 1)], x -> x <> '') AS sections FROM keyed""")
+def locator_tokens(spark, sf_dir):
+    rows = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir)))
+    return rows.select("doc_key", "para_seq", "pattern", "locators.raw", "locators.sections")
+
+
+# --- spans ---------------------------------------------------------------------------------
+
+_SPANS_SQL = 'WITH s AS (SELECT DISTINCT l_orderkey AS g, (l_partkey % 50)::INT AS start, (l_partkey % 50 + l_quantity)::INT AS "end" FROM lineitem)'
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    start = (F.col("l_partkey") % 50).cast("int")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), start.alias("start"), (start + F.col("l_quantity")).cast("int").alias("end")).distinct()
+
+
+@query(_SPANS_SQL + ' SELECT g, start, "end" FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.g = b.g AND b.start <= a.start AND b."end" >= a."end" AND (b.start < a.start OR b."end" > a."end"))')
+def span_containment_dedupe(spark, sf_dir):
+    return S.drop_contained(_spans(spark, sf_dir), ["g"])
+
+
+@query(_SPANS_SQL + ' SELECT g, start, "end" FROM s a WHERE start % 2 = 1 AND NOT EXISTS (SELECT 1 FROM s b WHERE a.g = b.g AND b.start % 2 = 0 AND a.start < b."end" AND b.start < a."end")')
+def span_overlap_antijoin(spark, sf_dir):
+    rows = _spans(spark, sf_dir)
+    taken = rows.filter("start % 2 = 0").groupBy("g").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
+    return rows.filter("start % 2 = 1").join(taken, "g", "left").filter(S.overlaps_none(F.col("start"), F.col("end"), F.col("taken"))).select("g", "start", "end")
+
+
+# --- sources -------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN ends_with(lower(n), '.pdf') THEN n ELSE n || '.pdf' END AS name FROM (SELECT page_id, string_split(rtrim(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/'), '/')[-1] AS n FROM pages)")
+def url_filename(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.pdf_name(F.col("url")).alias("name"))
+
+
+@query("""SELECT page_id, coalesce(nullif(list_filter(c, x -> contains(lower(x), 'ou'))[1], ''), nullif(c[1], '')) AS link FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?i)[?&]file=([^"''&>\\s]+?)', 1),
+ regexp_extract_all(html, '(?i)(?:href|src)=["'']([^"'']*?)["'']', 1)) AS c FROM pages)""")
+def html_link_candidates(spark, sf_dir):
+    """Links of any ending, for the pages hold none to PDF files; those with "ou" are preferred."""
+    return read(spark, sf_dir, "pages").select("page_id", F.nullif(T.pdf_link(F.col("html"), suffix="", prefer="ou"), F.lit("")).alias("link"))
+
+
+@query("SELECT kind, url, pos FROM (SELECT p_type AS kind, p_name AS url, p_partkey AS pos, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
+def listing_dedupe(spark, sf_dir):
+    return R.distinct_listing(read(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("url"), F.col("p_partkey").alias("pos")))
+
+
+@query("""SELECT source AS doc_key, count(*) AS pages, count(*) FILTER (t <> '') AS text_pages, sum(length(t))::BIGINT AS total_chars,
+  count(*) FILTER (t <> '') > 0 AND sum(length(t)) > 200 AS extractable FROM (SELECT source, trim(text, ' ') AS t FROM documents) GROUP BY source""")
+def text_layer_profile(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_key"), F.col("doc_id").alias("page_number"), "text")
+    return L.text_profile(rows).drop("samples")
+
+
+# --- resolution ----------------------------------------------------------------------------
+
+_KINDS = ("act", "regulations", "master_circular", "circular")
+
+
+def _listing(spark, sf_dir) -> DataFrame:
+    """Parts as a listing: kind, title, url, day, order."""
+    key = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (key % 4 + 1).cast("int"))
+    section = F.element_at(F.array(*[F.lit(r[1]) for r in R.RULES]), (key % 4 + 1).cast("int"))
+    day = F.concat_ws("-", F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lpad((key % 12 + 1).cast("string"), 2, "0"), F.lit("1997"))
+    return read(spark, sf_dir, "part").select(
+        kind.alias("kind"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower(F.regexp_replace("p_brand", "#", " brand"))).alias("title"), F.concat(section, key.cast("string"), F.lit(".html")).alias("url"), day.alias("listed_on"), key.alias("pos"),
+    )
+
+
+def _cited(spark, sf_dir) -> DataFrame:
+    """Suppliers joined to part names as cited documents without a listing date."""
+    s, p = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
+    rows = s.join(p, F.col("s_suppkey") == F.col("p_partkey"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("s_suppkey").alias("ref"), kind.alias("document_type"), F.concat_ws(" ", "p_name", F.lit("the"), F.lower("p_type")).alias("title"), none.alias("short_title"), none.alias("identifier"), none.alias("date"))
+
+
+_KIND_SQL = "['act', 'regulations', 'master_circular', 'circular'][{0} % 4 + 1]"
+_WORDS_SQL = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), ' '), x -> length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + ")))"
+_TOP_SQL = f"""WITH listing AS (
+  SELECT {_KIND_SQL.format('p_partkey')} AS kind, p_partkey AS pos, ['/legal/acts/', '/legal/regulations/', '/legal/master-circulars/', '/legal/circulars/'][p_partkey % 4 + 1] || p_partkey || '.html' AS url,
+         {_WORDS_SQL.format("p_name || ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' brand'))")} AS w FROM part
+), refs AS (
+  SELECT s_suppkey AS ref, {_KIND_SQL.format('s_suppkey')} AS kind, {_WORDS_SQL.format("p_name || ' the ' || lower(p_type)")} AS t FROM supplier JOIN part ON s_suppkey = p_partkey
+), scored AS (
+  SELECT ref, kind, url, pos, len(list_intersect(w, t))::DOUBLE / (len(w) + len(t) - len(list_intersect(w, t))) AS score FROM refs JOIN listing USING (kind)
+), top AS (SELECT ref, kind, url, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, pos) AS n FROM scored WHERE score > 0) WHERE n = 1)
+"""
+
+
+@query(_TOP_SQL + "SELECT ref, url, score FROM top")
+def title_jaccard_top1(spark, sf_dir):
+    top = R.best(R.scored_candidates(_cited(spark, sf_dir), _listing(spark, sf_dir)), "b")
+    return top.select("ref", "b.url", "b.score")
+
+
+_RESOLVED_SQL = _TOP_SQL + """, resolved AS (
+  SELECT ref, CASE WHEN score >= CASE WHEN kind IN ('act', 'regulations') THEN 0.35 ELSE 0.30 END THEN url END AS resolved_url,
+    CASE WHEN score >= CASE WHEN kind IN ('act', 'regulations') THEN 0.55 ELSE 0.50 END THEN 'resolved' WHEN score >= CASE WHEN kind IN ('act', 'regulations') THEN 0.35 ELSE 0.30 END THEN 'resolved_approx' ELSE 'unresolved' END AS resolution_status
+  FROM refs LEFT JOIN top USING (ref, kind))
+"""
+
+
+@query(_RESOLVED_SQL + "SELECT * FROM resolved")
+def resolve_status(spark, sf_dir):
+    return R.resolve(_cited(spark, sf_dir), _listing(spark, sf_dir)).select("ref", "resolved_url", "resolution_status")
+
+
+@query(_RESOLVED_SQL + "SELECT count(*) FILTER (resolution_status = 'resolved') AS resolved, count(*) FILTER (resolution_status = 'resolved_approx') AS resolved_approx, count(*) FILTER (resolution_status = 'unresolved') AS unresolved FROM resolved")
+def resolution_counts(spark, sf_dir):
+    return R.status_counts(R.resolve(_cited(spark, sf_dir), _listing(spark, sf_dir)))
+
+
+@query("SELECT p_partkey, trim(regexp_extract('SEBI (' || p_name || ') Regulations, 1996', '\\(([^)]+)\\)', 1)) AS regulations, trim(p_name || ' Act') AS act, array_to_string(list_filter(string_split(p_name || ' ' || p_type, ' '), x -> x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "))[1:5], ' ') AS master_circular FROM part")
+def search_keywords(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    made = lambda kind, title: T.search_keywords(F.lit(kind), title, none, none)
+    name = F.col("p_name")
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", made("regulations", F.concat(F.lit("SEBI ("), name, F.lit(") Regulations, 1996"))).alias("regulations"), made("act", F.concat(name, F.lit(" Act, 1992"))).alias("act"),
+        made("master_circular", F.concat(F.lit("Master Circular for "), name, F.lit(" "), F.col("p_type"))).alias("master_circular"),
+    )
+
+
+@query()
+def discovery_cleanup(spark, sf_dir):
+    """Orders as discovered references: some self-references, locators as identifiers, titles that lack their kind."""
+    k = F.col("o_orderkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    found = read(spark, sf_dir, "orders").select(
+        k.alias("ref"), pick(3, "as per this circular", "the Act says", "see there").alias("exact_quote"), pick(2, "act", "regulations").alias("document_type"),
+        pick(5, "Depositories Act", "SEBI (Mutual Funds) Regulations", "Companies Act, 2013", None, "Broken tit").alias("title"), pick(4, "Section 11", None, "LAD/1", "Regulation 5").alias("identifier"), F.date_format("o_orderdate", "yyyy").alias("year_or_date"),
+    )
+    return R.clean_discoveries(found, F.lit(""))
+
+
+# --- layout --------------------------------------------------------------------------------
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Orders as lines of text on pages of 12, one document for each customer."""
+    k, n = F.col("o_orderkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = read(spark, sf_dir, "orders").withColumn("n", n).withColumn("k", k)
+    words = F.array(*[F.lit(x) for x in ("the members shall report", "1. Scope of this paper", "Sub: Report on custody", "ANNEXURE", "page text goes on here:", "(a) first item", "Page 1 of 9", "continued text of a line")])
+    line = F.col("n") % 12
+    y1 = 780.0 - line * 60 + F.when(F.col("k") % 3 == 0, 46.0).otherwise(0.0)
+    x0 = 72.0 + (F.col("k") % 4) * 18.0 + F.when(F.col("k") % 8 == 3, 160.0).otherwise(0.0)
+    return rows.select(
+        F.col("o_custkey").alias("doc_key"), (F.floor(F.col("n") / 12) + 1).cast("int").alias("page_number"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.element_at(words, (F.col("k") % 8 + 1).cast("int")).alias("text"),
+        x0.alias("x0"), (y1 - 12.0).alias("y0"), (x0 + 120.0).alias("x1"), y1.alias("y1"), F.array(F.when(F.col("k") % 5 == 0, "Arial-Bold").otherwise("Arial")).alias("fonts"), F.lit(11.0).alias("size_mean"), "k",
+    )
+
+
+def _decorations(spark, sf_dir) -> DataFrame:
+    rows = _lines(spark, sf_dir).filter("k % 6 = 0")
+    return rows.select("doc_key", "page_number", (F.col("x0") + 5).alias("x0"), (F.col("x0") + 65).alias("x1"), (F.col("y0") + F.col("k") % 7 - 3).cast("double").alias("y"), F.lit(60.0).alias("width"))
+
+
+_LINES_SQL = """WITH base AS (
+  SELECT o_custkey AS doc_key, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders
+), lines AS (
+  SELECT doc_key, (n // 12 + 1)::INT AS page_number, k,
+    ['the members shall report', '1. Scope of this paper', 'Sub: Report on custody', 'ANNEXURE', 'page text goes on here:', '(a) first item', 'Page 1 of 9', 'continued text of a line'][k % 8 + 1] AS text,
+    72.0::DOUBLE + (k % 4) * 18 + CASE WHEN k % 8 = 3 THEN 160 ELSE 0 END AS x0, 780.0::DOUBLE - (n % 12) * 60 + CASE WHEN k % 3 = 0 THEN 46 ELSE 0 END AS y1, k % 5 = 0 AS is_bold
+  FROM base
+), decorations AS (SELECT doc_key, page_number, x0 + 5 AS dx0, x0 + 65 AS dx1, y1 - 12 + k % 7 - 3 AS y, 60.0 AS width FROM lines WHERE k % 6 = 0
+), typed AS (
+  SELECT l.*, y1 - 12 AS y0, x0 + 120 AS x1, abs((x0 + x0 + 120) / 2 - 297.5) <= 20 AS centred,
+    EXISTS (SELECT 1 FROM decorations d WHERE d.doc_key = l.doc_key AND d.page_number = l.page_number AND width >= least(20, 120 * 0.4) AND least(x0 + 120, dx1) > greatest(x0, dx0) AND y - (y1 - 12) BETWEEN -3.0 AND 3.5) AS under
+  FROM lines l
+), kinds AS (
+  SELECT *, CASE WHEN centred THEN 'center' WHEN x1 >= 515 AND x0 > 297.5 THEN 'right' ELSE 'left' END AS alignment,
+    CASE WHEN y0 < 45 THEN 'footer' WHEN y1 > 797 THEN 'header' WHEN starts_with(text, 'Page ') AND contains(text, ' of ') THEN 'header' WHEN centred AND (is_bold OR upper(text) = text) THEN 'heading'
+      WHEN starts_with(lower(text), 'sub:') THEN 'heading' WHEN regexp_matches(text, '^(\\(?[0-9]+(?:\\.[0-9]+)*[.)]?|[A-Za-z][.)]|[ivxlcdmIVXLCDM]+[.)])\\s+') THEN 'list_item' WHEN is_bold AND length(text) <= 120 THEN 'heading' ELSE 'body' END AS block_type
+  FROM typed
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_key, page_number ORDER BY y1 DESC, x0, text) AS line_no FROM kinds)
+"""
+
+
+@query(_LINES_SQL + "SELECT doc_key, page_number, k, alignment, block_type, under AS is_underlined_guess FROM numbered")
+def line_types(spark, sf_dir):
+    """Alignment, block type and underline (a range semi-join) of each line."""
+    return L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir)).select("doc_key", "page_number", "k", "alignment", "block_type", "is_underlined_guess")
+
+
+@query(_LINES_SQL + """, margins AS (SELECT doc_key, page_number, coalesce(min(round(x0, 1)) FILTER (alignment <> 'center' AND block_type NOT IN ('header', 'footer')), min(x0)) AS m FROM numbered GROUP BY ALL)
+SELECT doc_key, page_number, coalesce(list_sort(list_distinct(list(round(x0 - m, 1)) FILTER (block_type NOT IN ('header', 'footer'))))[1:12], []) AS indent_steps FROM numbered JOIN margins USING (doc_key, page_number) GROUP BY ALL""")
+def indent_steps(spark, sf_dir):
+    return L.indent_steps(L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir)))
+
+
+_ISLANDS_SQL = _LINES_SQL + """, prev AS (
+  SELECT *, lag(block_type) OVER w AS pb, lag(x0) OVER w AS px, lag(y0) OVER w AS py, lag(text) OVER w AS pt, lag(under) OVER w AS pu,
+    regexp_matches(text, '^(\\(?[0-9]+(?:\\.[0-9]+)*[.)]?|[A-Za-z][.)]|[ivxlcdmIVXLCDM]+[.)])\\s+') AS listed FROM numbered WINDOW w AS (PARTITION BY doc_key, page_number ORDER BY line_no)
+), broken AS (
+  SELECT *, CASE WHEN pb IS NULL THEN 1 WHEN pb IN ('header', 'footer') OR block_type IN ('header', 'footer') THEN 1
+    WHEN block_type = 'heading' THEN CASE WHEN pb = 'heading' AND abs(px - x0) <= 6 AND py - y1 <= greatest(24.0, 6.05 * 4) AND (regexp_matches(text, '^[a-z]') OR starts_with(lower(pt), 'sub:') OR pu OR under) THEN 0 ELSE 1 END
+    WHEN pb = 'heading' THEN 1 WHEN block_type = 'list_item' THEN 1 WHEN py - y1 > 9.9 THEN 1
+    WHEN pb = 'list_item' THEN CASE WHEN (x0 >= px + 10 OR abs(px - x0) <= 6) AND NOT listed THEN 0 ELSE 1 END
+    WHEN abs(px - x0) >= 18 AND x0 <= px THEN 1 WHEN ends_with(pt, ':') AND listed THEN 1 ELSE 0 END AS b FROM prev
+), island AS (SELECT *, sum(b) OVER (PARTITION BY doc_key, page_number ORDER BY line_no ROWS UNBOUNDED PRECEDING)::INT AS para_no FROM broken)
+"""
+
+
+@query(_ISLANDS_SQL + "SELECT doc_key, page_number, k, para_no FROM island")
+def paragraph_islands(spark, sf_dir):
+    return L.islands(L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir))).select("doc_key", "page_number", "k", "para_no")
+
+
+@query(_ISLANDS_SQL + """SELECT doc_key, page_number, para_no, string_agg(text, ' ' ORDER BY line_no) AS text, min(x0) AS "left", min(y0) AS bottom, max(x1) AS "right", max(y1) AS top, bool_and(is_bold) AS is_bold, bool_or(under) AS is_underlined_guess, count(*) AS n_lines
+FROM island GROUP BY ALL""")
+def paragraph_aggregate(spark, sf_dir):
+    rows = L.paragraphs(L.islands(L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir))))
+    return rows.select("doc_key", "page_number", "para_no", "text", "left", "bottom", "right", "top", "is_bold", "is_underlined_guess", "n_lines")
+
+
+# --- evaluation ----------------------------------------------------------------------------
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    """Customers as gold references of their nation's fixture, found on one page each."""
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "customer")
+    return rows.select(
+        F.col("c_nationkey").cast("string").alias("fixture_id"), F.col("c_name").alias("key"), F.lower("c_mktsegment").alias("document_type"), F.concat(F.lit("Title "), "c_name").alias("title"), F.array("c_name").alias("aliases"),
+        F.concat(F.lit("CIR/"), F.col("c_custkey").cast("string")).alias("identifier"), F.array((F.col("c_custkey") % 5).cast("int")).alias("pages"), none.alias("url"),
+    )
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    """Orders as predictions about their customer: a third by identifier, a third by alias, a third by an unknown title."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_nationkey").cast("string").alias("fixture_id"), k.cast("int").alias("idx"), none.alias("key"), F.when(k % 3 == 1, F.upper("c_name")).when(k % 3 == 2, F.concat(F.lit("Other "), "c_name")).alias("title"),
+        F.when(k % 3 == 0, F.concat(F.lit("cir "), F.col("c_custkey").cast("string"))).alias("identifier"), F.when(k % 2 == 0, F.lower("c_mktsegment")).alias("document_type"), F.array((k % 5).cast("int")).alias("pages"), none.alias("url"),
+    )
+
+
+_MATCH_SQL = """WITH p AS (
+  SELECT c_nationkey::VARCHAR AS fixture_id, c_name, c_custkey, o_orderkey AS k, CASE WHEN o_orderkey % 3 < 2 THEN c_name END AS matched, (o_orderkey % 5)::INT AS page,
+         CASE WHEN o_orderkey % 2 = 0 THEN lower(c_mktsegment) END AS kind FROM orders JOIN customer ON o_custkey = c_custkey
+), a AS (SELECT *, CASE WHEN matched IS NOT NULL THEN 'gold:' || matched ELSE 'pred:' || 'other ' || lower(replace(c_name, '#', ' ')) END AS agg FROM p
+), g AS (SELECT c_nationkey::VARCHAR AS fixture_id, c_name AS key, (c_custkey % 5)::INT AS page, lower(c_mktsegment) AS kind FROM customer
+), d AS (SELECT g.fixture_id, count(*) AS gold_total, (SELECT count(DISTINCT matched) FROM a WHERE a.fixture_id = g.fixture_id) AS tp, (SELECT count(DISTINCT agg) FROM a WHERE a.fixture_id = g.fixture_id) AS pred_total,
+  (SELECT count(*) FROM (SELECT DISTINCT agg, page FROM a WHERE a.fixture_id = g.fixture_id)) AS page_pred, count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.matched = g.key AND a.page = g.page)) AS page_tp,
+  count(*) FILTER (EXISTS (SELECT 1 FROM a WHERE a.matched = g.key AND a.kind = g.kind)) AS type_correct, list_sort(list(g.key) FILTER (NOT EXISTS (SELECT 1 FROM a WHERE a.matched = g.key))) AS missing FROM g GROUP BY g.fixture_id)
+"""
+
+
+@query(_MATCH_SQL + "SELECT fixture_id, k AS idx, matched, agg FROM a")
+def gold_index_unique_match(spark, sf_dir):
+    return E.match(_predicted(spark, sf_dir), _gold(spark, sf_dir)).select("fixture_id", F.col("idx").cast("bigint").alias("idx"), "matched", "agg")
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    return E.evaluate(_predicted(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query(_MATCH_SQL + 'SELECT fixture_id, tp, pred_total, gold_total, tp / nullif(pred_total, 0) AS "precision", tp / gold_total AS recall FROM d')
+def doc_prf(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("fixture_id", "doc_metrics.tp", "doc_metrics.pred_total", "doc_metrics.gold_total", "doc_metrics.precision", "doc_metrics.recall")
+
+
+@query(_MATCH_SQL + "SELECT fixture_id, page_tp AS tp, page_pred AS pred_total, gold_total FROM d")
+def page_prf(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("fixture_id", "page_metrics.tp", "page_metrics.pred_total", "page_metrics.gold_total")
+
+
+@query(_MATCH_SQL + "SELECT fixture_id, type_correct / nullif(tp, 0) AS type_accuracy FROM d")
+def type_metrics(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("fixture_id", F.col("type_accuracy_on_matched_docs").alias("type_accuracy"))
+
+
+@query(_MATCH_SQL + "SELECT fixture_id, coalesce(missing, []) AS missing_refs FROM d")
+def missing_references(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("fixture_id", "missing_refs")
+
+
+@query(_MATCH_SQL + "SELECT avg(tp / nullif(pred_total, 0)) AS doc_precision, avg(tp / gold_total) AS doc_recall FROM d")
+def macro_average(spark, sf_dir):
+    return E.macro_average(_evaluated(spark, sf_dir)).select("doc_precision", "doc_recall")
