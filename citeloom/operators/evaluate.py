@@ -47,19 +47,18 @@ def as_predictions(extraction, fixtures: DataFrame) -> DataFrame:
 def _unique(rows: DataFrame, name: str) -> DataFrame:
     """Values that point to one gold reference only."""
     index = rows.filter(F.col(name) != "").groupBy("fixture_id", name).agg(F.min("key").alias("k"), F.max("key").alias("k2"))
-    return index.filter("k = k2").select("fixture_id", F.col(name).alias(f"_{name}"), F.col("k").alias(f"by_{name}"))
+    return index.filter("k = k2").select(F.col("fixture_id").alias(f"_f{name}"), F.col(name).alias(f"_{name}"), F.col("k").alias(f"by_{name}"))
 
 
 def match(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """Predictions with matched (a gold key, or null), by key, else unique identifier, else unique title or alias; and agg, the document they stand for."""
     names = gold.select("fixture_id", "key", F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("fixture_id", "key", T.normalize_text("n").alias("t"))
     codes = gold.select("fixture_id", "key", T.normalize_identifier("identifier").alias("i"))
-    keys = gold.select("fixture_id", F.col("key").alias("by_key")).distinct()
+    keys = gold.select(F.col("fixture_id").alias("_f"), F.col("key").alias("by_key")).distinct()
     p = predictions.withColumns({"t": T.normalize_text("title"), "i": T.normalize_identifier("identifier"), "u": T.normalize_url("url")})
-    p = p.join(keys, (p["fixture_id"] == keys["fixture_id"]) & (p["key"] == keys["by_key"]), "left").drop(keys["fixture_id"])
+    p = p.join(keys, (F.col("fixture_id") == F.col("_f")) & (F.col("key") == F.col("by_key")), "left")
     for rows, name in ((codes, "i"), (names, "t")):
-        one = _unique(rows, name)
-        p = p.join(one, (p["fixture_id"] == one["fixture_id"]) & (p[name] == one[f"_{name}"]), "left").drop(one["fixture_id"])
+        p = p.join(_unique(rows, name), (F.col("fixture_id") == F.col(f"_f{name}")) & (F.col(name) == F.col(f"_{name}")), "left")
     matched = F.coalesce("by_key", "by_i", "by_t")
     unmatched = F.concat(F.lit("pred:"), F.coalesce(F.nullif("i", F.lit("")), F.nullif("t", F.lit("")), F.concat(F.lit("unmatched_"), F.col("idx").cast("string"))))
     return p.select("fixture_id", "idx", "title", "identifier", "document_type", "pages", "t", "i", "u", matched.alias("matched"), F.coalesce(F.concat(F.lit("gold:"), matched), unmatched).alias("agg"))

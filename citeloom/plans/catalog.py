@@ -56,7 +56,7 @@ def templated_corpus(spark, sf_dir):
     return paragraphs(spark, sf_dir).select("doc_key", "seq", "page_number", "para_no", "text")
 
 
-@query(rf"SELECT doc_id, trim(regexp_replace(translate(text, '“”’‘', '""''''' ), '{_BLANK}', ' ', 'g'), ' ') AS text FROM documents")
+@query(rf'''SELECT doc_id, trim(regexp_replace(translate(text, '“”’‘', '""' || chr(39) || chr(39)), '{_BLANK}', ' ', 'g'), ' ') AS text FROM documents''')
 def compact_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.compact("text").alias("text"))
 
@@ -247,8 +247,8 @@ def source_metadata(spark, sf_dir):
     return X.source_metadata(paragraphs(spark, sf_dir)).select("doc_key", "page_count", "issue_date")
 
 
-@query(CORPUS_SQL + _FINDINGS + r"""SELECT doc_key, para_seq, pattern, nullif(regexp_extract(left(text, start), '(?i)((?:para(?:s)?|regulation(?:s)?|section(?:s)?|chapter|clause(?:s)?|annexure)[^.;:\n]{0,140})\s+of(?:\s+the)?\s*$', 1), '') AS raw,
-  list_filter([regexp_extract(left(text, start), '(?i)\bsection(?:s)?\s+([0-9]+)', 1)], x -> x <> '') AS sections FROM keyed""")
+@query(CORPUS_SQL + _FINDINGS + r"""SELECT doc_key, para_seq, pattern, nullif(raw, '') AS raw, list_filter([regexp_extract(raw, '(?i)\bsection(?:s)?\s+([0-9]+)', 1)], lambda x: x <> '') AS sections
+FROM (SELECT *, regexp_extract(left(text, start), '(?i)((?:para(?:s)?|regulation(?:s)?|section(?:s)?|chapter|clause(?:s)?|annexure)[^.;:\n]{0,140})\s+of(?:\s+the)?\s*$', 1) AS raw FROM keyed)""")
 def locator_tokens(spark, sf_dir):
     rows = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir)))
     return rows.select("doc_key", "para_seq", "pattern", "locators.raw", "locators.sections")
@@ -284,7 +284,7 @@ def url_filename(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.pdf_name(F.col("url")).alias("name"))
 
 
-@query("""SELECT page_id, coalesce(nullif(list_filter(c, x -> contains(lower(x), 'ou'))[1], ''), nullif(c[1], '')) AS link FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?i)[?&]file=([^"''&>\\s]+?)', 1),
+@query("""SELECT page_id, coalesce(nullif(list_filter(c, lambda x: contains(lower(x), 'ou'))[1], ''), nullif(c[1], '')) AS link FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?i)[?&]file=([^"''&>\\s]+?)', 1),
  regexp_extract_all(html, '(?i)(?:href|src)=["'']([^"'']*?)["'']', 1)) AS c FROM pages)""")
 def html_link_candidates(spark, sf_dir):
     """Links of any ending, for the pages hold none to PDF files; those with "ou" are preferred."""
@@ -329,7 +329,7 @@ def _cited(spark, sf_dir) -> DataFrame:
 
 
 _KIND_SQL = "['act', 'regulations', 'master_circular', 'circular'][{0} % 4 + 1]"
-_WORDS_SQL = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), ' '), x -> length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + ")))"
+_WORDS_SQL = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), ' '), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + ")))"
 _TOP_SQL = f"""WITH listing AS (
   SELECT {_KIND_SQL.format('p_partkey')} AS kind, p_partkey AS pos, ['/legal/acts/', '/legal/regulations/', '/legal/master-circulars/', '/legal/circulars/'][p_partkey % 4 + 1] || p_partkey || '.html' AS url,
          {_WORDS_SQL.format("p_name || ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' brand'))")} AS w FROM part
@@ -364,7 +364,7 @@ def resolution_counts(spark, sf_dir):
     return R.status_counts(R.resolve(_cited(spark, sf_dir), _listing(spark, sf_dir)))
 
 
-@query("SELECT p_partkey, trim(regexp_extract('SEBI (' || p_name || ') Regulations, 1996', '\\(([^)]+)\\)', 1)) AS regulations, trim(p_name || ' Act') AS act, array_to_string(list_filter(string_split(p_name || ' ' || p_type, ' '), x -> x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "))[1:5], ' ') AS master_circular FROM part")
+@query("SELECT p_partkey, trim(regexp_extract('SEBI (' || p_name || ') Regulations, 1996', '\\(([^)]+)\\)', 1)) AS regulations, trim(p_name || ' Act') AS act, array_to_string(list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "))[1:5], ' ') AS master_circular FROM part")
 def search_keywords(spark, sf_dir):
     none = F.lit(None).cast("string")
     made = lambda kind, title: T.search_keywords(F.lit(kind), title, none, none)
