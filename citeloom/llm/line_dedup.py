@@ -212,17 +212,27 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with the lines that go taken out of its text; adds n_lines, n_equal, n_near."""
+def _cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __ld: its n_lines, n_equal, n_near and the text without the lines that go (the text itself where none goes)."""
     gone = line_groups(docs, id_col, text_col)
     # A document's own line numbers: as many as it has lines, however common these are elsewhere.
-    own = gone.groupBy(F.col(id_col).alias("__id"), "__tx").agg(
-        F.collect_set("line_no").alias("__gone"), F.countDistinct(F.when(F.col("distance") == 0, F.col("line_no"))).alias("n_equal"), F.countDistinct(F.when(F.col("distance") == 1, F.col("line_no"))).alias("n_near")
-    )
+    count = lambda d: F.count_distinct(F.when(F.col("distance") == d, F.col("line_no")))
+    own = gone.groupBy(F.col(id_col).alias("__ld_id"), F.col("__tx").alias("__ld_tx")).agg(F.collect_set("line_no").alias("__ld_gone"), count(0).alias("__ld_equal"), count(1).alias("__ld_near"))
     text = text_of(text_col)
-    joined = docs.withColumn("__h", F.xxhash64(text)).join(own, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__tx")), "left")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size(F.split(text, "\n", -1)).cast("bigint").alias("n_lines"), F.coalesce("n_equal", F.lit(0)).cast("bigint").alias("n_equal"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
-    )
+    joined = docs.join(own, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.xxhash64(text) == F.col("__ld_tx")), "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__ld_gone"), i)), "\n"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    report = F.struct(F.size(lines).cast("bigint").alias("n_lines"), number("__ld_equal").alias("n_equal"), number("__ld_near").alias("n_near"), kept.alias("text"))
+    return joined.select(*[F.col(c) for c in docs.columns], report.alias("__ld"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row, columns as they were, with the lines that go taken out of its text."""
+    rows = _cleaned(docs, id_col, text_col)
+    return rows.select(*[F.col("__ld.text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_lines, n_equal, n_near and the cleaned text."""
+    return _cleaned(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__ld.n_lines", "__ld.n_equal", "__ld.n_near", F.col("__ld.text").alias("text"))

@@ -8,7 +8,8 @@
    then the full sets. Verified links and their components need no all-pairs.
 4. What a hub cannot decide: bucket members of different components. Shingles
    that no other of these has cannot be shared, so a node whose other shingles
-   are too few for the threshold drops out; the rest are compared in full.
+   are too few for the threshold drops out; the rest meet in a prefix join with
+   position bounds, and are compared in full.
 5. Components by alternating large-star and small-star.
 
 Links are decided on full sets; candidates are missed only where all bands
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import BROADCAST_IDS, keep_rows, save, text_of
@@ -179,6 +180,30 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(F.col("i") * 100 >= (F.col("sum") - F.col("i")) * percent).select("a", "b").distinct()
 
 
+def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from (id, comp, n): a prefix join with position bounds.
+
+    Shingles of a set are ordered from the rarest among these documents. Two
+    linked sets share a shingle among the first n - ceil(n * percent / 100) + 1
+    of each, and the first that they share stands early enough in both for what
+    follows to hold the overlap they need. Entries that cannot meet any partner
+    that way leave before the join, as do shingles of one component, so a group
+    of near copies meets in its few uncommon shingles only.
+    """
+    tokens = docs.join(sets, "id").select("id", "comp", "n", F.explode("set").alias("t"))
+    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "t")) - 1
+    entry = tokens.join(counts, "t").withColumn("after", F.col("n") - place)
+    entry = entry.filter((F.col("after") >= F.ceil(F.col("n") * percent / 100)) & (F.col("df") > 1)).select("t", "id", "comp", "n", "after")
+    for _ in range(2):
+        group = entry.groupBy("t").agg(F.min("n").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t", "smallest")
+        enough = F.col("after") >= _needed(F.col("n"), F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent)
+        entry = save(entry.join(group, "t").filter(enough).select("t", "id", "comp", "n", "after"), "prefix")
+    other = entry.select(F.col("t").alias("t2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("after").alias("after2"))
+    meets = (F.col("t") == F.col("t2")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (F.least("after", "after2") >= _needed(F.col("n"), F.col("n2"), percent))
+    return entry.join(other, meets).select(F.col("id").alias("a"), "b").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept, __tx."""
     signed = save(signatures(docs, id_col, text_col, words, bands, rows), "sign")
@@ -219,11 +244,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = full.join(smallest, F.col("key") == F.col("k")).filter(F.col("can") >= _needed(F.col("n"), F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent)).select("key", "id", "comp", "n", "can")
     still = alive.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
     alive = save(alive.join(still, F.col("key") == F.col("k"), "left_semi"), "alive")
-    other = alive.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("can").alias("can2"))
-    need = _needed(F.col("n"), F.col("n2"), percent)
-    rest = alive.join(other, (F.col("key") == F.col("k2")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (F.col("can") >= need) & (F.col("can2") >= need))
-    rest = rest.select(F.col("id").alias("a"), "b", "comp", "comp2").distinct()
-    late = _linked(save(_agreeing(rest.select("a", "b"), nodes, least), "rest"), sets, percent)
+    rest = save(_prefix_pairs(alive.select("id", "comp", "n").distinct(), sets, percent), "pairs")
+    late = _linked(save(_agreeing(rest, nodes, least), "rest"), sets, percent)
     comps = alive.select("id", "comp").distinct()
     joined = late.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b").select("x", "y")
     second = components(joined, "x", "y").select(F.col("id").alias("s_id"), F.col("component").alias("s"))

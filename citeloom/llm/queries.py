@@ -18,7 +18,7 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those that go because an earlier one is equal or near, and the digest of the text that stays."""
-    cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = line_dedup.line_report(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
     return cleaned.select("doc_id", "n_lines", "n_equal", "n_near", digest)
 
