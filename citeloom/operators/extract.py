@@ -213,15 +213,25 @@ def summary(numbered: DataFrame, mentioned: DataFrame) -> DataFrame:
 
 
 class Extraction:
-    """The tables of one extraction, each lazy; ``paragraphs`` has doc_key, page_number, para_no, paragraph_id, text."""
+    """The tables of one extraction, each lazy; ``paragraphs`` has doc_key, page_number, para_no, paragraph_id, text.
 
-    def __init__(self, paragraphs: DataFrame, merge_dates: bool = True):
+    All tables follow from the findings, which cost most of the time, so these
+    are persisted (memory, then disk; lost blocks are computed again) unless
+    ``persist`` says otherwise. ``close()`` lets them go.
+    """
+
+    def __init__(self, paragraphs: DataFrame, merge_dates: bool = True, persist: bool = True):
         self.sources = source_metadata(paragraphs)
         self.paragraphs = sequenced(paragraphs, merge_dates)
         self.findings = explicit_findings(self.paragraphs)
+        if persist:
+            self.findings = self.findings.persist()
         self.documents = documents(self.findings)
         self.kept = kept_findings(self.findings)
         self.bindings = alias_bindings(self.findings, self.documents)
         self.aliased = alias_findings(self.paragraphs, self.kept, self.bindings)
         self.mentions = mentions(self.paragraphs, self.kept, self.aliased, self.documents, self.sources)
         self.summary = summary(self.documents, self.mentions)
+
+    def close(self) -> None:
+        self.findings.unpersist()

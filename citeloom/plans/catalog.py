@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import patterns as P
 from citeloom.functions import text as T
+from citeloom.operators import discover as D
 from citeloom.operators import evaluate as E
 from citeloom.operators import extract as X
 from citeloom.operators import layout as L
@@ -534,3 +535,47 @@ def missing_references(spark, sf_dir):
 @query(_MATCH_SQL + "SELECT avg(tp / nullif(pred_total, 0)) AS doc_precision, avg(tp / gold_total) AS doc_recall FROM d")
 def macro_average(spark, sf_dir):
     return E.macro_average(_evaluated(spark, sf_dir)).select("doc_precision", "doc_recall")
+
+
+# --- discovery, listings, cross-document counts --------------------------------------------
+
+
+@query(CORPUS_SQL + """, page AS (SELECT doc_key, page_number, '=== PAGE ' || page_number || ' ===' || chr(10) || string_agg(text, ' ' ORDER BY para_no) AS t FROM corpus GROUP BY doc_key, page_number)
+SELECT doc_key, string_agg(t, chr(10) ORDER BY page_number) AS prompt FROM page GROUP BY doc_key""")
+def page_prompt(spark, sf_dir):
+    return D.page_prompt(paragraphs(spark, sf_dir))
+
+
+@query("SELECT p_partkey, 'https://x/' || p_partkey || '.html' AS url, p_name AS title, 0 AS pos FROM part UNION ALL SELECT p_partkey, 'https://y/' || p_partkey || '.html', p_type, 1 FROM part")
+def listing_rows(spark, sf_dir):
+    link = lambda host, text: F.concat(F.lit(f"<li><a href='https://{host}/"), F.col("p_partkey").cast("string"), F.lit(".html'  class='p' title=\""), F.col(text), F.lit("\">x</a>"))
+    html = F.concat(link("x", "p_name"), F.lit("<a href='http://z/a.html' title=\"no\">"), link("y", "p_type"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.explode(D.listing_rows(html)).alias("r"))
+    return rows.select("p_partkey", "r.url", "r.title", "r.pos")
+
+
+@query(CORPUS_SQL + _FINDINGS + "SELECT key, count(DISTINCT doc_key) AS citing_documents, count(*) AS citations FROM keyed GROUP BY key")
+def citation_counts(spark, sf_dir):
+    """Which documents are cited by how many others, over the whole archive."""
+    return D.citation_counts(X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir))))
+
+
+@query()
+def predictions(spark, sf_dir):
+    """Every customer's citations as predictions of a fixture of its own."""
+    text = paragraphs(spark, sf_dir)
+    fixtures = text.select("doc_key", F.concat(F.lit("customer_"), F.col("doc_key").cast("string")).alias("fixture_id")).distinct()
+    return D.predictions_by_fixture(E.as_predictions(X.Extraction(text), fixtures))
+
+
+@query()
+def discovered_mentions(spark, sf_dir):
+    """The corpus's mentions with one discovered reference for each customer added."""
+    text = paragraphs(spark, sf_dir)
+    got = X.Extraction(text)
+    first = text.filter("seq = 1")
+    found = first.select(
+        "doc_key", F.lit(0).alias("pos"), F.lit("Companies Act, 2013").alias("exact_quote"), F.concat(F.lit("section 5 of the Companies Act, 2013; "), "text").alias("evidence_text"), F.lit("act").alias("document_type"),
+        F.lit("Companies Act").alias("title"), F.lit(None).cast("string").alias("identifier"), F.lit("2013").alias("year_or_date"), F.col("page_number").alias("source_page"),
+    )
+    return D.merge_discoveries(got.documents, got.mentions, found, got.sources)[1]

@@ -29,11 +29,11 @@ def extract_stream(paragraphs: DataFrame, sink: str, checkpoint: str, each: Call
     """Writes documents and mentions of every batch below ``sink``; a batch that is tried again replaces its own files."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        found = Extraction(rows.persist())
+        found = Extraction(rows)
         for name in ("documents", "mentions", "summary"):
             getattr(found, name).write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
         if each:
             each(found, number)
-        rows.unpersist()
+        found.close()
 
     return paragraphs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
