@@ -94,8 +94,7 @@ def _cuts(size: int, parts: int) -> np.ndarray:
 def block_keys(line: str, parts: int = BLOCKS) -> list[tuple[int, int, int]]:
     """(less, part, key) for L = n - less: the hash of what lies outside each part of a pair of shorter length L."""
     symbols, g = _sums(line)
-    n, powers = len(symbols), _powers(len(symbols))
-    out = []
+    n, out = len(symbols), []
     for less in (0, 1):
         size = n - less
         cut = _cuts(size, parts)
@@ -103,7 +102,6 @@ def block_keys(line: str, parts: int = BLOCKS) -> list[tuple[int, int, int]]:
         back = (g[n] - g[n - tail]) * _inverse_powers(n - tail)
         keys = _mix(_mix(g[cut[:-1]] * _GOLD + back) * _GOLD + np.uint64(size) * np.uint64(64) + np.arange(parts, dtype=np.uint64))
         out += [(less, j, k) for j, k in enumerate(keys.view(np.int64).tolist())]
-    del powers
     return out
 
 
