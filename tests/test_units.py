@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.operators import discover as D
 from citeloom.operators import extract as X
 from citeloom.operators import layout as L
 from citeloom.operators import resolve as R
@@ -120,3 +121,18 @@ def test_stream(spark, tmp_path):
     query = ingest.extract_stream(ingest.pages_stream(spark, str(folder)), f"{tmp_path}/out", f"{tmp_path}/state")
     query.awaitTermination()
     assert {(r.doc_key, r.title) for r in spark.read.parquet(f"{tmp_path}/out/documents").collect()} == {("a", "Depositories Act, 1996"), ("b", "Depositories Act, 1996")}
+
+
+def test_discoveries_join_known_documents(spark):
+    text = paragraphs(spark, ["As per the Depositories Act, 1996.", "x"])
+    got = X.Extraction(text)
+    rows = [
+        ("d", 0, "Depositories Act", "section 3 of the Depositories Act", "act", "Depositories Act", None, "1996", 2), ("d", 1, "Companies Act", "vide Companies Act", "act", "Companies Act", "Section 5", "2013", 2),
+        ("d", 2, "this circular", "", "circular", "x", None, None, 1), ("d", 3, "q", "q", "act", "Broken tit", None, None, 1),
+    ]
+    found = spark.createDataFrame(rows, "doc_key string, pos int, exact_quote string, evidence_text string, document_type string, title string, identifier string, year_or_date string, source_page int")
+    docs, refs = D.merge_discoveries(got.documents, got.mentions, found, got.sources)
+    assert sorted((r.document_id, r.title, r.title_source) for r in docs.collect()) == [("doc_001", "Depositories Act, 1996", "explicit_in_text"), ("doc_002", "Companies Act, 2013", "ai_discovered")]
+    told = sorted((r.mention_id, r.document_id, r.relation_type, r.target_locators.raw) for r in refs.collect())
+    assert told == [("ref_001", "doc_001", "references", None), ("ref_002", "doc_001", "references", ["section 3"]), ("ref_003", "doc_002", "relies_on", None)]
+    assert D.page_prompt(text).first().prompt == "=== PAGE 1 ===\nAs per the Depositories Act, 1996. x"
