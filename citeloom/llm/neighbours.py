@@ -3,10 +3,12 @@
 Each curve projects the unit vectors onto a few random orthogonal directions,
 shifts the grid by a random part of a cell, and orders the vectors by Hilbert
 key. Spark range-partitions and sorts each order, so a vector has a rank. Ranks
-are cut into blocks with a halo of WINDOW ranks on either side; inside a block
-every query meets the vectors within WINDOW ranks of it. The best of all curves
-are merged and reranked by exact cosine. Blocks are cut by rank, never by key,
-so no key can fill one.
+are cut into blocks, and a query goes to every block that its window reaches, so
+over its blocks it meets all vectors within the window. The window is SHARE of
+the counted points on either side, WINDOW ranks at least: the share of a table
+that is searched does not shrink as the table grows. The best of all curves are
+merged and reranked by exact cosine. Blocks are cut by rank, never by key, so no
+key can fill one.
 
 Equal vectors are one point of the curves. The k + 1 smallest ids of each point
 are kept, which loses nothing: among equal scores the smaller ids win.
@@ -23,6 +25,8 @@ Centre and scale of the projections come from at most SAMPLE vectors.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import save
 from citeloom.llm.hilbert import hilbert_keys
 
-#: Curves, directions of a curve, bits of a direction, ranks on either side of a query, ranks of a block.
-CURVES, DIRECTIONS, BITS, WINDOW, BLOCK = 24, 8, 4, 2048, 8192
+#: Curves, directions of a curve, bits of a direction, least ranks on either side of a query, least and most ranks of a block.
+CURVES, DIRECTIONS, BITS, WINDOW, BLOCK, LARGEST = 24, 8, 4, 2048, 8192, 65_536
+#: Share of the points on either side of a query.
+SHARE = 0.02
 SEED, SAMPLE = 20, 4096
 #: Queries of a block that are compared at once.
 SLICE = 128
@@ -101,8 +107,13 @@ def ranked(keys: DataFrame) -> DataFrame:
     return order.join(runs, ["curve", "pid"]).select("curve", "rep", (F.col("pos") + F.col("offset")).alias("rank"))
 
 
+def window_of(points: int) -> int:
+    """Ranks on either side of a query in a table of so many points."""
+    return max(WINDOW, math.ceil(SHARE * points))
+
+
 def _search(k: int, window: int):
-    """Within one block: the k + 1 nearest points of each query point, by exact cosine."""
+    """Within one block: the k + 1 nearest of its points to each query point that comes to it, by exact cosine."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("rank")
@@ -111,16 +122,21 @@ def _search(k: int, window: int):
         raw = _matrix(block["v"])
         unit = _unit(raw)
         norm = np.sqrt((raw * raw).sum(axis=1))
-        asks = np.flatnonzero(block["asks"].to_numpy(zero_copy_only=False) & block["own"].to_numpy(zero_copy_only=False))
+        asks = block["asks"].to_numpy(zero_copy_only=False)
+        here, asks = np.flatnonzero(~asks), np.flatnonzero(asks)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asks), SLICE):
             some = asks[at : at + SLICE]
-            near = unit[some] @ unit.T
-            near[np.abs(rank[some][:, None] - rank[None, :]) > window] = -2.0
+            # Both are in order of rank, so what a slice's windows reach is one run of the block's points.
+            reach = here[np.searchsorted(rank[here], rank[some[0]] - window) : np.searchsorted(rank[here], rank[some[-1]] + window, "right")]
+            if not len(reach):
+                continue
+            near = unit[some] @ unit[reach].T
+            near[np.abs(rank[some][:, None] - rank[reach][None, :]) > window] = -2.0
             most = min(k + 1, near.shape[1])
             best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            who, what = np.repeat(some, most), best.ravel()
-            inside = near[np.repeat(np.arange(len(some)), most), what] > -2.0
+            who, what = np.repeat(some, most), reach[best.ravel()]
+            inside = near[np.repeat(np.arange(len(some)), most), best.ravel()] > -2.0
             who, what = who[inside], what[inside]
             out.append((rep[who], rep[what], (raw[who] * raw[what]).sum(axis=1) / (norm[who] * norm[what])))
         parts = [np.concatenate(p) for p in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
@@ -130,9 +146,9 @@ def _search(k: int, window: int):
 
 
 def nearest(
-    vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, window: int = WINDOW, block: int = BLOCK
+    vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, window: int | None = None, block: int | None = None
 ) -> DataFrame:
-    """Per query and rank from 1: query_id, rank, vec_id, score. ``queries`` is a Column over ``id``."""
+    """Per query and rank from 1: query_id, rank, vec_id, score. ``queries`` is a Column over ``id``; ``window`` and ``block`` follow from the counted points if not given."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
@@ -146,12 +162,15 @@ def nearest(
     points = members.filter("place = 1").select("rep", "v").dropDuplicates(["rep"])
     askers = rows.filter(queries).select(F.col("id").alias("query_id"), "v").join(members.filter("place = 1").select("v", "rep").distinct(), "v").select("query_id", "rep").distinct()
     askers = save(askers, "ann-askers")
-    places = ranked(curve_keys(points, sample, curves))
-    home, spot = F.floor(F.col("rank") / block), F.col("rank") % block
-    to = F.array_compact(F.array(home, F.when(spot < window, home - 1), F.when(spot >= block - window, home + 1)))
-    dealt = places.select("curve", "rep", "rank", home.alias("home"), F.explode(to).alias("block")).filter("block >= 0")
-    data = points.join(askers.select("rep").distinct().withColumn("asks", F.lit(True)), "rep", "left").select("rep", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
-    blocks = dealt.join(data, "rep").select("curve", "block", "rep", "rank", (F.col("home") == F.col("block")).alias("own"), "asks", "v")
+    count = points.count()
+    window = window_of(count) if window is None else window
+    block = min(max(BLOCK, window), LARGEST) if block is None else block
+    places = save(ranked(curve_keys(points, sample, curves)), "ann-places")
+    # Points stay in one block of a curve; only queries are copied, to each block that their window reaches.
+    dealt = places.select("curve", F.floor(F.col("rank") / block).alias("block"), "rep", "rank", F.lit(False).alias("asks"))
+    first, last = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor(F.least(F.col("rank") + window, F.lit(count - 1)) / block)
+    asking = places.join(askers.select("rep").distinct(), "rep").select("curve", F.explode(F.sequence(first, last)).alias("block"), "rep", "rank", F.lit(True).alias("asks"))
+    blocks = dealt.unionByName(asking).join(points, "rep").select("curve", "block", "rep", "rank", "asks", "v")
     found = blocks.groupBy("curve", "block").applyInArrow(_search(k, window), "asker bigint, near bigint, score double")
     merged = found.groupBy("asker", "near").agg(F.max("score").alias("score"))
     # A point's k + 1 best rows hold the k best of each of its queries, whichever row is the query's own.

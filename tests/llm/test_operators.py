@@ -363,6 +363,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") == 0, 5).collect() == []
 
 
+def test_window_grows_with_the_table(spark, monkeypatch):
+    assert neighbours.window_of(300) == 2048 and neighbours.window_of(2_400_000) >= 0.02 * 2_400_000
+    v = np.random.default_rng(9).standard_normal((300, 6)).round(3)
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)], "vec_id bigint, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {q: [i for _, i in sorted((-float(unit[q] @ unit[i]), i) for i in range(300) if i != q)[:5]] for q in range(0, 300, 50)}
+    # A window over the whole table finds all with one curve, however many blocks it spans.
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(df, F.col("id") % 50 == 0, 5, curves=1, window=300, block=32).collect()):
+        got[r.query_id].append(r.vec_id)
+    assert got == want
+    # Left out, the window is the table's share, not a fixed number of ranks.
+    monkeypatch.setattr(neighbours, "WINDOW", 1)
+    monkeypatch.setattr(neighbours, "SHARE", 1.0)
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(df, F.col("id") % 50 == 0, 5, curves=1, block=32).collect()):
+        got[r.query_id].append(r.vec_id)
+    assert got == want
+
+
 # --- 9 mixing ------------------------------------------------------------------------------
 
 
