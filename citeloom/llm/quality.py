@@ -1,7 +1,8 @@
 """Operator 4, quality classifier by compression.
 
 Two zstandard dictionaries are built, from good and from bad labelled texts.
-A text is cut into blocks of BLOCK bytes; each is compressed with either
+A text is cut into blocks of BLOCK bytes, a rest under a quarter of that joined to
+the block before it, so every byte is read; each is compressed with either
 dictionary, and the difference of the sizes over the block's length says which
 dictionary knows it better. A text's two figures, the mean of these differences
 and their minimum (the worst block), become a score by a logistic calibration.
@@ -79,10 +80,10 @@ def _dictionary(texts: list[bytes]) -> tuple[bytes, bool]:
 def figures(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
     """Mean and minimum over a text's blocks of (size with the bad - size with the good dictionary) / length."""
     found = []
-    for i in range(0, len(text), BLOCK):
-        block = text[i : i + BLOCK]
-        if len(block) < BLOCK // 4 and found:  # a short rest says little by itself
-            break
+    # A short rest says little by itself: it belongs to the block before it.
+    starts = [i for i in range(0, len(text), BLOCK) if not i or len(text) - i >= BLOCK // 4]
+    for i, end in zip(starts, [*starts[1:], len(text)]):
+        block = text[i:end]
         found.append((len(bad.compress(block)) - len(good.compress(block))) / len(block))
     return (sum(found) / len(found), min(found)) if found else (0.0, 0.0)
 

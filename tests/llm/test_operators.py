@@ -186,6 +186,21 @@ def test_quality(spark, odd):
     assert quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.quality_scores(docs, None).collect()} == {0.5}
 
 
+def test_every_byte_is_scored():
+    class Reader:
+        def __init__(self):
+            self.blocks = []
+
+        def compress(self, block):
+            self.blocks.append(block)
+            return block
+
+    for n in (0, 1, 249, 250, 999, 1000, 1001, 1240, 1249, 1250, 2249, 20_240):
+        text, good, bad = random.Random(n).randbytes(n), Reader(), Reader()
+        quality.figures(text, good, bad)
+        assert b"".join(good.blocks) == b"".join(bad.blocks) == text and all(len(b) < 1250 for b in good.blocks)
+
+
 # --- 5 and 10 tokens -----------------------------------------------------------------------
 
 TEXTS = ["", "don't we'll 'tis", "x <|endoftext|> y<|startoftext|>", "=" * 3000 + "-" * 3000, " " * 999 + "x", "the" * 3000, "漢字 ﬁ İI ſ 😀\x1c\x85", "a\n\n b\t", "ÃÂ" * 1500]
