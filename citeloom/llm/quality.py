@@ -8,8 +8,10 @@ dictionary knows it better. A text's two figures, the mean of these differences
 and their minimum (the worst block), become a score by a logistic calibration.
 
 Training is bounded by parameters: ``dictionary_rows`` texts of each class and
-``calibration_rows`` others, chosen by hash of the id, the first TRAIN_CHARS
-characters of each. Scoring reads every whole text, in one narrow map.
+``calibration_rows`` others, chosen by hash of the id. Of a text longer than
+``train_chars`` characters that many are learned from, in runs of RUN characters
+from all over it, chosen by hash; of a class's pieces at most ``pieces`` are,
+chosen by hash. Scoring reads every whole text, in one narrow map.
 
 Defined results: null text counts as empty; an empty text has no blocks and
 both figures 0; without labelled rows of both classes every score is 0.5.
@@ -22,6 +24,7 @@ score.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block and of the pieces that dictionaries are trained on; bytes of a dictionary; compression level.
 BLOCK, PIECE, DICTIONARY, LEVEL = 1000, 400, 112_640, 3
-#: Bounds of training.
-DICTIONARY_ROWS, CALIBRATION_ROWS, TRAIN_CHARS, PIECES = 3000, 6000, 8192, 40_000
+#: Bounds of training, and characters of a run that is taken from a long text.
+DICTIONARY_ROWS, CALIBRATION_ROWS, TRAIN_CHARS, PIECES, RUN = 3000, 6000, 8192, 40_000, 1024
 #: Score from which a text is predicted good.
 GOOD_FROM = 0.7
 
@@ -69,14 +72,30 @@ def _compressor(data: bytes, full: bool) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _dictionary(texts: list[bytes]) -> tuple[bytes, bool]:
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)][:PIECES]
+def _pieces(texts: list[bytes], most: int = PIECES) -> list[bytes]:
+    """The texts' pieces, or the ``most`` with the smallest hashes, in their order."""
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    if len(pieces) <= most:
+        return pieces
+    stay = sorted(range(len(pieces)), key=lambda i: (zlib.crc32(b"%d " % i + pieces[i]), i))[:most]
+    return [pieces[i] for i in sorted(stay)]
+
+
+def _dictionary(pieces: list[bytes]) -> tuple[bytes, bool]:
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes(), True
     except zstandard.ZstdError:  # too few pieces to train on: the texts themselves are the dictionary
         return b"".join(pieces)[-DICTIONARY:] or b"\n" * 8, False
 
 
+def _sampled(text: Column, most: int) -> Column:
+    """The text, or, if it is longer than ``most`` characters, runs of it chosen by hash, in their order, that many characters in all."""
+    run = min(RUN, most)
+    runs = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{run}}}"), F.lit(0)), lambda x, i: F.struct(F.xxhash64(x, i).alias("h"), i.alias("i"), x.alias("x")))
+    chosen = F.transform(F.slice(F.array_sort(runs), 1, most // run), lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.array_sort(chosen), lambda r: r["x"]), ""))
+
+
 def figures(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
     """Mean and minimum over a text's blocks of (size with the bad - size with the good dictionary) / length."""
     found = []
@@ -105,12 +124,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS
-) -> Model | None:
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS, train_chars: int = TRAIN_CHARS, pieces: int = PIECES,
+) -> Model | None:
     """Learn from labelled rows that are not held out; None without both classes.
 
     The ids are bounded by 2 * dictionary_rows + calibration_rows, so they are
-    broadcast to fetch the texts, which are bounded by TRAIN_CHARS each.
+    broadcast to fetch the texts, which are bounded by ``train_chars`` each.
+    ``pieces`` bounds each dictionary's pieces.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg((F.min(label_col) > 0).alias("y"))
     order = F.xxhash64("__id", F.lit(4))
@@ -119,14 +140,15 @@ def fit(
     bad = known.filter((role == 0) & ~F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("bad"))
     rest = known.filter(role == 1).orderBy(order, "__id").limit(calibration_rows).withColumn("role", F.lit("rest"))
     chosen = good.unionByName(bad).unionByName(rest)
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS)
-    rows = docs.select(F.col(id_col).alias("__doc"), text.alias("t")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__id", "role", "y", "t").collect()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).alias("__doc"), text.alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    rows = found.select("__id", "role", "y", _sampled(F.col("__text"), train_chars).alias("t")).collect()
     rows.sort(key=lambda r: (r["__id"], r.t))
     texts = {kind: [r.t.encode() for r in rows if r.role == kind] for kind in ("good", "bad")}
     rest = [r for r in rows if r.role == "rest"] or rows
     if not texts["good"] or not texts["bad"] or len({r.y for r in rest}) < 2:
         return None
-    (good_data, good_full), (bad_data, bad_full) = _dictionary(texts["good"]), _dictionary(texts["bad"])
+    (good_data, good_full), (bad_data, bad_full) = _dictionary(_pieces(texts["good"], pieces)), _dictionary(_pieces(texts["bad"], pieces))
     model = Model(good_data, bad_data, (good_full, bad_full), (0.0, 0.0, 0.0))
     pair = model.compressors()
     x = np.array([figures(r.t.encode(), *pair) for r in rest])

@@ -186,6 +186,22 @@ def test_quality(spark, odd):
     assert quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.quality_scores(docs, None).collect()} == {0.5}
 
 
+def test_training_takes_pieces_from_all_over(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    kept = spark.createDataFrame([(text,)], "t string").select(quality._sampled(F.col("t"), 8192).alias("t")).first().t
+    assert len(kept) <= 8192 and len(kept) > 7000 and max(kept) > text[12_000] and all(c in text for c in kept[::500]) and list(kept) == sorted(kept)
+    assert spark.createDataFrame([(text[:8192],)], "t string").select(quality._sampled(F.col("t"), 8192).alias("t")).first().t == text[:8192]
+    # Good texts begin alike and differ from bad ones only after train_chars; rows of large ids count among bounded pieces.
+    rng = random.Random(5)
+    docs = made(spark, [(i, "Same words at the start. " * 400 + (words(rng, 900) if i % 2 else " ".join(f"W{rng.randrange(400)}!!" for _ in range(900)))) for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    got = quality.quality_scores(docs, quality.fit(docs, labels, train_chars=4096)).collect()
+    held = [r for r in got if r.held_out]
+    assert held and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
+    some = quality._pieces([b"head" * 5000, b"tail" * 5000], 60)
+    assert len(some) == 60 and b"tail" * 100 in some and quality._pieces([b"head" * 5000, b"tail" * 5000], 100) == [b"head" * 100] * 50 + [b"tail" * 100] * 50
+
+
 def test_every_byte_is_scored():
     class Reader:
         def __init__(self):
