@@ -10,15 +10,16 @@
 
 Defined results: null text counts as empty; all empty texts form one group;
 texts equal after each run of blanks becomes one space are one group (leading
-and trailing blanks count as one space, not as none). The smallest id stays;
-rows that repeat it all stay; a null id stays only in a group that has no other
-ids (keep_id is null there). An empty table gives an empty result. Only id and
+and trailing blanks count as one space, not as none). The smallest id is kept,
+in every row that has it; a null id is kept only in a group that has no other
+ids (keep_id is null there). ``exact_dedup`` leaves one row of each group, of
+rows with the same id the first by text hash and columns. An empty table gives an empty result. Only id and
 text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import BLANKS, text_of
@@ -84,11 +85,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, all columns as they were."""
-    from citeloom.llm.common import keep_rows
-
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), "__tx")
-    return keep_rows(docs, kept, id_col, text_col)
+    """The rows that stay, one of each group, all columns as they were."""
+    from citeloom.llm.common import keep_rows, save
+
+    kept = exact_groups(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("__id"), "__tx").agg(F.count(F.lit(1)).alias("n"))
+    kept = save(kept, "exact-kept")
+    repeated = kept.groupBy(F.col("__id").alias("r_id")).agg(F.sum("n").alias("m")).filter("m > 1")
+    if repeated.isEmpty():
+        return keep_rows(docs, kept, id_col, text_col)
+    same = F.col("__id").eqNullSafe(F.col("r_id"))
+    rows = keep_rows(docs, kept.join(repeated, same, "left_anti"), id_col, text_col)
+    # Kept ids with several rows: Spark limits each text to its first row before it shuffles.
+    sortable = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    place = F.row_number().over(Window.partitionBy(id_col, F.sha2(normalised(text_col).cast("binary"), 256)).orderBy(F.xxhash64(text_of(text_col)), *[F.col(f"`{c}`") for c in sortable]))
+    again = keep_rows(docs, kept.join(repeated, same, "left_semi"), id_col, text_col).withColumn("__place", place).filter("__place = 1").drop("__place")
+    return rows.unionByName(again)
 
 
 ORACLE = r"""

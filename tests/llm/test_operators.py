@@ -113,6 +113,15 @@ def test_exact_groups(spark, odd, bits):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got.collect()) == want
 
 
+def test_exact_dedup_leaves_one_row_of_each_group(spark):
+    rows = [(1, "same text", "s0")] * 40 + [(1, "same  text", "s1"), (2, "same text", "s0"), (3, "other", "s1"), (3, "other", "s0"), (4, "other", "s0"), (5, "alone", "s0"), (1, "third", "s2"), (None, "null id", "s0"), (None, "null id", "s0")]
+    docs = made(spark, rows)
+    got = exact_dedup.exact_dedup(docs)
+    assert got.columns == docs.columns
+    found = [(r.doc_id, " ".join(r.text.split()), r.source) for r in got.collect()]
+    assert sorted((str(i), t) for i, t, _ in found) == [("1", "same text"), ("1", "third"), ("3", "other"), ("5", "alone"), ("None", "null id")] and (3, "other", "s0") in found
+
+
 def test_chunks_rejoin():
     texts = ["", "a", "x" * 9000, "A sentence. " * 900, "漢字。" * 3000]
     for t in texts:
