@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.common import save
 
-#: Rounds at most; the number needed grows with the logarithm of the longest path.
+#: Rounds after which an unsettled result is an error; the number needed grows with the logarithm of the longest path.
 ROUNDS = 60
 
 
@@ -42,4 +42,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         mark = now
         e = save(_small_star(_large_star(e)), "star")
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

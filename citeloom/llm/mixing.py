@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import WORDS, save, text_of
 
 CAP = 3.0
-#: Newton steps at most, and the relative distance from the target at which they end.
+#: Newton steps after which an unsettled source is an error, and the relative distance from the target at which they end.
 STEPS, NEAR = 60, 1e-9
 #: Parts into which the documents of one (source, size) are dealt by hash for rounding.
 PARTS = 4096
@@ -91,13 +91,17 @@ def balance(hist: DataFrame, weights: Sequence[int], cap: float = CAP) -> DataFr
         newton = F.greatest(F.col("lam") - 50, F.least(F.col("lam") + 50, newton))
         middle = F.when(F.col("_low").isNotNull() & F.col("_high").isNotNull(), (F.col("_low") + F.col("_high")) / 2).when(F.col("_low").isNull(), 2 * F.col("_high") - 1).otherwise(2 * F.col("_low") + 1)
         inside = newton.isNotNull() & (F.col("_low").isNull() | (newton > F.col("_low"))) & (F.col("_high").isNull() | (newton < F.col("_high")))
-        done = F.col("full") | (F.abs(off) <= NEAR * F.greatest(F.col("target"), F.lit(1.0)))
+        # Settled as well: no number is left between the bracket's ends.
+        shut = F.coalesce((F.col("_low") + F.col("_high")) / 2 <= F.col("_low"), F.lit(False)) | F.coalesce((F.col("_low") + F.col("_high")) / 2 >= F.col("_high"), F.lit(False))
+        done = F.col("full") | shut | (F.abs(off) <= NEAR * F.greatest(F.col("target"), F.lit(1.0)))
         step = sums.withColumns({"_low": low, "_high": high}).select(
             "source", "total", "target", "mean", "full", F.when(done, F.col("lam")).when(inside, newton).otherwise(middle).alias("lam"), F.col("_low").alias("low"), F.col("_high").alias("high"), done.alias("done")
         )
         state = save(state.filter("done").unionByName(step), "mix-state")
         if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"rates are not settled after {STEPS} steps")
     return state
 
 

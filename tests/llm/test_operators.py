@@ -176,6 +176,19 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 61)} | {95: 90, 100: 90}
 
 
+def test_unsettled_results_are_errors(spark, monkeypatch):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    assert {r.component for r in components(path).collect()} == {0}
+    docs = made(spark, [(i, "word " * (1 + i % 7), f"s{i % 2}") for i in range(60)])
+    assert mixing.mix(docs).count() == 60
+    monkeypatch.setattr("citeloom.llm.components.ROUNDS", 1)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        components(path)
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs)
+
+
 # --- 4 quality -----------------------------------------------------------------------------
 
 
