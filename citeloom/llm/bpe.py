@@ -1,13 +1,15 @@
 """Operator 10, BPE encoding and decoding as streaming transducers.
 
-Encoding splits a text into pre-tokens block by block and maps each through
-the merge list. A pre-token's end is a stable place, so those shorter than the
-lookahead are merged at once and kept in a bounded cache; longer ones
-stream through the prefix program, which emits a token once the merge list's
-sufficient lookahead (``MergeList.lookahead``) lies to its right, and then
-forgets what stands before it. Decoding feeds each token's bytes to an
-incremental UTF-8 state machine. State is bounded by the block, the lookahead
-and the longest token, whatever the length of the text.
+Encoding splits a text into pre-tokens, span by span, and streams each through
+the prefix program (``MergeList.stream``): a token is emitted once the merge
+list's sufficient lookahead (``MergeList.lookahead``) lies to its right, or the
+pre-token's end, which is a stable place as well, and what stands before it is
+forgotten. What the transducer emitted for a short pre-token is kept in a bounded
+memory; a long one is fed and emitted in parts. Decoding feeds each token's
+bytes to an incremental UTF-8 state machine. Beside the row itself, state is
+bounded by the span, the lookahead and the longest token, whatever the length of
+the text; a span without any border (``merges.BORDER``) is read by offsets, but,
+if it also holds characters from U+0250 on, by the library's splitter as a whole.
 
 Defined results: null texts count as empty (no ids, empty text); special
 strings in a text become their own id, as the library does by default; bytes
@@ -22,115 +24,85 @@ import codecs
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from citeloom.llm.merges import BYTE_OF, CACHE_LIMIT, LETTER, NUMBER, PLAIN, MergeList, merge_list, spelled
+from citeloom.llm.merges import BLOCK, BYTE_OF, KEPT, LETTER, NUMBER, PLAIN, Kept, MergeList, blocks, merge_list, spelled, unspelled
 
-#: Characters of text that are split into pre-tokens at once.
-BLOCK = 1 << 16
-#: Symbols up to which a pre-token is merged whole and kept in the cache.
-SHORT = 48
 #: The pattern of the tokenizer's byte-level pre-tokenizer, for the plain characters.
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\\s{LETTER}{NUMBER}]+|\\s+(?!\\S)|\\s+")
-#: A place where a pre-token ends and another begins whatever stands around: a single space between other characters.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a long pre-token that are fed at once, and ids of it that are handed on at once.
+PART = 1024
 
 
-class _Pieces(dict):
-    """Ids by pre-token; long ones stream and are not kept."""
+def _spelled(text: str, start: int, end: int) -> Iterator[str]:
+    for at in range(start, end, PART):
+        yield spelled(text[at : min(end, at + PART)].encode("utf-8", "surrogateescape"))
 
-    def __init__(self, machine: Transducer):
-        self.machine = machine
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        merges = self.machine.merges
-        word = spelled(piece.encode("utf-8", "surrogateescape"))
-        if len(word) > SHORT:
-            return tuple(self.machine._stream(word))
-        ids = tuple(map(merges.vocab.__getitem__, merges.bpe(word)))
-        self[piece] = ids
-        return ids
+def _ids(data: bytes) -> list[int]:
+    return np.frombuffer(data, np.int32).tolist()
 
 
 class Transducer:
     def __init__(self, path: str):
         self.merges: MergeList = merge_list(path)
-        self.bytes_of = [b""] * (max(max(self.merges.vocab.values()), *self.merges.special.values(), 0) + 1)
+        self.bytes_of = [b""] * (max(self.merges.size - 1, *self.merges.special.values(), 0) + 1)
         for token, i in self.merges.vocab.items():
             self.bytes_of[i] = bytes(map(BYTE_OF.__getitem__, token))
         for token, i in self.merges.special.items():
             self.bytes_of[i] = token.encode()
-        self._known = _Pieces(self)
+        self._known = Kept(self._short)
 
     # --- encoding ---------------------------------------------------------------------
 
-    def _blocks(self, segment: str) -> Iterator[str]:
-        """The segment in blocks of about BLOCK characters, cut only where pre-tokens part anyway."""
-        start, size = 0, len(segment)
-        while size - start > BLOCK:
-            found = CUT.search(segment, start + BLOCK - 1)
-            if not found:
-                break
-            yield segment[start : found.start()]
-            start = found.start()
-        yield segment[start:]
-
-    def _stream(self, word: str) -> Iterator[int]:
-        """Ids of a long pre-token; holds a window of lookahead symbols at most twice over."""
-        m = self.merges
-        ahead = m.lookahead
-        last: list[str | None] = [None]
-        base = 0  # symbols before it are emitted
-        window = ""
-        for at in range(0, len(word), ahead):
-            window += word[at : at + ahead]
-            fed = len(last) - 1
-            for end in range(fed + 1, len(window) + 1):
-                last.append(m.step(window, last, end))
-            final = at + ahead >= len(word)
-            # Tokens on the way back from the front that end before the lookahead are stable.
-            back, path = len(window), []
-            while back:
-                path.append((back, last[back]))
-                back -= len(last[back])
-            done = 0
-            for end, token in reversed(path):
-                if not final and end > len(window) - ahead:
-                    break
-                yield m.vocab[token]
-                done = end
-            if done and not final:
-                # What follows a token boundary encodes as it would alone, so the program restarts there.
-                base += done
-                window, last = window[done:], [None]
-                for end in range(1, len(window) + 1):
-                    last.append(m.step(window, last, end))
+    def _short(self, piece: str) -> bytes:
+        """Ids, as 32-bit numbers, of a pre-token whose end is at hand."""
+        return np.array(self.merges.tokens(spelled(piece.encode("utf-8", "surrogateescape"))), np.int32).tobytes()
+
+    def stream(self, text: str, start: int, end: int) -> Iterator[int]:
+        """Ids of the pre-token at ``start`` to ``end``."""
+        return self.merges.stream(_spelled(text, start, end))
+
+    def _handed(self, text: str, spans: Iterable[tuple[int, int]]) -> Iterator[list[int]]:
+        """Ids of the pre-tokens at the spans; those of a long one come in parts."""
+        for start, end in spans:
+            if end - start <= KEPT:
+                yield _ids(self._known[text[start:end]])
+                continue
+            ids = self.stream(text, start, end)
+            while part := list(islice(ids, PART)):
+                yield part
 
     def chunks(self, text: str) -> Iterator[list[int]]:
-        """Ids of a text, block by block."""
-        known = self._known
+        """Ids of a text, span by span."""
         for i, segment in enumerate(self.merges.segments(text)):
             if i % 2:
                 yield [self.merges.special[segment]]
                 continue
-            for block in self._blocks(segment):
-                if not block:
+            for start, end in blocks(segment):
+                plain = not PLAIN.search(segment, start, end)
+                if plain and end - start > 2 * BLOCK:
+                    yield from self._handed(segment, (m.span() for m in PIECES.finditer(segment, start, end)))
+                    continue
+                if plain:
+                    pieces = PIECES.findall(segment, start, end)
+                else:
+                    pieces = [unspelled(p) for p, _ in self.merges.library.pre_tokenizer.pre_tokenize_str(segment[start:end])]
+                if not pieces:
                     continue
-                if PLAIN.search(block):
-                    pieces = [bytes(map(BYTE_OF.__getitem__, p)).decode("utf-8", "surrogateescape") for p, _ in self.merges.library.pre_tokenizer.pre_tokenize_str(block)]
+                if max(map(len, pieces)) <= KEPT:
+                    yield _ids(b"".join(map(self._known.__getitem__, pieces)))
                 else:
-                    pieces = PIECES.findall(block)
-                yield list(chain.from_iterable(map(known.__getitem__, pieces)))
-                if len(known) > CACHE_LIMIT:
-                    known.clear()
+                    for piece in pieces:
+                        yield from self._handed(piece, [(0, len(piece))])
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.chunks(text) for i in ids]
+        return list(chain.from_iterable(self.chunks(text)))
 
     # --- decoding ---------------------------------------------------------------------
 
@@ -189,9 +161,12 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         machine = transducer(tokenizer_path)
         for batch in batches:
             for part in _small(batch):
-                texts = [t or "" for t in part.column(1).cast(pa.string()).to_pylist()]
-                rows = [np.asarray(machine.encode(t), np.int32) for t in texts]
-                same = [machine.decode(ids.tolist()) == t for ids, t in zip(rows, texts)]
+                texts, rows, same = part.column(1).cast(pa.string()), [], []
+                for i in range(part.num_rows):
+                    text = texts[i].as_py() or ""
+                    ids = machine.encode(text)
+                    same.append(machine.decode(ids) == text)
+                    rows.append(np.asarray(ids, np.int32))
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -222,7 +197,8 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer_path)
         for batch in batches:
-            rows = [machine.digests(t or "") for t in batch.column(1).cast(pa.string()).to_pylist()]
+            texts = batch.column(1).cast(pa.string())
+            rows = [machine.digests(texts[i].as_py() or "") for i in range(batch.num_rows)]
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
@@ -232,7 +208,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def _small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _small(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that the ids of few texts are held at once."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)

@@ -1,6 +1,7 @@
-"""A byte-level BPE merge list: prefix dynamic program, sufficient lookahead, piece splitting.
+"""A byte-level BPE merge list: prefix dynamic program, sufficient lookahead, borders of pre-tokens.
 
-Shared by the token counter (operator 5) and the encoder (operator 10).
+Shared by the token counter (operator 5) and the encoder (operator 10). Tokens
+are their ids here; a text is spelled in the printable alphabet of bytes.
 """
 
 from __future__ import annotations
@@ -8,12 +9,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 from tokenizers import Tokenizer
 
-#: Entries after which a cache of words or token pairs is emptied, so a worker's memory stays bounded.
-CACHE_LIMIT = 800_000
+#: Entries of each of a cache's two generations, and of the memory of token pairs: what a worker holds is bounded.
+CACHE, PAIRS = 1 << 17, 1 << 16
+#: Characters up to which a piece's result is kept.
+KEPT = 128
+#: Characters of text that are split into pre-tokens at once.
+BLOCK = 1 << 15
 
 
 def byte_alphabet() -> list[str]:
@@ -33,6 +40,10 @@ def spelled(data: bytes) -> str:
     return data.decode("latin-1").translate(_TABLE)
 
 
+def unspelled(piece: str) -> str:
+    return bytes(map(BYTE_OF.__getitem__, piece)).decode("utf-8", "surrogateescape")
+
+
 def _ranges(kind: str) -> str:
     """Regex ranges of the characters below U+0250 whose general category starts with ``kind``."""
     out, start = [], None
@@ -48,6 +59,41 @@ def _ranges(kind: str) -> str:
 #: Below U+0250, without control characters and odd blanks, Python's own classes and the library's agree.
 PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u024f]")
 LETTER, NUMBER = _ranges("L"), _ranges("N")
+#: Places where a pre-token ends whatever stands around, as none holds both sides: a blank after another character,
+#: an ASCII letter before a digit or mark, a digit before a letter or mark, an ideograph before its full stop or comma.
+BORDER = re.compile(
+    r"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[\x21-\x40\x5b-\x60\x7b-\x7e])|(?<=[0-9])(?=[\x21-\x2f\x3a-\x7e])|(?<=[一-龥])(?=[、。，！？])"
+)
+
+
+def blocks(text: str, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """The text in spans of about ``size`` characters, cut at borders only."""
+    start = 0
+    while len(text) - start > size:
+        found = BORDER.search(text, start + size)
+        if not found:
+            break
+        yield start, found.start()
+        start = found.start()
+    yield start, len(text)
+
+
+class Kept(dict):
+    """Results by piece, in two generations: those not asked for during one are forgotten."""
+
+    def __init__(self, work: Callable, limit: int = CACHE):
+        self.work, self.limit, self.older = work, limit, {}
+
+    def __missing__(self, piece: str):
+        found = self.older.get(piece)
+        if found is None:
+            found = self.work(piece)
+        if len(piece) <= KEPT:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class MergeList:
@@ -57,60 +103,65 @@ class MergeList:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        # The library's normaliser and splitter, without its model.
+        bare = {k: spec.get(k) for k in ("version", "normalizer", "pre_tokenizer")} | {"model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(bare))
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.max_len = max(len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t in self.vocab)
-        #: Rank at which each token is made, -1 for single symbols; and its two parts.
-        self.made = {t: -1 for t in self.vocab if len(t.removesuffix(self.suffix) if self.suffix else t) <= 1}
-        self.halves: dict[str, tuple[str, str]] = {}
-        for i, (left, right) in enumerate(self.rank):
-            if left + right not in self.made:
-                self.made[left + right], self.halves[left + right] = i, (left, right)
-
-    # --- plain BPE, for short strings --------------------------------------------------
-
-    def symbols(self, text: str) -> list[str]:
-        if self.suffix and text.endswith(self.suffix):
-            body = text[: -len(self.suffix)]
-            return [*body[:-1], body[-1:] + self.suffix]
-        return list(text)
-
-    def bpe(self, parts: list[str]) -> list[str]:
-        """Tokens of a short piece: lowest-ranked pair first, leftmost among equals, until none is left."""
-        get, none = self.rank.get, 1 << 60
-        parts = list(parts)
-        ranks = [get(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            at = ranks.index(best)
-            parts[at] += parts.pop(at + 1)
-            del ranks[at]
-            if at:
-                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
-            if at < len(ranks):
-                ranks[at] = get((parts[at], parts[at + 1]), none)
-        return parts
-
-    def follows(self, left: str, right: str) -> bool:
-        """Whether BPE leaves ``left`` and ``right``, side by side, as just these two tokens.
-
-        Undo the merges inside the two tokens, latest rank first, looking only at
+        bodies = {t: t.removesuffix(self.suffix) if self.suffix else t for t in self.vocab}
+        self.max_len = max(map(len, bodies.values()))
+        self.size = max(self.vocab.values()) + 1
+        #: By token: rank at which it is made, -1 for single symbols, None if no merge makes it; and its two parts.
+        self.made: list[int | None] = [None] * self.size
+        self.halves: list[tuple[int, int] | None] = [None] * self.size
+        for token, i in self.vocab.items():
+            if len(bodies[token]) <= 1:
+                self.made[i] = -1
+        #: Rank of each pair, under left * size + right.
+        self.rank: dict[int, int] = {}
+        self._order: list[tuple[int, int]] = []
+        for i, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            a, b, both = self.vocab[left], self.vocab[right], self.vocab[left + right]
+            self.rank[a * self.size + b] = i
+            self._order.append((a, b))
+            if self.made[both] is None:
+                self.made[both], self.halves[both] = i, (a, b)
+        #: Automata that find, at each symbol, the tokens that end there, longest first: those within a word, those that close one.
+        self.inner, self.closing = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self._strings: dict[int, str] = {}
+        for token, i in self.vocab.items():
+            if self.made[i] is not None and bodies[token]:
+                closes = bool(self.suffix) and token.endswith(self.suffix)
+                (self.closing if closes else self.inner).add_word(bodies[token], (i, len(bodies[token])))
+                self._strings[i] = bodies[token]
+        self.inner.make_automaton()
+        if self.suffix:
+            self.closing.make_automaton()
+        self._pairs: dict[int, bool] = {}
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether BPE leaves ``left`` and ``right``, side by side, as just these two tokens."""
+        key = left * self.size + right
+        known = self._pairs.get(key)
+        if known is None:
+            if len(self._pairs) >= PAIRS:
+                self._pairs.clear()
+            known = self._pairs[key] = self._stays(left, right)
+        return known
+
+    def _stays(self, left: int, right: int) -> bool:
+        """Undo the merges inside the two tokens, latest rank first, looking only at
         the two parts that touch: if the touching parts have a merge that comes
         before the one just undone (at equal rank the left place comes first),
         that merge would have been made across the border.
         """
-        rank, made, halves = self.rank, self.made, self.halves
+        rank, made, halves, size = self.rank, self.made, self.halves, self.size
         limit = 1 << 60
         while True:
-            crossing = rank.get((left, right))
+            crossing = rank.get(left * size + right)
             if crossing is not None and crossing < limit:
                 return False
             a, b = made[left], made[right]
@@ -123,33 +174,89 @@ class MergeList:
 
     # --- prefix dynamic program --------------------------------------------------------
 
-    def step(self, word: str, last: list[str | None], end: int, suffix: str = "") -> str | None:
-        """The last token of the encoding of ``word[:end] + suffix``, from the last tokens of the shorter prefixes.
+    def prefixes(self, word: str) -> tuple[list[int | None], list[int]]:
+        """For every prefix of a piece (without word end): its last token and its exact token count.
 
         A prefix's encoding ends in exactly one token t, and what stands before t
         is the encoding of the prefix without t; so t is found by trying the
-        vocabulary entries that end here against the last token before them.
-        """
-        made, follows = self.made, self.follows
-        for start in range(max(0, end - self.max_len), end):
-            token = word[start:end] + suffix
-            if token in made and (not start or follows(last[start], token)):
-                return token
-        return None
-
-    def prefixes(self, word: str) -> tuple[list[str | None], list[int]]:
-        """For every prefix of a piece (without word end): its last token and its exact token count.
+        tokens that end here against the last token before them.
         """
-        last: list[str | None] = [None]
-        count = [0]
-        for end in range(1, len(word) + 1):
-            token = self.step(word, last, end)
-            if token is None:
-                raise ValueError(f"no token covers {word[:end]!r}")
-            last.append(token)
-            count.append(count[end - len(token)] + 1)
+        last: list[int | None] = [None] * (len(word) + 1)
+        count = [0] * (len(word) + 1)
+        follows, size, pairs = self.follows, self.size, self._pairs
+        for end, (token, width) in self.inner.iter(word):
+            end += 1
+            if last[end] is None:
+                start = end - width
+                if not start:
+                    last[end], count[end] = token, 1
+                elif (before := last[start]) is not None:
+                    fits = pairs.get(before * size + token)
+                    if follows(before, token) if fits is None else fits:
+                        last[end], count[end] = token, count[start] + 1
+        if None in last[1:]:
+            raise ValueError(f"no token covers {word[: last.index(None, 1)]!r}")
         return last, count
 
+    def tokens(self, word: str) -> list[int]:
+        """Tokens of a piece that is known to its end: the way back from there."""
+        last, _ = self.prefixes(word)
+        return [last[e] for e in self._ends(last)]
+
+    def closed(self, word: str) -> list[int]:
+        """For every prefix of a piece: its exact token count as a whole piece, its last symbol carrying the word end."""
+        last, count = self.prefixes(word)
+        if not self.suffix:
+            return count
+        out = [0] * (len(word) + 1)
+        for end, (token, width) in self.closing.iter(word):
+            end += 1
+            if not out[end]:
+                start = end - width
+                if not start or self.follows(last[start], token):
+                    out[end] = count[start] + 1
+        if 0 in out[1:]:
+            raise ValueError(f"no token closes {word[: out.index(0, 1)]!r}")
+        return out
+
+    def stream(self, parts: Iterator[str]) -> Iterator[int]:
+        """Tokens of a piece that comes in parts, each as soon as it is stable.
+
+        Tokens that end the lookahead or more before the front are emitted and
+        forgotten, so at most twice the lookahead and one part are held.
+        """
+        ahead, follows = self.lookahead, self.follows
+        last: list[int | None] = [None]  # last[i]: the token that ends i symbols after the last one emitted
+        base = fed = 0
+        search = None
+        for part in parts:
+            fed += len(part)
+            if search is None:
+                search = self.inner.iter(part)
+            else:
+                search.set(part)
+            for end, (token, width) in search:
+                at = end + 1 - base
+                start = at - width
+                if at == len(last) and start >= 0 and (last[start] is None or follows(last[start], token)):
+                    last.append(token)
+            if base + len(last) - 1 != fed:
+                raise ValueError("no token covers a symbol")
+            if len(last) > 2 * ahead:
+                ends = self._ends(last)
+                done = max((e for e in ends if e < len(last) - ahead), default=0)
+                yield from (last[e] for e in ends if e <= done)
+                base, last = base + done, last[done:]
+        yield from (last[e] for e in self._ends(last))
+
+    def _ends(self, last: list[int | None]) -> list[int]:
+        """Ends of the tokens on the way back from the front, in order."""
+        at, ends = len(last) - 1, []
+        while at > 0:
+            ends.append(at)
+            at -= len(self._strings[last[at]])
+        return ends[::-1]
+
     # --- sufficient lookahead ----------------------------------------------------------
 
     @property
@@ -166,8 +273,6 @@ class MergeList:
         """
         return _lookahead(self)
 
-    # --- pieces -----------------------------------------------------------------------
-
     def segments(self, text: str) -> list[str]:
         """The text split at special strings; the odd entries are these strings."""
         return self.special_re.split(text) if self.special_re else [text]
@@ -175,12 +280,14 @@ class MergeList:
 
 @lru_cache(maxsize=8)
 def _lookahead(merges: MergeList) -> int:
-    width = (lambda t: len(t.removesuffix(merges.suffix))) if merges.suffix else len
     best: dict[str, int] = {}
-    most = 0
-    for a, b in merges.rank:  # in rank order
-        reach = max((best.get(b[i:], 0) for i in range(len(b))), default=0)
-        best[a] = max(best.get(a, 0), width(b) + reach)
+    strings, most = merges._strings, 0
+    ends = {i for t, i in merges.vocab.items() if merges.suffix and t.endswith(merges.suffix)}
+    for left, right in merges._order:  # in rank order
+        a, b = strings[left], strings[right]
+        # What closes a word is nobody's left part.
+        reach = 0 if right in ends else max(best.get(b[i:], 0) for i in range(len(b)))
+        best[a] = max(best.get(a, 0), len(b) + reach)
         most = max(most, reach)
     return most + merges.max_len
 

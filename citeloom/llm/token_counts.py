@@ -1,13 +1,17 @@
 """Operator 5, token counts by a prefix dynamic program.
 
 For every distinct pre-token the merge list's prefix program
-(``MergeList.prefixes``) finds the exact token count of each of its prefixes;
-for a text the counts at pre-token ends are running sums of these. Together
-the two levels hold the exact token count at every prefix, so totals, budget
-tests and truncation points come out without encoding anything again.
+(``MergeList.closed``) stores the exact token count at each of its prefixes; for
+a text, one walk stores the pre-tokens' ends and the exact counts there, running
+sums of these. Both levels together hold the exact token count at every prefix,
+so the total, the budget test and the truncation point are looked up; nothing is
+encoded again. Only where a limit falls into a special string, a contraction or
+a pre-token that normalisation changes, and whose prefixes therefore split in
+other ways, that one pre-token's prefixes are counted by themselves.
 
 Defined results: a null text counts as empty (0 tokens, 0 bytes); special
 strings in a text are single tokens, as the library treats them by default;
+white space has no tokens, so a prefix that fits takes what follows it;
 repeated rows are counted each by itself; null ids pass through; an empty
 table gives an empty result. Only the id and the text column are read, so
 other columns may have any names.
@@ -16,137 +20,123 @@ other columns may have any names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import PreTokenizedString
 
-from citeloom.llm.merges import CACHE_LIMIT, LETTER, NUMBER, PLAIN, MergeList, merge_list, spelled
+from citeloom.llm.merges import LETTER, NUMBER, PLAIN, Kept, MergeList, blocks, merge_list, spelled, unspelled
 
 #: The contractions that the tokenizer's pattern splits off.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PIECES = re.compile("|".join(CONTRACTIONS) + f"|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
 
 
+@dataclass
+class Prefixes:
+    """The stored table of a text: its pre-tokens ("" for a special string), where they start and end, the exact token count at each end."""
+
+    pieces: list[str]
+    starts: list[int]
+    ends: list[int]
+    counts: list[int]
+
+    @property
+    def total(self) -> int:
+        return self.counts[-1] if self.counts else 0
+
+
 class PrefixCounter:
     """Exact counts for a tokenizer whose words end in a suffix symbol and whose white space is dropped."""
 
     def __init__(self, path: str):
         self.merges: MergeList = merge_list(path)
-        self._totals: dict[str, int] = {}
+        self._known = Kept(self._within)
 
     # --- one pre-token ----------------------------------------------------------------
 
-    def _closed(self, word: str, last: list, count: list[int], end: int) -> int:
-        """Tokens of ``word[:end]`` as a whole pre-token, its last symbol carrying the word end."""
-        if end == 0:
-            return 0
-        m = self.merges
-        for start in range(max(0, end - m.max_len), end):
-            token = word[start:end] + m.suffix
-            if token in m.made and (not start or m.follows(last[start], token)):
-                return count[start] + 1
-        raise ValueError(f"no token closes {word[:end]!r}")
-
-    def total(self, piece: str) -> int:
-        """Tokens of a pre-token, kept by its spelling."""
-        known = self._totals.get(piece)
-        if known is None:
-            if len(self._totals) > CACHE_LIMIT:
-                self._totals.clear()
-            word = spelled(piece.encode())
-            known = self._closed(word, *self.merges.prefixes(word[:-1]), len(word))
-            if len(piece) <= 256:
-                self._totals[piece] = known
-        return known
+    def _within(self, piece: str) -> bytes | list[int]:
+        """Tokens of each prefix of a pre-token, by characters; entry 0 is 0, the last one the whole's."""
+        if piece in CONTRACTIONS:
+            # Cut short, it is a mark and letters.
+            counts = [sum(self._known[p][-1] for p in PIECES.findall(piece[:i])) for i in range(len(piece))] + [self.merges.closed(piece)[-1]]
+        else:
+            counts = self.merges.closed(spelled(piece.encode("utf-8", "surrogateescape")))
+            if not piece.isascii():
+                counts = [counts[e] for e in accumulate((len(c.encode("utf-8", "surrogateescape")) for c in piece), initial=0)]
+        return bytes(counts) if max(counts) < 256 else counts
 
     def within(self, piece: str) -> list[int]:
-        """Tokens of each prefix of a pre-token, by characters; entry 0 is 0."""
-        if piece in CONTRACTIONS:
-            return [sum(map(self.total, PIECES.findall(piece[:i]))) for i in range(len(piece) + 1)]
-        word = spelled(piece.encode())
-        last, count = self.merges.prefixes(word)
-        ends = np.cumsum([0, *(len(c.encode()) for c in piece)])
-        return [self._closed(word, last, count, int(e)) for e in ends]
+        return list(self._known[piece])
 
     # --- a text -----------------------------------------------------------------------
 
-    def _pieces(self, segment: str) -> list[str]:
-        """Pre-tokens of a text without special strings."""
-        if not PLAIN.search(segment):
-            return PIECES.findall(segment.lower())
-        library = self.merges.library
-        parts = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(segment))
-        return [_unspelled(p) for p, _ in parts]
-
-    def count(self, text: str) -> int:
-        """Tokens of a whole text."""
-        total, known = 0, self._totals
-        for i, segment in enumerate(self.merges.segments(text)):
-            if i % 2:
-                total += 1
-                continue
-            pieces = self._pieces(segment)
-            try:
-                total += sum(map(known.__getitem__, pieces))
-            except KeyError:
-                total += sum(map(self.total, pieces))
-        return total
-
-    def walk(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """For each pre-token: its end in characters of the text, the exact token count there, and itself ("": a special string)."""
-        at = running = 0
+    def _spans(self, segment: str) -> Iterator[tuple[list[str], list[int], list[int]]]:
+        """Pre-tokens of a text without special strings, their starts and ends, block by block."""
+        for start, end in blocks(segment):
+            low = segment[start:end].lower()
+            if len(low) == end - start and not PLAIN.search(segment, start, end):
+                found = list(PIECES.finditer(low))
+                yield [m.group() for m in found], [start + m.start() for m in found], [start + m.end() for m in found]
+            else:
+                library = self.merges.library
+                whole = PreTokenizedString(segment[start:end])
+                whole.normalize(library.normalizer.normalize)
+                library.pre_tokenizer.pre_tokenize(whole)
+                splits = whole.get_splits("original", "char")
+                yield [unspelled(p) for p, _, _ in splits], [start + a for _, (a, _), _ in splits], [start + b for _, (_, b), _ in splits]
+
+    def prefixes(self, text: str) -> Prefixes:
+        """One walk over the text."""
+        pieces: list[str] = []
+        starts: list[int] = []
+        ends: list[int] = []
+        sizes: list[int] = []
+        at, known = 0, self._known
         for i, segment in enumerate(self.merges.segments(text)):
             if i % 2:
-                running += 1
-                yield at + len(segment), running, ""
+                pieces.append("")
+                starts.append(at)
+                ends.append(at + len(segment))
+                sizes.append(1)
             else:
-                for piece, end in self._spans(segment):
-                    running += self.total(piece)
-                    yield at + end, running, piece
+                for some, first, last in self._spans(segment):
+                    pieces += some
+                    starts += [at + x for x in first] if at else first
+                    ends += [at + x for x in last] if at else last
+                    sizes += [known[p][-1] for p in some]
             at += len(segment)
+        return Prefixes(pieces, starts, ends, list(accumulate(sizes)))
 
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """The stored table of a text: pre-token ends in characters, and the exact token counts there."""
-        rows = list(self.walk(text))
-        return [r[0] for r in rows], [r[1] for r in rows]
-
-    def _spans(self, segment: str) -> Iterable[tuple[str, int]]:
-        low = segment.lower()
-        if not PLAIN.search(segment) and len(low) == len(segment):
-            return ((m.group(), m.end()) for m in PIECES.finditer(low))
-        from tokenizers import PreTokenizedString
-
-        library = self.merges.library
-        whole = PreTokenizedString(segment)
-        whole.normalize(library.normalizer.normalize)
-        library.pre_tokenizer.pre_tokenize(whole)
-        return ((_unspelled(p), b) for p, (_, b), _ in whole.get_splits("original", "char"))
-
-    def fit(self, text: str, limit: int) -> int:
-        """Characters of the longest stored prefix with at most ``limit`` tokens.
-
-        Inside the pre-token that crosses the limit, prefixes are by character
-        where normalisation keeps its length; else its start is the answer.
-        """
-        done = before = 0
-        for end, count, piece in self.walk(text):
-            if count > limit:
-                start = end - len(piece)
-                if piece and text[start:end].lower() == piece:
-                    most = max(i for i, n in enumerate(self.within(piece)) if before + n <= limit)
-                    return start + most if most else done
-                return done
-            done, before = end, count
-        return len(text)
-
-
-def _unspelled(piece: str) -> str:
-    from citeloom.llm.merges import BYTE_OF
-
-    return bytes(map(BYTE_OF.__getitem__, piece)).decode("utf-8", "surrogateescape")
+    def count(self, text: str) -> int:
+        """Tokens of a whole text."""
+        return self.prefixes(text).total
+
+    def fit(self, text: str, limit: int, table: Prefixes | None = None) -> int:
+        """Characters of the longest prefix with at most ``limit`` tokens, from the text's table."""
+        table = table or self.prefixes(text)
+        k = bisect_right(table.counts, limit)
+        if k == len(table.counts):
+            return len(text)
+        piece, start, end = table.pieces[k], table.starts[k], table.ends[k]
+        before = table.counts[k - 1] if k else 0
+        if piece and piece not in CONTRACTIONS and text[start:end].lower() == piece:
+            return start + max(i for i, n in enumerate(self._known[piece]) if before + n <= limit)
+        # Prefixes of this one may join the pre-token that touches it; what normalisation joined may reach up to the next.
+        first = k - 1 if k and table.ends[k - 1] >= start else k
+        while first and table.ends[first - 1] > table.starts[first]:  # two pre-tokens of one character
+            first -= 1
+        base = table.counts[first - 1] if first else 0
+        after = table.starts[k + 1] if k + 1 < len(table.starts) else len(text)
+        for stop in range(max(end, after) - 1, start, -1):
+            if base + self.count(text[table.starts[first] : stop]) <= limit:
+                return stop
+        return start
 
 
 @lru_cache(maxsize=4)
@@ -155,9 +145,9 @@ def prefix_counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_tokens, over_limit and fit_chars, the characters that ``limit`` tokens hold.
+    """Per row: id, n_bytes, n_tokens, over_limit and fit_chars, the characters that ``limit`` tokens hold; all from one prefix table.
 
-    A narrow map over Arrow batches: no shuffle, memory of one batch.
+    A narrow map over Arrow batches: no shuffle, memory of one batch and one text's table.
     """
     kept = docs.select(id_col, text_col)
     schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
@@ -165,13 +155,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).cast(pa.string()).to_pylist()]
-            counts = [counter.count(t) for t in texts]
-            fits = [len(t) if n <= limit else counter.fit(t, limit) for t, n in zip(texts, counts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())],
-                names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"],
-            )
+            texts, rows = batch.column(1).cast(pa.string()), []
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                table = counter.prefixes(text)
+                rows.append((len(text.encode()), table.total, table.total > limit, counter.fit(text, limit, table)))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     return kept.mapInArrow(run, schema)
 
@@ -184,9 +175,10 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(tokenizer_path)
         for batch in batches:
-            rows = [counter.prefixes(t or "") for t in batch.column(1).cast(pa.string()).to_pylist()]
+            texts = batch.column(1).cast(pa.string())
+            rows = [counter.prefixes(texts[i].as_py() or "") for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))],
+                [batch.column(0), pa.array([r.ends for r in rows], pa.list_(pa.int32())), pa.array([r.counts for r in rows], pa.list_(pa.int32()))],
                 names=[id_col, "prefix_ends", "prefix_tokens"],
             )
 

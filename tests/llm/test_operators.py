@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, and on nulls, empty tables, ties, repeats, long texts and clashing names."""
 
 import hashlib
+import json
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -244,59 +246,119 @@ def test_every_byte_is_scored():
 TEXTS = ["", "don't we'll 'tis", "x <|endoftext|> y<|startoftext|>", "=" * 3000 + "-" * 3000, " " * 999 + "x", "the" * 3000, "漢字 ﬁ İI ſ 😀\x1c\x85", "a\n\n b\t", "ÃÂ" * 1500]
 
 
+LIBRARY = {path: Tokenizer.from_file(path) for path in (WORD, BYTE)}
+
+
+def exact(text):
+    return len(LIBRARY[WORD].encode(text, add_special_tokens=False).ids)
+
+
 @given(st.lists(st.text(max_size=60), max_size=5))
 @settings(max_examples=100, deadline=None)
 def test_counts_and_ids_equal_the_library(texts):
     counter, machine = token_counts.prefix_counter(WORD), bpe.transducer(BYTE)
     for t in texts + TEXTS[:3]:
         t = t.encode("utf-8", "ignore").decode()
-        assert counter.count(t) == len(counter.merges.library.encode(t, add_special_tokens=False).ids)
+        assert counter.count(t) == exact(t)
         ids = machine.encode(t)
-        assert ids == machine.merges.library.encode(t, add_special_tokens=False).ids
-        assert machine.decode(ids) == machine.merges.library.decode(ids, skip_special_tokens=False)
+        assert ids == LIBRARY[BYTE].encode(t, add_special_tokens=False).ids
+        assert machine.decode(ids) == LIBRARY[BYTE].decode(ids, skip_special_tokens=False)
 
 
 def test_long_texts_equal_the_library():
     counter, machine = token_counts.prefix_counter(WORD), bpe.transducer(BYTE)
     rng = random.Random(4)
-    for t in [*TEXTS, "".join(rng.choice("aeinstr") for _ in range(6000)), "".join(rng.choice("-=_!") for _ in range(6000))]:
-        assert counter.count(t) == len(Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids)
-        ids = Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids
+    mixed = "".join(rng.choice("ab \n'sl1.漢é") for _ in range(60_000))
+    for t in [*TEXTS, "".join(rng.choice("aeinstr") for _ in range(6000)), "".join(rng.choice("-=_!") for _ in range(6000)), mixed, mixed.replace(" ", "").replace("\n", ""), "a1b2" * 20_000, "漢字。" * 20_000, "x" * 80_000]:
+        assert counter.count(t) == exact(t)
+        ids = LIBRARY[BYTE].encode(t, add_special_tokens=False).ids
         assert machine.encode(t) == ids and machine.decode(ids) == t
 
 
+def test_encoding_emits_early_and_holds_little():
+    """A pre-token without any border: ids come before it is read to its end, and memory does not grow with it."""
+    machine = bpe.transducer(BYTE)
+    merges_ = machine.merges
+
+    def parts(n, read):
+        for _ in range(n):
+            read[0] += 1
+            yield "thequickbrownfox" * 64
+
+    read = [0]
+    assert next(merges_.stream(parts(1000, read))) is not None and read[0] <= 2 * merges_.lookahead // 1024 + 2
+
+    def peak(n):
+        tracemalloc.start()
+        for _ in merges_.stream(parts(n, [0])):
+            pass
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    peak(4)
+    assert peak(80) < 2 * peak(8) + 200_000
+    ids = [i for part in machine.chunks("x" * 50_000 + "y" * 50_000) for i in part]
+    assert ids == LIBRARY[BYTE].encode("x" * 50_000 + "y" * 50_000, add_special_tokens=False).ids
+    assert max(map(len, machine.chunks("x" * 200_000))) <= bpe.PART
+
+
 def test_prefix_counts_are_exact():
     counter = token_counts.prefix_counter(WORD)
-    library = counter.merges.library
-    exact = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     text = "The retitioning of it's 12 naïve <|endoftext|> Straße, don't"
-    ends, counts = counter.prefixes(text)
-    assert all(exact(text[:e]) == c for e, c in zip(ends, counts))
+    table = counter.prefixes(text)
+    assert all(exact(text[:e]) == c for e, c in zip(table.ends, table.counts)) and table.total == exact(text)
     for piece in ("retitionings", "naïve", "'ll", "..."):
         assert counter.within(piece) == [exact(piece[:i]) for i in range(len(piece) + 1)]
-    for limit in range(0, 20):
-        k = counter.fit(text, limit)
-        assert exact(text[:k]) <= limit
+
+
+def test_what_fits_is_maximal():
+    counter, rng = token_counts.prefix_counter(WORD), random.Random(10)
+    parts = ["a", "b", "'", "s", " ", "  ", "\n", "<", "|", "<|endoftext|>", "'ll", "é", "e\u0301", "İ", "漢", "1", "!", "the", "ing", "ﬁ", "😀"]
+    for t in ["naïve ﬁ retitioning's ", "", "  ", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(150))]:
+        counts, table = [exact(t[:i]) for i in range(len(t) + 1)], counter.prefixes(t)
+        for limit in range(max(counts) + 2):
+            assert counter.fit(t, limit, table) == max(i for i, n in enumerate(counts) if n <= limit), (t, limit)
+
+
+def test_nothing_is_encoded_twice(monkeypatch):
+    counter = token_counts.PrefixCounter(WORD)
+    text = "retitioning of the thing " * 50
+    table = counter.prefixes(text)
+    monkeypatch.setattr(counter.merges, "closed", lambda word: pytest.fail("encoded again"))
+    assert 0 < counter.fit(text, 30, table) < len(text) and table.total > 30
 
 
 def test_decoding_holds_split_characters():
     machine = bpe.transducer(BYTE)
     ids = machine.encode("😀 naïve 漢")
     assert "".join(machine.decode_stream([[i] for i in ids])) == "😀 naïve 漢"
-    assert machine.decode(ids[:1]) == machine.merges.library.decode(ids[:1], skip_special_tokens=False)
+    assert machine.decode(ids[:1]) == LIBRARY[BYTE].decode(ids[:1], skip_special_tokens=False)
+
+
+def plain_bpe(ranks, text):
+    """Lowest-ranked pair first, leftmost among equals, until none is left."""
+    parts = list(text)
+    while len(parts) > 1:
+        best = min(range(len(parts) - 1), key=lambda i: (ranks.get((parts[i], parts[i + 1]), 1 << 60), i))
+        if (parts[best], parts[best + 1]) not in ranks:
+            break
+        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    return parts
 
 
 def test_lookahead_bounds_change():
     """No continuation changes tokens that end the lookahead or more before a text's end."""
     m = merges.merge_list(BYTE)
+    ranks = {(a, b): i for i, (a, b) in enumerate(tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in json.load(open(BYTE))["model"]["merges"])}
     rng = random.Random(6)
-    for _ in range(40):
+    for _ in range(12):
         a = "".join(rng.choice("abest") for _ in range(m.lookahead + 60))
         b = a + "".join(rng.choice("abest") for _ in range(30))
 
         def ends(t):
             out, at = [], 0
-            for token in m.bpe(list(t)):
+            for token in plain_bpe(ranks, t):
                 at += len(token)
                 out.append(at)
             return out
