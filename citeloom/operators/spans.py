@@ -6,26 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMPTY = "array<struct<start:int,end:int,hit:string>>"
+#: Distances at which running sums are doubled; arrays are shorter than the last one's double.
+_POWERS = [1 << k for k in range(31)]
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a one-element array binds it to a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Inclusive prefix sums of an array, by doubling: a pass for each power of two below its size."""
+    needed = F.filter(F.array(*[F.lit(p) for p in _POWERS]), lambda p: p < F.size(numbers))
+    return F.aggregate(needed, numbers, lambda sums, p: F.transform(sums, lambda x, i: x + F.when(i >= p, F.get(sums, i - p)).otherwise(F.lit(0))))
 
 
 def find_all(text: Column, pattern: str | Column) -> Column:
     """All matches of a pattern that cannot be empty: array of (start, end, hit), offsets from 0, end exclusive.
 
     Spark gives matches without offsets; the gaps between them, from a split at
-    the same pattern, restore these: a match starts where all gaps and matches
-    before it end.
+    the same pattern, restore these: a match ends where the lengths of all gaps
+    and matches so far sum up to.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), EMPTY).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))).alias("out"))
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(F.slice(found["gaps"], 1, F.size(found["hits"])), found["hits"], lambda g, h: F.length(g) + F.length(h))
+        return F.zip_with(bound(lengths, running_sums), found["hits"], lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("hit")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.from_json(F.lit("[]"), EMPTY))
+    found = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hits"))
+    return F.coalesce(bound(found, placed), F.from_json(F.lit("[]"), EMPTY))
 
 
 def drop_contained(findings: DataFrame, within: list[str], *tie: str) -> DataFrame:
