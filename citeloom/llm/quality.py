@@ -7,11 +7,12 @@ dictionary, and the difference of the sizes over the block's length says which
 dictionary knows it better. A text's two figures, the mean of these differences
 and their minimum (the worst block), become a score by a logistic calibration.
 
-Training is bounded by parameters: ``dictionary_rows`` texts of each class and
-``calibration_rows`` others, chosen by hash of the id. Of a text longer than
-``train_chars`` characters that many are learned from, in runs of RUN characters
-from all over it, chosen by hash; of a class's pieces at most ``pieces`` are,
-chosen by hash. Scoring reads every whole text, in one narrow map.
+Training is bounded by parameters: ``dictionary_rows`` labelled rows of each class
+and ``calibration_rows`` others, chosen by hash of the id. Each class's dictionary
+is built from about ``pieces`` pieces of PIECE characters, chosen by hash from all
+pieces of the whole texts of its rows; the driver holds these and no more. The
+calibration is fitted on the figures of whole texts, which executors compute, as
+they do in scoring, which reads every whole text in one narrow map.
 
 Defined results: null text counts as empty; an empty text has no blocks and
 both figures 0; without labelled rows of both classes every score is 0.5.
@@ -24,7 +25,6 @@ score.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +34,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a block and of the pieces that dictionaries are trained on; bytes of a dictionary; compression level.
+#: Bytes of a block; characters of the pieces that dictionaries are trained on; bytes of a dictionary; compression level.
 BLOCK, PIECE, DICTIONARY, LEVEL = 1000, 400, 112_640, 3
-#: Bounds of training, and characters of a run that is taken from a long text.
-DICTIONARY_ROWS, CALIBRATION_ROWS, TRAIN_CHARS, PIECES, RUN = 3000, 6000, 8192, 40_000, 1024
+#: Bounds of training: labelled rows of each class for its dictionary, other labelled rows for calibration, pieces for a dictionary.
+DICTIONARY_ROWS, CALIBRATION_ROWS, PIECES = 3000, 6000, 20_000
 #: Score from which a text is predicted good.
 GOOD_FROM = 0.7
 
@@ -72,15 +72,6 @@ def _compressor(data: bytes, full: bool) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def _pieces(texts: list[bytes], most: int = PIECES) -> list[bytes]:
-    """The texts' pieces, or the ``most`` with the smallest hashes, in their order."""
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    if len(pieces) <= most:
-        return pieces
-    stay = sorted(range(len(pieces)), key=lambda i: (zlib.crc32(b"%d " % i + pieces[i]), i))[:most]
-    return [pieces[i] for i in sorted(stay)]
-
-
 def _dictionary(pieces: list[bytes]) -> tuple[bytes, bool]:
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes(), True
@@ -88,14 +79,6 @@ def _dictionary(pieces: list[bytes]) -> tuple[bytes, bool]:
         return b"".join(pieces)[-DICTIONARY:] or b"\n" * 8, False
 
 
-def _sampled(text: Column, most: int) -> Column:
-    """The text, or, if it is longer than ``most`` characters, runs of it chosen by hash, in their order, that many characters in all."""
-    run = min(RUN, most)
-    runs = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{run}}}"), F.lit(0)), lambda x, i: F.struct(F.xxhash64(x, i).alias("h"), i.alias("i"), x.alias("x")))
-    chosen = F.transform(F.slice(F.array_sort(runs), 1, most // run), lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.array_sort(chosen), lambda r: r["x"]), ""))
-
-
 def figures(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
     """Mean and minimum over a text's blocks of (size with the bad - size with the good dictionary) / length."""
     found = []
@@ -123,36 +106,59 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0] - b * mean[0] - c * mean[1]), float(b), float(c)
 
 
+def _dictionary_pieces(rows: DataFrame, pieces: int) -> dict[str, list[bytes]]:
+    """Of (role, __id, text) about ``pieces`` pieces for each role, all of them if there are no more, by a bound on their hashes."""
+    totals = {r.role: r.n for r in rows.groupBy("role").agg(F.sum(F.ceil(F.length("text") / PIECE)).alias("n")).collect()}
+    share = F.create_map(*[x for role, n in totals.items() for x in (F.lit(role), F.lit(min(1.0, pieces / max(1, n))))]) if totals else F.lit(None)
+    cut = rows.select("role", "__id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("at", "piece"))
+    place = F.pmod(F.xxhash64("__id", "at", "piece"), F.lit(1 << 40)) / float(1 << 40)
+    found = cut.filter(place < share[F.col("role")]).collect() if totals else []
+    found.sort(key=lambda r: (r["__id"], r["at"], r.piece))
+    return {role: [r.piece.encode() for r in found if r.role == role] for role in ("good", "bad")}
+
+
+def _figures_of(rows: DataFrame, model: Model) -> np.ndarray:
+    """(label, mean, least) of each row's whole text; rows are (y, text) and bounded by the caller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = model.compressors()
+        for batch in batches:
+            column = batch.column(1).cast(pa.string())
+            found = [figures((column[i].as_py() or "").encode(), *pair) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], names=["y", "mean", "least"])
+
+    found = rows.select(F.col("y").cast("double").alias("y"), "text").mapInArrow(run, "y double, mean double, least double").collect()
+    return np.array(sorted(tuple(r) for r in found)).reshape(-1, 3)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS, train_chars: int = TRAIN_CHARS, pieces: int = PIECES,
+    dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS, pieces: int = PIECES,
 ) -> Model | None:
     """Learn from labelled rows that are not held out; None without both classes.
 
     The ids are bounded by 2 * dictionary_rows + calibration_rows, so they are
-    broadcast to fetch the texts, which are bounded by ``train_chars`` each.
-    ``pieces`` bounds each dictionary's pieces.
+    broadcast to find the texts. To the driver come about ``pieces`` pieces for
+    each dictionary, and three numbers for each calibration row.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg((F.min(label_col) > 0).alias("y"))
     order = F.xxhash64("__id", F.lit(4))
-    role = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(2))
-    good = known.filter((role == 0) & F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("good"))
-    bad = known.filter((role == 0) & ~F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("bad"))
-    rest = known.filter(role == 1).orderBy(order, "__id").limit(calibration_rows).withColumn("role", F.lit("rest"))
-    chosen = good.unionByName(bad).unionByName(rest)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("__doc"), text.alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = found.select("__id", "role", "y", _sampled(F.col("__text"), train_chars).alias("t")).collect()
-    rows.sort(key=lambda r: (r["__id"], r.t))
-    texts = {kind: [r.t.encode() for r in rows if r.role == kind] for kind in ("good", "bad")}
-    rest = [r for r in rows if r.role == "rest"] or rows
-    if not texts["good"] or not texts["bad"] or len({r.y for r in rest}) < 2:
+    part = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(2))
+    good = known.filter((part == 0) & F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("good"))
+    bad = known.filter((part == 0) & ~F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("bad"))
+    rest = known.filter(part == 1).orderBy(order, "__id").limit(calibration_rows).withColumn("role", F.lit("rest"))
+    chosen = docs.sparkSession.createDataFrame(good.unionByName(bad).unionByName(rest).collect(), good.schema)
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("role", "__id", "y", "text")
+    learned = _dictionary_pieces(rows.filter("role <> 'rest'"), pieces)
+    if not learned["good"] or not learned["bad"]:
         return None
-    (good_data, good_full), (bad_data, bad_full) = _dictionary(_pieces(texts["good"], pieces)), _dictionary(_pieces(texts["bad"], pieces))
+    (good_data, good_full), (bad_data, bad_full) = _dictionary(learned["good"]), _dictionary(learned["bad"])
     model = Model(good_data, bad_data, (good_full, bad_full), (0.0, 0.0, 0.0))
-    pair = model.compressors()
-    x = np.array([figures(r.t.encode(), *pair) for r in rest])
-    return Model(good_data, bad_data, (good_full, bad_full), _logistic(x, np.array([float(r.y) for r in rest])))
+    seen = _figures_of(rows.filter("role = 'rest'"), model)
+    if len(set(seen[:, 0])) < 2:  # too few labelled rows to set some apart
+        seen = _figures_of(rows, model)
+    return Model(good_data, bad_data, (good_full, bad_full), _logistic(seen[:, 1:], seen[:, 0]))
 
 
 def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

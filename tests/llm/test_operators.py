@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -211,20 +212,57 @@ def test_quality(spark, odd):
     assert quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.quality_scores(docs, None).collect()} == {0.5}
 
 
-def test_training_takes_pieces_from_all_over(spark):
-    text = "".join(chr(0x4E00 + i) for i in range(20_000))
-    kept = spark.createDataFrame([(text,)], "t string").select(quality._sampled(F.col("t"), 8192).alias("t")).first().t
-    assert len(kept) <= 8192 and len(kept) > 7000 and max(kept) > text[12_000] and all(c in text for c in kept[::500]) and list(kept) == sorted(kept)
-    assert spark.createDataFrame([(text[:8192],)], "t string").select(quality._sampled(F.col("t"), 8192).alias("t")).first().t == text[:8192]
-    # Good texts begin alike and differ from bad ones only after train_chars; rows of large ids count among bounded pieces.
+def test_scores_equal_brute_force(spark, odd):
+    """Scores from the two dictionaries by hand: zstd sizes of each 1000 bytes, mean and least, one logistic function."""
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.choice([3, 60, 900])) if i % 3 else " ".join([f"W{rng.randrange(400)}!!"] * rng.choice([2, 60, 700]))) for i in range(300)] + odd[2:]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int")
+    model = quality.fit(made(spark, rows), labels)
+
+    def size(dictionary, full, block):
+        kind = zstandard.DICT_TYPE_FULLDICT if full else zstandard.DICT_TYPE_RAWCONTENT
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
+        d.precompute_compress(level=3)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+
+    def score(text):
+        data = (text or "").encode()
+        blocks = [data[i : i + 1000] for i in range(0, len(data), 1000)]
+        if len(blocks) > 1 and len(blocks[-1]) < 250:
+            blocks[-2:] = [blocks[-2] + blocks[-1]]
+        found = [(size(model.bad, model.trained[1], b) - size(model.good, model.trained[0], b)) / len(b) for b in blocks] or [0.0]
+        a, b, c = model.weights
+        return 1 / (1 + math.exp(-(a + b * sum(found) / len(found) + c * min(found))))
+
+    got = Counter((r.doc_id, round(r.score, 9), r.predicted) for r in quality.quality_scores(made(spark, rows), model).collect())
+    assert got == Counter((i, round(score(t), 9), int(score(t) >= 0.7)) for i, t in rows)
+
+
+def test_training_reads_whole_texts(spark):
+    # Good and bad texts begin alike for 10,000 characters; pieces and calibration come from all over them.
     rng = random.Random(5)
     docs = made(spark, [(i, "Same words at the start. " * 400 + (words(rng, 900) if i % 2 else " ".join(f"W{rng.randrange(400)}!!" for _ in range(900)))) for i in range(300)])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
-    got = quality.quality_scores(docs, quality.fit(docs, labels, train_chars=4096)).collect()
+    got = quality.quality_scores(docs, quality.fit(docs, labels, pieces=500)).collect()
     held = [r for r in got if r.held_out]
     assert held and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
-    some = quality._pieces([b"head" * 5000, b"tail" * 5000], 60)
-    assert len(some) == 60 and b"tail" * 100 in some and quality._pieces([b"head" * 5000, b"tail" * 5000], 100) == [b"head" * 100] * 50 + [b"tail" * 100] * 50
+    rows = spark.createDataFrame([("good", i, f"{i:03d}" * 400) for i in range(400)] + [("bad", 1, "x" * 900)], "role string, __id bigint, text string")
+    some = quality._dictionary_pieces(rows, 300)
+    assert 200 < len(some["good"]) < 400 and len(some["bad"]) == 3
+    # Every third piece of a text, and rows of large ids, have their share.
+    assert sum(p.startswith(b"39") for p in some["good"]) > 0 and len(quality._dictionary_pieces(rows, 5000)["good"]) == 1200
+
+
+def test_the_tail_decides(spark):
+    """Texts that differ in their last 200 bytes only, a rest under a quarter of a block."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, 60) if i % 3 else " ".join(f"W{rng.randrange(400)}!!" for _ in range(60))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int")
+    model = quality.fit(made(spark, rows), labels)
+    good = " ".join(words(rng, 10) for _ in range(200))[:3000]
+    tails = [(words(rng, 80) + " " * 200)[:200], " ".join(f"W{rng.randrange(400)}!!" for _ in range(80))[:200]]
+    fine, spoilt = sorted(quality.quality_scores(made(spark, [(0, good + tails[0]), (1, good + tails[1])]), model).collect())
+    assert fine.score > spoilt.score + 1e-6
 
 
 def test_every_byte_is_scored():
