@@ -45,7 +45,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is bad if the document that its url's last number names is labelled low quality or toxic."""
+    """A page carries the text of the document that its url's last number names; its outcome is bad if that is labelled low quality or toxic."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})[^/]*/?$", 1)
     numbered = pages.select("url", number.alias("number")).filter("number <> ''").select("url", F.col("number").cast("bigint").alias("doc"))
@@ -104,8 +104,11 @@ WITH p AS (
   SELECT host, coalesce(n, 0)::DOUBLE AS n, coalesce(b, 0)::DOUBLE AS b,
          regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare
   FROM (SELECT DISTINCT host FROM p) LEFT JOIN labelled USING (host)
+), parts AS (
+  SELECT *, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS two, regexp_full_match(bare, '[0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\]') AS address FROM hosts
 ), named AS (
-  SELECT *, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') AS domain, string_split(bare, '.')[-1] AS suffix FROM hosts
+  SELECT *, CASE WHEN address THEN bare WHEN two IN (SUFFIXES) THEN array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.') ELSE two END AS domain,
+         CASE WHEN address THEN '[address]' WHEN two IN (SUFFIXES) THEN two ELSE string_split(bare, '.')[-1] END AS suffix FROM parts
 ), bares AS (SELECT suffix, domain, bare, sum(n) AS n, sum(b) AS b FROM named GROUP BY ALL
 ), domains AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM bares GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL
@@ -118,7 +121,7 @@ WITH p AS (
 ), ks AS (SELECT lvl, CASE WHEN rho > 0 THEN greatest(1.0, least(1000.0, 1 / rho - 1)) ELSE 1000.0 END AS k FROM rhos
 ), whole AS (SELECT (sum(b) + 1) / (sum(n) + 2) AS mean0, (SELECT k FROM ks WHERE lvl = 1) AS k1, (SELECT k FROM ks WHERE lvl = 2) AS k2, (SELECT k FROM ks WHERE lvl = 3) AS k3 FROM suffixes
 ), post AS (
-  SELECT bares.bare, k3 + bares.n AS total,
+  SELECT bares.bare, k3 + bares.n AS total, least(LIFT * mean0, (1 + mean0) / 2) AS most,
          (k3 * ((k2 * ((k1 * mean0 + suffixes.b) / (k1 + suffixes.n)) + domains.b) / (k2 + domains.n)) + bares.b) / (k3 + bares.n) AS mean
   FROM bares JOIN domains USING (suffix, domain) JOIN suffixes USING (suffix), whole
 ), ruled AS (
@@ -132,6 +135,6 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule,
        CASE rule WHEN 'www.example.com/en/' THEN 'allow' WHEN 'com/' THEN 'allow' WHEN 'example.com/en/' THEN 'block' WHEN 'net/es/' THEN 'block' WHEN 'net/fr/' THEN 'block'
-            ELSE CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
+            ELSE CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (total + 1)) > most THEN 'block' ELSE 'allow' END END AS verdict
 FROM ruled LEFT JOIN post USING (bare)
-"""
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)).replace("LIFT", str(url_filter.LIFT))

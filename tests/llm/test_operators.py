@@ -9,6 +9,7 @@ import time
 import tracemalloc
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from citeloom.llm import bpe, exact_dedup, hilbert, line_dedup, merges, mixing, near_dedup, neighbours, quality, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, exact_dedup, hilbert, line_dedup, merges, mixing, near_dedup, neighbours, quality, queries, secret_scan, token_counts, url_filter
 from citeloom.llm.components import components
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -499,12 +500,88 @@ def test_urls(spark):
     assert by[2] == ("example.com", "", None, "allow") and by[3] == ("x.net", "/es/1", "net/es/", "block")
     assert by[4] == by[5] == ("", "", None, "allow")
     assert by[6][3] == "block" and by[8][3] == "allow" and by[10][2] == "com/" and by[11][0] == "a@good.org:80"
+    assert url_filter.url_verdicts(pages.limit(0), outcomes, rules).collect() == []
     none = url_filter.url_verdicts(pages, outcomes.limit(0), ()).collect()
     assert {r.verdict for r in none} == {"allow"}
     with pytest.raises(ValueError):
         url_filter.best_rule(F.lit("h"), F.lit("p"), [("allow", "com/")] * 3000)
 
 
+def brute_reputations(outcomes):
+    """Host -> (mean, lower bound, overall rate) of hosts with outcomes, level by level."""
+    n, b = Counter(), Counter()
+    for host, bad in outcomes:
+        n[host] += 1
+        b[host] += bad
+
+    def names(host):
+        labels = host.split(".")
+        if re.fullmatch(r"[0-9]+(?:[.][0-9]+){3}", host):
+            return "[address]", host
+        k = 2 if ".".join(labels[-2:]) in url_filter.SUFFIXES else 1
+        return ".".join(labels[-k:]), ".".join(labels[-k - 1 :])
+
+    def summed(key):
+        out = defaultdict(lambda: [0, 0])
+        for h in n:
+            out[key(h)][0] += n[h]
+            out[key(h)][1] += b[h]
+        return out
+
+    levels = [summed(lambda h: names(h)[0]), summed(names), summed(lambda h: h)]
+
+    def strength(groups):
+        N, B = sum(x for x, _ in groups.values()), sum(y for _, y in groups.values())
+        p, m = B / N, len(groups)
+        above = sum(y * y / x for x, y in groups.values()) - N * p * p - p * (1 - p) * (m - 1)
+        below = p * (1 - p) * (N - sum(x * x for x, _ in groups.values()) / N - (m - 1))
+        rho = above / below if below else 0
+        return max(1.0, min(1000.0, 1 / rho - 1)) if rho > 0 else 1000.0
+
+    k = [strength(g) for g in levels]
+    overall = (sum(b.values()) + 1) / (sum(n.values()) + 2)
+    out = {}
+    for h in n:
+        mean = overall
+        for group, key, strong in zip(levels, (names(h)[0], names(h), h), k):
+            mean = (strong * mean + group[key][1]) / (strong + group[key][0])
+        out[h] = (mean, mean - 1.645 * math.sqrt(mean * (1 - mean) / (k[2] + n[h] + 1)), overall)
+    return out
+
+
+def test_reputations_equal_brute_force(spark):
+    rng = random.Random(13)
+    hosts = [f"h{i}.{d}" for d in ("a.org", "b.org", "c.co.uk", "d.co.uk", "e.net") for i in range(5)] + ["10.0.0.1", "10.9.0.1", "hot.org", "solo"]
+    rate = {h: rng.choice([0.02, 0.1, 0.8]) for h in hosts}
+    outcomes = [(h, rng.random() < rate[h]) for h in hosts for _ in range(3000 if h == "hot.org" else rng.randrange(1, 60))]
+    want = brute_reputations(outcomes)
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate([*hosts, "new.c.co.uk", "10.0.0.1"])], "page_id bigint, url string")
+    frame = spark.createDataFrame([(f"https://{h}/y", bad) for h, bad in outcomes], "url string, bad boolean")
+    got = url_filter.url_verdicts(pages, frame, ()).collect()
+    assert len(got) == len(hosts) + 2
+    for r in got:
+        if r.host in want:
+            mean, lower, overall = want[r.host]
+            assert abs(r.bad_rate - mean) < 1e-9 and abs(r.bad_rate_lower - lower) < 1e-9
+            assert r.verdict == ("block" if lower > min(2 * overall, (1 + overall) / 2) else "allow")
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
+def test_url_query_blocks_a_bad_host(spark, tmp_path):
+    """The registered query, with labels that do tell hosts apart, and its SQL."""
+    rows = [(i, f"http://{'bad' if i % 5 == 0 else f'good{i % 5}'}.site{i % 3}.org/en/{i}.html", "") for i in range(600)] + [(700, "http://10.0.0.1/en/1", ""), (701, None, ""), (702, "http://x.example.com/en/2", "")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 0 or i % 7 == 0), 0) for i in range(600)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(tuple(r) for r in queries.op7_url_filter(spark, str(tmp_path)).collect())
+    verdicts = {h: v for _, h, _, _, v in got}
+    assert all(verdicts[f"bad.site{k}.org"] == "block" and verdicts[f"good1.site{k}.org"] == "allow" for k in range(3))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op7_url_filter']})").fetchall()
+    assert Counter(want) == got
+
+
 # --- 8 neighbours --------------------------------------------------------------------------
 
 
