@@ -1,26 +1,32 @@
 """Operator 8, approximate nearest neighbours by shifted Hilbert curves.
 
-Each curve projects the unit vectors onto a few random orthogonal directions,
-shifts the grid by a random part of a cell, and orders the vectors by Hilbert
-key. Spark range-partitions and sorts each order, so a vector has a rank. Ranks
-are cut into blocks, and a query goes to every block that its window reaches, so
-over its blocks it meets all vectors within the window. The window is SHARE of
-the counted points on either side, WINDOW ranks at least: the share of a table
-that is searched does not shrink as the table grows. The best of all curves are
-merged and reranked by exact cosine. Blocks are cut by rank, never by key, so no
-key can fill one.
-
-Equal vectors are one point of the curves. The k + 1 smallest ids of each point
-are kept, which loses nothing: among equal scores the smaller ids win.
+1. Each curve projects the unit vectors onto a few random orthogonal directions,
+   shifts the grid by a random part of a cell, and gives a Hilbert key. Keys are
+   range-partitioned and sorted by Spark; every ``block``-th of a curve's order
+   bounds a block, so no key or region can fill one (the key's low bits are a
+   hash, which splits equal keys).
+2. A vector goes to one block of each curve, as two bytes a component, packed
+   with those of its batch that go there too. A query also goes to the blocks on either side that its window reaches. The window is
+   SHARE of the counted points on either side, WINDOW at least: the share of a
+   table that is searched does not shrink as it grows.
+3. Neighbouring blocks' shortlists merge, over all curves, and the best are
+   reranked by exact cosine of the original vectors, which only then move, those
+   of queries and shortlisted candidates alone.
+
+Vectors of one direction are one point of the curves, whatever their length. The
+k + 1 smallest ids of each point are candidates, which loses nothing: among
+equal scores the smaller ids win.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows with a null id, nor vectors whose length is
 not the most common one (the smaller among equals); a query leaves out all rows
-with its own id; rows that repeat in full count once; with fewer than k candidates all
-are returned; an empty table gives an empty result. Only id and vector are read.
+with its own id; an id with several vectors is one query and one candidate, at
+its nearest; with fewer than k candidates all are returned; an empty table gives
+an empty result. Only id and vector are read.
 
 Measured recall stands in the README; projections and shifts are fixed by SEED.
-Centre and scale of the projections come from at most SAMPLE vectors.
+Centre and scale of the projections come from at most SAMPLE vectors; bounds of
+blocks, at most BOUNDS of them, are broadcast.
 """
 
 from __future__ import annotations
@@ -29,26 +35,29 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import save
+from citeloom.llm.common import BROADCAST_IDS, save
 from citeloom.llm.hilbert import hilbert_keys
 
-#: Curves, directions of a curve, bits of a direction, least ranks on either side of a query, least and most ranks of a block.
-CURVES, DIRECTIONS, BITS, WINDOW, BLOCK, LARGEST = 24, 8, 4, 2048, 8192, 65_536
-#: Share of the points on either side of a query.
-SHARE = 0.02
+#: Curves, directions of a curve, bits of a direction, bits of the hash below a key.
+CURVES, DIRECTIONS, BITS, TAIL = 12, 6, 6, 15
+#: Least points on either side of a query, their share of all points, and blocks on either side that hold them.
+WINDOW, SHARE, REACH = 1024, 0.025, 3
+#: Most points of a block, most bounds of blocks.
+LARGEST, BOUNDS = 32_768, 1_000_000
 SEED, SAMPLE = 20, 4096
-#: Queries of a block that are compared at once.
-SLICE = 128
+#: Queries of a block that are compared at once; candidates beyond k of one block's shortlist, and times k + 1 of a query's.
+SLICE, SPARE, TIMES = 64, 5, 4
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows that take part: columns id (bigint), v (array<double>)."""
+    """Rows that take part: columns id (bigint), v (array)."""
     v = F.col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("v"))
+    rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
     return rows.filter(F.size("v") == common[0].d) if common else rows
 
@@ -59,21 +68,37 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, which changes no cosine, to components of 1 at most."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
-    m = m / np.abs(m).max(axis=1, keepdims=True)
+    m = _scaled(m)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def _curves(dimension: int, curves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions (curves x dimension x d) and shifts (curves x d)."""
+    """Directions (curves x dimension x d), as long as they last from one random rotation after another, and shifts (curves x d)."""
     rng = np.random.default_rng(SEED)
     d = min(DIRECTIONS, dimension)
-    directions = np.stack([np.linalg.qr(rng.standard_normal((dimension, d)))[0] for _ in range(curves)])
+    each = dimension // d
+    rotations = [np.linalg.qr(rng.standard_normal((dimension, dimension)))[0] for _ in range(-(-curves // each))]
+    directions = np.stack([rotations[c // each][:, c % each * d : (c % each + 1) * d] for c in range(curves)])
     return directions, rng.random((curves, d)) - 0.5
 
 
-def curve_keys(points: DataFrame, sample: np.ndarray, curves: int = CURVES) -> DataFrame:
-    """(rep, v) to (curve, key, rep), one row for each curve; a narrow map."""
+def _coded(unit: np.ndarray) -> np.ndarray:
+    """Unit vectors in two bytes a component, 32,767 for 1: cosines of these are out by less than 2e-5 times the root of the dimension."""
+    return np.rint(unit * 32_767).astype(np.int16)
+
+
+def _decoded(codes: bytes, dimension: int) -> np.ndarray:
+    return np.frombuffer(codes, np.int16).reshape(-1, dimension).astype(np.float32) / np.float32(32_767)
+
+
+def curve_keys(rows: DataFrame, sample: np.ndarray, curves: int = CURVES) -> DataFrame:
+    """(id, asks, v) to (id, asks, h, code, keys): hash of the direction, its bytes, one key for each curve. A narrow map."""
     directions, shifts = _curves(sample.shape[1], curves)
     seen = np.einsum("nd,cdk->cnk", _unit(sample), directions)
     centre, spread = seen.mean(axis=1), seen.std(axis=1) + 1e-12
@@ -82,21 +107,25 @@ def curve_keys(points: DataFrame, sample: np.ndarray, curves: int = CURVES) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _unit(_matrix(batch.column(1)))
-            reps = batch.column(0)
+            unit = _unit(_matrix(batch.column(2)))
+            hashes = [xxhash.xxh128_digest(row.tobytes()) for row in np.rint(unit * (1 << 40)).astype(np.int64)]
+            tail = np.array([int.from_bytes(h[:2], "big") for h in hashes], np.int64) >> (16 - TAIL)
+            keys = np.empty((len(unit), curves), np.int64)
             for c in range(curves):
                 cells = np.floor(((unit @ directions[c] - centre[c]) / (4 * spread[c]) + 0.5) * (1 << BITS) + shifts[c])
-                keys = hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), reps], names=["curve", "key", "rep"])
+                keys[:, c] = (hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS).astype(np.int64) << TAIL) | tail
+            codes = [row.tobytes() for row in _coded(unit)]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * curves), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), pa.array(codes, pa.binary()), listed], names=["id", "asks", "h", "code", "keys"])
 
-    return points.select("rep", "v").mapInArrow(run, "curve int, key bigint, rep bigint")
+    return rows.select("id", "asks", "v").mapInArrow(run, "id bigint, asks boolean, h binary, code binary, `keys` array<bigint>")
 
 
-def ranked(keys: DataFrame) -> DataFrame:
-    """(curve, key, rep) to (curve, rep, rank), ranks from 0 in each curve's order."""
+def block_bounds(keys: DataFrame, block: int) -> list[tuple[int, int]]:
+    """Of (curve, key): each curve's every ``block``-th key, in order, from its first."""
     order = save(
-        keys.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep").select(
-            "curve", "rep", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")
+        keys.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key").select(
+            "curve", "key", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")
         ),
         "ann-order",
     )
@@ -104,47 +133,83 @@ def ranked(keys: DataFrame) -> DataFrame:
     runs = order.groupBy("curve", "pid").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select("curve", "pid", (before - F.col("first")).alias("offset"))
-    return order.join(runs, ["curve", "pid"]).select("curve", "rep", (F.col("pos") + F.col("offset")).alias("rank"))
+    ranked = order.join(F.broadcast(runs), ["curve", "pid"]).filter(F.pmod(F.col("pos") + F.col("offset"), F.lit(block)) == 0)
+    return sorted((r.curve, r.key) for r in ranked.select("curve", "key").collect())
 
 
 def window_of(points: int) -> int:
-    """Ranks on either side of a query in a table of so many points."""
+    """Points on either side of a query in a table of so many."""
     return max(WINDOW, math.ceil(SHARE * points))
 
 
-def _search(k: int, window: int):
-    """Within one block: the k + 1 nearest of its points to each query point that comes to it, by exact cosine."""
-
-    def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by("rank")
-        rank = block["rank"].to_numpy()
-        rep = block["rep"].to_numpy()
-        raw = _matrix(block["v"])
-        unit = _unit(raw)
-        norm = np.sqrt((raw * raw).sum(axis=1))
-        asks = block["asks"].to_numpy(zero_copy_only=False)
-        here, asks = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(asks), SLICE):
-            some = asks[at : at + SLICE]
-            # Both are in order of rank, so what a slice's windows reach is one run of the block's points.
-            reach = here[np.searchsorted(rank[here], rank[some[0]] - window) : np.searchsorted(rank[here], rank[some[-1]] + window, "right")]
-            if not len(reach):
+def _dealt(points: DataFrame, bounds: list[tuple[int, int]], curves: int, reach: int) -> DataFrame:
+    """(p, asks, code, keys) to (cell, asks, ps, codes): each point to its block of each curve, queries also to those their window reaches.
+
+    The points of a batch that go to one block travel as one row.
+    """
+    cuts = [np.array([k for c, k in bounds if c == i], np.int64) for i in range(curves)]
+    shared = points.sparkSession.sparkContext.broadcast((cuts, np.cumsum([0, *map(len, cuts)])))
+
+    def run(batches):
+        cuts, first = shared.value
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            near = unit[some] @ unit[reach].T
-            near[np.abs(rank[some][:, None] - rank[reach][None, :]) > window] = -2.0
-            most = min(k + 1, near.shape[1])
-            best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            who, what = np.repeat(some, most), reach[best.ravel()]
-            inside = near[np.repeat(np.arange(len(some)), most), best.ravel()] > -2.0
-            who, what = who[inside], what[inside]
-            out.append((rep[who], rep[what], (raw[who] * raw[what]).sum(axis=1) / (norm[who] * norm[what])))
-        parts = [np.concatenate(p) for p in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"asker": pa.array(parts[0], pa.int64()), "near": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+            p = np.asarray(batch.column(0), np.int64)
+            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys = np.asarray(batch.column(3).flatten(), np.int64).reshape(batch.num_rows, -1)
+            asks = np.flatnonzero(np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool))
+            for c in range(curves):
+                home = np.maximum(np.searchsorted(cuts[c], keys[:, c], "right") - 1, 0)
+                near = home[asks][:, None] + np.arange(-reach, reach + 1)[None, :]
+                who, which = np.nonzero((near >= 0) & (near < len(cuts[c])))
+                for row, cell, asking in ((np.arange(batch.num_rows), home, False), (asks[who], near[who, which], True)):
+                    order = np.argsort(cell, kind="stable")
+                    if not len(order):
+                        continue
+                    cells, starts = np.unique(cell[order], return_index=True)
+                    parts = np.split(row[order], starts[1:])
+                    columns = [pa.array(cells + first[c], pa.int64()), pa.array([asking] * len(cells)), pa.array([p[x].tobytes() for x in parts], pa.binary()), pa.array([code[x].tobytes() for x in parts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "asks", "ps", "codes"])
+
+    return points.select("p", "asks", "code", "keys").mapInArrow(run, "cell bigint, asks boolean, ps binary, codes binary")
+
+
+def _search(most: int, dimension: int):
+    """Within one block: a shortlist of its points for each query that comes to it, by cosine of the coded vectors."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        asking = cell["asks"].to_pylist()
+        ps, codes = cell["ps"].to_pylist(), cell["codes"].to_pylist()
+        side = {}
+        for flag in (False, True):
+            mine = [i for i, x in enumerate(asking) if x == flag]
+            side[flag] = np.frombuffer(b"".join(ps[i] for i in mine), np.int64), _decoded(b"".join(codes[i] for i in mine), dimension)
+        (here, unit), (asker, wanted) = side[False], side[True]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        for at in range(0, len(asker) if len(here) else 0, SLICE):
+            near = wanted[at : at + SLICE] @ unit.T
+            best = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(here) else np.broadcast_to(np.arange(len(here)), near.shape)
+            out.append((np.repeat(asker[at : at + SLICE], best.shape[1]), here[best.ravel()], np.take_along_axis(near, best, axis=1).ravel()))
+        who, found, score = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"asker": pa.array(who, pa.int64()), "near": pa.array(found, pa.int64()), "rough": pa.array(score, pa.float32())})
 
     return run
 
 
+def _exact(pairs: DataFrame) -> DataFrame:
+    """(query_id, vec_id, a, b) to (query_id, vec_id, score): the cosine in double precision."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = _scaled(_matrix(batch.column(2))), _scaled(_matrix(batch.column(3)))
+                score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return pairs.select("query_id", "vec_id", "a", "b").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
 def nearest(
     vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, window: int | None = None, block: int | None = None
 ) -> DataFrame:
@@ -154,28 +219,32 @@ def nearest(
     some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     if not some:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = np.array([r.v for r in some])
-    # Equal vectors: the smallest id stands for all; the k + 1 smallest are kept. Spark limits the groups before it shuffles.
-    same = Window.partitionBy("v").orderBy("id")
-    members = rows.withColumn("place", F.dense_rank().over(same)).withColumn("rep", F.first("id").over(same.rowsBetween(Window.unboundedPreceding, 0)))
-    members = save(members.filter(F.col("place") <= k + 1), "ann-members")
-    points = members.filter("place = 1").select("rep", "v").dropDuplicates(["rep"])
-    askers = rows.filter(queries).select(F.col("id").alias("query_id"), "v").join(members.filter("place = 1").select("v", "rep").distinct(), "v").select("query_id", "rep").distinct()
-    askers = save(askers, "ann-askers")
+    keyed = save(curve_keys(rows.select("id", F.coalesce(queries, F.lit(False)).alias("asks"), "v"), np.array([r.v for r in some], np.float64), curves), "ann-keys")
+    # One point for all vectors of a direction; sums are pre-aggregated, so a very common one moves as one row a task.
+    points = keyed.groupBy("h").agg(F.max("asks").alias("asks"), F.min("code").alias("code"), F.min("keys").alias("keys"))
+    points = save(points.withColumn("p", F.monotonically_increasing_id()), "ann-points")
+    place = F.dense_rank().over(Window.partitionBy("h").orderBy("id"))
+    # Spark limits each direction's ids before it shuffles them.
+    members = keyed.select("h", "id").withColumn("place", place).filter(F.col("place") <= k + 1).select("h", "id").distinct().join(points.select("h", "p"), "h").select("p", "id")
+    members = save(members, "ann-members")
+    askers = save(keyed.filter("asks").select("h", F.col("id").alias("query_id")).distinct().join(points.select("h", "p"), "h").select("query_id", "p"), "ann-askers")
+
     count = points.count()
     window = window_of(count) if window is None else window
-    block = min(max(BLOCK, window), LARGEST) if block is None else block
-    places = save(ranked(curve_keys(points, sample, curves)), "ann-places")
-    # Points stay in one block of a curve; only queries are copied, to each block that their window reaches.
-    dealt = places.select("curve", F.floor(F.col("rank") / block).alias("block"), "rep", "rank", F.lit(False).alias("asks"))
-    first, last = F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor(F.least(F.col("rank") + window, F.lit(count - 1)) / block)
-    asking = places.join(askers.select("rep").distinct(), "rep").select("curve", F.explode(F.sequence(first, last)).alias("block"), "rep", "rank", F.lit(True).alias("asks"))
-    blocks = dealt.unionByName(asking).join(points, "rep").select("curve", "block", "rep", "rank", "asks", "v")
-    found = blocks.groupBy("curve", "block").applyInArrow(_search(k, window), "asker bigint, near bigint, score double")
-    merged = found.groupBy("asker", "near").agg(F.max("score").alias("score"))
-    # A point's k + 1 best rows hold the k best of each of its queries, whichever row is the query's own.
-    wide = merged.join(members.select(F.col("rep").alias("near"), F.col("id").alias("vec_id")).distinct(), "near")
-    top = wide.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("n") <= k + 1)
-    mine = askers.join(top, askers["rep"] == top["asker"]).filter("query_id <> vec_id")
-    final = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    block = min(max(1, math.ceil(window / REACH)), LARGEST) if block is None else block
+    block = max(block, math.ceil(curves * count / BOUNDS))
+    bounds = block_bounds(points.select(F.posexplode("keys").alias("curve", "key")), block)
+    cells = _dealt(points, bounds, curves, math.ceil(window / block))
+    found = cells.groupBy("cell").applyInArrow(_search(k + SPARE, len(some[0].v)), "asker bigint, near bigint, rough float")
+    short = found.groupBy("asker", "near").agg(F.max("rough").alias("rough"))
+    short = short.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy(F.col("rough").desc(), "near"))).filter(F.col("n") <= TIMES * (k + 1)).select("asker", "near")
+    named = short.join(members.select(F.col("p").alias("near"), F.col("id").alias("vec_id")), "near").join(askers.select(F.col("p").alias("asker"), "query_id"), "asker")
+    pairs = save(named.filter("query_id <> vec_id").select("query_id", "vec_id").distinct(), "ann-pairs")
+
+    wanted = pairs.select(F.col("query_id").alias("id")).unionByName(pairs.select(F.col("vec_id").alias("id"))).distinct()
+    few = wanted.count() <= BROADCAST_IDS
+    originals = save(rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "ann-vectors")
+    both = pairs.join(originals.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id").join(originals.select(F.col("id").alias("vec_id"), F.col("v").alias("b")), "vec_id")
+    scored = _exact(both).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    final = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return final.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

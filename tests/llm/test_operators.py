@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas
 import public_tokenizers
 import pytest
 import zstandard
@@ -617,7 +618,7 @@ def test_neighbours(spark):
 
 
 def test_window_grows_with_the_table(spark, monkeypatch):
-    assert neighbours.window_of(300) == 2048 and neighbours.window_of(2_400_000) >= 0.02 * 2_400_000
+    assert neighbours.window_of(300) == neighbours.WINDOW and neighbours.window_of(2_400_000) >= 0.02 * 2_400_000
     v = np.random.default_rng(9).standard_normal((300, 6)).round(3)
     df = spark.createDataFrame([(i, v[i].tolist()) for i in range(300)], "vec_id bigint, embedding array<double>")
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -636,6 +637,35 @@ def test_window_grows_with_the_table(spark, monkeypatch):
     assert got == want
 
 
+def brute_nearest(v, queries, k=5):
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit[queries] @ unit.T
+    near[np.arange(len(queries)), queries] = -2
+    return [set(row) for row in np.argsort(-near, axis=1, kind="stable")[:, :k].tolist()]
+
+
+def test_recall_on_vectors_without_structure(spark):
+    """Gaussian vectors, 16,000 of them: what the index finds with its own parameters, the window being the table's share."""
+    v = np.random.default_rng(10).standard_normal((16_000, 32))
+    df = spark.createDataFrame(pandas.DataFrame({"vec_id": np.arange(len(v)), "embedding": v.tolist()}))
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("id") % 50 == 0, 5, window=int(neighbours.SHARE * len(v))).collect():
+        got[r.query_id].add(r.vec_id)
+        want = float(v[r.query_id] @ v[r.vec_id] / np.linalg.norm(v[r.query_id]) / np.linalg.norm(v[r.vec_id]))
+        assert abs(r.score - want) < 1e-12
+    queries_ = list(range(0, len(v), 50))
+    assert sum(len(got[q] & w) for q, w in zip(queries_, brute_nearest(v, queries_))) >= 0.9 * 5 * len(queries_)
+
+
+def test_parallel_vectors_tie_by_id(spark):
+    base = np.array([0.25, -0.5, 1.0, 0.75])
+    rows = [(i, (base * 2.0 ** (i % 40 - 20)).tolist()) for i in range(3000)] + [(5000, [1.0, 0.0, 0.0, 0.0])]
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 500 == 0, 5, block=64).collect()):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[0] == [(i, got[0][0][1]) for i in (1, 2, 3, 4, 5)] and [i for i, _ in got[500]] == [0, 1, 2, 3, 4] and len(got[5000]) == 5
+
+
 # --- 9 mixing ------------------------------------------------------------------------------
 
 
