@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -58,11 +59,16 @@ class Transducer:
             self.bytes_of[i] = token.encode()
         self._known = Kept(self._short)
 
+    def forget(self) -> None:
+        """Empty the memories, so that a worker that waits holds little."""
+        self._known.forget()
+        self.merges.forget()
+
     # --- encoding ---------------------------------------------------------------------
 
     def _short(self, piece: str) -> bytes:
         """Ids, as 32-bit numbers, of a pre-token whose end is at hand."""
-        return np.array(self.merges.tokens(spelled(piece.encode("utf-8", "surrogateescape"))), np.int32).tobytes()
+        return array("i", self.merges.tokens(spelled(piece.encode("utf-8", "surrogateescape")))).tobytes()
 
     def stream(self, text: str, start: int, end: int) -> Iterator[int]:
         """Ids of the pre-token at ``start`` to ``end``."""
@@ -173,6 +179,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                     [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())],
                     names=[id_col, "ids", "n_tokens", "round_trip"],
                 )
+        machine.forget()
 
     return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, ids array<int>, n_tokens bigint, round_trip boolean")
 
@@ -204,6 +211,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        machine.forget()
 
     return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the five controls from tab to carriage return.
@@ -16,8 +18,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 #: Ids that may be broadcast for a filter: 8 bytes each, so 4 MB at most; beyond it a shuffled join is used.
 BROADCAST_IDS = 500_000
+#: Rows of a key from which it counts as hot.
+HOT = 4096
 
 _own_dirs: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,16 +47,71 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM knows them."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     A lost executor then costs at most the tasks since this table; the files
-    survive the loss of any executor.
+    survive the loss of any executor, and go when the driver ends.
+    ``instead_of`` is an earlier such table that nothing needs any more: its
+    files go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citeloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _folder(spark, path)
+    files.deleteOnExit(place)
+    if instead_of is not None and instead_of in _paths:
+        place, files = _folder(spark, _paths.pop(instead_of))
+        files.delete(place, True)
+    saved = spark.read.schema(df.schema).parquet(path)
+    _paths[saved] = path
+    return saved
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, unique: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row for each key, of which ``size`` tells how many rows it has.
+
+    Groups of HOT rows or more, a HOT-th of all rows at most, are broadcast if
+    they are no more than BROADCAST_IDS; their rows, spread by ``unique`` columns,
+    fill no task of the shuffled join that serves all others.
+    """
+    others = [c for c in groups.columns if c not in keys]
+    packed = groups.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.struct(*others).alias("__v"), (F.col(size) >= HOT).alias("__hot"))
+    hot = packed.filter("__hot").select(*[F.col(f"__g{i}").alias(f"__h{i}") for i in range(len(keys))], F.col("__v").alias("__w"))
+    if not 0 < hot.count() <= BROADCAST_IDS:
+        return rows.join(groups, list(keys))
+    met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)], "left")
+    own = F.col("__w").isNull()
+    spread = met.select("*", F.when(own, F.xxhash64(*keys)).otherwise(F.xxhash64(*unique)).alias("__s"), own.alias("__own"))
+    cold = packed.filter(~F.col("__hot")).withColumn("__t", F.xxhash64(*[f"__g{i}" for i in range(len(keys))]))
+    equal = [F.col(k) == F.col(f"__g{i}") for i, k in enumerate(keys)]
+    both = spread.join(cold, [F.col("__s") == F.col("__t"), *equal, F.col("__own") == ~F.col("__hot")], "left")
+    value = F.coalesce("__w", "__v")
+    return both.filter(value.isNotNull()).select(*rows.columns, *[value[c].alias(c) for c in others])
+
+
+def running(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+    """``df`` with __place, each row's place from 0 in the order, and __before_<c>, the sum of each c over all rows before.
+
+    Rows are range-partitioned and summed by partition; one task sees one row of
+    each partition, never all rows.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = save(placed.withColumn("__pid", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id()), "running")
+    numbers = {"__place": F.lit(1).cast("bigint")} | {f"__before_{c}": F.col(c) for c in sums}
+    above = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("__pid").agg(*[F.sum(x).alias(name) for name, x in numbers.items()])
+    offsets = parts.select("__pid", *[F.sum(name).over(above).alias(f"{name}_0") for name in numbers])
+    own = Window.partitionBy("__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+    both = placed.join(F.broadcast(offsets), "__pid")
+    none = F.lit(0)
+    return both.select(*df.columns, *[(F.coalesce(F.col(f"{name}_0"), none) + F.coalesce(F.sum(x).over(own), none)).alias(name) for name, x in numbers.items()])
 
 
 def text_of(column: str) -> Column:

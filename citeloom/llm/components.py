@@ -41,7 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == mark or now[0] == 0:
             break
         mark = now
-        e = save(_small_star(_large_star(e)), "star")
+        e = save(_small_star(_large_star(e)), "star", instead_of=e)
     else:
         raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

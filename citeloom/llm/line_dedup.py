@@ -1,8 +1,9 @@
 """Operator 1, line dedup by a deletion-neighbourhood join, edit bound 1.
 
 Lines are what newlines separate. A line goes if an earlier line (by document
-id, then position) is equal to it or, from MIN_NEAR characters on, within one
-insertion, deletion or substitution. The earliest of each such pair stays, so
+id, then position) is equal to it or, if both have ``min_near`` characters or
+more, within one insertion, deletion or substitution (1 compares all lines so;
+the default, 16, spares short ones, where one edit is often another word). The earliest of each such pair stays, so
 what a line is compared with is every earlier line, dropped ones too. Blank
 lines are never dropped.
 
@@ -32,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import BROADCAST_IDS, save, text_of
+from citeloom.llm.common import BROADCAST_IDS, join_groups, save, text_of
+from citeloom.operators.spans import bound
 
 #: Characters from which lines may differ by an edit; parts of a line in the second round.
 MIN_NEAR, BLOCKS = 16, 16
@@ -199,9 +201,10 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     close = pairs.join(left, ["h1", "h2"]).join(right, ["m1", "m2"]).filter(F.levenshtein("line", "mate", 1) == 1)
     close = close.groupBy("h1", "h2").agg(F.min("mate_place").alias("mate_place"))
 
-    # Every line with its distinct line's first place, and with a near one that is earlier still.
-    moved = distinct.join(close, ["h1", "h2"], "left").filter("c > 1 OR mate_place IS NOT NULL").select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), "first", "mate_place")
-    each = slim.select("id", "tx", "line_no", "h1", "h2").join(moved, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
+    # Every line with its distinct line's first place, and with a near one that is earlier still; a very common line fills no task.
+    moved = distinct.join(close, ["h1", "h2"], "left").filter("c > 1 OR mate_place IS NOT NULL").select("h1", "h2", "c", "first", "mate_place")
+    moved = save(moved, "line-moved")
+    each = join_groups(slim.select("id", "tx", "line_no", "h1", "h2"), moved, ["h1", "h2"], "c", ["id", "tx", "line_no"])
     here = _place(each)
     equal = F.col("first") < here
     keep = F.when(equal, F.col("first")).when(F.col("mate_place") < here, F.col("mate_place"))
@@ -210,27 +213,30 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_near: int) -> DataFrame:
     """``docs`` with __ld: its n_lines, n_equal, n_near and the text without the lines that go (the text itself where none goes)."""
-    gone = line_groups(docs, id_col, text_col)
+    gone = line_groups(docs, id_col, text_col, min_near)
     # A document's own line numbers: as many as it has lines, however common these are elsewhere.
     count = lambda d: F.count_distinct(F.when(F.col("distance") == d, F.col("line_no")))
     own = gone.groupBy(F.col(id_col).alias("__ld_id"), F.col("__tx").alias("__ld_tx")).agg(F.collect_set("line_no").alias("__ld_gone"), count(0).alias("__ld_equal"), count(1).alias("__ld_near"))
     text = text_of(text_col)
     joined = docs.join(own, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.xxhash64(text) == F.col("__ld_tx")), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("__ld_gone"), i)), "\n"))
+    # The numbers that stay, by hash, and then their lines: in proportion to the lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone"))
+    some = bound(F.struct(lines.alias("lines"), stay.alias("stay")), lambda d: F.array_join(F.transform(d["stay"], lambda i: F.get(d["lines"], i)), "\n"))
+    kept = F.when(F.col("__ld_gone").isNull(), F.col(text_col)).otherwise(some)
     number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     report = F.struct(F.size(lines).cast("bigint").alias("n_lines"), number("__ld_equal").alias("n_equal"), number("__ld_near").alias("n_near"), kept.alias("text"))
     return joined.select(*[F.col(c) for c in docs.columns], report.alias("__ld"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row, columns as they were, with the lines that go taken out of its text."""
-    rows = _cleaned(docs, id_col, text_col)
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
+    """Every row, columns as they were, with the lines that go taken out of its text; lines from ``min_near`` characters on may differ by an edit."""
+    rows = _cleaned(docs, id_col, text_col, min_near)
     return rows.select(*[F.col("__ld.text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """Per row: id, n_lines, n_equal, n_near and the cleaned text."""
-    return _cleaned(docs.select(id_col, text_col), id_col, text_col).select(id_col, "__ld.n_lines", "__ld.n_equal", "__ld.n_near", F.col("__ld.text").alias("text"))
+    return _cleaned(docs.select(id_col, text_col), id_col, text_col, min_near).select(id_col, "__ld.n_lines", "__ld.n_equal", "__ld.n_near", F.col("__ld.text").alias("text"))

@@ -16,7 +16,7 @@ import ahocorasick
 from tokenizers import Tokenizer
 
 #: Entries of each of a cache's two generations, and of the memory of token pairs: what a worker holds is bounded.
-CACHE, PAIRS = 1 << 17, 1 << 16
+CACHE, PAIRS = 1 << 16, 1 << 17
 #: Characters up to which a piece's result is kept.
 KEPT = 128
 #: Characters of text that are split into pre-tokens at once.
@@ -84,6 +84,10 @@ class Kept(dict):
     def __init__(self, work: Callable, limit: int = CACHE):
         self.work, self.limit, self.older = work, limit, {}
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
     def __missing__(self, piece: str):
         found = self.older.get(piece)
         if found is None:
@@ -132,16 +136,21 @@ class MergeList:
         #: Automata that find, at each symbol, the tokens that end there, longest first: those within a word, those that close one.
         self.inner, self.closing = ahocorasick.Automaton(), ahocorasick.Automaton()
         self._strings: dict[int, str] = {}
+        self.width = [0] * self.size
         for token, i in self.vocab.items():
             if self.made[i] is not None and bodies[token]:
                 closes = bool(self.suffix) and token.endswith(self.suffix)
                 (self.closing if closes else self.inner).add_word(bodies[token], (i, len(bodies[token])))
                 self._strings[i] = bodies[token]
+                self.width[i] = len(bodies[token])
         self.inner.make_automaton()
         if self.suffix:
             self.closing.make_automaton()
         self._pairs: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        self._pairs.clear()
+
     def follows(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right``, side by side, as just these two tokens."""
         key = left * self.size + right
@@ -183,25 +192,45 @@ class MergeList:
         """
         last: list[int | None] = [None] * (len(word) + 1)
         count = [0] * (len(word) + 1)
-        follows, size, pairs = self.follows, self.size, self._pairs
+        for end, start, token in self._program(word, last):
+            count[end] = count[start] + 1
+        return last, count
+
+    def _program(self, word: str, last: list[int | None]) -> Iterator[tuple[int, int, int]]:
+        """Fills ``last`` in order; gives (end, start, token) of each."""
+        follows, size, known = self.follows, self.size, self._pairs.get
+        found = 0
         for end, (token, width) in self.inner.iter(word):
             end += 1
             if last[end] is None:
                 start = end - width
-                if not start:
-                    last[end], count[end] = token, 1
-                elif (before := last[start]) is not None:
-                    fits = pairs.get(before * size + token)
-                    if follows(before, token) if fits is None else fits:
-                        last[end], count[end] = token, count[start] + 1
-        if None in last[1:]:
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    fits = known(before * size + token)
+                    if fits is None:
+                        fits = follows(before, token)
+                    if not fits:
+                        continue
+                last[end] = token
+                found += 1
+                yield end, start, token
+        if found < len(word):
             raise ValueError(f"no token covers {word[: last.index(None, 1)]!r}")
-        return last, count
 
     def tokens(self, word: str) -> list[int]:
         """Tokens of a piece that is known to its end: the way back from there."""
-        last, _ = self.prefixes(word)
-        return [last[e] for e in self._ends(last)]
+        last: list[int | None] = [None] * (len(word) + 1)
+        for _ in self._program(word, last):
+            pass
+        width, at, out = self.width, len(word), []
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= width[token]
+        out.reverse()
+        return out
 
     def closed(self, word: str) -> list[int]:
         """For every prefix of a piece: its exact token count as a whole piece, its last symbol carrying the word end."""
@@ -254,7 +283,7 @@ class MergeList:
         at, ends = len(last) - 1, []
         while at > 0:
             ends.append(at)
-            at -= len(self._strings[last[at]])
+            at -= self.width[last[at]]
         return ends[::-1]
 
     # --- sufficient lookahead ----------------------------------------------------------

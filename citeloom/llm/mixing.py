@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WORDS, save, text_of
+from citeloom.llm.common import WORDS, running, save, text_of
 
 CAP = 3.0
 #: Newton steps after which an unsettled source is an error, and the relative distance from the target at which they end.
@@ -42,20 +42,20 @@ def source_targets(totals: DataFrame, weights: Sequence[int], cap: float = CAP)
     """Adds target to (source, total): shares of all words by weight, stopped at cap * total, the excess shared again.
 
     Filling in order of cap * total / weight, a source is stopped if what is left
-    for it and all after it, by weight, would exceed its cap. One row per source.
+    for it and all after it, by weight, would exceed its cap. However many
+    sources there are, none of this takes place in one task.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    n = F.row_number().over(by_name) - 1
-    cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(n, F.lit(len(weights))) + 1).cast("int"))
-    rows = totals.select("source", "total", cycle.alias("w")).withColumn("most", F.col("total") * cap)
-    before = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    left = F.sum("total").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    share = left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    named = running(totals.select("source", "total"), [F.col("source").asc_nulls_last()], [])
+    cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("__place", F.lit(len(weights))) + 1).cast("int"))
+    rows = named.select("source", "total", cycle.alias("w"), (F.col("total") * cap).alias("most"))
+    rows = running(rows, [F.col("most") / F.col("w"), F.col("source").asc_nulls_last()], ["most", "w"])
+    every = rows.agg(F.sum("total").alias("words"), F.sum("w").alias("w")).first()
+    left = F.lit(every.words) - F.col("__before_most")
+    share = left / (F.lit(every.w) - F.col("__before_w"))
     rows = rows.select("source", "total", "w", "most", (F.col("most") <= F.col("w") * share).alias("stopped"))
-    free = F.sum("total").over(every) - F.coalesce(F.sum(F.when(F.col("stopped"), F.col("most"))).over(every), F.lit(0.0))
-    width = F.sum(F.when(~F.col("stopped"), F.col("w"))).over(every)
-    return rows.select("source", "total", "most", F.when(F.col("stopped"), F.col("most")).otherwise(F.col("w") * free / width).alias("target"))
+    free = rows.agg(F.sum(F.when(F.col("stopped"), F.col("most")).otherwise(0.0)).alias("most"), F.sum(F.when(~F.col("stopped"), F.col("w")).otherwise(0.0)).alias("w")).first()
+    rest = (every.words - free.most) / free.w if free.w else 0.0
+    return rows.select("source", "total", "most", F.when(F.col("stopped"), F.col("most")).otherwise(F.col("w") * rest).alias("target"))
 
 
 def _rate(size: Column, mean: Column, lam: Column, cap: float) -> Column:
@@ -97,7 +97,7 @@ def balance(hist: DataFrame, weights: Sequence[int], cap: float = CAP) -> DataFr
         step = sums.withColumns({"_low": low, "_high": high}).select(
             "source", "total", "target", "mean", "full", F.when(done, F.col("lam")).when(inside, newton).otherwise(middle).alias("lam"), F.col("_low").alias("low"), F.col("_high").alias("high"), done.alias("done")
         )
-        state = save(state.filter("done").unionByName(step), "mix-state")
+        state = save(state.filter("done").unionByName(step), "mix-state", instead_of=state)
         if state.filter(~F.col("done")).isEmpty():
             break
     else:
@@ -141,11 +141,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = int(CAP)
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = int(CAP), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its copies say, columns as they were.
 
-    Rows that repeat in full (same id and text) share the sum of their copies.
+    Rows of the same id and text share the sum of their copies: each takes the
+    whole part of its share, and the first by source and columns one more.
     """
     counts = mix(docs, weights, cap, id_col, source_col, text_col)
-    due = counts.groupBy(F.col(id_col).alias("__k_id"), F.col("__tx").alias("__k_tx")).agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n"), F.max("copies").alias("__most"))
-    joined = docs.join(due, F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.xxhash64(text_of(text_col)) == F.col("__k_tx")))
-    # A single row takes its copies; among repeated rows the copies are the same in number or differ by one, and the larger goes to all.
-    times = F.when(F.col("__n") == 1, F.col("__sum")).otherwise(F.col("__most"))
-    return joined.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*[joined[c] for c in docs.columns])
+    due = counts.groupBy(F.col(id_col).alias("__k_id"), F.col("__tx").alias("__k_tx")).agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+    due = save(due, "mix-due")
+    same = F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.xxhash64(text_of(text_col)) == F.col("__k_tx"))
+    single = docs.join(due.filter("__n = 1 AND __sum > 0"), same).withColumn("__times", F.col("__sum"))
+    repeated = due.filter("__n > 1 AND __sum > 0")
+    if not repeated.isEmpty():
+        sortable = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+        place = F.row_number().over(Window.partitionBy("__k_id", "__k_tx").orderBy(F.col(f"`{source_col}`"), *[F.col(f"`{c}`") for c in sortable]))
+        shared = docs.join(repeated, same).withColumn("__place", place)
+        times = F.floor(F.col("__sum") / F.col("__n")) + (F.col("__place") <= F.pmod("__sum", "__n")).cast("int")
+        single = single.unionByName(shared.withColumn("__times", times).drop("__place"))
+    return single.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

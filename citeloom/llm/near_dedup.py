@@ -38,7 +38,10 @@ BANDS, ROWS, SEED = 40, 6, 3
 #: Agreement of signatures below which a pair is not looked at: six standard deviations under 0.8.
 AGREE = 0.64
 #: Elements that one numpy step handles, and words that a worker's cache holds.
-STEP, CACHE = 1 << 15, 500_000
+STEP, CACHE = 1 << 15, 1 << 17
+
+#: Entries of one shingle that a task of the prefix join takes from one side.
+SPLIT = 512
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -132,6 +135,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                     [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(key_list, pa.list_(pa.int64())), pa.array(sig_list, pa.binary())],
                     names=["id", "tx", "n", "digest", "keys", "sig"],
                 )
+        _words.clear()
 
     return kept.mapInArrow(run, f"id {kind}, tx bigint, n bigint, digest binary, keys array<bigint>, sig binary")
 
@@ -148,6 +152,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "set"])
+        _words.clear()
 
     return wanted.mapInArrow(run, f"id {kind}, `set` array<bigint>")
 
@@ -188,20 +193,25 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of each, and the first that they share stands early enough in both for what
     follows to hold the overlap they need. Entries that cannot meet any partner
     that way leave before the join, as do shingles of one component, so a group
-    of near copies meets in its few uncommon shingles only.
+    of near copies meets in its few uncommon shingles only. What comes out is
+    bounded by the pairs of different components that share so rare a shingle
+    so early and are of like size; a shingle with many entries is dealt to a
+    task for each SPLIT of them, each of which meets all of the other side.
     """
     tokens = docs.join(sets, "id").select("id", "comp", "n", F.explode("set").alias("t"))
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "t")) - 1
     entry = tokens.join(counts, "t").withColumn("after", F.col("n") - place)
     entry = entry.filter((F.col("after") >= F.ceil(F.col("n") * percent / 100)) & (F.col("df") > 1)).select("t", "id", "comp", "n", "after")
-    for _ in range(2):
-        group = entry.groupBy("t").agg(F.min("n").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("t", "smallest")
+    for last in (False, True):
+        group = entry.groupBy("t").agg(F.min("n").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi").select("t", "smallest", "c")
         enough = F.col("after") >= _needed(F.col("n"), F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent)
-        entry = save(entry.join(group, "t").filter(enough).select("t", "id", "comp", "n", "after"), "prefix")
-    other = entry.select(F.col("t").alias("t2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("after").alias("after2"))
-    meets = (F.col("t") == F.col("t2")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (F.least("after", "after2") >= _needed(F.col("n"), F.col("n2"), percent))
-    return entry.join(other, meets).select(F.col("id").alias("a"), "b").distinct()
+        entry = save(entry.join(group, "t").filter(enough).select("t", "id", "comp", "n", "after", *["c"] * last), "prefix", instead_of=entry if last else None)
+    parts = F.ceil(F.col("c") / SPLIT)
+    dealt = entry.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    other = entry.select(F.col("t").alias("t2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("after").alias("after2"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part2"))
+    meets = (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp2")) & (F.least("after", "after2") >= _needed(F.col("n"), F.col("n2"), percent))
+    return dealt.join(other, meets).select(F.col("id").alias("a"), "b").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

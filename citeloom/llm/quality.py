@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import save
+
 #: Bytes of a block; characters of the pieces that dictionaries are trained on; bytes of a dictionary; compression level.
 BLOCK, PIECE, DICTIONARY, LEVEL = 1000, 400, 112_640, 3
 #: Bounds of training: labelled rows of each class for its dictionary, other labelled rows for calibration, pieces for a dictionary.
@@ -147,7 +149,7 @@ def fit(
     good = known.filter((part == 0) & F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("good"))
     bad = known.filter((part == 0) & ~F.col("y")).orderBy(order, "__id").limit(dictionary_rows).withColumn("role", F.lit("bad"))
     rest = known.filter(part == 1).orderBy(order, "__id").limit(calibration_rows).withColumn("role", F.lit("rest"))
-    chosen = docs.sparkSession.createDataFrame(good.unionByName(bad).unionByName(rest).collect(), good.schema)
+    chosen = save(good.unionByName(bad).unionByName(rest), "labels")
     texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("role", "__id", "y", "text")
     learned = _dictionary_pieces(rows.filter("role <> 'rest'"), pieces)

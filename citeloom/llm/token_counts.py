@@ -58,6 +58,11 @@ class PrefixCounter:
         self.merges: MergeList = merge_list(path)
         self._known = Kept(self._within)
 
+    def forget(self) -> None:
+        """Empty the memories, so that a worker that waits holds little."""
+        self._known.forget()
+        self.merges.forget()
+
     # --- one pre-token ----------------------------------------------------------------
 
     def _within(self, piece: str) -> bytes | list[int]:
@@ -163,6 +168,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             columns = list(zip(*rows)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+        counter.forget()
 
     return kept.mapInArrow(run, schema)
 
@@ -181,5 +187,6 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc
                 [batch.column(0), pa.array([r.ends for r in rows], pa.list_(pa.int32())), pa.array([r.counts for r in rows], pa.list_(pa.int32()))],
                 names=[id_col, "prefix_ends", "prefix_tokens"],
             )
+        counter.forget()
 
     return kept.mapInArrow(run, schema)

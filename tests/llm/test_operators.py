@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from citeloom.llm import bpe, exact_dedup, hilbert, line_dedup, merges, mixing, near_dedup, neighbours, quality, queries, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, common, exact_dedup, hilbert, line_dedup, merges, mixing, near_dedup, neighbours, quality, queries, secret_scan, token_counts, url_filter
 from citeloom.llm.components import components
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -51,8 +51,8 @@ def odd():
 # --- 1 lines -------------------------------------------------------------------------------
 
 
-def near_lines(a, b):
-    if a == b or min(len(a), len(b)) < 16 or abs(len(a) - len(b)) > 1:
+def near_lines(a, b, least=16):
+    if a == b or min(len(a), len(b)) < least or abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
@@ -60,10 +60,10 @@ def near_lines(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute_lines(rows):
+def brute_lines(rows, least=16):
     """(id, line_no) -> kept; an earlier line that is equal or near sends a line away."""
     lines = sorted((i, n, line) for i, t in rows for n, line in enumerate((t or "").split("\n")) if line.strip(" \t\n\r\x0b\x0c"))
-    return {(i, n): not any(line == b or near_lines(line, b) for _, _, b in lines[:k]) for k, (i, n, line) in enumerate(lines)}
+    return {(i, n): not any(line == b or near_lines(line, b, least) for _, _, b in lines[:k]) for k, (i, n, line) in enumerate(lines)}
 
 
 def test_lines_equal_brute_force(spark):
@@ -80,11 +80,41 @@ def test_lines_equal_brute_force(spark):
                 line = rng.choice([line[:k] + "z" + line[k:], line[:k] + line[k + 1 :], line[:k] + "y" + line[k + 1 :]])
             lines.append(line)
         rows.append((i, "\n".join(lines)))
-    want = brute_lines(rows)
-    got = {r.doc_id: (r.text, r.n_equal + r.n_near) for r in line_dedup.line_report(made(spark, rows)).collect()}
+    for least in (16, 1):
+        want = brute_lines(rows, least)
+        got = {r.doc_id: (r.text, r.n_equal + r.n_near) for r in line_dedup.line_report(made(spark, rows), min_near=least).collect()}
+        for i, t in rows:
+            lines = t.split("\n")
+            assert got[i] == ("\n".join(x for n, x in enumerate(lines) if want.get((i, n), True)), sum(not want.get((i, n), True) for n in range(len(lines)))), (i, least)
+
+
+def test_lines_of_odd_rows(spark, monkeypatch):
+    """Null ids come last, repeated rows lose the same lines, a text that differs under the same id is a row of its own; a hot line and a long text."""
+    text = "a line of some length here\nanother line\na line of some length herE"
+    rows = [(1, text), (1, text), (2, text), (2, "another line\nnew"), (None, "new\nonly in the null row"), (None, "new\nonly in the null row"), (3, None), (4, ""), (5, "\n" * 5000 + "\n".join(f"line number {i} is long {i * i}" for i in range(5000)) + "\nanother line")]
+    order = lambda r: (r[0] is None, r[0] or 0)
+    want = Counter()
     for i, t in rows:
-        lines = t.split("\n")
-        assert got[i] == ("\n".join(x for n, x in enumerate(lines) if want.get((i, n), True)), sum(not want.get((i, n), True) for n in range(len(lines)))), i
+        kept = []
+        for n, line in enumerate((t or "").split("\n")):
+            earlier = [b for j, u in rows for m, b in enumerate((u or "").split("\n")) if (order((j, 0)), m) < (order((i, 0)), n) or (order((j, 0)) == order((i, 0)) and m == n and text_key(spark, u) < text_key(spark, t))] if i != 5 else [b for _, u in rows[:4] for b in u.split("\n")]
+            if not line.strip() or not any(line == b or near_lines(line, b) for b in earlier):
+                kept.append(line)
+        want[(i, "\n".join(kept))] += 1
+    for hot in (4096, 2):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = Counter((r.doc_id, r.text or "") for r in line_dedup.line_dedup(made(spark, rows)).collect())
+        assert got == want, hot
+
+
+_text_keys = {}
+
+
+def text_key(spark, text):
+    """The text's hash by which rows of one id are ordered."""
+    if text not in _text_keys:
+        _text_keys[text] = spark.createDataFrame([(text or "",)], "t string").select(F.xxhash64("t")).first()[0]
+    return _text_keys[text]
 
 
 @given(st.text("abc", min_size=16, max_size=40), st.integers(0, 39), st.sampled_from("abcd"), st.sampled_from(["sub", "ins", "del"]))
@@ -704,8 +734,45 @@ def test_mixing(spark):
     assert again == Counter(tuple(r) for r in got)
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
-    single = {r.doc_id: r.copies for r in got if r.doc_id not in (None, 2001)}
-    assert Counter(r.doc_id for r in mixed.collect() if r.doc_id not in (None, 2001)) == Counter({i: c for i, c in single.items() if c})
+    copies = Counter()
+    for r in got:
+        copies[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixed.collect()) == +copies
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 20 + i % 9), f"s{i % 2}") for i in range(200)]
+    rows += [(7, "the same text in rows that repeat", f"s{k % 3}") for k in range(7)] + [(None, "no id", "s0")] * 5
+    docs = made(spark, rows)
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[(r.doc_id, r["__tx"])] += r.copies
+    mixed = mixing.mixed_rows(docs).withColumn("__tx", F.xxhash64("text")).collect()
+    assert Counter((r.doc_id, r["__tx"]) for r in mixed) == +copies
+
+
+def test_targets_of_many_sources(spark):
+    totals = {f"s{i:03d}": (i * 37) % 101 + 1 for i in range(300)} | {None: 40}
+    got = mixing.source_targets(spark.createDataFrame([(s, float(t)) for s, t in totals.items()], "source string, total double"), (5, 2, 1)).collect()
+    want = brute_targets(totals)
+    assert len(got) == 301 and all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
+def test_hot_groups_join_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 20}") for i in range(300)], "id bigint, k string")
+    groups = rows.filter("k <> 'k3'").groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
+    plain = sorted(map(tuple, common.join_groups(rows, groups, ["k"], "c", ["id"]).select("id", "k", "c", "first").collect()))
+    monkeypatch.setattr(common, "HOT", 50)
+    assert sorted(map(tuple, common.join_groups(rows, groups, ["k"], "c", ["id"]).select("id", "k", "c", "first").collect())) == plain and len(plain) > 250
+
+
+def test_saved_tables_go(spark):
+    first = common.save(spark.range(5).toDF("id"), "t")
+    path = common._paths[first]
+    second = common.save(first.select((F.col("id") * 2).alias("id")), "t", instead_of=first)
+    place, files = common._folder(spark, path)
+    assert not files.exists(place) and sorted(r.id for r in second.collect()) == [0, 2, 4, 6, 8]
 
 
 # --- all -----------------------------------------------------------------------------------
