@@ -1,9 +1,13 @@
-"""Column functions over citation text; all stay inside the JVM."""
+"""Column functions over citation text; all stay inside the JVM, but for ``ascii_form``."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from citeloom.functions import patterns as P
 
@@ -187,7 +191,16 @@ def search_keywords(kind: Column, title: Column, short_title: Column, identifier
 def pdf_name(url: Column) -> Column:
     """Last part of the url's path, with .pdf at its end."""
     path = F.rtrim(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), F.lit("/"))
-    name = F.element_at(F.split(path, "/"), -1)
+    return _with_pdf(F.element_at(F.split(path, "/"), -1))
+
+
+def safe_name(url: Column) -> Column:
+    """Last part of the whole url once its escapes are undone, with .pdf at its end; escapes that are not valid stay."""
+    plain = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+    return _with_pdf(F.element_at(F.split(F.rtrim(plain, F.lit("/")), "/"), -1))
+
+
+def _with_pdf(name: Column) -> Column:
     return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
@@ -200,39 +213,54 @@ def pdf_link(html: Column, suffix: str = ".pdf", prefer: str = "attachdocs") ->
     return F.coalesce(F.get(F.filter(every, lambda u: F.lower(u).contains(prefer)), F.lit(0)), F.get(every, F.lit(0)))
 
 
-# --- scoring ---------------------------------------------------------------------------
+def strict_pdf_link(html: Column, host: str = P.HOST) -> Column:
+    """The first file= parameter that names a PDF on the host; null where there is none."""
+    return extract(html, rf"(?i)file=(https://{host.replace('.', '[.]')}/[^'\"<>]+\.pdf)", 1)
+
+
+def _without_dots(path: Column, squeeze: bool) -> Column:
+    """A path that starts with a slash, with its "." and ".." parts resolved and, if ``squeeze``, empty ones left out."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    inner = F.filter(inner, lambda s: s != "") if squeeze else inner
+    every = F.concat(inner, F.array(last), F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    kept = F.aggregate(
+        every, F.array().cast("array<string>"), lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s))
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
-def _ascii(value: Column) -> Column:
-    """Latin letters without their accents and nothing beyond ASCII.
+def absolute_url(base: Column, link: Column) -> Column:
+    """A page's link as a url of its own: relative to the page's folder, its host, its scheme, or as it is; null for no link."""
+    part = lambda u, i: F.regexp_extract(u, r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$", i)
+    site = F.concat(part(base, 1), F.lit(":"), part(base, 2))
+    path, rest = part(link, 3), F.concat(part(link, 4), part(link, 5))
+    folder = F.concat(F.regexp_extract(part(base, 3), r"^(.*/)?", 1), F.when(part(base, 3).contains("/"), "").otherwise("/"))
+    return (
+        F.when(link.isNull(), None).when(link == "", base).when(part(link, 1) != "", link).when(part(link, 2) != "", F.concat(part(base, 1), F.lit(":"), link))
+        .when(path.startswith("/"), F.concat(site, _without_dots(path, False), rest)).when(path != "", F.concat(site, _without_dots(F.concat(folder, path), True), rest))
+        .when(link.startswith("?"), F.concat(site, part(base, 3), rest)).otherwise(F.concat(site, part(base, 3), part(base, 4), rest))
+    )
+
+
+# --- scoring ---------------------------------------------------------------------------
 
-    The accents are taken off by a table made from Unicode's own decompositions,
-    so this stays in the JVM; it covers Latin, compatibility forms included.
-    """
-    import unicodedata
 
-    one, many = [], {}
-    for cp in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
-        plain = unicodedata.normalize("NFKD", chr(cp)).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
-            one.append((chr(cp), plain))
-        elif plain:
-            many[chr(cp)] = plain
-    out = F.translate(value, "".join(a for a, _ in one), "".join(b for _, b in one))
-    for mark, plain in many.items():
-        if mark in "ﬀﬁﬂﬃﬄ…½¼¾":
-            out = F.replace(out, F.lit(mark), F.lit(plain))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+@F.pandas_udf(StringType())
+def ascii_form(values: pd.Series) -> pd.Series:
+    """Compatibility decomposition, and of that what is ASCII; Spark has no function for it, so batches go through Arrow."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 
 
 def normalize_text(value: str | Column) -> Column:
-    low = F.replace(F.lower(_ascii(F.coalesce(text(value), F.lit("")))), F.lit("&"), F.lit(" and "))
+    low = F.replace(F.lower(ascii_form(F.coalesce(text(value), F.lit("")))), F.lit("&"), F.lit(" and "))
     named = F.replace(low, F.lit(P.ISSUER_LONG.lower()), F.lit(P.ISSUER.lower()))
     return F.trim(F.regexp_replace(named, r"[^a-z0-9]+", " "))
 
 
 def normalize_identifier(value: str | Column) -> Column:
-    return F.regexp_replace(F.upper(_ascii(F.coalesce(text(value), F.lit("")))), r"[^A-Z0-9]+", "")
+    return F.regexp_replace(F.upper(ascii_form(F.coalesce(text(value), F.lit("")))), r"[^A-Z0-9]+", "")
 
 
 def normalize_url(value: str | Column) -> Column:

@@ -20,12 +20,27 @@ def gold_rows(gold_files: DataFrame) -> DataFrame:
     )
 
 
+_REFERENCE = (
+    "canonical_key string, canonical_title string, title string, official_identifier string, identifier string, document_type string, type string, resolved_url string, url string"
+)
+
+
 def prediction_rows(files: DataFrame) -> DataFrame:
-    """References of prediction files; of two spellings of a field the first that holds a value counts."""
-    rows = files.select("fixture_id", F.posexplode("references").alias("idx", "r"))
+    """References of prediction files; of two spellings of a field the first that is there counts, even if it holds null.
+
+    Pages that are not whole numbers, "3" among them, are left out.
+    """
+    rows = files.select("fixture_id", F.posexplode("references").alias("idx", "json"))
+    rows = rows.select("fixture_id", "idx", "json", F.json_object_keys("json").alias("keys"), F.from_json("json", _REFERENCE).alias("r"))
+
+    def pick(first: str, second: str) -> Column:
+        return F.when(F.array_contains("keys", first), F.col(f"r.{first}")).otherwise(F.col(f"r.{second}"))
+
+    pages = F.from_json(F.get_json_object("json", "$.source_pages"), "array<variant>")
+    whole = F.transform(F.filter(pages, lambda p: F.schema_of_variant(p) == "BIGINT"), lambda p: F.variant_get(p, "$", "int"))
     return rows.select(
-        "fixture_id", "idx", F.col("r.canonical_key").alias("key"), F.coalesce("r.canonical_title", "r.title").alias("title"), F.coalesce("r.official_identifier", "r.identifier").alias("identifier"),
-        F.coalesce("r.document_type", "r.type").alias("document_type"), F.col("r.source_pages").alias("pages"), F.coalesce("r.resolved_url", "r.url").alias("url"),
+        "fixture_id", "idx", F.col("r.canonical_key").alias("key"), pick("canonical_title", "title").alias("title"), pick("official_identifier", "identifier").alias("identifier"),
+        pick("document_type", "type").alias("document_type"), F.coalesce(whole, F.array().cast("array<int>")).alias("pages"), pick("resolved_url", "url").alias("url"),
     )
 
 
@@ -117,10 +132,23 @@ def macro_average(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(*[F.avg(n).alias(n.replace("_metrics.", "_")) for n in names], *[F.avg(n).alias(n) for n in plain])
 
 
-def report(evaluated: DataFrame) -> str:
-    """The metrics as a Markdown table, one line for each fixture; meant for the few rows of a gold set."""
+#: The report's headings.
+_HEAD = ("Fixture", "Doc F1", "Page F1", "Title Exact Recall", "Type Acc", "URL Resolution Rate")
+_MACRO = (
+    ("Doc Precision", "doc_precision"), ("Doc Recall", "doc_recall"), ("Doc F1", "doc_f1"), ("Page Precision", "page_precision"), ("Page Recall", "page_recall"), ("Page F1", "page_f1"),
+    ("Title Exact Recall", "title_exact_recall"), ("Title Presence Recall", "title_presence_recall"), ("Type Accuracy on Matched Docs", "type_accuracy_on_matched_docs"), ("URL Resolution Rate", "url_resolution_rate"),
+)
+
+
+def report(evaluated: DataFrame, form: str = "markdown") -> str:
+    """The metrics as Markdown tables, by fixture and averaged, or as JSON; meant for the few rows of a gold set."""
+    if form == "json":
+        rows = evaluated.orderBy("fixture_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("j")).collect()
+        return "[\n" + ",\n".join(r.j for r in rows) + "\n]"
     share = lambda v: "n/a" if v is None else f"{v * 100:.1f}%"
-    rows = evaluated.orderBy("fixture_id").collect()
-    head = "| fixture | doc P | doc R | doc F1 | page P | page R | page F1 | title | type |\n|---|---|---|---|---|---|---|---|---|\n"
-    line = lambda r: [r.fixture_id, *[share(r[m][x]) for m in ("doc_metrics", "page_metrics") for x in ("precision", "recall", "f1")], share(r.title_exact_recall), share(r.type_accuracy_on_matched_docs)]
-    return head + "".join("| " + " | ".join(line(r)) + " |\n" for r in rows)
+    row = lambda cells: "| " + " | ".join(cells) + " |"
+    out = [row(_HEAD), "|---|" + "---:|" * (len(_HEAD) - 1)]
+    for r in evaluated.orderBy("fixture_id").collect():
+        out.append(row([r.fixture_id, *map(share, (r.doc_metrics.f1, r.page_metrics.f1, r.title_exact_recall, r.type_accuracy_on_matched_docs, r.url_resolution_rate))]))
+    means = macro_average(evaluated).first()
+    return "\n".join([*out, "", "## Macro Average", "", row(("Metric", "Value")), "|---|---:|", *[row((name, share(means[column]))) for name, column in _MACRO]])

@@ -96,28 +96,29 @@ def _numbered(rank: int, make):
 def explicit_findings(paragraphs: DataFrame) -> DataFrame:
     """One row for each citation in full form, before overlaps are dropped: these make the documents.
 
-    Columns doc_key, para_seq, pattern, pos (order within a paragraph), start, end, the finding's fields, locators.
+    Columns doc_key, page_number, para_seq, pattern, pos (order within a paragraph), start, end, the finding's fields, locators.
     """
     paragraph = F.col("text")
     lists = []
     for rank, (pattern, guard, make) in enumerate(_patterns(paragraph)):
         lists.append(F.when(guard, F.transform(spans.find_all(paragraph, pattern), _numbered(rank, make))))
-    rows = paragraphs.select("doc_key", "para_seq", "text", F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("m"))
-    return rows.select("doc_key", "para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(paragraph, F.lit(1), F.col("m.start"))).alias("locators"))
+    rows = paragraphs.select("doc_key", "page_number", "para_seq", "text", F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("m"))
+    return rows.select("doc_key", "page_number", "para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(paragraph, F.lit(1), F.col("m.start"))).alias("locators"))
 
 
-def documents(findings: DataFrame) -> DataFrame:
-    """One row per cited document of each citing one: attributes as first seen, all aliases, number by first sight."""
+def documents(findings: DataFrame, *also: Column) -> DataFrame:
+    """One row per cited document of each citing one: attributes as first seen, all aliases, number by first sight; and ``also``, named aggregates of its findings."""
     order = F.struct("para_seq", "pattern", "pos")
     first = lambda c: F.min_by(c, order).alias(c)
     fields = ["document_type", "title", "identifier", "date", "year", "issuing_body", "title_source"]
     rows = findings.groupBy("doc_key", "key").agg(
         *[first(c) for c in fields], F.min_by("short_title", F.when(F.col("short_title").isNotNull(), order)).alias("short_title"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.min(order).alias("__seen"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), F.min(order).alias("__seen"), *also,
     )
     number = F.row_number().over(Window.partitionBy("doc_key").orderBy("__seen"))
+    more = [c for c in rows.columns if c not in {"doc_key", "key", "short_title", "aliases", "__seen", *fields}]
     rows = rows.withColumn("document_no", number).withColumn("document_id", F.format_string("doc_%03d", number))
-    return rows.select("doc_key", "document_id", "document_no", "key", "document_type", "title", "short_title", "identifier", "date", "year", "issuing_body", "aliases", "title_source")
+    return rows.select("doc_key", "document_id", "document_no", "key", "document_type", "title", "short_title", "identifier", "date", "year", "issuing_body", "aliases", "title_source", *more)
 
 
 def alias_bindings(findings: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -141,10 +142,19 @@ def kept_findings(findings: DataFrame) -> DataFrame:
 
 
 def alias_findings(paragraphs: DataFrame, kept: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Uses of bound aliases that overlap no full citation: doc_key, para_seq, start, end, document_id, match_text, locators."""
+    """Uses of bound aliases that overlap no full citation: doc_key, para_seq, start, end, document_id, match_text, locators.
+
+    A use takes the last binding up to its paragraph: bindings and uses of an
+    alias are put in one order and the document is carried along, so the work
+    grows with their number, not with the product.
+    """
     taken = kept.groupBy("doc_key", "para_seq").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    rows = paragraphs.select("doc_key", "para_seq", "text").join(bindings, "doc_key")
-    rows = rows.filter((F.col("para_seq") >= F.col("from_seq")) & (F.col("para_seq") < F.col("to_seq")) & F.lower("text").contains(F.col("alias")))
+    named = paragraphs.select("doc_key", "para_seq", "text").join(bindings.select("doc_key", "alias").distinct(), "doc_key").filter(F.lower("text").contains(F.col("alias")))
+    none = F.lit(None).cast("string")
+    uses = named.select("doc_key", "alias", "para_seq", F.lit(1).alias("use"), "text", none.alias("document_id"))
+    events = uses.unionByName(bindings.select("doc_key", "alias", F.col("from_seq").alias("para_seq"), F.lit(0).alias("use"), none.alias("text"), "document_id"))
+    carried = F.last("document_id", ignorenulls=True).over(Window.partitionBy("doc_key", "alias").orderBy("para_seq", "use").rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.withColumn("document_id", carried).filter("use = 1 AND document_id IS NOT NULL")
     quoted = F.concat(F.lit("(?iU)\\b\\Q"), F.col("alias"), F.lit("\\E\\b"))
     rows = rows.join(taken, ["doc_key", "para_seq"], "left").withColumn("m", F.explode(spans.find_all(F.col("text"), quoted)))
     rows = rows.filter(spans.overlaps_none(F.col("m.start"), F.col("m.end"), F.col("taken")))

@@ -1,6 +1,6 @@
 """Positioned lines to typed paragraphs.
 
-lines: doc_key, page_number, page_width, page_height, text, x0, y0, x1, y1 (bottom-up points), fonts, sizes, size_mean.
+lines: doc_key, page_number, page_width, page_height, text, x0, y0, x1, y1 (bottom-up points), fonts, sizes, size_mean and, where characters were seen, bold_ratio.
 decorations: doc_key, page_number, x0, x1, y, width.
 """
 
@@ -14,6 +14,21 @@ from citeloom.functions import patterns as P
 PAGE = ["doc_key", "page_number"]
 
 
+def line_fonts(chars: DataFrame) -> DataFrame:
+    """Font statistics of each line from its characters (doc_key, page_number, line_key, font, size): fonts, sizes, size_mean, bold_ratio, char_count."""
+    size = F.bround("size", 2)
+    return chars.groupBy(*PAGE, "line_key").agg(
+        F.array_sort(F.collect_set("font")).alias("fonts"), F.array_sort(F.collect_set(size)).alias("sizes"), F.bround(F.avg(size), 2).alias("size_mean"),
+        F.bround(F.avg(F.lower("font").contains("bold").cast("double")), 3).alias("bold_ratio"), F.count(F.lit(1)).cast("int").alias("char_count"),
+    )
+
+
+def is_bold(lines: DataFrame) -> Column:
+    """Half of the characters or more, or any of the fonts."""
+    any_font = F.exists("fonts", lambda f: F.lower(f).contains("bold"))
+    return (F.coalesce(F.col("bold_ratio"), F.lit(0.0)) >= 0.5) | any_font if "bold_ratio" in lines.columns else any_font
+
+
 def alignment() -> Column:
     off = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_width") / 2)
     return F.when(off <= 20, "center").when((F.col("x1") >= F.col("page_width") - 80) & (F.col("x0") > F.col("page_width") / 2), "right").otherwise("left")
@@ -45,7 +60,7 @@ def typed_lines(lines: DataFrame, decorations: DataFrame) -> DataFrame:
     rows = lines.withColumn("line_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.col("y1").desc(), "x0", "text")))
     under = underlined(rows, decorations).select(*PAGE, "line_no").withColumn("is_underlined_guess", F.lit(True))
     rows = rows.join(under, [*PAGE, "line_no"], "left").withColumn("is_underlined_guess", F.coalesce("is_underlined_guess", F.lit(False)))
-    rows = rows.withColumn("alignment", alignment()).withColumn("is_bold", F.exists("fonts", lambda f: F.lower(f).contains("bold")))
+    rows = rows.withColumn("alignment", alignment()).withColumn("is_bold", is_bold(lines))
     rows = rows.withColumn("block_type", block_type())
     page = Window.partitionBy(*PAGE)
     body = (F.btrim("text") != "") & (F.col("alignment") != "center") & ~F.col("block_type").isin("header", "footer")
@@ -105,9 +120,41 @@ def paragraphs(numbered: DataFrame) -> DataFrame:
 
 
 def text_profile(page_texts: DataFrame) -> DataFrame:
-    """Per document (doc_key, page_number, text): pages, pages with text, characters, whether it can be read, two samples of 400 characters."""
-    body = F.btrim(F.coalesce("text", F.lit("")))
+    """Per document (doc_key, page_number, text): pages, pages with text, characters, whether it can be read, two samples of 400 characters.
+
+    The two pages of each document that give samples are chosen by rank, which
+    Spark limits before it shuffles, so no other text is gathered.
+    """
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     rows = page_texts.select("doc_key", "page_number", body.alias("t"))
-    sample = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page_number", F.substring("t", 1, 400).alias("t"))))), 1, 2), lambda x: x["t"])
-    out = rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("t") != "").alias("text_pages"), F.sum(F.length("t")).alias("total_chars"), sample.alias("samples"))
+    place = F.row_number().over(Window.partitionBy("doc_key").orderBy("page_number"))
+    firsts = rows.filter("t <> ''").select("doc_key", "page_number", F.substring("t", 1, 400).alias("t")).withColumn("n", place).filter("n <= 2")
+    samples = firsts.groupBy("doc_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("samples"))
+    out = rows.groupBy("doc_key").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("t") != "").alias("text_pages"), F.sum(F.length("t")).alias("total_chars"))
+    out = out.join(samples, "doc_key", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     return out.withColumn("extractable", (F.col("text_pages") > 0) & (F.col("total_chars") > 200))
+
+
+def structured(numbered: DataFrame) -> DataFrame:
+    """Pages with their paragraphs and lines nested, one row per document: doc_key, pages.
+
+    ``numbered`` are lines with para_no (``islands``); a line's id is its place in its paragraph.
+    """
+    para_id = F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("."), F.col("para_no").cast("string"))
+    place = F.row_number().over(Window.partitionBy(*PAGE, "para_no").orderBy("line_no"))
+    indent = F.bround(F.col("x0") - F.col("margin_left"), 2)
+    rows = numbered.withColumn("paragraph_id", para_id).withColumn("line_id", F.concat(para_id, F.lit(".l"), place.cast("string")))
+    some = [c for c in ("fonts", "sizes", "size_mean", "bold_ratio") if c in numbered.columns]
+    line = F.struct(
+        "line_no", "line_id", "paragraph_id", F.btrim("text").alias("text"), *[F.bround(a, 2).alias(b) for a, b in (("x0", "left"), ("x1", "right"), ("y1", "top"), ("y0", "bottom"))], *some, "is_bold", "is_underlined_guess",
+        indent.alias("indent_points"), F.bround(F.greatest(F.lit(0.0), indent) / 18, 0).cast("int").alias("indent_level"), "alignment", "block_type",
+    )
+    lines = rows.groupBy(*PAGE).agg(
+        F.bround(F.first("page_width"), 2).alias("width"), F.bround(F.first("page_height"), 2).alias("height"), F.bround(F.first("margin_left"), 2).alias("margin_left"), F.array_sort(F.collect_list(line)).alias("lines")
+    )
+    ids = rows.groupBy(*PAGE, "para_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line_id"))), lambda x: x["line_id"]).alias("line_ids"))
+    paras = paragraphs(numbered).join(ids, [*PAGE, "para_no"])
+    box = F.struct("left", "bottom", "right", "top").alias("bbox")
+    nested = paras.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("para_no", "paragraph_id", "block_type", "text", box, "indent_points", "indent_level", "is_bold", "is_underlined_guess", "line_ids"))).alias("paragraphs"))
+    page = lines.join(indent_steps(numbered), PAGE).join(nested, PAGE)
+    return page.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("page_number", "width", "height", "margin_left", "indent_steps", "paragraphs", "lines"))).alias("pages"))

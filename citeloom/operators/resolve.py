@@ -77,6 +77,13 @@ def resolve(documents: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.select(*documents.columns, url.alias("resolved_url"), status.alias("resolution_status"))
 
 
+def resolve_open(documents: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that carry resolved_url and resolution_status, of which only those still "unresolved" are looked for; and the counts of these."""
+    open_ = F.coalesce(F.col("resolution_status"), F.lit("unresolved")) == "unresolved"
+    tried = resolve(documents.filter(open_).drop("resolved_url", "resolution_status"), listing)
+    return documents.filter(~open_).unionByName(tried), status_counts(tried)
+
+
 def status_counts(resolved: DataFrame) -> DataFrame:
     is_ = lambda s: F.count_if(F.col("resolution_status") == s).alias(s)
     return resolved.agg(is_("resolved"), is_("resolved_approx"), is_("unresolved"))

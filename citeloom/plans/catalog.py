@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import patterns as P
 from citeloom.functions import text as T
+from citeloom.operators import assemble as A
 from citeloom.operators import discover as D
 from citeloom.operators import evaluate as E
 from citeloom.operators import extract as X
@@ -126,9 +127,11 @@ def date_normalize(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, CASE WHEN length(a) BETWEEN 1 AND 80 THEN a END AS alias FROM (SELECT doc_id, trim(regexp_replace(text, '" + _BLANK + "', ' ', 'g')[:90], '()[]{}\"'' ') AS a FROM documents)")
+@query("SELECT doc_id, no, CASE WHEN length(a) BETWEEN 1 AND 80 THEN a END AS alias FROM (SELECT doc_id, no, trim(trim(regexp_replace(translate(line, '“”’‘', '\"\"' || chr(39) || chr(39)), '" + _BLANK + "', ' ', 'g'), ' '), '()[]{}\"'' ') AS a FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS line, generate_subscripts(string_split(text, '. '), 1)::INT AS no FROM documents))")
 def clean_alias(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.clean_alias(F.substring(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " "), 1, 90)).alias("alias"))
+    """Every sentence of every document as an alias."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("n", "line"))
+    return rows.select("doc_id", (F.col("n") + 1).alias("no"), T.clean_alias("line").alias("alias"))
 
 
 # --- pattern extraction --------------------------------------------------------------------
@@ -206,40 +209,104 @@ _DOCUMENTS = f"""{_FINDINGS}, docs AS (
 FROM numbered n JOIN keyed k USING (doc_key, key) GROUP BY ALL""")
 def cited_documents(spark, sf_dir):
     """Which documents each customer's paragraphs cite, how often in full, and on which pages."""
-    text = X.sequenced(paragraphs(spark, sf_dir))
-    found = X.explicit_findings(text)
-    docs = X.documents(found)
-    where = found.join(text.select("doc_key", "para_seq", "page_number"), ["doc_key", "para_seq"]).groupBy("doc_key", "key").agg(F.count(F.lit(1)).alias("n_findings"), F.array_sort(F.collect_set("page_number")).alias("pages"))
-    return docs.join(where, ["doc_key", "key"]).select("doc_key", "document_id", "document_type", "title", "identifier", "date", "year", "n_findings", "pages")
+    found = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir)))
+    docs = X.documents(found, F.count(F.lit(1)).alias("n_findings"), F.array_sort(F.collect_set("page_number")).alias("pages"))
+    return docs.select("doc_key", "document_id", "document_type", "title", "identifier", "date", "year", "n_findings", "pages")
 
 
-@query(CORPUS_SQL + _DOCUMENTS + """, since AS (
+_BOUND = f"""{_DOCUMENTS}, since AS (
   SELECT doc_key, key, CASE pattern WHEN 0 THEN 'master circular' ELSE 'mf regulations' END AS alias, min(para_seq * 10 + pattern) AS since FROM keyed
   WHERE pattern = 0 OR (pattern = 2 AND contains(text, '("MF Regulations")')) GROUP BY ALL
 ), bound AS (
   SELECT k.doc_key, alias, k.para_seq, arg_max(document_id, k.para_seq * 10 + pattern) AS document_id FROM keyed k JOIN since s ON k.doc_key = s.doc_key AND k.key = s.key AND k.para_seq * 10 + pattern >= since
   JOIN numbered n ON n.doc_key = k.doc_key AND n.key = k.key GROUP BY ALL
-) SELECT doc_key, alias, document_id, para_seq AS from_seq, coalesce(lead(para_seq) OVER (PARTITION BY doc_key, alias ORDER BY para_seq), 2147483647)::INT AS to_seq FROM bound""")
+), bindings AS (SELECT doc_key, alias, document_id, para_seq AS from_seq, coalesce(lead(para_seq) OVER (PARTITION BY doc_key, alias ORDER BY para_seq), 2147483647)::INT AS to_seq FROM bound)
+"""
+#: No full citation of the corpus lies in another, and an alias stands at most once in a paragraph.
+_ALIASED = f"""{_BOUND}, aliased AS (
+  SELECT m.doc_key, m.para_seq, (strpos(lower(m.text), alias) - 1)::INT AS start, (strpos(lower(m.text), alias) - 1 + length(alias))::INT AS "end", document_id, substr(m.text, strpos(lower(m.text), alias), length(alias)) AS match_text
+  FROM merged m JOIN bindings b ON m.doc_key = b.doc_key AND m.para_seq >= from_seq AND m.para_seq < to_seq AND contains(lower(m.text), alias)
+  WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE k.doc_key = m.doc_key AND k.para_seq = m.para_seq AND strpos(lower(m.text), alias) - 1 < k."end" AND k.start < strpos(lower(m.text), alias) - 1 + length(alias))
+)
+"""
+_LOCATOR_SQL = r"(?i)((?:para(?:s)?|regulation(?:s)?|section(?:s)?|chapter|clause(?:s)?|annexure)[^.;:\n]{0,140})\s+of(?:\s+the)?\s*$"
+_SURE_SQL = f"""CASE WHEN alias_only THEN {{alias}} WHEN document_type IN ('act', 'regulations') THEN {{formal}} WHEN document_type = 'master_circular' AND title <> '' AND date <> '' THEN {{master_circular}}
+  WHEN document_type = 'circular' AND identifier <> '' THEN {{circular}} WHEN document_type = 'notification' AND date <> '' THEN {{notification}} ELSE {{other}} END"""
+
+
+def _sure_sql(part: int) -> str:
+    quoted = {name: str(values[part]) if part == 0 else f"'{values[part]}'" for name, values in P.CONFIDENCE.items()}
+    return _SURE_SQL.format(**quoted)
+
+
+_MENTIONS = f"""{_ALIASED}, every AS (
+  SELECT k.doc_key, k.para_seq, document_id, false AS alias_only, start, "end", CASE pattern WHEN 0 THEN regexp_replace(trim(hit), '(?i)\\s+(?:{'|'.join(P.VERBS)})\\b.*$', '') ELSE hit END AS match_text
+  FROM keyed k JOIN numbered n ON n.doc_key = k.doc_key AND n.key = k.key UNION ALL SELECT doc_key, para_seq, document_id, true, start, "end", match_text FROM aliased
+), used AS (
+  SELECT e.*, m.page_number, m.para_no, m.text, nullif(regexp_extract(left(m.text, start), {_q(_LOCATOR_SQL)}, 1), '') AS raw FROM every e JOIN merged m USING (doc_key, para_seq) WHERE NOT contains(lower(match_text), 'this circular')
+), grouped AS (
+  SELECT doc_key, para_seq, page_number, para_no, text, document_id, bool_and(alias_only) AS alias_only, list_sort(list_distinct(list(match_text))) AS match_texts, max(raw) AS raw FROM used GROUP BY ALL
+), mentioned AS (
+  SELECT g.doc_key, 'ref_' || lpad(row_number() OVER (PARTITION BY g.doc_key ORDER BY para_seq, g.document_id)::VARCHAR, 3, '0') AS mention_id, g.document_id, page_number AS source_page, 'p' || page_number || '.' || para_no AS source_paragraph_id,
+    match_texts, text AS evidence_text, {_RELATION_SQL} AS relation_type, raw,
+    CASE WHEN starts_with(lower(raw), 'para') THEN [regexp_extract(raw, '[0-9]+')] ELSE [] END AS paragraphs, CASE WHEN starts_with(lower(raw), 'regulation') THEN [regexp_extract(raw, '[0-9]+')] || CASE WHEN regexp_extract(raw, '[0-9]+') <> '1' THEN ['1'] ELSE [] END ELSE [] END AS regulations,
+    CASE WHEN starts_with(lower(raw), 'section') THEN [regexp_extract(raw, '[0-9]+')] ELSE [] END AS sections, ({_sure_sql(0)})::DOUBLE AS confidence, {_sure_sql(1)} AS confidence_label, {_sure_sql(2)} AS confidence_reason
+  FROM grouped g JOIN numbered n ON n.doc_key = g.doc_key AND n.document_id = g.document_id
+)
+"""
+
+
+@query(CORPUS_SQL + _BOUND + "SELECT * FROM bindings")
 def alias_bindings(spark, sf_dir):
     """Which document an alias means, as of each paragraph."""
     found = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir)))
     return X.alias_bindings(found, X.documents(found))
 
 
-@query()
+def _extracted(spark, sf_dir) -> X.Extraction:
+    """Lazy throughout: a query that is only planned leaves nothing behind."""
+    return X.Extraction(paragraphs(spark, sf_dir), persist=False)
+
+
+@query(CORPUS_SQL + _ALIASED + "SELECT * FROM aliased")
 def alias_mentions(spark, sf_dir):
-    got = X.Extraction(paragraphs(spark, sf_dir))
-    return got.aliased.select("doc_key", "para_seq", "start", "end", "document_id", "match_text")
+    return _extracted(spark, sf_dir).aliased.select("doc_key", "para_seq", "start", "end", "document_id", "match_text")
+
+
+def _flat(mentions: DataFrame) -> DataFrame:
+    """Mentions with the locators that the corpus has as columns; there is one raw locator at most."""
+    at = F.col("target_locators")
+    return mentions.select(
+        "doc_key", "mention_id", "document_id", "source_page", "source_paragraph_id", "match_texts", "evidence_text", "relation_type", at["raw"][0].alias("raw"), at["paragraphs"].alias("paragraphs"), at["regulations"].alias("regulations"),
+        at["sections"].alias("sections"), "confidence", "confidence_label", "confidence_reason",
+    )
 
 
-@query()
+@query(CORPUS_SQL + _MENTIONS + "SELECT * FROM mentioned")
 def consolidated_mentions(spark, sf_dir):
-    return X.Extraction(paragraphs(spark, sf_dir)).mentions
+    return _flat(_extracted(spark, sf_dir).mentions)
 
 
-@query()
+_SUMMARY = """, counted AS (
+  SELECT d.doc_key, d.n AS referenced_document_count, coalesce(m.n, 0) AS reference_mention_count, coalesce(pages, []) AS pages_with_references FROM (SELECT doc_key, count(*) AS n FROM numbered GROUP BY doc_key) d
+  LEFT JOIN (SELECT doc_key, count(*) AS n, list_sort(list_distinct(list(source_page))) AS pages FROM mentioned GROUP BY doc_key) m USING (doc_key))
+"""
+
+
+@query(CORPUS_SQL + _MENTIONS + _SUMMARY + "SELECT * FROM counted")
 def mention_summary(spark, sf_dir):
-    return X.Extraction(paragraphs(spark, sf_dir)).summary
+    return _extracted(spark, sf_dir).summary
+
+
+@query(CORPUS_SQL + _MENTIONS + _SUMMARY + """SELECT doc_key, schema_version, mode, s.referenced_document_count, s.reference_mention_count, s.pages_with_references, document_ids, mention_ids FROM (
+  SELECT DISTINCT doc_key, '1.0.0' AS schema_version, 'deterministic' AS mode FROM corpus) LEFT JOIN (
+  SELECT doc_key, list(document_id ORDER BY document_id) AS document_ids FROM numbered GROUP BY doc_key) USING (doc_key) LEFT JOIN (
+  SELECT doc_key, list(mention_id || ' ' || document_id ORDER BY mention_id) AS mention_ids FROM mentioned GROUP BY doc_key) USING (doc_key) JOIN counted s USING (doc_key)""")
+def assembled_references(spark, sf_dir):
+    """The nested result of each citing document, with its lists reduced to ids."""
+    rows = A.references(_extracted(spark, sf_dir)).filter("summary.referenced_document_count > 0")
+    names = F.transform("reference_mentions", lambda m: F.concat_ws(" ", m["mention_id"], m["document_id"]))
+    return rows.select("doc_key", "schema_version", "extraction_method.mode", "summary.*", F.transform("referenced_documents", lambda d: d["document_id"]).alias("document_ids"), F.when(F.size(names) > 0, names).alias("mention_ids"))
 
 
 @query(CORPUS_SQL + f"""SELECT doc_key, max(page_number) AS page_count, nullif(regexp_extract(string_agg(text, ' ' ORDER BY para_no) FILTER (page_number = 1), '(?i){_DATES}'), '') AS issue_date
@@ -285,11 +352,28 @@ def url_filename(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.pdf_name(F.col("url")).alias("name"))
 
 
-@query("""SELECT page_id, coalesce(nullif(list_filter(c, lambda x: contains(lower(x), 'ou'))[1], ''), nullif(c[1], '')) AS link FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?i)[?&]file=([^"''&>\\s]+?)', 1),
- regexp_extract_all(html, '(?i)(?:href|src)=["'']([^"'']*?)["'']', 1)) AS c FROM pages)""")
+_HOLDING_SQL = """SELECT page_id, url, regexp_replace(html, 'href="(/[^"]*)"', 'href="\\1.pdf"', 'g') || CASE page_id % 3 WHEN 0 THEN '<iframe src="v?file=https://h.example/attachdocs/' || page_id || '.pdf">' WHEN 1 THEN '<a href="/AttachDocs/' || page_id || '.PDF">' ELSE '' END AS html FROM pages"""
+
+
+def _holding(spark, sf_dir) -> DataFrame:
+    """Pages whose links name PDF files: most a path of the site, some a preferred folder, some a viewer's parameter."""
+    key = F.col("page_id").cast("string")
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<iframe src="v?file=https://h.example/attachdocs/'), key, F.lit('.pdf">'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<a href="/AttachDocs/'), key, F.lit('.PDF">')))
+    html = F.concat(F.regexp_replace("html", 'href="(/[^"]*)"', 'href="$1.pdf"'), F.coalesce(more, F.lit("")))
+    return read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+@query(f"""SELECT page_id, CASE WHEN starts_with(l, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || l ELSE l END AS link FROM (
+  SELECT page_id, url, coalesce(list_filter(c, lambda x: contains(lower(x), 'attachdocs'))[1], c[1]) AS l FROM (SELECT page_id, url, list_concat(regexp_extract_all(html, '(?i)[?&]file=([^"''&>\\s]+?\\.pdf)', 1),
+  regexp_extract_all(html, '(?i)(?:href|src)=["'']([^"'']*?\\.pdf)["'']', 1)) AS c FROM ({_HOLDING_SQL})))""")
 def html_link_candidates(spark, sf_dir):
-    """Links of any ending, for the pages hold none to PDF files; those with "ou" are preferred."""
-    return read(spark, sf_dir, "pages").select("page_id", F.nullif(T.pdf_link(F.col("html"), suffix="", prefer="ou"), F.lit("")).alias("link"))
+    """The document that each page holds, as a url of its own."""
+    return _holding(spark, sf_dir).select("page_id", T.absolute_url(F.col("url"), T.pdf_link(F.col("html"))).alias("link"))
+
+
+@query(f"""SELECT page_id, nullif(regexp_extract(html, '(?i)file=(https://h[.]example/[^''"<>]+\\.pdf)', 1), '') AS link FROM ({_HOLDING_SQL})""")
+def strict_html_link(spark, sf_dir):
+    return _holding(spark, sf_dir).select("page_id", T.strict_pdf_link(F.col("html"), "h.example").alias("link"))
 
 
 @query("SELECT kind, url, pos FROM (SELECT p_type AS kind, p_name AS url, p_partkey AS pos, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS n FROM part) WHERE n = 1")
@@ -297,11 +381,11 @@ def listing_dedupe(spark, sf_dir):
     return R.distinct_listing(read(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_name").alias("url"), F.col("p_partkey").alias("pos")))
 
 
-@query("""SELECT source AS doc_key, count(*) AS pages, count(*) FILTER (t <> '') AS text_pages, sum(length(t))::BIGINT AS total_chars,
-  count(*) FILTER (t <> '') > 0 AND sum(length(t)) > 200 AS extractable FROM (SELECT source, trim(text, ' ') AS t FROM documents) GROUP BY source""")
+@query(f"""SELECT source AS doc_key, count(*) AS pages, count(*) FILTER (t <> '') AS text_pages, sum(length(t))::BIGINT AS total_chars,
+  count(*) FILTER (t <> '') > 0 AND sum(length(t)) > 200 AS extractable, coalesce(list(left(t, 400) ORDER BY doc_id) FILTER (t <> ''), [])[1:2] AS samples FROM (SELECT doc_id, source, regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') AS t FROM documents) GROUP BY source""")
 def text_layer_profile(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_key"), F.col("doc_id").alias("page_number"), "text")
-    return L.text_profile(rows).drop("samples")
+    return L.text_profile(rows)
 
 
 # --- resolution ----------------------------------------------------------------------------
@@ -309,36 +393,53 @@ def text_layer_profile(spark, sf_dir):
 _KINDS = ("act", "regulations", "master_circular", "circular")
 
 
+#: Kinds of cited documents: four that are looked for, one that is not.
+_CITED_KINDS = (*_KINDS, "notification")
+
+
 def _listing(spark, sf_dir) -> DataFrame:
-    """Parts as a listing: kind, title, url, day, order."""
+    """Parts as a listing: kind, title, url, day, order. Up to three of a kind share a day; some are amendments, some stand in another section."""
     key = F.col("p_partkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (key % 4 + 1).cast("int"))
     section = F.element_at(F.array(*[F.lit(r[1]) for r in R.RULES]), (key % 4 + 1).cast("int"))
-    day = F.concat_ws("-", F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lpad((key % 12 + 1).cast("string"), 2, "0"), F.lit("1997"))
+    elsewhere = (key % 252 >= 84) & (key % 84 % 3 == 0)
+    day = F.concat_ws("-", F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lpad((key % 12 + 1).cast("string"), 2, "0"), (1980 + F.floor(key / 252) % 20).cast("string"))
+    title = F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower(F.regexp_replace("p_brand", "#", " brand")))
     return read(spark, sf_dir, "part").select(
-        kind.alias("kind"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower(F.regexp_replace("p_brand", "#", " brand"))).alias("title"), F.concat(section, key.cast("string"), F.lit(".html")).alias("url"), day.alias("listed_on"), key.alias("pos"),
+        kind.alias("kind"), F.when(key % 11 == 5, F.concat(F.lit("Amendment to "), title)).otherwise(title).alias("title"),
+        F.concat(F.when(elsewhere, "/legal/other/").otherwise(section), key.cast("string"), F.lit(".html")).alias("url"), day.alias("listed_on"), key.alias("pos"),
     )
 
 
 def _cited(spark, sf_dir) -> DataFrame:
-    """Suppliers joined to part names as cited documents without a listing date."""
+    """Suppliers joined to part names as cited documents; half with the day of their part, an eighth with a day on which nothing is listed."""
     s, p = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
-    rows = s.join(p, F.col("s_suppkey") == F.col("p_partkey"))
-    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    key = F.col("s_suppkey")
+    rows = s.join(p, key == F.col("p_partkey"))
+    kind = F.when(key % 9 == 0, "notification").otherwise(F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (key % 4 + 1).cast("int")))
+    month = F.element_at(F.array(*[F.lit(m) for m in P.MONTHS]), (key % 12 + 1).cast("int"))
+    date = F.concat(month, F.lit(" "), (key % 28 + 1).cast("string"), F.lit(", "), F.when(key % 16 >= 14, F.lit(1901)).otherwise(1980 + F.floor(key / 252) % 20).cast("string"))
     none = F.lit(None).cast("string")
-    return rows.select(F.col("s_suppkey").alias("ref"), kind.alias("document_type"), F.concat_ws(" ", "p_name", F.lit("the"), F.lower("p_type")).alias("title"), none.alias("short_title"), none.alias("identifier"), none.alias("date"))
+    code = F.concat(F.lit("CIR/"), key.cast("string"))
+    circular = F.col("document_type") == "circular"
+    rows = rows.select(key.alias("ref"), kind.alias("document_type"), F.concat_ws(" ", "p_name", F.lit("the"), F.lower("p_type")).alias("name"), F.when(key % 8 >= 4, date).alias("date"), code.alias("code"))
+    return rows.select("ref", "document_type", F.when(~circular | (F.col("ref") % 16 < 8), F.col("name")).alias("title"), F.when(circular, F.concat(F.lit("Circular "), "name")).alias("short_title"), F.when(circular, F.col("code")).otherwise(none).alias("identifier"), "date")
 
 
 _KIND_SQL = "['act', 'regulations', 'master_circular', 'circular'][{0} % 4 + 1]"
 _WORDS_SQL = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), ' '), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + ")))"
+_TITLE_SQL = "p_name || ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' brand'))"
+_MONTHS_SQL = "[" + ", ".join(f"'{m}'" for m in P.MONTHS) + "]"
 _TOP_SQL = f"""WITH listing AS (
-  SELECT {_KIND_SQL.format('p_partkey')} AS kind, p_partkey AS pos, ['/legal/acts/', '/legal/regulations/', '/legal/master-circulars/', '/legal/circulars/'][p_partkey % 4 + 1] || p_partkey || '.html' AS url,
-         {_WORDS_SQL.format("p_name || ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' brand'))")} AS w FROM part
+  SELECT {_KIND_SQL.format('p_partkey')} AS kind, p_partkey AS pos, ['/legal/acts/', '/legal/regulations/', '/legal/master-circulars/', '/legal/circulars/'][p_partkey % 4 + 1] || p_partkey || '.html' AS url, p_partkey % 11 = 5 AS amends,
+         printf('%02d-%02d-%d', p_partkey % 28 + 1, p_partkey % 12 + 1, 1980 + (p_partkey // 252) % 20) AS listed_on, {_WORDS_SQL.format(_TITLE_SQL)} AS w FROM part WHERE NOT (p_partkey % 252 >= 84 AND p_partkey % 84 % 3 = 0)
 ), refs AS (
-  SELECT s_suppkey AS ref, {_KIND_SQL.format('s_suppkey')} AS kind, {_WORDS_SQL.format("p_name || ' the ' || lower(p_type)")} AS t FROM supplier JOIN part ON s_suppkey = p_partkey
+  SELECT s_suppkey AS ref, CASE WHEN s_suppkey % 9 = 0 THEN 'notification' ELSE {_KIND_SQL.format('s_suppkey')} END AS kind, CASE WHEN s_suppkey % 9 <> 0 AND s_suppkey % 4 = 3 AND s_suppkey % 16 >= 8 THEN {_WORDS_SQL.format("'Circular ' || p_name || ' the ' || lower(p_type)")} ELSE {_WORDS_SQL.format("p_name || ' the ' || lower(p_type)")} END AS t,
+    CASE WHEN s_suppkey % 8 >= 4 THEN printf('%02d-%02d-%d', s_suppkey % 28 + 1, s_suppkey % 12 + 1, CASE WHEN s_suppkey % 16 >= 14 THEN 1901 ELSE 1980 + (s_suppkey // 252) % 20 END) END AS day
+  FROM supplier JOIN part ON s_suppkey = p_partkey
 ), scored AS (
-  SELECT ref, kind, url, pos, len(list_intersect(w, t))::DOUBLE / (len(w) + len(t) - len(list_intersect(w, t))) AS score FROM refs JOIN listing USING (kind)
-), top AS (SELECT ref, kind, url, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, pos) AS n FROM scored WHERE score > 0) WHERE n = 1)
+  SELECT ref, kind, url, pos, day = listed_on AS same_day, len(list_intersect(w, t))::DOUBLE / (len(w) + len(t) - len(list_intersect(w, t))) AS score FROM refs JOIN listing USING (kind) WHERE NOT amends
+), top AS (SELECT ref, url, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, pos) AS n FROM scored WHERE score > 0) WHERE n = 1)
 """
 
 
@@ -348,10 +449,16 @@ def title_jaccard_top1(spark, sf_dir):
     return top.select("ref", "b.url", "b.score")
 
 
-_RESOLVED_SQL = _TOP_SQL + """, resolved AS (
-  SELECT ref, CASE WHEN score >= CASE WHEN kind IN ('act', 'regulations') THEN 0.35 ELSE 0.30 END THEN url END AS resolved_url,
-    CASE WHEN score >= CASE WHEN kind IN ('act', 'regulations') THEN 0.55 ELSE 0.50 END THEN 'resolved' WHEN score >= CASE WHEN kind IN ('act', 'regulations') THEN 0.35 ELSE 0.30 END THEN 'resolved_approx' ELSE 'unresolved' END AS resolution_status
-  FROM refs LEFT JOIN top USING (ref, kind))
+_RESOLVED_SQL = _TOP_SQL + """, today AS (SELECT ref, url, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, pos) AS n FROM scored WHERE score > 0 AND same_day) WHERE n = 1
+), days AS (SELECT kind, listed_on AS day, count(*) AS on_day, min(url) AS only_url FROM listing GROUP BY ALL
+), picked AS (
+  SELECT r.ref, r.kind, on_day, only_url, d.url AS day_url, d.score AS day_score, CASE WHEN r.kind IN ('act', 'regulations') THEN 0.35 ELSE 0.30 END AS least, CASE WHEN r.kind IN ('act', 'regulations') THEN 0.55 ELSE 0.50 END AS sure,
+    CASE WHEN r.kind = 'notification' THEN NULL WHEN (r.kind = 'master_circular' AND on_day > 0) OR (r.kind = 'circular' AND r.day IS NOT NULL) THEN d.url ELSE a.url END AS url,
+    CASE WHEN r.kind = 'notification' THEN NULL WHEN (r.kind = 'master_circular' AND on_day > 0) OR (r.kind = 'circular' AND r.day IS NOT NULL) THEN d.score ELSE a.score END AS score
+  FROM refs r LEFT JOIN top a USING (ref) LEFT JOIN today d USING (ref) LEFT JOIN days ON days.kind = r.kind AND days.day = r.day
+), resolved AS (
+  SELECT ref, CASE WHEN kind = 'circular' AND on_day = 1 THEN only_url WHEN score >= least THEN url WHEN kind = 'circular' AND on_day > 1 AND day_score >= 0.20 THEN day_url END AS resolved_url,
+    CASE WHEN kind = 'circular' AND on_day = 1 THEN 'resolved_approx' WHEN score >= sure THEN 'resolved' WHEN score >= least THEN 'resolved_approx' WHEN kind = 'circular' AND on_day > 1 AND day_score >= 0.20 THEN 'resolved_approx' ELSE 'unresolved' END AS resolution_status FROM picked)
 """
 
 
@@ -360,11 +467,30 @@ def resolve_status(spark, sf_dir):
     return R.resolve(_cited(spark, sf_dir), _listing(spark, sf_dir)).select("ref", "resolved_url", "resolution_status")
 
 
-@query(_RESOLVED_SQL + "SELECT count(*) FILTER (resolution_status = 'resolved') AS resolved, count(*) FILTER (resolution_status = 'resolved_approx') AS resolved_approx, count(*) FILTER (resolution_status = 'unresolved') AS unresolved FROM resolved")
+_COUNTS_SQL = "count(*) FILTER (resolution_status = 'resolved') AS resolved, count(*) FILTER (resolution_status = 'resolved_approx') AS resolved_approx, count(*) FILTER (resolution_status = 'unresolved') AS unresolved"
+
+
+@query(_RESOLVED_SQL + f"SELECT {_COUNTS_SQL} FROM resolved")
 def resolution_counts(spark, sf_dir):
     return R.status_counts(R.resolve(_cited(spark, sf_dir), _listing(spark, sf_dir)))
 
 
+def _half_resolved(spark, sf_dir) -> DataFrame:
+    """Cited documents of which every fifth has its url from an earlier run."""
+    known = F.col("ref") % 5 == 0
+    return _cited(spark, sf_dir).withColumns({"resolved_url": F.when(known, "https://known"), "resolution_status": F.when(known, "resolved").otherwise("unresolved")})
+
+
+@query(_RESOLVED_SQL + "SELECT ref, CASE WHEN ref % 5 = 0 THEN 'https://known' ELSE resolved_url END AS resolved_url, CASE WHEN ref % 5 = 0 THEN 'resolved' ELSE resolution_status END AS resolution_status FROM resolved")
+def resolve_open(spark, sf_dir):
+    return R.resolve_open(_half_resolved(spark, sf_dir), _listing(spark, sf_dir))[0].select("ref", "resolved_url", "resolution_status")
+
+
+@query(_RESOLVED_SQL + f"SELECT {_COUNTS_SQL} FROM resolved WHERE ref % 5 <> 0")
+def resolve_open_counts(spark, sf_dir):
+    return R.resolve_open(_half_resolved(spark, sf_dir), _listing(spark, sf_dir))[1]
+
+
 @query("SELECT p_partkey, trim(regexp_extract('SEBI (' || p_name || ') Regulations, 1996', '\\(([^)]+)\\)', 1)) AS regulations, trim(p_name || ' Act') AS act, array_to_string(list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{w}'" for w in P.STOP_WORDS) + "))[1:5], ' ') AS master_circular FROM part")
 def search_keywords(spark, sf_dir):
     none = F.lit(None).cast("string")
@@ -376,7 +502,16 @@ def search_keywords(spark, sf_dir):
     )
 
 
-@query()
+_CLEANED_SQL = """WITH f AS (
+  SELECT o_orderkey AS ref, ['as per this circular', 'the Act says', 'see there'][o_orderkey % 3 + 1] AS exact_quote, strftime(o_orderdate, '%Y') AS year_or_date, ['act', 'regulations'][o_orderkey % 2 + 1] AS document_type,
+    ['Depositories Act', 'SEBI (Mutual Funds) Regulations', 'Companies Act, 2013', NULL, 'Broken tit'][o_orderkey % 5 + 1] AS t, ['Section 11', NULL, 'LAD/1', 'Regulation 5'][o_orderkey % 4 + 1] AS code FROM orders
+), n AS (
+  SELECT *, code IS NOT NULL AND regexp_matches(lower(code), '^(?:section|regulation|article|clause|para)\\b') AS locator, CASE WHEN t <> '' AND NOT contains(t, year_or_date) THEN t || ', ' || year_or_date ELSE t END AS title FROM f)
+"""
+
+
+@query(_CLEANED_SQL + """SELECT ref, exact_quote, year_or_date, document_type, title, CASE WHEN NOT coalesce(locator, false) THEN code END AS identifier, NULL::VARCHAR AS date, year_or_date::INT AS year, CASE WHEN starts_with(upper(title), 'SEBI') THEN 'SEBI' END AS issuing_body
+FROM n WHERE NOT contains(exact_quote, 'this circular') AND NOT (locator AND title IS NULL) AND NOT coalesce(document_type = 'act' AND NOT regexp_matches(lower(title), '\\bact\\b'), false) AND NOT coalesce(document_type = 'regulations' AND NOT regexp_matches(lower(title), '\\bregulations?\\b'), false)""")
 def discovery_cleanup(spark, sf_dir):
     """Orders as discovered references: some self-references, locators as identifiers, titles that lack their kind."""
     k = F.col("o_orderkey")
@@ -461,11 +596,13 @@ def paragraph_islands(spark, sf_dir):
     return L.islands(L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir))).select("doc_key", "page_number", "k", "para_no")
 
 
-@query(_ISLANDS_SQL + """SELECT doc_key, page_number, para_no, string_agg(text, ' ' ORDER BY line_no) AS text, min(x0) AS "left", min(y0) AS bottom, max(x1) AS "right", max(y1) AS top, bool_and(is_bold) AS is_bold, bool_or(under) AS is_underlined_guess, count(*) AS n_lines
-FROM island GROUP BY ALL""")
+@query(_ISLANDS_SQL + """SELECT doc_key, page_number, para_no, string_agg(text, ' ' ORDER BY line_no) AS text, min(x0) AS "left", min(y0) AS bottom, max(x1) AS "right", max(y1) AS top, bool_and(is_bold) AS is_bold, bool_or(under) AS is_underlined_guess, count(*) AS n_lines,
+  CASE WHEN arg_min(block_type, line_no) IN ('heading', 'list_item', 'header', 'footer') THEN arg_min(block_type, line_no) ELSE (list(block_type ORDER BY c DESC, first_no))[1] END AS block_type, greatest(0, round((min(x0) - min(m)) / 18))::INT AS indent_level
+FROM (SELECT *, count(*) OVER (PARTITION BY doc_key, page_number, para_no, block_type) AS c, min(line_no) OVER (PARTITION BY doc_key, page_number, para_no, block_type) AS first_no FROM island
+  JOIN (SELECT doc_key, page_number, coalesce(min(round(x0, 1)) FILTER (alignment <> 'center' AND block_type NOT IN ('header', 'footer')), min(x0)) AS m FROM numbered GROUP BY ALL) USING (doc_key, page_number)) GROUP BY ALL""")
 def paragraph_aggregate(spark, sf_dir):
     rows = L.paragraphs(L.islands(L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir))))
-    return rows.select("doc_key", "page_number", "para_no", "text", "left", "bottom", "right", "top", "is_bold", "is_underlined_guess", "n_lines")
+    return rows.select("doc_key", "page_number", "para_no", "text", "left", "bottom", "right", "top", "is_bold", "is_underlined_guess", "n_lines", "block_type", "indent_level")
 
 
 # --- evaluation ----------------------------------------------------------------------------
@@ -512,14 +649,58 @@ def _evaluated(spark, sf_dir) -> DataFrame:
     return E.evaluate(_predicted(spark, sf_dir), _gold(spark, sf_dir))
 
 
-@query(_MATCH_SQL + 'SELECT fixture_id, tp, pred_total, gold_total, tp / nullif(pred_total, 0) AS "precision", tp / gold_total AS recall FROM d')
+_PRF_SQL = """SELECT fixture_id, {0} AS tp, {1} AS pred_total, gold_total, {0} / nullif({1}, 0) AS "precision", {0} / gold_total AS recall,
+  CASE WHEN {1} > 0 THEN CASE WHEN {0} = 0 THEN 0.0 ELSE 2.0 * {0} / ({1} + gold_total) END END AS f1 FROM d"""
+
+
+@query(_MATCH_SQL + _PRF_SQL.format("tp", "pred_total"))
 def doc_prf(spark, sf_dir):
-    return _evaluated(spark, sf_dir).select("fixture_id", "doc_metrics.tp", "doc_metrics.pred_total", "doc_metrics.gold_total", "doc_metrics.precision", "doc_metrics.recall")
+    return _evaluated(spark, sf_dir).select("fixture_id", "doc_metrics.*")
 
 
-@query(_MATCH_SQL + "SELECT fixture_id, page_tp AS tp, page_pred AS pred_total, gold_total FROM d")
+@query(_MATCH_SQL + _PRF_SQL.format("page_tp", "page_pred"))
 def page_prf(spark, sf_dir):
-    return _evaluated(spark, sf_dir).select("fixture_id", "page_metrics.tp", "page_metrics.pred_total", "page_metrics.gold_total")
+    return _evaluated(spark, sf_dir).select("fixture_id", "page_metrics.*")
+
+
+@query(_MATCH_SQL + """, t AS (
+  SELECT g.fixture_id, g.key, bool_or(a.matched IS NOT NULL AND k % 3 = 1) AS told FROM g JOIN a ON a.matched = g.key GROUP BY ALL
+) SELECT d.fixture_id, 0::DOUBLE AS title_exact_recall, (SELECT count(*) FROM t WHERE t.fixture_id = d.fixture_id AND told) / gold_total AS title_presence_recall FROM d""")
+def title_metrics(spark, sf_dir):
+    """Gold titles and predicted ones differ in form here ("Title Customer#1", "CUSTOMER#1"), so titles are there and never exact."""
+    return _evaluated(spark, sf_dir).select("fixture_id", "title_exact_recall", "title_presence_recall")
+
+
+@query(_MATCH_SQL + """SELECT fixture_id, agg AS aggregate_key, 'Other ' || min(c_name) AS title, list_sort(list_distinct(list(page))) AS pages FROM a WHERE matched IS NULL GROUP BY ALL""")
+def extra_references(spark, sf_dir):
+    """Predicted documents that no gold reference stands for."""
+    rows = _evaluated(spark, sf_dir).select("fixture_id", F.explode("extra_refs").alias("r"))
+    return rows.select("fixture_id", "r.aggregate_key", "r.title", "r.pages")
+
+
+@query(_MATCH_SQL + """, m AS (SELECT fixture_id, matched, list_sort(list_distinct(list(page))) AS pred_pages FROM a WHERE matched IS NOT NULL GROUP BY ALL)
+SELECT g.fixture_id, key AS canonical_key, [page] AS gold_pages, pred_pages FROM g JOIN m ON m.matched = g.key WHERE pred_pages <> [page]""")
+def page_mismatches(spark, sf_dir):
+    rows = _evaluated(spark, sf_dir).select("fixture_id", F.explode("page_mismatches").alias("r"))
+    return rows.select("fixture_id", "r.*")
+
+
+def _linked(spark, sf_dir) -> DataFrame:
+    """Gold references and predictions with urls, of which some agree."""
+    link = lambda host, key: F.concat(F.lit(f"https://{host}/"), key.cast("string"))
+    number = F.regexp_extract("identifier", r"(\d+)$", 1).cast("bigint")
+    gold = _gold(spark, sf_dir).withColumn("url", F.when(number % 2 == 0, link("h", number)))
+    found = _predicted(spark, sf_dir).withColumn("url", F.when(number % 3 == 0, F.concat(link("h", number), F.lit("/"))).when(number % 3 == 1, link("other", number)))
+    return E.evaluate(found, gold)
+
+
+@query(_MATCH_SQL + """, u AS (
+  SELECT fixture_id, agg, min(c_custkey) AS c, bool_or(k % 3 = 0 AND c_custkey % 3 < 2 AND matched IS NOT NULL) AS linked, bool_or(k % 3 = 0 AND c_custkey % 6 = 0) AS right_ FROM a GROUP BY ALL
+) SELECT d.fixture_id, (SELECT count(*) FILTER (linked) FROM u WHERE u.fixture_id = d.fixture_id) / nullif(pred_total, 0) AS url_resolution_rate,
+  (SELECT count(*) FILTER (right_) / nullif(count(*) FILTER (linked), 0) FROM u WHERE u.fixture_id = d.fixture_id) AS resolution_precision,
+  (SELECT count(*) FILTER (right_) FROM u WHERE u.fixture_id = d.fixture_id) / nullif((SELECT count(*) FROM customer WHERE c_nationkey::VARCHAR = d.fixture_id AND c_custkey % 2 = 0), 0) AS resolution_recall FROM d""")
+def url_metrics(spark, sf_dir):
+    return _linked(spark, sf_dir).select("fixture_id", "url_resolution_rate", "resolution_precision", "resolution_recall")
 
 
 @query(_MATCH_SQL + "SELECT fixture_id, type_correct / nullif(tp, 0) AS type_accuracy FROM d")
@@ -532,9 +713,11 @@ def missing_references(spark, sf_dir):
     return _evaluated(spark, sf_dir).select("fixture_id", "missing_refs")
 
 
-@query(_MATCH_SQL + "SELECT avg(tp / nullif(pred_total, 0)) AS doc_precision, avg(tp / gold_total) AS doc_recall FROM d")
+@query(_MATCH_SQL + """SELECT avg(tp / nullif(pred_total, 0)) AS doc_precision, avg(tp / gold_total) AS doc_recall, avg(CASE WHEN pred_total > 0 THEN 2.0 * tp / (pred_total + gold_total) END) AS doc_f1, avg(page_tp / nullif(page_pred, 0)) AS page_precision,
+  avg(page_tp / gold_total) AS page_recall, avg(CASE WHEN page_pred > 0 THEN 2.0 * page_tp / (page_pred + gold_total) END) AS page_f1, avg(type_correct / nullif(tp, 0)) AS type_accuracy_on_matched_docs FROM d""")
 def macro_average(spark, sf_dir):
-    return E.macro_average(_evaluated(spark, sf_dir)).select("doc_precision", "doc_recall")
+    rows = E.macro_average(_evaluated(spark, sf_dir))
+    return rows.select("doc_precision", "doc_recall", "doc_f1", "page_precision", "page_recall", "page_f1", "type_accuracy_on_matched_docs")
 
 
 # --- discovery, listings, cross-document counts --------------------------------------------
@@ -560,22 +743,31 @@ def citation_counts(spark, sf_dir):
     return D.citation_counts(X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir))))
 
 
-@query()
+@query(CORPUS_SQL + _MENTIONS + """SELECT 'customer_' || n.doc_key AS fixture_id, (row_number() OVER (PARTITION BY n.doc_key ORDER BY seen) - 1)::INT AS idx,
+  CASE WHEN document_type = 'circular' THEN 'SEBI Circular ' || identifier || coalesce(' dated ' || date, '') ELSE title END AS canonical_title, identifier AS official_identifier, document_type, coalesce(p.pages, []) AS source_pages
+FROM numbered n LEFT JOIN (SELECT doc_key, document_id, list_sort(list_distinct(list(source_page))) AS pages FROM mentioned GROUP BY ALL) p USING (doc_key, document_id) WHERE document_type <> 'notification'""")
 def predictions(spark, sf_dir):
-    """Every customer's citations as predictions of a fixture of its own."""
+    """Every customer's citations as predictions of a fixture of its own, in the nested form of prediction files, listed again."""
     text = paragraphs(spark, sf_dir)
     fixtures = text.select("doc_key", F.concat(F.lit("customer_"), F.col("doc_key").cast("string")).alias("fixture_id")).distinct()
-    return D.predictions_by_fixture(E.as_predictions(X.Extraction(text), fixtures))
+    nested = D.predictions_by_fixture(E.as_predictions(X.Extraction(text, persist=False), fixtures))
+    rows = nested.select("fixture_id", F.posexplode("references").alias("idx", "r"))
+    return rows.select("fixture_id", "idx", "r.canonical_title", "r.official_identifier", "r.document_type", "r.source_pages")
 
 
-@query()
+@query(CORPUS_SQL + _MENTIONS + f""", seconds AS (
+  SELECT c.doc_key, 'ref_' || lpad((coalesce(m.n, 0) + 1)::VARCHAR, 3, '0') AS mention_id, 'doc_' || lpad((coalesce(d.n, 0) + 1)::VARCHAR, 3, '0') AS document_id, page_number AS source_page, NULL::VARCHAR AS source_paragraph_id, ['Companies Act, 2013'] AS match_texts,
+    'section 5 of the Companies Act, 2013; ' || text AS evidence_text, {_RELATION_SQL} AS relation_type, 'section 5' AS raw, []::VARCHAR[] AS paragraphs, []::VARCHAR[] AS regulations, ['5'] AS sections,
+    {P.DISCOVERED[0]}::DOUBLE AS confidence, '{P.DISCOVERED[1]}' AS confidence_label, '{P.DISCOVERED[2]}' AS confidence_reason
+  FROM corpus c LEFT JOIN (SELECT doc_key, count(*) AS n FROM mentioned GROUP BY doc_key) m USING (doc_key) LEFT JOIN (SELECT doc_key, count(*) AS n FROM numbered GROUP BY doc_key) d USING (doc_key) WHERE seq = 1
+) SELECT * FROM mentioned UNION ALL SELECT * FROM seconds""")
 def discovered_mentions(spark, sf_dir):
     """The corpus's mentions with one discovered reference for each customer added."""
     text = paragraphs(spark, sf_dir)
-    got = X.Extraction(text)
+    got = X.Extraction(text, persist=False)
     first = text.filter("seq = 1")
     found = first.select(
         "doc_key", F.lit(0).alias("pos"), F.lit("Companies Act, 2013").alias("exact_quote"), F.concat(F.lit("section 5 of the Companies Act, 2013; "), "text").alias("evidence_text"), F.lit("act").alias("document_type"),
         F.lit("Companies Act").alias("title"), F.lit(None).cast("string").alias("identifier"), F.lit("2013").alias("year_or_date"), F.col("page_number").alias("source_page"),
     )
-    return D.merge_discoveries(got.documents, got.mentions, found, got.sources)[1]
+    return _flat(D.merge_discoveries(got.documents, got.mentions, found, got.sources)[1])

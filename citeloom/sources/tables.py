@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ GOLD = (
     "fixture_id string, source_pdf string, scored_references array<struct<canonical_key:string,document_type:string,canonical_title:string,aliases:array<string>,official_identifier:string,"
     "source_pages:array<int>,resolved_url:string>>"
 )
-PREDICTIONS = "fixture_id string, references array<struct<canonical_key:string,canonical_title:string,title:string,official_identifier:string,identifier:string,document_type:string,type:string,source_pages:array<int>,resolved_url:string,url:string>>"
+PREDICTIONS = "fixture_id string, references array<string>"
 
 
 def _json(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -48,8 +49,14 @@ def read_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Prediction files: fixture_id (else the file's stem), references."""
-    rows = _json(spark, path, PREDICTIONS).withColumn("__f", F.col("_metadata.file_name"))
+    """Prediction files: fixture_id (else the file's stem), references, each as its JSON text, for which keys are there matters; none where nothing is there."""
+    try:
+        rows = _json(spark, path, PREDICTIONS)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "fixture_id string, references array<string>")
+    rows = rows.withColumn("__f", F.col("_metadata.file_name"))
     named = rows.withColumn("fixture_id", F.coalesce(F.nullif("fixture_id", F.lit("")), _stem(r"\.json")))
     return named.groupBy("fixture_id").agg(F.max_by("references", "__f").alias("references"))
 
@@ -69,7 +76,30 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
+def json_files(df: DataFrame, suffix: str, key: str = "doc_key") -> DataFrame:
+    """(name, content): a file's name and its text for each row, indented, null fields and letters beyond ASCII kept."""
+    fields = F.struct(*[c for c in df.columns if c != key])
+    return df.select(F.concat(F.col(key).cast("string"), F.lit(suffix)).alias("name"), F.to_json(fields, {"ignoreNullFields": "false", "pretty": "true"}).alias("content"))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Writes (name, content) rows as files of these names into a folder that all executors share; a row that is written again replaces its file."""
+
+    def put(rows) -> None:
+        from pathlib import Path
+
+        for row in rows:
+            part = Path(folder, f".{row.name}.part")
+            part.write_text(row.content, encoding="utf-8")
+            part.replace(Path(folder, row.name))
+
+    from pathlib import Path
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    files.foreachPartition(put)
+
+
 def write_tables(extraction, path: str) -> None:
-    """Documents, mentions and summary as Parquet, partitioned by citing document only where asked of the reader by statistics."""
+    """Documents, mentions, summary and sources as Parquet, one folder each."""
     for name in ("documents", "mentions", "summary", "sources"):
         getattr(extraction, name).write.mode("overwrite").parquet(f"{path}/{name}")

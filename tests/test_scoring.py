@@ -45,4 +45,4 @@ def test_snapshots(spark):
         assert sorted(map(str, a["page_mismatches"])) == sorted(map(str, b["page_mismatches"])), key
     macro = E.macro_average(E.evaluate(parts[1], parts[0]).filter("fixture_id LIKE 'v3%'")).first()
     assert macro.doc_f1 == pytest.approx(0.971, abs=5e-4) and macro.page_f1 == pytest.approx(0.982, abs=5e-4)
-    assert "| fixture |" in E.report(E.evaluate(parts[1], parts[0]).limit(2))
+    assert "| Fixture | Doc F1 |" in E.report(E.evaluate(parts[1], parts[0]).limit(2))
