@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from citeloom.llm.common import idle
 from citeloom.llm.merges import BLOCK, BYTE_OF, KEPT, LETTER, NUMBER, PLAIN, Kept, MergeList, blocks, merge_list, spelled, unspelled
 
 #: The pattern of the tokenizer's byte-level pre-tokenizer, for the plain characters.
@@ -42,7 +43,7 @@ PART = 1024
 
 def _spelled(text: str, start: int, end: int) -> Iterator[str]:
     for at in range(start, end, PART):
-        yield spelled(text[at : min(end, at + PART)].encode("utf-8", "surrogateescape"))
+        yield spelled(text[at : min(end, at + PART)])
 
 
 def _ids(data: bytes) -> list[int]:
@@ -68,7 +69,7 @@ class Transducer:
 
     def _short(self, piece: str) -> bytes:
         """Ids, as 32-bit numbers, of a pre-token whose end is at hand."""
-        return array("i", self.merges.tokens(spelled(piece.encode("utf-8", "surrogateescape")))).tobytes()
+        return array("i", self.merges.tokens(spelled(piece))).tobytes()
 
     def stream(self, text: str, start: int, end: int) -> Iterator[int]:
         """Ids of the pre-token at ``start`` to ``end``."""
@@ -180,6 +181,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                     names=[id_col, "ids", "n_tokens", "round_trip"],
                 )
         machine.forget()
+        idle()
 
     return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, ids array<int>, n_tokens bigint, round_trip boolean")
 
@@ -212,6 +214,7 @@ def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         machine.forget()
+        idle()
 
     return kept.mapInArrow(run, f"`{id_col}` {_type(kept, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import suppress
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Ids that may be broadcast for a filter: 8 bytes each, so 4 MB at most; beyond it a shuffled join is used.
 BROADCAST_IDS = 500_000
 #: Rows of a key from which it counts as hot.
-HOT = 4096
+HOT = 1024
 
 _own_dirs: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -74,8 +78,16 @@ def save(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataF
     return saved
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, unique: Sequence[str]) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, one row for each key, of which ``size`` tells how many rows it has.
+def idle() -> None:
+    """At the end of a Python task: what Arrow and the allocator hold for later goes back, so that a worker that waits is small."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, unique: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``groups``, one row for each key, of which ``size`` tells how many rows it has.
 
     Groups of HOT rows or more, a HOT-th of all rows at most, are broadcast if
     they are no more than BROADCAST_IDS; their rows, spread by ``unique`` columns,
@@ -85,7 +97,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     packed = groups.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], F.struct(*others).alias("__v"), (F.col(size) >= HOT).alias("__hot"))
     hot = packed.filter("__hot").select(*[F.col(f"__g{i}").alias(f"__h{i}") for i in range(len(keys))], F.col("__v").alias("__w"))
     if not 0 < hot.count() <= BROADCAST_IDS:
-        return rows.join(groups, list(keys))
+        return rows.join(groups, list(keys), how)
     met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)], "left")
     own = F.col("__w").isNull()
     spread = met.select("*", F.when(own, F.xxhash64(*keys)).otherwise(F.xxhash64(*unique)).alias("__s"), own.alias("__own"))
@@ -93,7 +105,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     equal = [F.col(k) == F.col(f"__g{i}") for i, k in enumerate(keys)]
     both = spread.join(cold, [F.col("__s") == F.col("__t"), *equal, F.col("__own") == ~F.col("__hot")], "left")
     value = F.coalesce("__w", "__v")
-    return both.filter(value.isNotNull()).select(*rows.columns, *[value[c].alias(c) for c in others])
+    return (both.filter(value.isNotNull()) if how == "inner" else both).select(*rows.columns, *[value[c].alias(c) for c in others])
 
 
 def running(df: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:

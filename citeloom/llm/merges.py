@@ -16,7 +16,7 @@ import ahocorasick
 from tokenizers import Tokenizer
 
 #: Entries of each of a cache's two generations, and of the memory of token pairs: what a worker holds is bounded.
-CACHE, PAIRS = 1 << 16, 1 << 17
+CACHE, PAIRS = 1 << 17, 1 << 17
 #: Characters up to which a piece's result is kept.
 KEPT = 128
 #: Characters of text that are split into pre-tokens at once.
@@ -35,9 +35,11 @@ BYTE_OF = {c: b for b, c in enumerate(ALPHABET)}
 _TABLE = {b: c for b, c in enumerate(ALPHABET)}
 
 
-def spelled(data: bytes) -> str:
-    """Bytes in the printable alphabet of the vocabulary."""
-    return data.decode("latin-1").translate(_TABLE)
+def spelled(text: str) -> str:
+    """A text's UTF-8 bytes in the printable alphabet of the vocabulary."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", ALPHABET[0x20])
+    return text.encode("utf-8", "surrogateescape").decode("latin-1").translate(_TABLE)
 
 
 def unspelled(piece: str) -> str:
@@ -190,41 +192,32 @@ class MergeList:
         is the encoding of the prefix without t; so t is found by trying the
         tokens that end here against the last token before them.
         """
-        last: list[int | None] = [None] * (len(word) + 1)
-        count = [0] * (len(word) + 1)
-        for end, start, token in self._program(word, last):
-            count[end] = count[start] + 1
+        last, width = self._program(word), self.width
+        count = [0] * len(last)
+        for end in range(1, len(last)):
+            count[end] = count[end - width[last[end]]] + 1
         return last, count
 
-    def _program(self, word: str, last: list[int | None]) -> Iterator[tuple[int, int, int]]:
-        """Fills ``last`` in order; gives (end, start, token) of each."""
-        follows, size, known = self.follows, self.size, self._pairs.get
-        found = 0
+    def _program(self, word: str) -> list[int | None]:
+        """The last token of each prefix."""
+        last: list[int | None] = [None] * (len(word) + 1)
+        size, known = self.size, self._pairs.get
         for end, (token, width) in self.inner.iter(word):
             end += 1
             if last[end] is None:
-                start = end - width
-                if start:
-                    before = last[start]
-                    if before is None:
-                        continue
+                if end == width:
+                    last[end] = token
+                elif (before := last[end - width]) is not None:
                     fits = known(before * size + token)
-                    if fits is None:
-                        fits = follows(before, token)
-                    if not fits:
-                        continue
-                last[end] = token
-                found += 1
-                yield end, start, token
-        if found < len(word):
+                    if fits or (fits is None and self.follows(before, token)):
+                        last[end] = token
+        if last.count(None) > 1:
             raise ValueError(f"no token covers {word[: last.index(None, 1)]!r}")
+        return last
 
     def tokens(self, word: str) -> list[int]:
         """Tokens of a piece that is known to its end: the way back from there."""
-        last: list[int | None] = [None] * (len(word) + 1)
-        for _ in self._program(word, last):
-            pass
-        width, at, out = self.width, len(word), []
+        last, width, at, out = self._program(word), self.width, len(word), []
         while at:
             token = last[at]
             out.append(token)
