@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import PreTokenizedString
 
+from citeloom.llm.common import idle
 from citeloom.llm.merges import LETTER, NUMBER, PLAIN, Kept, MergeList, blocks, merge_list, spelled, unspelled
 
 #: The contractions that the tokenizer's pattern splits off.
@@ -37,6 +38,10 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PIECES = re.compile("|".join(CONTRACTIONS) + f"|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+")
 
 
+#: Tables of pre-tokens in each of two generations; a worker keeps them from task to task, some 100 bytes each.
+KEPT_TABLES = 1 << 18
+
+
 @dataclass
 class Prefixes:
     """The stored table of a text: its pre-tokens ("" for a special string), where they start and end, the exact token count at each end."""
@@ -56,12 +61,7 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.merges: MergeList = merge_list(path)
-        self._known = Kept(self._within)
-
-    def forget(self) -> None:
-        """Empty the memories, so that a worker that waits holds little."""
-        self._known.forget()
-        self.merges.forget()
+        self._known = Kept(self._within, KEPT_TABLES)
 
     # --- one pre-token ----------------------------------------------------------------
 
@@ -71,7 +71,7 @@ class PrefixCounter:
             # Cut short, it is a mark and letters.
             counts = [sum(self._known[p][-1] for p in PIECES.findall(piece[:i])) for i in range(len(piece))] + [self.merges.closed(piece)[-1]]
         else:
-            counts = self.merges.closed(spelled(piece.encode("utf-8", "surrogateescape")))
+            counts = self.merges.closed(spelled(piece))
             if not piece.isascii():
                 counts = [counts[e] for e in accumulate((len(c.encode("utf-8", "surrogateescape")) for c in piece), initial=0)]
         return bytes(counts) if max(counts) < 256 else counts
@@ -168,7 +168,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             columns = list(zip(*rows)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
-        counter.forget()
+        idle()
 
     return kept.mapInArrow(run, schema)
 
@@ -187,6 +187,6 @@ def prefix_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc
                 [batch.column(0), pa.array([r.ends for r in rows], pa.list_(pa.int32())), pa.array([r.counts for r in rows], pa.list_(pa.int32()))],
                 names=[id_col, "prefix_ends", "prefix_tokens"],
             )
-        counter.forget()
+        idle()
 
     return kept.mapInArrow(run, schema)
