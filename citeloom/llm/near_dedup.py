@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import BROADCAST_IDS, keep_rows, save, text_of
+from citeloom.llm.common import BROADCAST_IDS, idle, join_groups, keep_rows, save, text_of
 from citeloom.llm.components import components
 
 #: Bands, minima in each, seed of the hash functions.
@@ -136,6 +136,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                     names=["id", "tx", "n", "digest", "keys", "sig"],
                 )
         _words.clear()
+        idle()
 
     return kept.mapInArrow(run, f"id {kind}, tx bigint, n bigint, digest binary, keys array<bigint>, sig binary")
 
@@ -153,6 +154,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "set"])
         _words.clear()
+        idle()
 
     return wanted.mapInArrow(run, f"id {kind}, `set` array<bigint>")
 
@@ -199,14 +201,17 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     task for each SPLIT of them, each of which meets all of the other side.
     """
     tokens = docs.join(sets, "id").select("id", "comp", "n", F.explode("set").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    # A shingle that no other has needs no row here; a common one fills no task.
+    counts = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shingles")
     place = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "t")) - 1
-    entry = tokens.join(counts, "t").withColumn("after", F.col("n") - place)
+    entry = join_groups(tokens, counts, ["t"], "df", ["id"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("after", F.col("n") - place)
     entry = entry.filter((F.col("after") >= F.ceil(F.col("n") * percent / 100)) & (F.col("df") > 1)).select("t", "id", "comp", "n", "after")
     for last in (False, True):
         group = entry.groupBy("t").agg(F.min("n").alias("smallest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi").select("t", "smallest", "c")
+        group = save(group, "shingle-groups")
         enough = F.col("after") >= _needed(F.col("n"), F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent)
-        entry = save(entry.join(group, "t").filter(enough).select("t", "id", "comp", "n", "after", *["c"] * last), "prefix", instead_of=entry if last else None)
+        met = join_groups(entry, group, ["t"], "c", ["id"])
+        entry = save(met.filter(enough).select("t", "id", "comp", "n", "after", *["c"] * last), "prefix", instead_of=entry if last else None)
     parts = F.ceil(F.col("c") / SPLIT)
     dealt = entry.withColumn("part", F.pmod(F.xxhash64("id"), parts))
     other = entry.select(F.col("t").alias("t2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("after").alias("after2"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part2"))
@@ -273,3 +278,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows that stay, one document of each group, columns as they were."""
     kept = near_groups(docs, id_col, text_col, words, percent).filter("kept").select(F.col(id_col).alias("__id"), "__tx")
     return keep_rows(docs, kept, id_col, text_col)
+
+
+#: What op3 returns, by all pairs that share a shingle: for small tables.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
+), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT a AS doc_id, b AS other FROM both UNION SELECT r.doc_id, b FROM reach r JOIN both ON a = other)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(c, t.doc_id)) AS component_id, t.doc_id <= coalesce(c, t.doc_id) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) USING (doc_id)
+"""

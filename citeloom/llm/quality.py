@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import save
+from citeloom.llm.common import idle, save
 
 #: Bytes of a block; characters of the pieces that dictionaries are trained on; bytes of a dictionary; compression level.
 BLOCK, PIECE, DICTIONARY, LEVEL = 1000, 400, 112_640, 3
@@ -176,6 +176,7 @@ def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 column = batch.column(3).cast(pa.string())
                 scores = [model.score(*figures((column[i].as_py() or "").encode(), *pair)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.float64())], names=["__id", "held_out", "__tx", "score"])
+        idle()
 
     scored = kept.mapInArrow(run, schema)
     return scored.select(F.col("__id").alias(id_col), "held_out", "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"), "__tx")
@@ -196,5 +197,6 @@ def quality_filter(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
             column = batch.column(at).cast(pa.string())
             stays = [model.score(*figures((column[i].as_py() or "").encode(), *pair)) >= GOOD_FROM for i in range(batch.num_rows)]
             yield batch.filter(pa.array(stays, pa.bool_()))
+        idle()
 
     return docs.mapInArrow(run, schema)
