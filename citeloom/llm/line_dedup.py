@@ -240,3 +240,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """Per row: id, n_lines, n_equal, n_near and the cleaned text."""
     return _cleaned(docs.select(id_col, text_col), id_col, text_col, min_near).select(id_col, "__ld.n_lines", "__ld.n_equal", "__ld.n_near", F.col("__ld.text").alias("text"))
+
+
+#: What op1 returns, by the common ends that two lines within one edit have: for small tables with unique ids.
+ORACLE = r"""
+WITH doc AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), line AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM doc
+), place AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS p FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), firsts AS (SELECT line, min(p) AS p, length(line) AS n FROM place GROUP BY line
+), ends AS (
+  SELECT line, p, n, unnest([0, 1]) AS half, m, CASE WHEN unnest([0, 1]) = 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS k
+  FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts WHERE n >= 16)
+), near AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.p AS pa, b.p AS pb, a.n AS na, b.n AS nb FROM ends a JOIN ends b ON a.half = b.half AND a.m = b.m AND a.k = b.k AND b.p < a.p AND abs(a.n - b.n) <= 1
+), met AS (
+  SELECT *, coalesce(list_position(list_transform(range(1, least(na, nb) + 1), lambda j: substr(a, j, 1) <> substr(b, j, 1)), true) - 1, least(na, nb)) AS same FROM near
+), mate AS (
+  SELECT a AS line, min(pb) AS p FROM met WHERE left(a, same) || substr(a, same + CASE WHEN na < nb THEN 1 ELSE 2 END) = left(b, same) || substr(b, same + CASE WHEN nb < na THEN 1 ELSE 2 END) GROUP BY a
+), told AS (
+  SELECT x.doc_id, x.i, f.p < x.p AS equal, f.p = x.p AND m.p < x.p AS near FROM place x JOIN firsts f USING (line) LEFT JOIN mate m USING (line)
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near) AS n_near, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(equal, false) AND NOT coalesce(near, false)), '') AS text
+  FROM line LEFT JOIN told USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_equal, n_near, sha256(text) AS text_sha256 FROM kept
+"""

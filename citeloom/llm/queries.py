@@ -1,4 +1,4 @@
-"""The queries opN_<name> and ``pipeline`` over the driver tables, with their SQL where SQL can express them."""
+"""The queries opN_<name> over the driver tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from citeloom.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, neighbours, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
@@ -78,15 +77,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_mixing": op9_mixing,
         "op10_bpe_round_trip": op10_bpe_round_trip,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.ORACLE,
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op3_near_dedup": near_dedup.ORACLE,
         "op7_url_filter": OP7_SQL,
-    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    }
 
 
 OP7_SQL = r"""
