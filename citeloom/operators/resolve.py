@@ -28,20 +28,35 @@ def _rule(field: int) -> Column:
     return out
 
 
-def scored_candidates(documents: DataFrame, listing: DataFrame) -> DataFrame:
+def _telling(rows: DataFrame, words: Column, known: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(keys, kind, w): of each title its words from the rarest on, as many as a pair with a score of ``least`` must share one of.
+
+    A title of n words shares at least ceil(least * n) of them with such a
+    partner, so one is among its first n - ceil(least * n) + 1 in any fixed order;
+    the commonest words of long titles never meet.
+    """
+    each = rows.select(*keys, F.size(words).alias("n"), F.explode(words).alias("w")).join(known, ["kind", "w"])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("df", "w"))
+    return each.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*keys, "w")
+
+
+def scored_candidates(documents: DataFrame, listing: DataFrame, least: float = 0.0) -> DataFrame:
     """(ref, url, score, pos, same_day) for listing rows of the document's kind that share a word with its title.
 
-    Rows meet on (kind, word), not all with all: without a common word the score is 0 and never enough.
+    Rows meet on (kind, word), not all with all: without a common word the score
+    is 0 and never enough. Pairs below ``least`` may be left out, which spares
+    the join the commonest words.
     """
     rows = distinct_listing(listing).filter(F.col("url").contains(_rule(1)) & ~T.is_amendment(F.col("title")))
     rows = rows.select("kind", "url", "pos", "listed_on", T.title_tokens(F.col("title")).alias("words"))
     target = F.coalesce(F.nullif("title", F.lit("")), F.when(F.col("document_type") == "circular", F.col("short_title")), "query")
     docs = documents.withColumn("query", T.search_keywords(F.col("document_type"), F.col("title"), F.col("short_title"), F.col("identifier")))
     docs = docs.select("ref", F.col("document_type").alias("kind"), T.listing_date(F.col("date")).alias("day"), T.title_tokens(target).alias("target"))
-    words = docs.select("ref", "kind", F.explode("target").alias("w"))
-    shared = words.join(rows.select("kind", "url", F.explode("words").alias("w")), ["kind", "w"]).groupBy("ref", "kind", "url").agg(F.count(F.lit(1)).alias("shared"))
-    sizes = shared.join(docs.select("ref", "day", F.size("target").alias("n")), "ref").join(rows.select("kind", "url", "pos", "listed_on", F.size("words").alias("m")), ["kind", "url"])
-    return sizes.select("ref", "url", "pos", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("score"), F.coalesce(F.col("day") == F.col("listed_on"), F.lit(False)).alias("same_day"), F.col("day").isNotNull().alias("dated"))
+    known = rows.select("kind", F.explode("words").alias("w")).groupBy("kind", "w").agg(F.count(F.lit(1)).alias("df"))
+    met = _telling(docs, F.col("target"), known, ["ref", "kind"], least).join(_telling(rows, F.col("words"), known, ["kind", "url"], least), ["kind", "w"]).select("ref", "kind", "url").distinct()
+    sizes = met.join(docs.select("ref", "day", "target"), "ref").join(rows, ["kind", "url"])
+    same_day = F.coalesce(F.col("day") == F.col("listed_on"), F.lit(False)).alias("same_day")
+    return sizes.select("ref", "url", "pos", T.jaccard(F.col("target"), F.col("words")).alias("score"), same_day, F.col("day").isNotNull().alias("dated"))
 
 
 def best(candidates: DataFrame, alias: str) -> DataFrame:
@@ -57,7 +72,7 @@ def resolve(documents: DataFrame, listing: DataFrame) -> DataFrame:
     nothing that day, on all days; a dated circular that is alone on its day is
     taken for it; else titles decide, on that day for dated circulars.
     """
-    c = scored_candidates(documents, listing)
+    c = scored_candidates(documents, listing, SAME_DAY)
     days = distinct_listing(listing).filter(F.col("url").contains(_rule(1))).groupBy("kind", F.col("listed_on").alias("day")).agg(F.count(F.lit(1)).alias("on_day"), F.min("url").alias("only_url"))
     docs = documents.withColumn("day", T.listing_date(F.col("date"))).withColumn("kind", F.col("document_type")).join(days, ["kind", "day"], "left")
     anyday = best(c, "any_best")

@@ -2,6 +2,7 @@
 
 import http.server
 import json
+import random
 import threading
 import unicodedata
 import urllib.parse
@@ -215,3 +216,14 @@ def test_scores_of_an_invented_gold_set(spark):
     told = E.report(E.evaluate(found, gold))
     assert "| f | 66.7% |" in told and "| g | n/a |" in told and "| Doc Recall | 33.3% |" in told
     assert json.loads(E.report(E.evaluate(found, gold), "json"))[1]["doc_metrics"]["f1"] is None
+
+
+def test_rare_words_find_all_good_candidates(spark):
+    rng = random.Random(3)
+    pool = [f"word{i}" for i in range(12)] + ["regulations"] * 6
+    titles = lambda n: [" ".join(rng.sample(pool, rng.randrange(1, 8))) for _ in range(n)]
+    docs = spark.createDataFrame([(i, "act", t, None, None, None) for i, t in enumerate(titles(60))], "ref int, document_type string, title string, short_title string, identifier string, date string")
+    listing = spark.createDataFrame([("act", t, f"https://h/legal/acts/{i}.html", None, i) for i, t in enumerate(titles(80))], "kind string, title string, url string, listed_on string, pos int")
+    every = {(r.ref, r.url): r.score for r in R.scored_candidates(docs, listing).collect()}
+    some = {(r.ref, r.url): r.score for r in R.scored_candidates(docs, listing, 0.4).collect()}
+    assert {k: v for k, v in every.items() if v >= 0.4} == {k: v for k, v in some.items() if v >= 0.4} and len(some) < len(every)
