@@ -289,8 +289,8 @@ WITH RECURSIVE t AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
-), reach AS (SELECT a AS doc_id, b AS other FROM both UNION SELECT r.doc_id, b FROM reach r JOIN both ON a = other)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT a AS doc_id, b AS other FROM ways UNION SELECT r.doc_id, b FROM reach r JOIN ways ON a = other)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(c, t.doc_id)) AS component_id, t.doc_id <= coalesce(c, t.doc_id) AS kept
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id) USING (doc_id)
 """
