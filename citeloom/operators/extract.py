@@ -121,18 +121,22 @@ def documents(findings: DataFrame, *also: Column) -> DataFrame:
     return rows.select("doc_key", "document_id", "document_no", "key", "document_type", "title", "short_title", "identifier", "date", "year", "issuing_body", "aliases", "title_source", *more)
 
 
-def alias_bindings(findings: DataFrame, numbered: DataFrame) -> DataFrame:
+def alias_bindings(findings: DataFrame) -> DataFrame:
     """Which document an alias means, from which paragraph to before which: doc_key, alias, document_id, from_seq, to_seq.
 
     Each finding of a document binds all aliases that the document has by then;
-    the last binding up to a paragraph holds there.
+    the last binding up to a paragraph holds there. The findings, which cost most
+    of the time, are read once: a document's own are gathered in one row, from
+    which its aliases, and what binds them, are told.
     """
-    ids = numbered.select("doc_key", "key", "document_id")
-    events = findings.select("doc_key", "key", "para_seq", "pattern", "pos", "aliases").join(ids, ["doc_key", "key"])
-    order = F.struct("para_seq", "pattern", "pos")
-    since = events.select("doc_key", "document_id", order.alias("at"), F.explode("aliases").alias("a")).groupBy("doc_key", "document_id", F.lower("a").alias("alias")).agg(F.min("at").alias("since"))
-    bound = events.select("doc_key", "document_id", order.alias("at"), "para_seq").join(since, ["doc_key", "document_id"]).filter(F.col("at") >= F.col("since"))
-    last = bound.groupBy("doc_key", "alias", "para_seq").agg(F.max_by("document_id", "at").alias("document_id"))
+    at = F.struct("para_seq", "pattern", "pos").alias("at")
+    rows = findings.groupBy("doc_key", "key").agg(F.array_sort(F.collect_list(F.struct(at, "aliases"))).alias("events"))
+    number = F.row_number().over(Window.partitionBy("doc_key").orderBy(F.get("events", F.lit(0))["at"]))
+    low = lambda aliases: F.transform(aliases, F.lower)
+    named = rows.withColumn("document_id", F.format_string("doc_%03d", number)).withColumn("alias", F.explode(F.array_distinct(low(F.flatten(F.transform("events", _field("aliases")))))))
+    since = F.get(F.filter("events", lambda e: F.array_contains(low(e["aliases"]), F.col("alias"))), F.lit(0))["at"]
+    bound = named.select("doc_key", "alias", "document_id", F.explode(F.filter(F.transform("events", _field("at")), lambda t: t >= since)).alias("at"))
+    last = bound.groupBy("doc_key", "alias", F.col("at.para_seq").alias("para_seq")).agg(F.max_by("document_id", "at").alias("document_id"))
     until = F.lead("para_seq").over(Window.partitionBy("doc_key", "alias").orderBy("para_seq"))
     return last.select("doc_key", "alias", "document_id", F.col("para_seq").alias("from_seq"), F.coalesce(until, F.lit(2147483647)).alias("to_seq"))
 
@@ -238,7 +242,7 @@ class Extraction:
             self.findings = self.findings.persist()
         self.documents = documents(self.findings)
         self.kept = kept_findings(self.findings)
-        self.bindings = alias_bindings(self.findings, self.documents)
+        self.bindings = alias_bindings(self.findings)
         self.aliased = alias_findings(self.paragraphs, self.kept, self.bindings)
         self.mentions = mentions(self.paragraphs, self.kept, self.aliased, self.documents, self.sources)
         self.summary = summary(self.documents, self.mentions)

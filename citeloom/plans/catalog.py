@@ -259,8 +259,7 @@ _MENTIONS = f"""{_ALIASED}, every AS (
 @query(CORPUS_SQL + _BOUND + "SELECT * FROM bindings")
 def alias_bindings(spark, sf_dir):
     """Which document an alias means, as of each paragraph."""
-    found = X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir)))
-    return X.alias_bindings(found, X.documents(found))
+    return X.alias_bindings(X.explicit_findings(X.sequenced(paragraphs(spark, sf_dir))))
 
 
 def _extracted(spark, sf_dir) -> X.Extraction:
