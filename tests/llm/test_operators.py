@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -740,6 +741,32 @@ def test_mixing(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == +copies
 
 
+def test_rates_equal_the_dual_solved_by_halving(spark):
+    rng = random.Random(15)
+    rows = [(i, words(rng, rng.choice([1, 4, 30, 200])), rng.choice("aaab")) for i in range(400)] + [(900 + i, words(rng, 50), "c") for i in range(3)]
+    sizes = defaultdict(list)
+    for _, t, s in rows:
+        sizes[s].append(len(t.split()))
+    want = brute_targets({s: sum(v) for s, v in sizes.items()})
+
+    def rate(size, source):
+        mean, total = np.mean(sizes[source]), want[source]
+        if total >= 3 * sum(sizes[source]) * (1 - 1e-12):
+            return 3.0
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            if sum(x * min(3.0, math.exp(min(lam * x / mean, 700))) for x in sizes[source]) < total:
+                low = lam
+            else:
+                high = lam
+        return min(3.0, math.exp(low * size / mean))
+
+    got = mixing.mix(made(spark, rows)).collect()
+    assert len(got) == len(rows) and all(abs(r.rate - rate(r.size, r.source)) < 1e-6 for r in got)
+    assert all(r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in got)
+
+
 def test_repeated_rows_share_their_copies(spark):
     rng = random.Random(14)
     rows = [(i, words(rng, 20 + i % 9), f"s{i % 2}") for i in range(200)]
@@ -824,3 +851,47 @@ def test_pipeline(spark, tmp_path):
         want[(i, tuple(library.encode(t, add_special_tokens=False).ids))] += copies[i]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == +want and all(r.round_trip for r in got)
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, odd, empty):
+    """No rows at all; then null ids and texts, repeated rows, ids that occur with several texts, very long words, and no label."""
+    docs = made(spark, [(i, t, ["s", "z"][k % 2]) for k, (i, t) in enumerate(odd)]).select("doc_id", "text", "lang", "source", "n_chars")
+    (docs.limit(0) if empty else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert got == []
+        return
+    # Without labels nothing is rejected; of equal texts the smallest id stays, a null id only where no other holds the text.
+    assert all(r.round_trip for r in got) and {r.doc_id for r in got} <= {i for i, _ in odd}
+    library = LIBRARY[BYTE]
+    texts = {tuple(library.encode(t or "", add_special_tokens=False).ids) for _, t in odd}
+    assert {tuple(r.ids) for r in got} <= texts and 2 not in {r.doc_id for r in got} and max(Counter((r.doc_id, tuple(r.ids)) for r in got).values()) <= 3
+
+
+def test_registered_queries_return_their_columns(spark):
+    """Each opN query over the smallest driver tables: its contract's columns, one row for each row of its table."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables here")
+    count = {t: spark.read.parquet(f"{folder}/{t}.parquet").count() for t in ("documents", "pages")}
+    columns = {
+        "op1": "doc_id n_lines n_equal n_near text_sha256", "op2": "doc_id keep_id group_size kept text_sha256", "op3": "doc_id n_shingles component_id kept", "op4": "doc_id held_out score predicted", "op5": "doc_id n_bytes n_tokens over_limit",
+        "op6": "doc_id n_assign n_access n_hex base_sha256 spans", "op7": "page_id host path rule verdict", "op8": "query_id rank vec_id score", "op9": "doc_id size source_size target taken", "op10": "doc_id n_tokens ids_sha256 decoded_sha256",
+    }
+    for name, make in queries.queries().items():
+        op = name.partition("_")[0]
+        rows = make(spark, folder)
+        assert set(columns[op].split()) <= set(rows.columns), name
+        if op != "op8":
+            assert rows.count() == count["pages" if op == "op7" else "documents"], name
+    exact_ = {r.doc_id: r for r in queries.op10_bpe_round_trip(spark, folder).collect()}
+    counted = {r.doc_id: r for r in queries.op5_token_counts(spark, folder).collect()}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = LIBRARY[BYTE].encode(r.text or "", add_special_tokens=False).ids
+        told = exact_[r.doc_id]
+        assert (told.n_tokens, told.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert told.decoded_sha256 == hashlib.sha256(LIBRARY[BYTE].decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        c = counted[r.doc_id]
+        assert (c.n_bytes, c.n_tokens, c.over_limit) == (len((r.text or "").encode()), exact(r.text or ""), exact(r.text or "") > 2048)
