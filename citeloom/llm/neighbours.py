@@ -45,7 +45,7 @@ from citeloom.llm.hilbert import hilbert_keys
 #: Curves, directions of a curve, bits of a direction, bits of the hash below a key.
 CURVES, DIRECTIONS, BITS, TAIL = 12, 6, 6, 15
 #: Least points on either side of a query, their share of all points, and blocks on either side that hold them.
-WINDOW, SHARE, REACH = 1024, 0.025, 3
+WINDOW, SHARE, REACH = 1024, 0.03, 3
 #: Most points of a block, most bounds of blocks.
 LARGEST, BOUNDS = 32_768, 1_000_000
 SEED, SAMPLE = 20, 4096
