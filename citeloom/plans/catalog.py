@@ -17,6 +17,7 @@ from citeloom.operators import layout as L
 from citeloom.operators import resolve as R
 from citeloom.operators import spans as S
 from citeloom.plans.corpus import CORPUS_SQL, paragraphs
+from citeloom.sources.tables import paragraphs_by_page
 
 FLAGSHIP = "cited_documents"
 
@@ -321,6 +322,16 @@ def locator_tokens(spark, sf_dir):
     return rows.select("doc_key", "para_seq", "pattern", "locators.raw", "locators.sections")
 
 
+@query("""SELECT o_orderkey, 'chapter ' || k || ', annexure-' || chr((65 + n)::INT) || ' and clause (' || chr((97 + n)::INT) || ')' AS raw, [k] AS chapters, [chr((65 + n)::INT)] AS annexures, [chr((97 + n)::INT)] AS clauses
+FROM (SELECT o_orderkey, (o_orderkey % 40 + 1)::VARCHAR AS k, o_orderkey % 26 AS n FROM orders)""")
+def locators_by_kind(spark, sf_dir):
+    """What stands before a citation, told apart by kind."""
+    key, letter = F.col("o_orderkey"), lambda start: F.char((F.col("o_orderkey") % 26 + start).cast("int"))
+    before = F.concat(F.lit("as under chapter "), (key % 40 + 1).cast("string"), F.lit(", annexure-"), letter(65), F.lit(" and clause ("), letter(97), F.lit(") of the "))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", T.locators(before).alias("l"))
+    return rows.select("o_orderkey", "l.raw", "l.chapters", "l.annexures", "l.clauses")
+
+
 # --- spans ---------------------------------------------------------------------------------
 
 _SPANS_SQL = 'WITH s AS (SELECT DISTINCT l_orderkey AS g, (l_partkey % 50)::INT AS start, (l_partkey % 50 + l_quantity)::INT AS "end" FROM lineitem)'
@@ -351,6 +362,13 @@ def url_filename(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.pdf_name(F.col("url")).alias("name"))
 
 
+@query("SELECT page_id, string_split(rtrim(url, '/'), '/')[-1] || ' x+y.pdf' AS name FROM pages WHERE NOT ends_with(url, '/')")
+def decoded_filename(spark, sf_dir):
+    """Names of attachments whose urls hold escapes."""
+    rows = read(spark, sf_dir, "pages").filter(~F.col("url").endswith("/"))
+    return rows.select("page_id", T.safe_name(F.concat("url", F.lit("%20x%2By"))).alias("name"))
+
+
 _HOLDING_SQL = """SELECT page_id, url, regexp_replace(html, 'href="(/[^"]*)"', 'href="\\1.pdf"', 'g') || CASE page_id % 3 WHEN 0 THEN '<iframe src="v?file=https://h.example/attachdocs/' || page_id || '.pdf">' WHEN 1 THEN '<a href="/AttachDocs/' || page_id || '.PDF">' ELSE '' END AS html FROM pages"""
 
 
@@ -544,6 +562,15 @@ def _decorations(spark, sf_dir) -> DataFrame:
     return rows.select("doc_key", "page_number", (F.col("x0") + 5).alias("x0"), (F.col("x0") + 65).alias("x1"), (F.col("y0") + F.col("k") % 7 - 3).cast("double").alias("y"), F.lit(60.0).alias("width"))
 
 
+@query("""SELECT l_orderkey AS doc_key, (l_linenumber % 3)::INT AS line_key, list_sort(list_distinct(list(f))) AS fonts, list_sort(list_distinct(list(l_quantity::DOUBLE))) AS sizes, round_even(avg(l_quantity::DOUBLE), 2) AS size_mean,
+  round_even(avg(contains(lower(f), 'bold')::INT), 3) AS bold_ratio, count(*)::INT AS char_count FROM (SELECT *, l_returnflag || l_linestatus || CASE WHEN l_partkey % 2 = 0 THEN '-Bold' ELSE '' END AS f FROM lineitem) GROUP BY ALL""")
+def line_fonts(spark, sf_dir):
+    """Order lines as characters: fonts, sizes and the bold share of each line."""
+    font = F.concat("l_returnflag", "l_linestatus", F.when(F.col("l_partkey") % 2 == 0, "-Bold").otherwise(""))
+    chars = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_key"), F.lit(1).alias("page_number"), (F.col("l_linenumber") % 3).cast("int").alias("line_key"), font.alias("font"), F.col("l_quantity").cast("double").alias("size"))
+    return L.line_fonts(chars).drop("page_number")
+
+
 _LINES_SQL = """WITH base AS (
   SELECT o_custkey AS doc_key, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders
 ), lines AS (
@@ -604,6 +631,21 @@ def paragraph_aggregate(spark, sf_dir):
     return rows.select("doc_key", "page_number", "para_no", "text", "left", "bottom", "right", "top", "is_bold", "is_underlined_guess", "n_lines", "block_type", "indent_level")
 
 
+@query(_ISLANDS_SQL + """SELECT doc_key, list(page ORDER BY page_number) AS pages FROM (SELECT doc_key, page_number, page_number || ': ' || count(DISTINCT para_no) || ' paragraphs, ' || count(*) || ' lines' AS page FROM island GROUP BY doc_key, page_number) GROUP BY doc_key""")
+def structured_pages(spark, sf_dir):
+    """The nested layout of each document, with its pages told by their counts."""
+    rows = L.structured(L.islands(L.typed_lines(_lines(spark, sf_dir), _decorations(spark, sf_dir))))
+    told = lambda p: F.format_string("%d: %d paragraphs, %d lines", p["page_number"], F.size(p["paragraphs"]), F.size(p["lines"]))
+    return rows.select("doc_key", F.transform("pages", told).alias("pages"))
+
+
+@query(CORPUS_SQL + "SELECT doc_key, list(page ORDER BY page_number) AS pages FROM (SELECT doc_key, page_number, page_number || ': ' || string_agg(text, '|' ORDER BY para_no) AS page FROM corpus GROUP BY doc_key, page_number) GROUP BY doc_key")
+def slim_pages(spark, sf_dir):
+    """Pages and paragraphs nested, as page files hold them."""
+    told = lambda p: F.concat(p["page_number"].cast("string"), F.lit(": "), F.array_join(F.transform(p["paragraphs"], lambda q: q["text"]), "|"))
+    return paragraphs_by_page(paragraphs(spark, sf_dir)).select("doc_key", F.transform("pages", told).alias("pages"))
+
+
 # --- evaluation ----------------------------------------------------------------------------
 
 
