@@ -39,7 +39,7 @@ PIECES = re.compile("|".join(CONTRACTIONS) + f"|[{LETTER}]+|[{NUMBER}]|[^\\s{LET
 
 
 #: Tables of pre-tokens in each of two generations; a worker keeps them from task to task, some 100 bytes each.
-KEPT_TABLES = 1 << 18
+KEPT_TABLES = 1 << 19
 
 
 @dataclass
