@@ -47,7 +47,7 @@ CURVES, DIRECTIONS, BITS, TAIL = 12, 6, 6, 15
 #: Least points on either side of a query, their share of all points, and blocks on either side that hold them.
 WINDOW, SHARE, REACH = 1024, 0.03, 3
 #: Most points of a block, most bounds of blocks.
-LARGEST, BOUNDS = 32_768, 1_000_000
+LARGEST, BOUNDS = 131_072, 200_000
 SEED, SAMPLE = 20, 4096
 #: Queries of a block that are compared at once; candidates beyond k of one block's shortlist, and times k + 1 of a query's.
 SLICE, SPARE, TIMES = 64, 5, 4
