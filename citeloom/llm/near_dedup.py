@@ -211,7 +211,7 @@ def _prefix_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         group = save(group, "shingle-groups")
         enough = F.col("after") >= _needed(F.col("n"), F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100)), percent)
         met = join_groups(entry, group, ["t"], "c", ["id"])
-        entry = save(met.filter(enough).select("t", "id", "comp", "n", "after", *["c"] * last), "prefix", instead_of=entry if last else None)
+        entry = save(met.filter(enough).select("t", "id", "comp", "n", "after", *["c"] * last), "prefix", instead_of=entry if last else counts)
     parts = F.ceil(F.col("c") / SPLIT)
     dealt = entry.withColumn("part", F.pmod(F.xxhash64("id"), parts))
     other = entry.select(F.col("t").alias("t2"), F.col("id").alias("b"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("after").alias("after2"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part2"))
@@ -228,7 +228,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = signed.filter("id IS NOT NULL AND digest IS NOT NULL").select("id", "digest")
     same = slim.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("digest").alias("d"), "rep")
     known = signed.filter("id IS NOT NULL AND digest IS NOT NULL").join(same, F.col("digest") == F.col("d"), "left").select("id", "n", "keys", "sig", F.coalesce("rep", "id").alias("rep"))
-    known = save(known, "node")
+    every = save(signed.select("id", "tx", "n"), "rows")
+    known = save(known, "node", instead_of=signed)
     members = known.filter("id <> rep").select("id", "rep").distinct()
     nodes = known.filter("id = rep").select("id", "n", "keys", "sig")
 
@@ -239,9 +240,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # The hub of a bucket: the node that meets most others in all its buckets.
     crowd = bucket.groupBy("id").agg(F.sum("c").alias("crowd"))
-    weighed = bucket.join(crowd, "id").select("key", "id", (F.least(F.col("crowd"), F.lit(1 << 42)) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).alias("w"))
-    hub = weighed.groupBy(F.col("key").alias("k")).agg(F.max_by("id", "w").alias("hub"))
-    pairs = bucket.join(hub, F.col("key") == F.col("k")).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    weighed = bucket.join(crowd, "id").select("key", "id", "c", (F.least(F.col("crowd"), F.lit(1 << 42)) * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).alias("w"))
+    hub = weighed.groupBy("key").agg(F.max_by("id", "w").alias("hub"), F.max("c").alias("size"))
+    pairs = join_groups(bucket.select("key", "id"), hub, ["key"], "size", ["id"]).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     near = save(_agreeing(pairs, nodes, least), "near")
     sets = save(_sets(docs, bucket.select("id").distinct(), id_col, text_col, words), "sets")
     first = components(_linked(near, sets, percent))
@@ -249,8 +250,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Buckets that still hold several components.
     placed = bucket.join(first, F.col("id") == F.col("f_id"), "left").select("key", "id", F.coalesce("f", "id").alias("comp"))
-    mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
-    open_ = save(placed.join(mixed, F.col("key") == F.col("k"), "left_semi"), "open")
+    mixed = placed.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed"), F.count(F.lit(1)).alias("size"))
+    open_ = save(join_groups(placed, mixed, ["key"], "size", ["id"]).filter("mixed").select("key", "id", "comp"), "open")
     sized = sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", F.size("set").cast("bigint").alias("n"), "set")
     once = sized.select("id", F.explode("set").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
     reach = sized.select("id", "n").join(once, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("can")).groupBy("id").agg(F.max("n").alias("n"), F.max("can").alias("can"))
@@ -269,7 +270,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     moved = members.join(first, F.col("rep") == F.col("f_id"), "left").select("id", F.coalesce("f", "rep").alias("c"))
     moved = moved.unionByName(first.select(F.col("f_id").alias("id"), F.col("f").alias("c"))).unionByName(second.select(F.col("s_id").alias("id"), F.col("s").alias("c")))
     moved = moved.join(second, F.col("c") == F.col("s_id"), "left").select(F.col("id").alias("m_id"), F.coalesce("s", "c").alias("m")).groupBy("m_id").agg(F.min("m").alias("m"))
-    out = signed.select("id", "tx", "n").join(moved, F.col("id") == F.col("m_id"), "left")
+    out = every.join(moved, F.col("id") == F.col("m_id"), "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("m")), F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), F.col("tx").alias("__tx"))
 

@@ -133,8 +133,9 @@ def test_variants_meet(line, at, letter, kind):
 # --- 2 exact copies ------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("bits", [64, 2])
-def test_exact_groups(spark, odd, bits):
+@pytest.mark.parametrize(("bits", "hot"), [(64, 1024), (2, 1024), (64, 2), (2, 3)])
+def test_exact_groups(spark, odd, bits, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     long = [(i, f"{'same start. ' * 400}{i // 2}") for i in range(20, 28)]
     rows = odd + long
@@ -207,6 +208,22 @@ def test_near_groups(spark, odd):
         assert all(r.kept == (r.component_id == r.doc_id) for r in got.collect() if r.doc_id is not None)
 
 
+def test_hot_near_groups(spark, monkeypatch):
+    """The same components where every group counts as hot and common shingles are split."""
+    rng = random.Random(16)
+    rows, shared = [], words(rng, 30, 5000)
+    for g in range(4):
+        base = words(rng, 90, 5000).split()
+        for c in range(12):
+            text = list(base)
+            text[rng.randrange(len(text))] = f"e{c}"
+            rows.append((g * 20 + c, " ".join(text) + " " + shared))
+    monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(near_dedup, "SPLIT", 2)
+    got = near_dedup.near_groups(made(spark, rows), words=4)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_near(rows, 4)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (95, 100), (None, 3), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
