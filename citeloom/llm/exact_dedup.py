@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import BLANKS, text_of
+from citeloom.llm.common import BLANKS, join_groups, keep_rows, save, text_of
 
 #: Characters of a chunk: fewer than SHORTEST only at a text's end, never more than LONGEST.
 SHORTEST, LONGEST = 1024, 4096
@@ -77,17 +77,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2(normalised(text_col).cast("binary"), 256).alias("text_sha256"),
         recipe.alias("__recipe"),
     )
-    # The hot group's rows meet one row of groups in a join, which Spark splits at run time if it is skewed.
-    groups = listed_docs.groupBy(F.col("__recipe").alias("__r")).agg(F.min("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed_docs.join(groups, F.col("__recipe") == F.col("__r")).select(
+    # Texts are read once for the lists, which are short; a hot group's rows fill no task of the join.
+    listed_docs = save(listed_docs, "recipes")
+    groups = listed_docs.groupBy("__recipe").agg(F.min("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return join_groups(listed_docs, groups, ["__recipe"], "group_size", ["__id", "__tx"]).select(
         F.col("__id").alias(id_col), "keep_id", "group_size", F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "__tx"
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each group, all columns as they were."""
-    from citeloom.llm.common import keep_rows, save
-
     kept = exact_groups(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("__id"), "__tx").agg(F.count(F.lit(1)).alias("n"))
     kept = save(kept, "exact-kept")
     repeated = kept.groupBy(F.col("__id").alias("r_id")).agg(F.sum("n").alias("m")).filter("m > 1")
