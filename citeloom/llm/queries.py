@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, neighbours, pii, quality, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, collocations, exact_dedup, line_dedup, mixing, near_dedup, neighbours, pii, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
 #: The rules of the url filter's query.
@@ -65,6 +65,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_mixing": op9_mixing,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_collocations": op11_collocations,
         "op13_pii": op13_pii,
     }
 
@@ -91,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_near_dedup": near_dedup.ORACLE,
         "op7_url_filter": OP7_SQL,
+        "op11_collocations": collocations.ORACLE,
     }
 
 
