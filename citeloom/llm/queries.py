@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import bpe, collocations, exact_dedup, line_dedup, mixing, near_dedup, neighbours, pii, quality, secret_scan, token_counts, url_filter
+from citeloom.llm import bpe, collocations, exact_dedup, lexical_search, line_dedup, mixing, near_dedup, neighbours, pii, quality, secret_scan, token_counts, url_filter
 from citeloom.llm.common import table
 
 #: The rules of the url filter's query.
@@ -69,6 +69,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_bpe_round_trip": op10_bpe_round_trip,
         "op11_collocations": op11_collocations,
+        "op12_lexical_search": op12_lexical_search,
         "op13_pii": op13_pii,
     }
 
@@ -97,6 +102,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_near_dedup": near_dedup.ORACLE,
         "op7_url_filter": OP7_SQL,
         "op11_collocations": collocations.ORACLE,
+        "op12_lexical_search": lexical_search.ORACLE,
     }
 
 
