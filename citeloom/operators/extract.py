@@ -7,12 +7,15 @@ documents, alias bindings) is computed as of each paragraph instead.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import patterns as P
 from citeloom.functions import text as T
 from citeloom.operators import spans
+from citeloom.storage import Kept
 
 SPAN_LISTS = ("paragraphs", "regulations", "sections", "chapters", "annexures", "clauses")
 
@@ -96,14 +99,17 @@ def _numbered(rank: int, make):
 def explicit_findings(paragraphs: DataFrame) -> DataFrame:
     """One row for each citation in full form, before overlaps are dropped: these make the documents.
 
-    Columns doc_key, page_number, para_seq, pattern, pos (order within a paragraph), start, end, the finding's fields, locators.
+    Columns doc_key, page_number, para_seq, pattern, pos (order within a paragraph), start, end, the finding's fields, locators, says_this.
     """
     paragraph = F.col("text")
     lists = []
     for rank, (pattern, guard, make) in enumerate(_patterns(paragraph)):
         lists.append(F.when(guard, F.transform(spans.find_all(paragraph, pattern), _numbered(rank, make))))
     rows = paragraphs.select("doc_key", "page_number", "para_seq", "text", F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("m"))
-    return rows.select("doc_key", "page_number", "para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(paragraph, F.lit(1), F.col("m.start"))).alias("locators"))
+    return rows.select(
+        "doc_key", "page_number", "para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(paragraph, F.lit(1), F.col("m.start"))).alias("locators"),
+        F.lower(paragraph).contains("this circular").alias("says_this"),
+    )
 
 
 def documents(findings: DataFrame, *also: Column) -> DataFrame:
@@ -146,30 +152,40 @@ def kept_findings(findings: DataFrame) -> DataFrame:
 
 
 def alias_findings(paragraphs: DataFrame, kept: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Uses of bound aliases that overlap no full citation: doc_key, para_seq, start, end, document_id, match_text, locators.
+    """Uses of bound aliases that overlap no full citation: doc_key, para_seq, start, end, document_id, alias, match_text, says_this, locators.
 
-    A use takes the last binding up to its paragraph: bindings and uses of an
-    alias are put in one order and the document is carried along, so the work
-    grows with their number, not with the product.
+    A paragraph is searched for its document's aliases at once, and only what is
+    found goes on. A use takes the last binding up to its paragraph: bindings and
+    uses of an alias are put in one order and the document is carried along, so
+    the work grows with their number, not with the product.
     """
+    text, low = F.col("text"), F.lower("text")
+    names = bindings.groupBy("doc_key").agg(F.collect_set("alias").alias("names"))
+    quoted = lambda alias: F.concat(F.lit("(?iU)\\b\\Q"), alias, F.lit("\\E\\b"))
+
+    def uses_of(alias: Column) -> Column:
+        told = lambda m: F.struct(alias.alias("alias"), m["start"].alias("start"), m["end"].alias("end"), T.compact(m["hit"]).alias("match_text"), T.locators(F.substring(text, F.lit(1), m["start"])).alias("locators"))
+        return F.transform(spans.find_all(text, quoted(alias)), told)
+
+    met = paragraphs.select("doc_key", "para_seq", "text").join(names, "doc_key").withColumn("names", F.filter("names", lambda a: low.contains(a))).filter(F.size("names") > 0)
+    uses = met.select("doc_key", "para_seq", low.contains("this circular").alias("says_this"), F.explode(F.flatten(F.transform("names", uses_of))).alias("u"))
+    uses = uses.select("doc_key", "u.alias", "para_seq", F.struct("u.start", "u.end", "u.match_text", "says_this", "u.locators").alias("use"))
+    bound = bindings.select("doc_key", "alias", F.col("from_seq").alias("para_seq"), F.lit(None).cast(uses.schema["use"].dataType).alias("use"), "document_id")
+    events = uses.withColumn("document_id", F.lit(None).cast("string")).unionByName(bound)
+    # Bindings come first at their paragraph: nulls do.
+    last = Window.partitionBy("doc_key", "alias").orderBy("para_seq", F.col("use").isNotNull()).rangeBetween(Window.unboundedPreceding, 0)
+    carried = events.withColumn("document_id", F.last("document_id", ignorenulls=True).over(last)).filter("use IS NOT NULL AND document_id IS NOT NULL")
     taken = kept.groupBy("doc_key", "para_seq").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    named = paragraphs.select("doc_key", "para_seq", "text").join(bindings.select("doc_key", "alias").distinct(), "doc_key").filter(F.lower("text").contains(F.col("alias")))
-    none = F.lit(None).cast("string")
-    uses = named.select("doc_key", "alias", "para_seq", F.lit(1).alias("use"), "text", none.alias("document_id"))
-    events = uses.unionByName(bindings.select("doc_key", "alias", F.col("from_seq").alias("para_seq"), F.lit(0).alias("use"), none.alias("text"), "document_id"))
-    carried = F.last("document_id", ignorenulls=True).over(Window.partitionBy("doc_key", "alias").orderBy("para_seq", "use").rowsBetween(Window.unboundedPreceding, 0))
-    rows = events.withColumn("document_id", carried).filter("use = 1 AND document_id IS NOT NULL")
-    quoted = F.concat(F.lit("(?iU)\\b\\Q"), F.col("alias"), F.lit("\\E\\b"))
-    rows = rows.join(taken, ["doc_key", "para_seq"], "left").withColumn("m", F.explode(spans.find_all(F.col("text"), quoted)))
-    rows = rows.filter(spans.overlaps_none(F.col("m.start"), F.col("m.end"), F.col("taken")))
-    found = rows.select("doc_key", "para_seq", "m.start", "m.end", "document_id", "alias", T.compact("m.hit").alias("match_text"), T.locators(F.substring("text", F.lit(1), F.col("m.start"))).alias("locators"))
+    rows = carried.select("doc_key", "para_seq", "alias", "document_id", "use.*").join(taken, ["doc_key", "para_seq"], "left").filter(spans.overlaps_none(F.col("start"), F.col("end"), F.col("taken")))
+    found = rows.select("doc_key", "para_seq", "start", "end", "document_id", "alias", "match_text", "says_this", "locators")
     return spans.drop_contained(found, ["doc_key", "para_seq"], "alias")
 
 
-def self_reference(match: Column, paragraph: Column, source_title: Column) -> Column:
+def self_reference(match: Column, says_this: Column, source_title: Column) -> Column:
+    """Whether a match means the citing document itself; ``says_this``: its paragraph has the words "this circular"."""
     low = F.lower(match)
     own = F.coalesce((source_title != "") & low.contains(F.lower(T.compact(source_title))), F.lit(False))
-    return low.contains("this circular") | (low.startswith("annexure-a") & F.lower(paragraph).contains("this circular")) | own
+    return low.contains("this circular") | (low.startswith("annexure-a") & says_this) | own
 
 
 def _field(name: str):
@@ -186,18 +202,18 @@ def merged_locators(ordered: Column) -> Column:
 def mentions(paragraphs: DataFrame, kept: DataFrame, aliased: DataFrame, numbered: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per paragraph and cited document, numbered in reading order."""
     ids = numbered.select("doc_key", "key", "document_id")
-    full = kept.join(ids, ["doc_key", "key"]).select("doc_key", "para_seq", "document_id", F.lit(False).alias("alias_only"), "start", F.col("end"), "match_text", "locators")
-    short = aliased.select("doc_key", "para_seq", "document_id", F.lit(True).alias("alias_only"), "start", F.col("end"), "match_text", "locators")
+    columns = ["doc_key", "para_seq", "document_id", "alias_only", "start", "end", "match_text", "says_this", "locators"]
+    full = kept.join(ids, ["doc_key", "key"]).withColumn("alias_only", F.lit(False)).select(*columns)
+    short = aliased.withColumn("alias_only", F.lit(True)).select(*columns)
     order = F.struct("alias_only", "start", (-F.col("end")).alias("e"))
     titles = sources.select("doc_key", F.col("title").alias("source_title"))
-    text = paragraphs.select("doc_key", "para_seq", "page_number", "paragraph_id", "text")
-    found = full.unionByName(short).join(text, ["doc_key", "para_seq"]).join(titles, "doc_key", "left")
-    found = found.filter(~self_reference(F.col("match_text"), F.col("text"), F.coalesce("source_title", F.lit(""))))
+    found = full.unionByName(short).join(titles, "doc_key", "left")
+    found = found.filter(~self_reference(F.col("match_text"), F.col("says_this"), F.coalesce("source_title", F.lit(""))))
     grouped = found.groupBy("doc_key", "para_seq", "document_id").agg(
         F.array_sort(F.collect_set("match_text")).alias("match_texts"), F.every("alias_only").alias("alias_only"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "locators"))).alias("items"),
     )
     attributes = numbered.select("doc_key", "document_id", "document_no", "document_type", "title", "identifier", "date")
-    rows = grouped.join(attributes, ["doc_key", "document_id"]).join(text, ["doc_key", "para_seq"])
+    rows = grouped.join(attributes, ["doc_key", "document_id"]).join(paragraphs.select("doc_key", "para_seq", "page_number", "paragraph_id", "text"), ["doc_key", "para_seq"])
     number = F.row_number().over(Window.partitionBy("doc_key").orderBy("para_seq", "document_no"))
     sure = T.confidence(F.col("alias_only"), F.col("document_type"), F.col("title"), F.col("identifier"), F.col("date"))
     return rows.select(
@@ -227,25 +243,58 @@ def summary(numbered: DataFrame, mentioned: DataFrame) -> DataFrame:
 
 
 class Extraction:
-    """The tables of one extraction, each lazy; ``paragraphs`` has doc_key, page_number, para_no, paragraph_id, text.
+    """The tables of one extraction; ``paragraphs`` has doc_key, page_number, para_no, paragraph_id, text.
 
-    All tables follow from the findings, which cost most of the time, so these
-    are persisted (memory, then disk; lost blocks are computed again) unless
-    ``persist`` says otherwise. ``close()`` lets them go.
+    A table is made when it is first asked for. With ``store`` the sequenced
+    paragraphs, the findings, the documents, the alias uses and the mentions are
+    each computed once, written to shared storage and read back, so no plan
+    searches a text twice and a lost executor costs no earlier step; ``close()``
+    removes them. Without it every table is a lazy plan down to the paragraphs.
     """
 
-    def __init__(self, paragraphs: DataFrame, merge_dates: bool = True, persist: bool = True):
-        self.sources = source_metadata(paragraphs)
-        self.paragraphs = sequenced(paragraphs, merge_dates)
-        self.findings = explicit_findings(self.paragraphs)
-        if persist:
-            self.findings = self.findings.persist()
-        self.documents = documents(self.findings)
-        self.kept = kept_findings(self.findings)
-        self.bindings = alias_bindings(self.findings)
-        self.aliased = alias_findings(self.paragraphs, self.kept, self.bindings)
-        self.mentions = mentions(self.paragraphs, self.kept, self.aliased, self.documents, self.sources)
-        self.summary = summary(self.documents, self.mentions)
+    def __init__(self, paragraphs: DataFrame, merge_dates: bool = True, store: bool = True):
+        self._given, self._merge_dates = paragraphs, merge_dates
+        self._store = Kept(paragraphs.sparkSession) if store else None
+
+    def _once(self, df: DataFrame) -> DataFrame:
+        return self._store(df) if self._store else df
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return source_metadata(self._given)
+
+    @cached_property
+    def paragraphs(self) -> DataFrame:
+        return self._once(sequenced(self._given, self._merge_dates))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return self._once(explicit_findings(self.paragraphs))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self._once(documents(self.findings))
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return kept_findings(self.findings)
+
+    @cached_property
+    def bindings(self) -> DataFrame:
+        return alias_bindings(self.findings)
+
+    @cached_property
+    def aliased(self) -> DataFrame:
+        return self._once(alias_findings(self.paragraphs, self.kept, self.bindings))
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return self._once(mentions(self.paragraphs, self.kept, self.aliased, self.documents, self.sources))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary(self.documents, self.mentions)
 
     def close(self) -> None:
-        self.findings.unpersist()
+        if self._store:
+            self._store.close()

@@ -264,8 +264,8 @@ def alias_bindings(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir) -> X.Extraction:
-    """Lazy throughout: a query that is only planned leaves nothing behind."""
-    return X.Extraction(paragraphs(spark, sf_dir), persist=False)
+    """Texts are searched once; what is found is stored until the driver ends."""
+    return X.Extraction(paragraphs(spark, sf_dir))
 
 
 @query(CORPUS_SQL + _ALIASED + "SELECT * FROM aliased")
@@ -791,7 +791,7 @@ def predictions(spark, sf_dir):
     """Every customer's citations as predictions of a fixture of its own, in the nested form of prediction files, listed again."""
     text = paragraphs(spark, sf_dir)
     fixtures = text.select("doc_key", F.concat(F.lit("customer_"), F.col("doc_key").cast("string")).alias("fixture_id")).distinct()
-    nested = D.predictions_by_fixture(E.as_predictions(X.Extraction(text, persist=False), fixtures))
+    nested = D.predictions_by_fixture(E.as_predictions(X.Extraction(text), fixtures))
     rows = nested.select("fixture_id", F.posexplode("references").alias("idx", "r"))
     return rows.select("fixture_id", "idx", "r.canonical_title", "r.official_identifier", "r.document_type", "r.source_pages")
 
@@ -805,7 +805,7 @@ def predictions(spark, sf_dir):
 def discovered_mentions(spark, sf_dir):
     """The corpus's mentions with one discovered reference for each customer added."""
     text = paragraphs(spark, sf_dir)
-    got = X.Extraction(text, persist=False)
+    got = X.Extraction(text)
     first = text.filter("seq = 1")
     found = first.select(
         "doc_key", F.lit(0).alias("pos"), F.lit("Companies Act, 2013").alias("exact_quote"), F.concat(F.lit("section 5 of the Companies Act, 2013; "), "text").alias("evidence_text"), F.lit("act").alias("document_type"),

@@ -161,7 +161,7 @@ def test_settings(tmp_path):
 def test_results_are_assembled_and_written(spark, tmp_path):
     texts = ["CIRCULAR No/1 of May 3, 2021. Subject: On widgets. As per the Depositories Act, 1996 é.", "In terms of para 7 of Master Circular for Widgets dated March 4, 2019.", "Paras 8 of Master Circular stand amended."]
     rows = [("d", 1, i + 1, f"p1.{i + 1}", t) for i, t in enumerate(texts)] + [("e", 1, 1, "p1.1", "nothing cited")]
-    found = Extraction(spark.createDataFrame(rows, "doc_key string, page_number int, para_no int, paragraph_id string, text string"), persist=False)
+    found = Extraction(spark.createDataFrame(rows, "doc_key string, page_number int, para_no int, paragraph_id string, text string"), store=False)
     docs = found.documents.withColumns({"resolution_status": F.when(F.col("document_type") == "act", "resolved").otherwise("unresolved"), "resolved_url": F.lit(None).cast("string")})
     results = assemble.references(found, docs, parser="toy", resolved=True)
     tables.write_files(tables.json_files(results, ".references.json"), str(tmp_path / "out"))
