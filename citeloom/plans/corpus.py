@@ -5,7 +5,7 @@ A customer is a citing document, its orders in key order are its paragraphs, fou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ten paragraph texts; {k} order key, {s} segment, {n} customer name, {y} year, {l} long date, {d} short date, {m} month and day, {a} to {c} small numbers.
@@ -23,6 +23,23 @@ TEMPLATES = (
 )
 
 
+def _spelled(template: str, parts: dict[str, Column]) -> Column:
+    """A template with its marks {x} replaced by columns."""
+    pieces, rest = [], template
+    while "{" in rest:
+        head, _, tail = rest.partition("{")
+        pieces += [F.lit(head), parts[tail[0]]]
+        rest = tail[2:]
+    return F.concat(*pieces, F.lit(rest))
+
+
+def _spelled_sql(template: str, parts: dict[str, str]) -> str:
+    text = "'" + template + "'"
+    for name, expression in parts.items():
+        text = text.replace("{" + name + "}", f"' || {expression} || '")
+    return text
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_key, seq, page_number, para_no, paragraph_id, text."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -36,17 +53,9 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "a": number(30), "b": number(50), "c": number(4),
     }
 
-    def filled(template: str):
-        pieces, rest = [], template
-        while "{" in rest:
-            head, _, tail = rest.partition("{")
-            pieces += [F.lit(head), parts[tail[0]]]
-            rest = tail[2:]
-        return F.concat(*pieces, F.lit(rest))
-
     text = F.lit(None).cast("string")
     for i, template in enumerate(TEMPLATES):
-        text = F.when((F.col("o_custkey") + F.col("seq")) % 10 == i, filled(template)).otherwise(text)
+        text = F.when((F.col("o_custkey") + F.col("seq")) % 10 == i, _spelled(template, parts)).otherwise(text)
     page, para = F.ceil(F.col("seq") / 4).cast("int"), ((F.col("seq") - 1) % 4 + 1).cast("int")
     return rows.select(
         F.col("o_custkey").alias("doc_key"), F.col("seq").cast("int").alias("seq"), page.alias("page_number"), para.alias("para_no"),
@@ -61,10 +70,7 @@ def _sql_case() -> str:
     }
     out = ""
     for i, template in enumerate(TEMPLATES):
-        text = "'" + template + "'"
-        for name, expression in parts.items():
-            text = text.replace("{" + name + "}", f"' || {expression} || '")
-        out += f" WHEN {i} THEN {text}"
+        out += f" WHEN {i} THEN {_spelled_sql(template, parts)}"
     return out
 
 
