@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.storage import file_system
+
 PAGES = "pages array<struct<page_number:int,paragraphs:array<struct<paragraph_id:string,text:string>>>>"
 LOCATORS = "struct<raw:array<string>,paragraphs:array<string>,regulations:array<string>,sections:array<string>,chapters:array<string>,annexures:array<string>,clauses:array<string>>"
 REFERENCES = (
@@ -82,24 +86,27 @@ def json_files(df: DataFrame, suffix: str, key: str = "doc_key") -> DataFrame:
     return df.select(F.concat(F.col(key).cast("string"), F.lit(suffix)).alias("name"), F.to_json(fields, {"ignoreNullFields": "false", "pretty": "true"}).alias("content"))
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Writes (name, content) rows as files of these names into a folder that all executors share; a row that is written again replaces its file."""
-
-    def put(rows) -> None:
-        from pathlib import Path
-
-        for row in rows:
-            part = Path(folder, f".{row.name}.part")
-            part.write_text(row.content, encoding="utf-8")
-            part.replace(Path(folder, row.name))
-
-    from pathlib import Path
-
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    files.foreachPartition(put)
-
-
-def write_tables(extraction, path: str) -> None:
-    """Documents, mentions, summary and sources as Parquet, one folder each."""
-    for name in ("documents", "mentions", "summary", "sources"):
-        getattr(extraction, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes (name, content) rows as files of these names, one line feed after each; returns their number.
+
+    Contents are written by the tasks, through Spark's writer, so ``folder`` may be
+    in any store that Spark knows; the driver then only renames. A file that is
+    there is replaced; of rows with one name the last content in order stays.
+    """
+    spark = files.sparkSession
+    parts = f"{folder.rstrip('/')}/.parts-{uuid.uuid4().hex}"
+    files.groupBy("name").agg(F.max("content").alias("content")).write.partitionBy("name").text(parts)
+    place, store = file_system(spark, parts)
+    jvm, done = spark.sparkContext._jvm, 0
+    for named in store.listStatus(place):
+        if not named.isDirectory():
+            continue
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(named.getPath().getName().partition("=")[2])
+        for part in store.listStatus(named.getPath()):
+            target = jvm.org.apache.hadoop.fs.Path(folder, name)
+            store.delete(target, False)
+            if not store.rename(part.getPath(), target):
+                raise OSError(f"could not move a file to {folder}/{name}")
+            done += 1
+    store.delete(place, True)
+    return done
