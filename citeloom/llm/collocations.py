@@ -7,8 +7,9 @@ add equal ones up over some million words with numpy before anything is
 shuffled. The bit table has a bound (BITS); a false bit lets a phrase through
 and drops none, so results are exact however full it is.
 
-Sums then meet in shards, by the hash of language and phrase. A shard adds up hash
-buckets first: a phrase whose bucket stays below ``least`` is no candidate. Over
+Sums then meet in shards, by the hash of language and phrase, packed by flush and
+shard: phrases in order of their first words, which compress to a few bytes each.
+A shard adds up hash buckets first: a phrase whose bucket stays below ``least`` is no candidate. Over
 the candidates it builds a minimal perfect hash, stores the phrase of each slot,
 and counts its batches into numpy arrays by slot (a phrase that is not the one
 stored at its slot is left out), which are summed as a tree. So a shard's table
@@ -28,11 +29,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,8 @@ LONGEST = 4
 FLUSH, STRETCH = 2_000_000, 1 << 22
 #: Sums of a shard, on average; rows of a batch that is counted into one array; parts that one copy of a shard's table answers.
 SHARD_SUMS, BATCH, SLICE = 1 << 17, 1 << 15, 1 << 13
+#: Bytes of text for each shard of single words, most of which are added up before.
+SHARD_BYTES = 1 << 22
 #: Bits of a level's table at most: 16 MB on the driver and in each worker.
 BITS = 1 << 27
 #: What ends a piece becomes a byte that no text has.
@@ -148,8 +153,54 @@ def stretches(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _partial_sums(docs: DataFrame, n: int, table: Bits | None, text_col: str, lang_col: str) -> DataFrame:
-    """key, c: phrases of n words and how often a stretch of the documents has them."""
+_FACTOR = 0x9E6C63D0876A9A47
+
+
+def hashes_of(keys: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary keys: polynomials over their bytes, mixed. Some thousand keys at a time, as a byte takes 24 on the way."""
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(keys), BATCH):
+        part = keys[i : i + BATCH]
+        offsets = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        sizes, offsets = np.diff(offsets), offsets[:-1] - offsets[0]
+        powers = np.cumprod(np.full(max(1, int(sizes.max())), _FACTOR, np.uint64))
+        terms = (data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(offsets, sizes)]
+        some, sums = sizes > 0, np.zeros(len(part), np.uint64)
+        sums[some] = np.add.reduceat(terms, offsets[some]) if some.any() else 0
+        out.append(mixed(sums ^ sizes.astype(np.uint64), 0))
+    return np.concatenate(out)
+
+
+def packed(keys: pa.Array, counts: np.ndarray, n_shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, payload) of keys and counts, in the keys' order: number, counts, lengths, bytes."""
+    shard = (hashes_of(keys) % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, keys, counts = shard[order], keys.take(pa.array(order)), counts[order].astype(np.int64)
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[: len(keys) + 1]
+    data, lengths = memoryview(keys.buffers()[2]), np.diff(offsets).astype(np.uint32)
+    ends = np.flatnonzero(np.diff(shard, append=-1)) + 1
+    press = zstandard.ZstdCompressor(level=3)
+    for a, b in zip([0, *ends], ends):
+        yield int(shard[a]), press.compress(b"".join((np.uint32(b - a).tobytes(), counts[a:b].tobytes(), lengths[a:b].tobytes(), data[offsets[a] : offsets[b]])))
+
+
+def unpacked(payloads: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Keys and counts of a shard's payloads, one after the other."""
+    counts, lengths, data = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], []
+    for payload in payloads:
+        raw = zstandard.ZstdDecompressor().decompress(payload)
+        n = int(np.frombuffer(raw, np.uint32, 1)[0])
+        counts.append(np.frombuffer(raw, np.int64, n, 4))
+        lengths.append(np.frombuffer(raw, np.uint32, n, 4 + 8 * n))
+        data.append(raw[4 + 12 * n :])
+    sizes = np.concatenate(lengths)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))]), np.concatenate(counts)
+
+
+def _partial_sums(docs: DataFrame, n: int, table: Bits | None, n_shards: int, text_col: str, lang_col: str) -> DataFrame:
+    """shard, payload: phrases of n words and how often a stretch of the documents has them."""
     kept = docs.select(F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("l")).filter("t IS NOT NULL")
     shared = kept.sparkSession.sparkContext.broadcast(table)
 
@@ -158,8 +209,9 @@ def _partial_sums(docs: DataFrame, n: int, table: Bits | None, text_col: str, la
 
         def handed() -> Iterator[pa.RecordBatch]:
             for keys, counts in sums.flush():
-                for i in range(0, len(keys), BATCH):
-                    yield pa.RecordBatch.from_arrays([keys[i : i + BATCH].cast(pa.string()), pa.array(counts[i : i + BATCH], pa.int64())], names=["key", "c"])
+                rows = packed(keys, counts, n_shards)
+                while part := list(islice(rows, 256)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["shard", "payload"])
 
         for batch in batches:
             texts, langs = batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())
@@ -172,7 +224,7 @@ def _partial_sums(docs: DataFrame, n: int, table: Bits | None, text_col: str, la
         yield from handed()
         idle()
 
-    return kept.mapInArrow(run, "key string, c bigint")
+    return kept.mapInArrow(run, "shard int, payload binary")
 
 
 def bincount(slots: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -195,8 +247,9 @@ class Shard:
     keys: pa.Array
     counts: np.ndarray
 
-    def slots(self, keys: pa.Array, hashes: np.ndarray) -> np.ndarray:
+    def slots(self, keys: pa.Array, hashes: np.ndarray | None = None) -> np.ndarray:
         """The slot at which each key is stored, -1 where it is not."""
+        hashes = hashes_of(keys) if hashes is None else hashes
         if not len(self.keys):
             return np.full(len(keys), -1, np.int64)
         found = self.table.slots(hashes)
@@ -209,8 +262,9 @@ class Shard:
         return found
 
     @classmethod
-    def counted(cls, keys: pa.Array, hashes: np.ndarray, sums: np.ndarray, least: int) -> Shard:
+    def counted(cls, keys: pa.Array, sums: np.ndarray, least: int) -> Shard:
         """From partial sums: bucket filter, hash over what passes, arrays by slot, their tree sum."""
+        hashes = hashes_of(keys)
         width = 1 << max(6, 2 * len(keys) - 1).bit_length()
         bucket = (mixed(hashes, LONGEST + 1) & np.uint64(width - 1)).astype(np.int64)
         passed = np.flatnonzero(bincount(bucket, sums, width)[bucket] >= least)
@@ -236,27 +290,21 @@ class Shard:
 #: A key's two parts; no phrase holds a line feed.
 _PHRASE = "substring_index(key, '\n', -1)"
 _LANG = f"substr(key, 1, length(key) - length({_PHRASE}) - 1)"
-_SHARD = "level int, shard int, keys array<string>, counts array<bigint>, bits binary"
+_SHARD = "level int, shard int, sums bigint, keys array<string>, counts array<bigint>, bits binary"
 
 
-def _hash(key: Column) -> Column:
-    return F.xxhash64(key)
-
-
-def _shards(partial: DataFrame, level: int, n_shards: int, least: int) -> DataFrame:
-    placed = partial.select("key", "c", _hash(F.col("key")).alias("h")).withColumn("shard", F.pmod("h", F.lit(n_shards)).cast("int"))
-
+def _shards(partial: DataFrame, level: int, least: int) -> DataFrame:
     def run(group: tuple, rows: pa.Table) -> pa.Table:
-        keys = rows["key"].combine_chunks().cast(pa.string())
-        shard = Shard.counted(keys, rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy(), least)
+        keys, sums = unpacked(rows["payload"].to_pylist())
+        shard = Shard.counted(keys, sums, least)
         return pa.table(
             {
-                "level": pa.array([level], pa.int32()), "shard": pa.array([group[0].as_py()], pa.int32()), "keys": pa.array([shard.keys.to_pylist()], pa.list_(pa.string())),
-                "counts": pa.array([shard.counts], pa.list_(pa.int64())), "bits": pa.array([shard.table.to_bytes()], pa.binary()),
+                "level": pa.array([level], pa.int32()), "shard": pa.array([group[0].as_py()], pa.int32()), "sums": pa.array([len(keys)], pa.int64()),
+                "keys": pa.array([shard.keys.cast(pa.string()).to_pylist()], pa.list_(pa.string())), "counts": pa.array([shard.counts], pa.list_(pa.int64())), "bits": pa.array([shard.table.to_bytes()], pa.binary()),
             }
         )
 
-    return placed.groupBy("shard").applyInArrow(run, _SHARD)
+    return partial.groupBy("shard").applyInArrow(run, _SHARD)
 
 
 def _counted(shards: DataFrame, least: int) -> DataFrame:
@@ -271,7 +319,7 @@ def _bits(spark: SparkSession, counted: DataFrame, level: int) -> Bits:
     size = min(BITS, 1 << max(10, (16 * phrases.count()).bit_length()))
     joined = F.lit(0).cast("bigint")
     for i in range(level):
-        h = _hash(F.concat("lang", F.lit("\n"), F.element_at(F.split("phrase", " "), i + 1)))
+        h = F.xxhash64(F.concat("lang", F.lit("\n"), F.element_at(F.split("phrase", " "), i + 1)))
         joined = joined.bitwiseXOR(h if not i else F.shiftleft(h, i * _ROTATE).bitwiseOR(F.shiftrightunsigned(h, 64 - i * _ROTATE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +347,15 @@ def _with_cuts(kept: DataFrame, shards: DataFrame, n_shards: dict[int, int]) ->
         for side in (True, False):
             size = F.lit(k) if side else F.col("level") - k
             parts.append(F.when(F.col("level") > k, F.struct(F.lit(k).alias("k"), F.lit(side).alias("first"), size.cast("int").alias("size"), _part(side, k).alias("part"))))
-    asked = kept.select("key", "a", F.explode(F.array_compact(F.array(*parts))).alias("p")).select("key", "a", "p.k", "p.first", F.col("p.size").alias("level"), "p.part", _hash(F.col("p.part")).alias("h"))
-    many = F.create_map(*[F.lit(x) for pair in n_shards.items() for x in pair])
-    asked = save(asked.withColumn("shard", F.pmod("h", many[F.col("level")]).cast("int")), "phrase-parts")
+    asked = kept.select("key", "a", F.explode(F.array_compact(F.array(*parts))).alias("p")).select("key", "a", "p.k", "p.first", F.col("p.size").alias("level"), "p.part")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths = np.array([1, *(n_shards[level] for level in sorted(n_shards))], np.uint64)
+        for batch in batches:
+            shard = hashes_of(batch.column("part").cast(pa.binary())) % widths[batch.column("level").to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32))], names=[*batch.schema.names, "shard"])
+
+    asked = save(asked.mapInArrow(placed, "key string, a bigint, k int, first boolean, level int, part string, shard int"), "phrase-parts")
     sizes = asked.groupBy("level", "shard").agg(F.count(F.lit(1)).alias("asked")).withColumn("slices", F.ceil(F.col("asked") / SLICE).cast("int"))
     sliced = join_groups(asked, sizes, ["level", "shard"], "asked", ["key", "k", "first"]).withColumn("slice", F.pmod(F.xxhash64("key", "k"), F.col("slices")).cast("int")).drop("asked", "slices")
     copies = shards.join(sizes, ["level", "shard"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("level", "shard", "slice", "keys", "counts", "bits")
@@ -309,8 +363,8 @@ def _with_cuts(kept: DataFrame, shards: DataFrame, n_shards: dict[int, int]) ->
     def read(requests: pa.Table, table: pa.Table) -> pa.Table:
         counts = np.zeros(0, np.int64)
         if requests.num_rows:
-            shard = Shard(PerfectHash.from_bytes(table["bits"][0].as_py()), table["keys"].combine_chunks().flatten().cast(pa.string()), table["counts"].combine_chunks().flatten().to_numpy())
-            counts = shard.counts[shard.slots(requests["part"].combine_chunks().cast(pa.string()), requests["h"].to_numpy().view(np.uint64))]
+            shard = Shard(PerfectHash.from_bytes(table["bits"][0].as_py()), table["keys"].combine_chunks().flatten().cast(pa.binary()), table["counts"].combine_chunks().flatten().to_numpy())
+            counts = shard.counts[shard.slots(requests["part"].combine_chunks().cast(pa.binary()))]
         return pa.table({"key": requests["key"], "a": requests["a"], "k": requests["k"], "first": requests["first"], "f": pa.array(counts, pa.int64())})
 
     place = ["level", "shard", "slice"]
@@ -328,12 +382,15 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
     if least < 1:
         raise ValueError("least must be 1 or more")
     spark, table, tables, n_shards = docs.sparkSession, None, [], {}
+    # What tells the number of shards: bytes, then words, then the sums of the level before, which no later level exceeds.
+    most = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     for level in range(1, LONGEST + 1):
-        partial = save(_partial_sums(docs, level, table, text_col, lang_col), f"phrase-sums-{level}")
-        n_shards[level] = max(1, -(-partial.count() // SHARD_SUMS))
-        tables.append(save(_shards(partial, level, n_shards[level], least), f"phrase-shards-{level}", instead_of=partial))
+        n_shards[level] = max(1, -(-most // (SHARD_BYTES if level == 1 else SHARD_SUMS)))
+        tables.append(save(_shards(_partial_sums(docs, level, table, n_shards[level], text_col, lang_col), level, least), f"phrase-shards-{level}"))
         if level < LONGEST:
             table = _bits(spark, _counted(tables[-1], least), level)
+            words = _counted(tables[-1], least).filter("phrase = ''").agg(F.sum("a"))
+            most = (words if level == 1 else tables[-1].agg(F.sum("sums"))).first()[0] or 0
     shards = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
     counted = _counted(shards, least)
     candidates = counted.filter("level > 1")

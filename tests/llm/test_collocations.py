@@ -73,7 +73,7 @@ def test_collocations_equal_brute_force(spark, rows, least):
 
 def test_small_buffers_shards_and_bits_change_nothing(spark, rows, monkeypatch):
     """Flushes after some words, many shards, slices of a few parts, a bit table full of false bits."""
-    for name, value in {"FLUSH": 50, "STRETCH": 64, "SHARD_SUMS": 200, "BATCH": 16, "SLICE": 8, "BITS": 64}.items():
+    for name, value in {"FLUSH": 50, "STRETCH": 64, "SHARD_SUMS": 200, "SHARD_BYTES": 500, "BATCH": 16, "SLICE": 8, "BITS": 64}.items():
         monkeypatch.setattr(collocations, name, value)
     monkeypatch.setattr("citeloom.llm.common.HOT", 16)
     assert result(collocations.collocations(with_lang(spark, rows).repartition(3), least=5, top=40)) == brute(rows, 5, 40)
@@ -125,17 +125,29 @@ def test_perfect_hash_is_minimal_and_travels():
         PerfectHash.build(np.array([5, 5], np.uint64))
 
 
-def test_a_shard_verifies_keys_and_keeps_equal_hashes_apart():
-    keys = pa.array(["en\na", "en\nb", "en\nc", "en\na", "en\nrare"])
-    hashes = np.array([7, 7, 9, 7, 11], np.uint64)  # a and b have one hash
-    shard = collocations.Shard.counted(keys, hashes, np.array([3, 4, 9, 2, 1], np.int64), 4)
+def test_a_shard_verifies_keys_and_keeps_equal_hashes_apart(monkeypatch):
+    hashes = {b"en\na": 7, b"en\nb": 7, b"en\nc": 9, b"en\nrare": 11, b"en\nzzz": 9}  # a and b have one hash, and so have c and zzz
+    monkeypatch.setattr(collocations, "hashes_of", lambda keys: np.array([hashes[k] for k in keys.to_pylist()], np.uint64))
+    shard = collocations.Shard.counted(pa.array([b"en\na", b"en\nb", b"en\nc", b"en\na", b"en\nrare"]), np.array([3, 4, 9, 2, 1], np.int64), 4)
     counts = dict(zip(shard.keys.to_pylist(), shard.counts.tolist()))
-    assert {k: v for k, v in counts.items() if v >= 4} == {"en\na": 5, "en\nb": 4, "en\nc": 9}
-    asked = pa.array(["en\nb", "en\nzzz", "en\nc"])
-    found = shard.slots(asked, np.array([7, 9, 9], np.uint64))
+    assert {k: v for k, v in counts.items() if v >= 4} == {b"en\na": 5, b"en\nb": 4, b"en\nc": 9}
+    found = shard.slots(pa.array([b"en\nb", b"en\nzzz", b"en\nc"]))
     assert found[1] == -1 and [shard.counts[found[0]], shard.counts[found[2]]] == [4, 9]
 
 
+def test_payloads_travel():
+    rng = random.Random(2)
+    keys = pa.array([bytes(rng.randrange(256) for _ in range(rng.randrange(12))) for _ in range(2000)] + [b""], pa.binary())
+    counts = np.arange(2001, dtype=np.int64) << 20
+    parts = list(collocations.packed(keys, counts, 7))
+    back, sums = collocations.unpacked([p for _, p in parts])
+    assert sorted(zip(back.to_pylist(), sums.tolist())) == sorted(zip(keys.to_pylist(), counts.tolist()))
+    for shard, payload in parts:
+        assert set(collocations.hashes_of(collocations.unpacked([payload])[0]) % np.uint64(7)) == {shard}
+    assert (collocations.hashes_of(keys.slice(5, 10)) == collocations.hashes_of(keys)[5:15]).all()
+    assert len(set(collocations.hashes_of(keys).tolist())) == len(set(keys.to_pylist()))
+
+
 def test_bits_have_no_false_negatives(spark):
     words = [f"w{i}" for i in range(300)]
     counted = spark.createDataFrame([(f"en\n{a} {b}", f"{a} {b}", "en", 5) for a, b in zip(words, words[1:])] + [("en\n", "", "en", 9)], "key string, phrase string, lang string, a bigint")
