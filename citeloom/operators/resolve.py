@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.storage import Kept
 
 # By kind the url's section, the score that a match needs, and the score that makes it sure.
 RULES = (("act", "/legal/acts/", 0.35, 0.55), ("regulations", "/legal/regulations/", 0.35, 0.55), ("master_circular", "/legal/master-circulars/", 0.30, 0.50), ("circular", "/legal/circulars/", 0.30, 0.50))
@@ -28,18 +29,48 @@ def _rule(field: int) -> Column:
     return out
 
 
-def _telling(rows: DataFrame, words: Column, known: DataFrame, keys: list[str], least: float) -> DataFrame:
+def listing_words(listing: DataFrame) -> DataFrame:
+    """Rows that documents are matched to, with their titles' words: kind, url, pos, listed_on, words. Other sections and amendments stay out."""
+    rows = distinct_listing(listing).filter(F.col("url").contains(_rule(1)) & ~T.is_amendment(F.col("title")))
+    return rows.select("kind", "url", "pos", "listed_on", T.title_tokens(F.col("title")).alias("words"))
+
+
+def listing_postings(rows: DataFrame) -> DataFrame:
+    """kind, w, url, n (words of the title) of rows with words."""
+    return rows.select("kind", "url", F.size("words").alias("n"), F.explode("words").alias("w"))
+
+
+def _telling(postings: DataFrame, known: DataFrame, keys: list[str], least: float) -> DataFrame:
     """(keys, kind, w): of each title its words from the rarest on, as many as a pair with a score of ``least`` must share one of.
 
     A title of n words shares at least ceil(least * n) of them with such a
     partner, so one is among its first n - ceil(least * n) + 1 in any fixed order;
     the commonest words of long titles never meet.
     """
-    each = rows.select(*keys, F.size(words).alias("n"), F.explode(words).alias("w")).join(known, ["kind", "w"])
+    each = postings.select(*keys, "n", "w").join(known, ["kind", "w"])
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("df", "w"))
     return each.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(*keys, "w")
 
 
+def _targets(documents: DataFrame) -> DataFrame:
+    """What documents are looked for by: ref, kind, day, target (words)."""
+    target = F.coalesce(F.nullif("title", F.lit("")), F.when(F.col("document_type") == "circular", F.col("short_title")), "query")
+    docs = documents.withColumn("query", T.search_keywords(F.col("document_type"), F.col("title"), F.col("short_title"), F.col("identifier")))
+    return docs.select("ref", F.col("document_type").alias("kind"), T.listing_date(F.col("date")).alias("day"), T.title_tokens(target).alias("target"))
+
+
+def _scored(docs: DataFrame, rows: DataFrame, postings: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    asked = docs.select("ref", "kind", F.size("target").alias("n"), F.explode("target").alias("w"))
+    met = _telling(asked, known, ["ref", "kind"], least).join(_telling(postings, known, ["kind", "url"], least), ["kind", "w"]).select("ref", "kind", "url").distinct()
+    sizes = met.join(docs.select("ref", "day", "target"), "ref").join(rows, ["kind", "url"])
+    same_day = F.coalesce(F.col("day") == F.col("listed_on"), F.lit(False)).alias("same_day")
+    return sizes.select("ref", "url", "pos", T.jaccard(F.col("target"), F.col("words")).alias("score"), same_day, F.col("day").isNotNull().alias("dated"))
+
+
+def word_counts(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("kind", "w").agg(F.count(F.lit(1)).alias("df"))
+
+
 def scored_candidates(documents: DataFrame, listing: DataFrame, least: float = 0.0) -> DataFrame:
     """(ref, url, score, pos, same_day) for listing rows of the document's kind that share a word with its title.
 
@@ -47,16 +78,33 @@ def scored_candidates(documents: DataFrame, listing: DataFrame, least: float = 0
     is 0 and never enough. Pairs below ``least`` may be left out, which spares
     the join the commonest words.
     """
-    rows = distinct_listing(listing).filter(F.col("url").contains(_rule(1)) & ~T.is_amendment(F.col("title")))
-    rows = rows.select("kind", "url", "pos", "listed_on", T.title_tokens(F.col("title")).alias("words"))
-    target = F.coalesce(F.nullif("title", F.lit("")), F.when(F.col("document_type") == "circular", F.col("short_title")), "query")
-    docs = documents.withColumn("query", T.search_keywords(F.col("document_type"), F.col("title"), F.col("short_title"), F.col("identifier")))
-    docs = docs.select("ref", F.col("document_type").alias("kind"), T.listing_date(F.col("date")).alias("day"), T.title_tokens(target).alias("target"))
-    known = rows.select("kind", F.explode("words").alias("w")).groupBy("kind", "w").agg(F.count(F.lit(1)).alias("df"))
-    met = _telling(docs, F.col("target"), known, ["ref", "kind"], least).join(_telling(rows, F.col("words"), known, ["kind", "url"], least), ["kind", "w"]).select("ref", "kind", "url").distinct()
-    sizes = met.join(docs.select("ref", "day", "target"), "ref").join(rows, ["kind", "url"])
-    same_day = F.coalesce(F.col("day") == F.col("listed_on"), F.lit(False)).alias("same_day")
-    return sizes.select("ref", "url", "pos", T.jaccard(F.col("target"), F.col("words")).alias("score"), same_day, F.col("day").isNotNull().alias("dated"))
+    rows = listing_words(listing)
+    postings = listing_postings(rows)
+    return _scored(_targets(documents), rows, postings, word_counts(postings), least)
+
+
+#: Scores down to which each round of ``nearest`` looks; the last one finds whatever shares a word.
+ROUNDS = (0.5, 0.2, 0.0)
+
+
+def nearest(documents: DataFrame, rows: DataFrame, postings: DataFrame, known: DataFrame, kept: Kept) -> DataFrame:
+    """The best listing row of each document that shares a word with one: ref, url, score; of equal scores the first listed.
+
+    Rounds of falling thresholds: what a round finds at its threshold or above is
+    the best there is, ties included, so only the other documents go on. Common
+    words thus meet only for documents that nothing else tells.
+    """
+    open_, found = kept(_targets(documents)), []
+    for least in ROUNDS:
+        top = best(_scored(open_, rows, postings, known, least), "b").select("ref", "b.url", "b.score")
+        found.append(kept(top.filter(F.col("score") >= least) if least else top.filter("score > 0")))
+        open_ = open_.join(found[-1].select("ref"), "ref", "left_anti")
+        if open_.isEmpty():
+            break
+    out = found[0]
+    for table in found[1:]:
+        out = out.unionByName(table)
+    return out
 
 
 def best(candidates: DataFrame, alias: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,9 @@ from citeloom.operators import layout as L
 from citeloom.operators import resolve as R
 from citeloom.operators import spans as S
 from citeloom.plans.corpus import CORPUS_SQL, paragraphs
+from citeloom.sources.listing_index import ListingIndex
 from citeloom.sources.tables import paragraphs_by_page
+from citeloom.storage import Kept
 
 FLAGSHIP = "cited_documents"
 
@@ -462,8 +465,11 @@ _TOP_SQL = f"""WITH listing AS (
 
 @query(_TOP_SQL + "SELECT ref, url, score FROM top")
 def title_jaccard_top1(spark, sf_dir):
-    top = R.best(R.scored_candidates(_cited(spark, sf_dir), _listing(spark, sf_dir)), "b")
-    return top.select("ref", "b.url", "b.score")
+    """The listed title nearest to each cited one, from the stored index of the listing."""
+    kept = Kept(spark)
+    index = ListingIndex(spark, f"{kept.path}/listing", f"listing_{uuid.uuid4().hex}", parts=2, buckets=4)
+    index.refresh(_listing(spark, sf_dir))
+    return index.nearest(_cited(spark, sf_dir), kept)
 
 
 _RESOLVED_SQL = _TOP_SQL + """, today AS (SELECT ref, url, score FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY score DESC, pos) AS n FROM scored WHERE score > 0 AND same_day) WHERE n = 1

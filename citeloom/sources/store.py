@@ -29,6 +29,7 @@ class StoredTable:
 
     def __init__(self, spark: SparkSession, name: str, path: str, placed_by: Sequence[str], parts: int = 16, buckets: int = 8):
         self.spark, self.name, self.path, self.placed_by, self.parts, self.buckets = spark, name, path, list(placed_by), parts, buckets
+        self._declared = self._held = False
         spark.conf.set(CO_PARTITION, "false")
 
     def part(self) -> Column:
@@ -42,11 +43,19 @@ class StoredTable:
         files.mkdirs(place)
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, part int) USING parquet PARTITIONED BY (part) CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
         self.spark.catalog.recoverPartitions(self.name)
+        self._declared, self._held = True, any(s.getPath().getName().startswith("part=") for s in files.listStatus(place))
         return self
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name).drop("part")
 
+    def _first(self, rows: DataFrame) -> list[int]:
+        """Into an empty table."""
+        placed = rows.withColumn("part", self.part()).select(*self.spark.table(self.name).columns)
+        placed.hint("rebalance", "part", *self.placed_by).write.insertInto(self.name)
+        self._held = True
+        return sorted(int(r[0].partition("=")[2]) for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect())
+
     @contextmanager
     def _dynamic(self) -> Iterator[None]:
         """Overwrites reach only the partitions that get rows."""
@@ -63,7 +72,10 @@ class StoredTable:
         Parts are numbers below ``parts``: these, no rows, reach the driver. A
         run that is tried again ends in the same table.
         """
-        self.declare(rows.schema)
+        if not self._declared:
+            self.declare(rows.schema)
+        if not self._held:
+            return self._first(rows)
         stored, keys = self.spark.table(self.name), gone.select(*on).distinct()
         same = lambda: reduce(Column.__and__, [stored[c].eqNullSafe(keys[c]) for c in on])
         fresh = rows.withColumn("part", self.part())
