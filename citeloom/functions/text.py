@@ -64,10 +64,12 @@ def document_type(name: Column, strict: bool = False) -> Column:
     )
 
 
-def relation_type(paragraph: Column) -> Column:
+def relation_type(paragraph: Column, strict: bool = False) -> Column:
+    """First relation of whose words one occurs. As substrings they also hit other words ("vide " in "provide that"); ``strict`` asks for whole words."""
     low, out = F.lower(paragraph), F.lit("references")
     for name, words in reversed(P.RELATIONS):
-        out = F.when(has(low, words), name).otherwise(out)
+        said = low.rlike(r"\b(?:" + "|".join(w.strip() for w in words) + r")\b") if strict else has(low, words)
+        out = F.when(said, name).otherwise(out)
     return out
 
 
@@ -133,9 +135,9 @@ def locator_tokens(raw: Column) -> Column:
     return _distinct(F.transform(found, lambda t: strip(t, " ,.;:()")))
 
 
-def locators(before: Column) -> Column:
-    """What of the cited document is meant, from the text before the citation: struct of raw and six lists."""
-    raw = F.coalesce(compact(extract(before, P.LOCATOR, 1)), F.lit(""))
+def locators(before: Column, strict: bool = False) -> Column:
+    """What of the cited document is meant, from the text before the citation: struct of raw and six lists. ``strict`` takes dotted numbers as well."""
+    raw = F.coalesce(compact(extract(before, P.STRICT_LOCATOR if strict else P.LOCATOR, 1)), F.lit(""))
     lists = [F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), locator_tokens))).alias(name) for name, p in P.ITEMS.items()]
     annexures = F.transform(F.regexp_extract_all(raw, F.lit(P.ANNEXURE), F.lit(1)), F.upper)
     clause = F.regexp_extract(raw, P.CLAUSE, 1)

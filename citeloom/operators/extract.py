@@ -56,7 +56,33 @@ def _finding(kind: Column, title: Column, short: Column, identifier: Column, dat
     )
 
 
-def _patterns(paragraph: Column) -> list[tuple[str, Column, object]]:
+def stitched(paragraphs: DataFrame) -> DataFrame:
+    """Each page as one text: doc_key, page_number, unit (its first para_seq), text, marks (start, para_seq, says_this of each paragraph).
+
+    Paragraphs are joined by a blank, or by a line feed after one that ends a
+    sentence, which no title or locator crosses.
+    """
+    rows = paragraphs.groupBy("doc_key", "page_number").agg(F.array_sort(F.collect_list(F.struct("para_seq", "text"))).alias("p"))
+    gap = lambda p: F.when(p["text"].rlike("[.;:!?]$"), "\n").otherwise(" ")
+    text = F.array_join(F.transform("p", lambda p: F.concat(p["text"], gap(p))), "")
+    ends = spans.bound(F.transform("p", lambda p: F.length(p["text"]) + 1), spans.running_sums)
+    mark = lambda p, end: F.struct((end - F.length(p["text"]) - 1).alias("start"), p["para_seq"].alias("para_seq"), F.lower(p["text"]).contains("this circular").alias("says_this"))
+    return rows.select("doc_key", "page_number", F.get("p", F.lit(0))["para_seq"].alias("unit"), text.alias("text"), F.zip_with("p", ends, mark).alias("marks"))
+
+
+def _units(paragraphs: DataFrame, strict: bool) -> DataFrame:
+    """What patterns are searched in: paragraphs, or pages with ``marks``."""
+    return stitched(paragraphs) if strict else paragraphs.select("doc_key", "page_number", F.col("para_seq").alias("unit"), "text")
+
+
+def _place(start: Column, strict: bool) -> Column:
+    """Struct (para_seq, says_this) of a match in a unit."""
+    if strict:
+        return F.element_at(F.filter("marks", lambda m: m["start"] <= start), -1)
+    return F.struct(F.col("unit").alias("para_seq"), F.lower("text").contains("this circular").alias("says_this"))
+
+
+def _patterns(paragraph: Column, strict: bool) -> list[tuple[str, Column, object]]:
     """(pattern, cheap guard, finding of a match): master circulars, circulars, instruments, notifications, in this order."""
     low, issuer, none = F.lower(paragraph), F.lit(P.ISSUER), F.lit(None).cast("string")
     year_in = paragraph.rlike(r"(?:19|20)\d{2}")
@@ -78,7 +104,7 @@ def _patterns(paragraph: Column) -> list[tuple[str, Column, object]]:
         name = T.plural_regulations(T.compact(hit))
         body = F.when(F.upper(name).startswith(P.ISSUER), issuer).otherwise(none)
         return _finding(
-            T.document_type(name), name, None, None, None, F.regexp_extract(hit, P.INSTRUMENT, 1).try_cast("int"), body,
+            T.document_type(name, strict), name, None, None, None, F.regexp_extract(hit, P.INSTRUMENT, 1).try_cast("int"), body,
             F.array_compact(F.array(T.following_alias(paragraph, end))), "explicit_in_text", T.compact(hit),
         )
 
@@ -96,19 +122,20 @@ def _numbered(rank: int, make):
     return lambda m, i: F.struct(F.lit(rank).alias("pattern"), i.alias("pos"), m["start"].alias("start"), m["end"].alias("end"), make(m["hit"], m["end"]).alias("f"))
 
 
-def explicit_findings(paragraphs: DataFrame) -> DataFrame:
+def explicit_findings(paragraphs: DataFrame, strict: bool = False) -> DataFrame:
     """One row for each citation in full form, before overlaps are dropped: these make the documents.
 
-    Columns doc_key, page_number, para_seq, pattern, pos (order within a paragraph), start, end, the finding's fields, locators, says_this.
+    Columns doc_key, page_number, unit, para_seq, pattern, pos (order within a unit), start, end (in the unit), the finding's
+    fields, locators, says_this. A unit is a paragraph; with ``strict`` it is a page, so that a citation that runs from one
+    paragraph into the next is found, at the paragraph in which it starts.
     """
-    paragraph = F.col("text")
+    units, text = _units(paragraphs, strict), F.col("text")
     lists = []
-    for rank, (pattern, guard, make) in enumerate(_patterns(paragraph)):
-        lists.append(F.when(guard, F.transform(spans.find_all(paragraph, pattern), _numbered(rank, make))))
-    rows = paragraphs.select("doc_key", "page_number", "para_seq", "text", F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("m"))
+    for rank, (pattern, guard, make) in enumerate(_patterns(text, strict)):
+        lists.append(F.when(guard, F.transform(spans.find_all(text, pattern), _numbered(rank, make))))
+    rows = units.withColumn("m", F.explode(F.flatten(F.array_compact(F.array(*lists))))).withColumn("at", _place(F.col("m.start"), strict))
     return rows.select(
-        "doc_key", "page_number", "para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(paragraph, F.lit(1), F.col("m.start"))).alias("locators"),
-        F.lower(paragraph).contains("this circular").alias("says_this"),
+        "doc_key", "page_number", "unit", "at.para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(text, F.lit(1), F.col("m.start")), strict).alias("locators"), "at.says_this",
     )
 
 
@@ -148,13 +175,13 @@ def alias_bindings(findings: DataFrame) -> DataFrame:
 
 
 def kept_findings(findings: DataFrame) -> DataFrame:
-    return spans.drop_contained(findings, ["doc_key", "para_seq"], "pattern", "pos")
+    return spans.drop_contained(findings, ["doc_key", "unit"], "pattern", "pos")
 
 
-def alias_findings(paragraphs: DataFrame, kept: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Uses of bound aliases that overlap no full citation: doc_key, para_seq, start, end, document_id, alias, match_text, says_this, locators.
+def alias_findings(paragraphs: DataFrame, kept: DataFrame, bindings: DataFrame, strict: bool = False) -> DataFrame:
+    """Uses of bound aliases that overlap no full citation: doc_key, unit, para_seq, start, end, document_id, alias, match_text, says_this, locators.
 
-    A paragraph is searched for its document's aliases at once, and only what is
+    A unit is searched for its document's aliases at once, and only what is
     found goes on. A use takes the last binding up to its paragraph: bindings and
     uses of an alias are put in one order and the document is carried along, so
     the work grows with their number, not with the product.
@@ -164,21 +191,21 @@ def alias_findings(paragraphs: DataFrame, kept: DataFrame, bindings: DataFrame)
     quoted = lambda alias: F.concat(F.lit("(?iU)\\b\\Q"), alias, F.lit("\\E\\b"))
 
     def uses_of(alias: Column) -> Column:
-        told = lambda m: F.struct(alias.alias("alias"), m["start"].alias("start"), m["end"].alias("end"), T.compact(m["hit"]).alias("match_text"), T.locators(F.substring(text, F.lit(1), m["start"])).alias("locators"))
+        told = lambda m: F.struct(alias.alias("alias"), m["start"].alias("start"), m["end"].alias("end"), T.compact(m["hit"]).alias("match_text"), T.locators(F.substring(text, F.lit(1), m["start"]), strict).alias("locators"))
         return F.transform(spans.find_all(text, quoted(alias)), told)
 
-    met = paragraphs.select("doc_key", "para_seq", "text").join(names, "doc_key").withColumn("names", F.filter("names", lambda a: low.contains(a))).filter(F.size("names") > 0)
-    uses = met.select("doc_key", "para_seq", low.contains("this circular").alias("says_this"), F.explode(F.flatten(F.transform("names", uses_of))).alias("u"))
-    uses = uses.select("doc_key", "u.alias", "para_seq", F.struct("u.start", "u.end", "u.match_text", "says_this", "u.locators").alias("use"))
+    met = _units(paragraphs, strict).join(names, "doc_key").withColumn("names", F.filter("names", lambda a: low.contains(a))).filter(F.size("names") > 0)
+    uses = met.withColumn("u", F.explode(F.flatten(F.transform("names", uses_of)))).withColumn("at", _place(F.col("u.start"), strict))
+    uses = uses.select("doc_key", "u.alias", "at.para_seq", F.struct("unit", "u.start", "u.end", "u.match_text", "at.says_this", "u.locators").alias("use"))
     bound = bindings.select("doc_key", "alias", F.col("from_seq").alias("para_seq"), F.lit(None).cast(uses.schema["use"].dataType).alias("use"), "document_id")
     events = uses.withColumn("document_id", F.lit(None).cast("string")).unionByName(bound)
     # Bindings come first at their paragraph: nulls do.
     last = Window.partitionBy("doc_key", "alias").orderBy("para_seq", F.col("use").isNotNull()).rangeBetween(Window.unboundedPreceding, 0)
     carried = events.withColumn("document_id", F.last("document_id", ignorenulls=True).over(last)).filter("use IS NOT NULL AND document_id IS NOT NULL")
-    taken = kept.groupBy("doc_key", "para_seq").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    rows = carried.select("doc_key", "para_seq", "alias", "document_id", "use.*").join(taken, ["doc_key", "para_seq"], "left").filter(spans.overlaps_none(F.col("start"), F.col("end"), F.col("taken")))
-    found = rows.select("doc_key", "para_seq", "start", "end", "document_id", "alias", "match_text", "says_this", "locators")
-    return spans.drop_contained(found, ["doc_key", "para_seq"], "alias")
+    taken = kept.groupBy("doc_key", "unit").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
+    rows = carried.select("doc_key", "para_seq", "alias", "document_id", "use.*").join(taken, ["doc_key", "unit"], "left").filter(spans.overlaps_none(F.col("start"), F.col("end"), F.col("taken")))
+    found = rows.select("doc_key", "unit", "para_seq", "start", "end", "document_id", "alias", "match_text", "says_this", "locators")
+    return spans.drop_contained(found, ["doc_key", "unit"], "alias")
 
 
 def self_reference(match: Column, says_this: Column, source_title: Column) -> Column:
@@ -199,7 +226,7 @@ def merged_locators(ordered: Column) -> Column:
     return F.struct(F.when(F.size(raw) > 0, raw).alias("raw"), *lists)
 
 
-def mentions(paragraphs: DataFrame, kept: DataFrame, aliased: DataFrame, numbered: DataFrame, sources: DataFrame) -> DataFrame:
+def mentions(paragraphs: DataFrame, kept: DataFrame, aliased: DataFrame, numbered: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
     """One row per paragraph and cited document, numbered in reading order."""
     ids = numbered.select("doc_key", "key", "document_id")
     columns = ["doc_key", "para_seq", "document_id", "alias_only", "start", "end", "match_text", "says_this", "locators"]
@@ -218,7 +245,7 @@ def mentions(paragraphs: DataFrame, kept: DataFrame, aliased: DataFrame, numbere
     sure = T.confidence(F.col("alias_only"), F.col("document_type"), F.col("title"), F.col("identifier"), F.col("date"))
     return rows.select(
         "doc_key", F.format_string("ref_%03d", number).alias("mention_id"), "document_id", F.col("page_number").alias("source_page"), F.col("paragraph_id").alias("source_paragraph_id"), "match_texts",
-        F.col("text").alias("evidence_text"), T.relation_type(F.col("text")).alias("relation_type"), merged_locators(F.transform("items", lambda i: i["locators"])).alias("target_locators"), sure.alias("sure"),
+        F.col("text").alias("evidence_text"), T.relation_type(F.col("text"), strict).alias("relation_type"), merged_locators(F.transform("items", lambda i: i["locators"])).alias("target_locators"), sure.alias("sure"),
     ).select("*", "sure.*").drop("sure")
 
 
@@ -250,10 +277,12 @@ class Extraction:
     each computed once, written to shared storage and read back, so no plan
     searches a text twice and a lost executor costs no earlier step; ``close()``
     removes them. Without it every table is a lazy plan down to the paragraphs.
+    ``strict`` mends what the compatible rules miss or take wrongly: citations
+    across paragraphs of a page, dotted locators, kinds and relations by whole words.
     """
 
-    def __init__(self, paragraphs: DataFrame, merge_dates: bool = True, store: bool = True):
-        self._given, self._merge_dates = paragraphs, merge_dates
+    def __init__(self, paragraphs: DataFrame, merge_dates: bool = True, store: bool = True, strict: bool = False):
+        self._given, self._merge_dates, self._strict = paragraphs, merge_dates, strict
         self._store = Kept(paragraphs.sparkSession) if store else None
 
     def _once(self, df: DataFrame) -> DataFrame:
@@ -269,7 +298,7 @@ class Extraction:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return self._once(explicit_findings(self.paragraphs))
+        return self._once(explicit_findings(self.paragraphs, self._strict))
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -285,11 +314,11 @@ class Extraction:
 
     @cached_property
     def aliased(self) -> DataFrame:
-        return self._once(alias_findings(self.paragraphs, self.kept, self.bindings))
+        return self._once(alias_findings(self.paragraphs, self.kept, self.bindings, self._strict))
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return self._once(mentions(self.paragraphs, self.kept, self.aliased, self.documents, self.sources))
+        return self._once(mentions(self.paragraphs, self.kept, self.aliased, self.documents, self.sources, self._strict))
 
     @cached_property
     def summary(self) -> DataFrame:
