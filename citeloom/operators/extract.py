@@ -122,6 +122,16 @@ def _numbered(rank: int, make):
     return lambda m, i: F.struct(F.lit(rank).alias("pattern"), i.alias("pos"), m["start"].alias("start"), m["end"].alias("end"), make(m["hit"], m["end"]).alias("f"))
 
 
+def text_findings(text: Column, strict: bool = False) -> Column:
+    """All citations in full form of a text: array of struct (pattern, pos, start, end, the finding's fields, locators)."""
+    lists = []
+    for rank, (pattern, guard, make) in enumerate(_patterns(text, strict)):
+        lists.append(F.when(guard, F.transform(spans.find_all(text, pattern), _numbered(rank, make))))
+    fields = ["document_type", "title", "short_title", "identifier", "date", "year", "issuing_body", "aliases", "title_source", "key", "match_text"]
+    told = lambda m: F.struct(*[m[c].alias(c) for c in ("pattern", "pos", "start", "end")], *[m["f"][c].alias(c) for c in fields], T.locators(F.substring(text, F.lit(1), m["start"]), strict).alias("locators"))
+    return F.transform(F.flatten(F.array_compact(F.array(*lists))), told)
+
+
 def explicit_findings(paragraphs: DataFrame, strict: bool = False) -> DataFrame:
     """One row for each citation in full form, before overlaps are dropped: these make the documents.
 
@@ -130,13 +140,8 @@ def explicit_findings(paragraphs: DataFrame, strict: bool = False) -> DataFrame:
     paragraph into the next is found, at the paragraph in which it starts.
     """
     units, text = _units(paragraphs, strict), F.col("text")
-    lists = []
-    for rank, (pattern, guard, make) in enumerate(_patterns(text, strict)):
-        lists.append(F.when(guard, F.transform(spans.find_all(text, pattern), _numbered(rank, make))))
-    rows = units.withColumn("m", F.explode(F.flatten(F.array_compact(F.array(*lists))))).withColumn("at", _place(F.col("m.start"), strict))
-    return rows.select(
-        "doc_key", "page_number", "unit", "at.para_seq", "m.pattern", "m.pos", "m.start", "m.end", "m.f.*", T.locators(F.substring(text, F.lit(1), F.col("m.start")), strict).alias("locators"), "at.says_this",
-    )
+    rows = units.withColumn("m", F.explode(text_findings(text, strict))).withColumn("at", _place(F.col("m.start"), strict))
+    return rows.select("doc_key", "page_number", "unit", "at.para_seq", "m.*", "at.says_this")
 
 
 def documents(findings: DataFrame, *also: Column) -> DataFrame:

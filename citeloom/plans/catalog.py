@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from citeloom import sql as SQL
 from citeloom.functions import patterns as P
 from citeloom.functions import text as T
 from citeloom.operators import assemble as A
@@ -335,6 +336,23 @@ def locators_by_kind(spark, sf_dir):
     return rows.select("o_orderkey", "l.raw", "l.chapters", "l.annexures", "l.clauses")
 
 
+@query(CORPUS_SQL + _FINDINGS + 'SELECT doc_key, para_seq, pattern, start, "end", document_type, title, identifier, date, year, key FROM keyed')
+def sql_findings(spark, sf_dir):
+    """Citations by SQL text: the table function joined to the paragraphs."""
+    SQL.register_functions(spark)
+    X.sequenced(paragraphs(spark, sf_dir)).createOrReplaceTempView("sql_findings_paragraphs")
+    return spark.sql("SELECT p.doc_key, p.para_seq, c.pattern, c.start, c.`end`, c.document_type, c.title, c.identifier, c.date, c.year, c.key FROM sql_findings_paragraphs p, LATERAL citations(p.text) c")
+
+
+@query(CORPUS_SQL + _MENTIONS + """SELECT n.document_type, m.relation_type, count(*) AS mentions, count(DISTINCT m.doc_key) AS documents, avg(year)::DOUBLE AS mean_year
+FROM mentioned m JOIN numbered n ON n.doc_key = m.doc_key AND n.document_id = m.document_id GROUP BY ALL""")
+def sql_mentions(spark, sf_dir):
+    """Mentions by kind and relation, from the extraction's views."""
+    SQL.register_views(_extracted(spark, sf_dir), "sql_")
+    return spark.sql("""SELECT d.document_type, m.relation_type, count(*) AS mentions, count(DISTINCT m.doc_key) AS documents, avg(d.year) AS mean_year
+      FROM sql_reference_mentions m JOIN sql_referenced_documents d USING (doc_key, document_id) GROUP BY ALL""")
+
+
 # --- spans ---------------------------------------------------------------------------------
 
 _SPANS_SQL = 'WITH s AS (SELECT DISTINCT l_orderkey AS g, (l_partkey % 50)::INT AS start, (l_partkey % 50 + l_quantity)::INT AS "end" FROM lineitem)'
