@@ -6,7 +6,8 @@ w <= 3. The solution is w = min(3, exp(lambda * size / mean size of the source))
 the lambdas solve the convex dual, whose Newton steps are computed over the
 whole table as sums by source. Rates are then rounded into whole copies,
 systematically along (size, hash), so that copies follow the rates at every
-size and a source's words stay near its target. No randomness: reruns agree.
+size; then a few copies of each source move by one, so that its words meet the
+target as nearly as the sizes allow. No randomness: reruns agree.
 
 A rate depends on source and size only, so sums and rounding work on the table
 of distinct (source, size), which is smaller than the documents.
@@ -29,6 +30,8 @@ from citeloom.llm.common import WORDS, running, save, text_of
 CAP = 3.0
 #: Newton steps after which an unsettled source is an error, and the relative distance from the target at which they end.
 STEPS, NEAR = 60, 1e-9
+#: Rounds in which a source's words are brought nearer to its target, by one copy each.
+MENDS = 4
 #: Parts into which the documents of one (source, size) are dealt by hash for rounding.
 PARTS = 4096
 
@@ -105,6 +108,29 @@ def balance(hist: DataFrame, weights: Sequence[int], cap: float = CAP) -> DataFr
     return state
 
 
+def _mended(rated: DataFrame, cap: int) -> DataFrame:
+    """Copies moved by one, here and there, until each source's words are as near its target as that brings them.
+
+    Rounding along the sizes leaves up to a longest document. In each of MENDS
+    rounds a source gains or loses one copy of the size that is nearest to what
+    it lacks or has too much, if that brings it nearer; so it ends within half of
+    a size that it can still move, or much closer where sizes lie densely.
+    """
+    for _ in range(MENDS):
+        rated = save(rated, "mix-due")
+        words = F.sum(F.col("size") * (F.col("whole") * F.col("n") + F.col("due")))
+        off = rated.groupBy(F.col("source").alias("s")).agg((F.first("target") - words).alias("off")).filter(F.abs("off") > 0)
+        met = rated.join(off, F.col("source").eqNullSafe(F.col("s"))).filter("size > 0")
+        room = F.when(F.col("off") > 0, (F.col("due") < F.col("n")) & (F.col("whole") < cap)).otherwise(F.col("due") > 0)
+        left = F.abs(F.abs("off") - F.col("size"))
+        best = met.filter(room & (left < F.abs("off"))).groupBy("s").agg(F.min_by("size", F.struct(left.alias("l"), "size")).alias("z"), F.first(F.signum("off")).cast("bigint").alias("more"))
+        if best.isEmpty():
+            break
+        one = F.coalesce(F.col("more"), F.lit(0).cast("bigint"))
+        rated = rated.join(best, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").withColumn("due", F.col("due") + one).drop("s", "z", "more")
+    return rated
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = int(CAP), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per row: id, __tx, source, size, source_size, target, rate, copies, taken."""
     rows = save(sizes(docs, id_col, source_col, text_col), "mix-sizes")
@@ -118,7 +144,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = int(CAP)
     along = Window.partitionBy("source").orderBy("size")
     rated = rated.withColumn("whole", F.floor("rate")).withColumn("upto", F.sum((F.col("rate") - F.col("whole")) * F.col("n")).over(along))
     due = F.floor(F.col("upto") + 0.5) - F.floor(F.coalesce(F.lag("upto").over(along), F.lit(0.0)) + 0.5)
-    rated = rated.select("source", "size", "total", "target", "rate", "whole", F.least(due, F.col("n")).alias("due"))
+    rated = _mended(rated.select("source", "size", "n", "total", "target", "rate", "whole", F.least(due, F.col("n")).alias("due")), cap)
     # Which documents of one (source, size) get the extra copy: those first by hash. Counts by part settle all parts but one.
     parts = rows.groupBy("__source", "__size", part.alias("__part")).agg(F.count(F.lit(1)).alias("m"))
     parts = parts.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("__source", "__size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
