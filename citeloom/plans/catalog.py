@@ -313,6 +313,24 @@ def assembled_references(spark, sf_dir):
     return rows.select("doc_key", "schema_version", "extraction_method.mode", "summary.*", F.transform("referenced_documents", lambda d: d["document_id"]).alias("document_ids"), F.when(F.size(names) > 0, names).alias("mention_ids"))
 
 
+@query(CORPUS_SQL + _MENTIONS + "SELECT * FROM mentioned")
+def assembled_mentions(spark, sf_dir):
+    """Every mention inside the nested results, in all its fields."""
+    rows = A.references(_extracted(spark, sf_dir)).select("doc_key", F.explode("reference_mentions").alias("m"))
+    return _flat(rows.select("doc_key", "m.*"))
+
+
+@query(CORPUS_SQL + _DOCUMENTS + """, named AS (
+  SELECT doc_key, key, list_sort(list_distinct(flatten(list(CASE WHEN pattern = 0 THEN ['Master Circular'] WHEN contains(text, hit || ' ("MF Regulations")') THEN ['MF Regulations'] ELSE []::VARCHAR[] END)))) AS aliases FROM keyed GROUP BY ALL)
+SELECT n.doc_key, document_id, document_type, title, CASE document_type WHEN 'master_circular' THEN 'Master Circular' WHEN 'circular' THEN 'SEBI Circular ' || identifier || coalesce(' dated ' || date, '') WHEN 'notification' THEN title END AS short_title,
+  identifier, date, year, CASE WHEN document_type = 'act' THEN NULL ELSE 'SEBI' END AS issuing_body, aliases,
+  CASE document_type WHEN 'circular' THEN 'not_present_in_text' WHEN 'notification' THEN 'generic_only' ELSE 'explicit_in_text' END AS title_source, 'unresolved' AS resolution_status FROM numbered n JOIN named USING (doc_key, key)""")
+def assembled_documents(spark, sf_dir):
+    """Every cited document inside the nested results, in all its fields."""
+    rows = A.references(_extracted(spark, sf_dir)).select("doc_key", F.explode("referenced_documents").alias("d"))
+    return rows.select("doc_key", "d.*").drop("resolved_url")
+
+
 @query(CORPUS_SQL + f"""SELECT doc_key, max(page_number) AS page_count, nullif(regexp_extract(string_agg(text, ' ' ORDER BY para_no) FILTER (page_number = 1), '(?i){_DATES}'), '') AS issue_date
 FROM corpus GROUP BY doc_key""")
 def source_metadata(spark, sf_dir):
@@ -383,11 +401,11 @@ def url_filename(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.pdf_name(F.col("url")).alias("name"))
 
 
-@query("SELECT page_id, string_split(rtrim(url, '/'), '/')[-1] || ' x+y.pdf' AS name FROM pages WHERE NOT ends_with(url, '/')")
+@query("SELECT page_id, string_split(rtrim(url, '/') || ' x+y', '/')[-1] || '.pdf' AS name FROM pages")
 def decoded_filename(spark, sf_dir):
     """Names of attachments whose urls hold escapes."""
-    rows = read(spark, sf_dir, "pages").filter(~F.col("url").endswith("/"))
-    return rows.select("page_id", T.safe_name(F.concat("url", F.lit("%20x%2By"))).alias("name"))
+    rows = read(spark, sf_dir, "pages")
+    return rows.select("page_id", T.safe_name(F.concat(F.rtrim("url", F.lit("/")), F.lit("%20x%2By/"))).alias("name"))
 
 
 _HOLDING_SQL = """SELECT page_id, url, regexp_replace(html, 'href="(/[^"]*)"', 'href="\\1.pdf"', 'g') || CASE page_id % 3 WHEN 0 THEN '<iframe src="v?file=https://h.example/attachdocs/' || page_id || '.pdf">' WHEN 1 THEN '<a href="/AttachDocs/' || page_id || '.PDF">' ELSE '' END AS html FROM pages"""
