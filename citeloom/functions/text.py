@@ -96,7 +96,7 @@ def document_key(kind: Column, title: Column, identifier: Column, date: Column,
 
 def master_circular_title(prefix: Column, body: Column, suffix: Column) -> Column:
     named = F.btrim(F.regexp_replace(compact(body), r'\s*\("?[A-Za-z]{2,10}"?\)\s*$', ""), F.lit(" "))
-    trailer = extract(compact(suffix), rf"(?i)^for\s+(.+?)(?:\s+\(|\s+(?:{'|'.join(P.VERBS)})\b|$)", 1)
+    trailer = extract(compact(suffix), P.TRAILER, 1)
     whole = F.when(compact(body) != "", F.btrim(F.concat(F.lit("Master Circular "), named), F.lit(" "))).when(
         (compact(prefix) != "") & trailer.isNotNull(), F.concat(F.lit("Master Circular for "), compact(trailer))
     )
@@ -104,7 +104,7 @@ def master_circular_title(prefix: Column, body: Column, suffix: Column) -> Colum
 
 
 def master_circular_alias(suffix: Column) -> Column:
-    return clean_alias(extract(compact(suffix), r"(?i)\(([^)]*Master Circular[^)]*)\)", 1))
+    return clean_alias(extract(compact(suffix), P.TRAILER_ALIAS, 1))
 
 
 def concise(match: Column) -> Column:
@@ -209,15 +209,15 @@ def _with_pdf(name: Column) -> Column:
 def pdf_link(html: Column, suffix: str = ".pdf", prefer: str = "attachdocs") -> Column:
     """The link to a page's document: file= parameters before href and src; a preferred folder before all."""
     end = suffix.replace(".", r"\.")
-    first = F.regexp_extract_all(html, F.lit(rf"(?i)[?&]file=([^\"'&>\s]+?{end})"), F.lit(1))
-    second = F.regexp_extract_all(html, F.lit(rf"(?i)(?:href|src)=[\"']([^\"']*?{end})[\"']"), F.lit(1))
+    first = F.regexp_extract_all(html, F.lit(P.FILE_LINK.replace("{end}", end)), F.lit(1))
+    second = F.regexp_extract_all(html, F.lit(P.PLAIN_LINK.replace("{end}", end)), F.lit(1))
     every = F.concat(first, second)
     return F.coalesce(F.get(F.filter(every, lambda u: F.lower(u).contains(prefer)), F.lit(0)), F.get(every, F.lit(0)))
 
 
 def strict_pdf_link(html: Column, host: str = P.HOST) -> Column:
     """The first file= parameter that names a PDF on the host; null where there is none."""
-    return extract(html, rf"(?i)file=(https://{host.replace('.', '[.]')}/[^'\"<>]+\.pdf)", 1)
+    return extract(html, P.STRICT_LINK.replace("{host}", host.replace(".", "[.]")), 1)
 
 
 def _without_dots(path: Column, squeeze: bool) -> Column:
@@ -250,11 +250,16 @@ def absolute_url(base: Column, link: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def ascii_form(values: pd.Series) -> pd.Series:
-    """Compatibility decomposition, and of that what is ASCII; Spark has no function for it, so batches go through Arrow."""
+def _decomposed(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
 
 
+def ascii_form(value: str | Column) -> Column:
+    """Compatibility decomposition, and of that what is ASCII. Spark has no function for it: values beyond ASCII, and no others, go through Arrow."""
+    plain = text(value).rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, text(value)).otherwise(_decomposed(F.when(~plain, text(value))))
+
+
 def normalize_text(value: str | Column) -> Column:
     low = F.replace(F.lower(ascii_form(F.coalesce(text(value), F.lit("")))), F.lit("&"), F.lit(" and "))
     named = F.replace(low, F.lit(P.ISSUER_LONG.lower()), F.lit(P.ISSUER.lower()))

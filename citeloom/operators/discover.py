@@ -56,8 +56,7 @@ def merge_discoveries(documents: DataFrame, mentions: DataFrame, found: DataFram
 
 def listing_rows(html: Column) -> Column:
     """Rows of a listing page: array of (url, title, pos)."""
-    pattern = r"href='(https://[^']+\.html)'\s+[^>]*title=\"([^\"]+)\""
-    urls, titles = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
+    urls, titles = F.regexp_extract_all(html, F.lit(P.LISTING_ROW), F.lit(1)), F.regexp_extract_all(html, F.lit(P.LISTING_ROW), F.lit(2))
     return F.transform(F.arrays_zip(urls.alias("url"), titles.alias("title")), lambda r, i: F.struct(r["url"].alias("url"), F.trim(r["title"]).alias("title"), i.alias("pos")))
 
 

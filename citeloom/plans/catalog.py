@@ -754,6 +754,13 @@ def title_metrics(spark, sf_dir):
     return _evaluated(spark, sf_dir).select("fixture_id", "title_exact_recall", "title_presence_recall")
 
 
+@query(_MATCH_SQL + """SELECT d.fixture_id, (SELECT count(*) FROM customer c WHERE c_nationkey::VARCHAR = d.fixture_id AND c_custkey % 2 = 0 AND EXISTS (SELECT 1 FROM a WHERE a.matched = c.c_name AND k % 3 = 1)) / gold_total AS title_exact_recall FROM d""")
+def exact_titles(spark, sf_dir):
+    """Half of the gold titles are what some predictions say, but for their case."""
+    gold = _gold(spark, sf_dir).withColumn("title", F.when(F.regexp_extract("identifier", r"(\d+)$", 1).cast("bigint") % 2 == 0, F.col("key")).otherwise(F.col("title")))
+    return E.evaluate(_predicted(spark, sf_dir), gold).select("fixture_id", "title_exact_recall")
+
+
 @query(_MATCH_SQL + """SELECT fixture_id, agg AS aggregate_key, 'Other ' || min(c_name) AS title, list_sort(list_distinct(list(page))) AS pages FROM a WHERE matched IS NULL GROUP BY ALL""")
 def extra_references(spark, sf_dir):
     """Predicted documents that no gold reference stands for."""

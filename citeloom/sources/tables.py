@@ -24,6 +24,7 @@ GOLD = (
     "fixture_id string, source_pdf string, scored_references array<struct<canonical_key:string,document_type:string,canonical_title:string,aliases:array<string>,official_identifier:string,"
     "source_pages:array<int>,resolved_url:string>>"
 )
+DISCOVERIES = "references array<struct<exact_quote:string,evidence_text:string,document_type:string,title:string,identifier:string,year_or_date:string,source_page:int>>"
 PREDICTIONS = "fixture_id string, references array<string>"
 
 
@@ -52,6 +53,12 @@ def read_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.groupBy("fixture_id").agg(F.max_by("source_pdf", "__f").alias("source_pdf"), F.max_by("scored_references", "__f").alias("scored_references"))
 
 
+def read_discoveries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """<stem>.discovered.json files: doc_key (the stem), pos (order in the file), exact_quote, evidence_text, document_type, title, identifier, year_or_date, source_page."""
+    rows = _json(spark, path, DISCOVERIES).select(_stem(r"\.discovered\.json").alias("doc_key"), F.posexplode("references").alias("pos", "r"))
+    return rows.select("doc_key", "pos", "r.*")
+
+
 def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Prediction files: fixture_id (else the file's stem), references, each as its JSON text, for which keys are there matters; none where nothing is there."""
     try:

@@ -1,10 +1,8 @@
-"""Pages, attachments and listings over HTTP. Requests are made on executors, by a function that can be exchanged."""
+"""Pages and attachments over HTTP. Requests are made on executors, by a function that can be exchanged."""
 
 from __future__ import annotations
 
-import time
 import urllib.error
-import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -13,12 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
-from citeloom.operators.discover import listing_rows
+from citeloom.storage import Kept
 
 Get = Callable[[str, bytes | None], bytes]
-#: Fields of the listing's form that never change, and what ends its rows.
-FORM = {"next": "1", "sid": "1", "smid": "0", "doDirect": "0"}
-ROWS_END = "#@#"
 
 
 def http(url: str, body: bytes | None = None, timeout: float = 60) -> bytes:
@@ -52,13 +47,15 @@ def attachments(pages: DataFrame, get: Get = http, strict: bool = False) -> Data
     """Of page urls (page_url) the PDF that each one is, or holds: page_url, pdf_url, pdf_name, bytes, content, error.
 
     ``strict`` takes only file= parameters that name a PDF on the issuer's host.
+    Every url is asked once: what came is stored before it is read again.
     """
+    kept = Kept(pages.sparkSession)
     is_pdf = F.lower(F.regexp_extract("page_url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)).endswith(".pdf")
     read = fetch(pages.filter(~is_pdf).select("page_url"), "page_url", get).withColumn("html", F.decode("body", "UTF-8"))
     link = T.strict_pdf_link(F.col("html")) if strict else T.absolute_url(F.col("page_url"), T.pdf_link(F.col("html")))
-    linked = read.select("page_url", link.alias("pdf_url"), F.col("error").alias("page_error"))
+    linked = kept(read.select("page_url", link.alias("pdf_url"), F.col("error").alias("page_error")))
     direct = pages.filter(is_pdf).select("page_url", F.col("page_url").alias("pdf_url"), F.lit(None).cast("string").alias("page_error"))
-    got = fetch(direct.unionByName(linked), "pdf_url", get)
+    got = kept(fetch(direct.unionByName(linked), "pdf_url", get))
     name = T.safe_name(F.col("pdf_url")) if strict else T.pdf_name(F.col("pdf_url"))
     return got.select("page_url", "pdf_url", F.when(F.col("pdf_url").isNotNull(), name).alias("pdf_name"), F.octet_length("body").cast("bigint").alias("bytes"), F.col("body").alias("content"), F.coalesce("page_error", "error").alias("error"))
 
@@ -66,40 +63,3 @@ def attachments(pages: DataFrame, get: Get = http, strict: bool = False) -> Data
 def manifest(downloads: DataFrame, folder: str = "pdfs") -> DataFrame:
     """What was stored: page_url, pdf_url, pdf_path, bytes."""
     return downloads.filter("content IS NOT NULL").select("page_url", "pdf_url", F.concat(F.lit(f"{folder}/"), "pdf_name").alias("pdf_path"), "bytes")
-
-
-def search_listing(asked: DataFrame, api: str, get: Get = http, max_pages: int = 3, pause: float = 0.4) -> DataFrame:
-    """Listing rows for each row of ``asked`` (kind, query, ssid, from_date, to_date): kind, query, title, url, pos, each url once, in the listing's order.
-
-    Pages are asked for until the listing names no next one, a request fails,
-    or there are ``max_pages`` of them.
-    """
-    schema = "kind string, query string, page int, html string"
-
-    def pages_of(row) -> Iterator[tuple[int, str]]:
-        following = "1"
-        for page in range(max_pages):
-            form = FORM | {"nextValue": following, "search": row.query or "", "fromDate": row.from_date or "", "toDate": row.to_date or "", "ssid": row.ssid}
-            try:
-                html = get(api, urllib.parse.urlencode(form).encode()).decode("utf-8", "ignore").split(ROWS_END)[0]
-            except OSError:
-                return
-            yield page, html
-            _, mark, rest = html.partition("name='nextValue' value=")
-            following = rest[: len(rest) - len(rest.lstrip("0123456789"))] if mark else "0"
-            if int(following or 0) == 0:
-                return
-            time.sleep(pause)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                found = [(row.kind, row.query, page, html) for page, html in pages_of(row)]
-                yield pd.DataFrame(found, columns=["kind", "query", "page", "html"])
-
-    rows = asked.select("kind", "query", "ssid", "from_date", "to_date").mapInPandas(run, schema).select("kind", "query", "page", F.explode(listing_rows(F.col("html"))).alias("r"))
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("kind", "query", "r.url").orderBy("page", "r.pos"))
-    place = F.row_number().over(Window.partitionBy("kind", "query").orderBy("page", "r.pos"))
-    return rows.withColumn("n", first).filter("n = 1").select("kind", "query", "r.title", "r.url", place.alias("pos"))

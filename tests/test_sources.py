@@ -135,22 +135,6 @@ def test_requests_are_made(spark):
     server.shutdown()
 
 
-def test_listing_pages_are_followed(spark):
-    row = lambda n, t: f"<a href='https://h/{n}.html'  class='p' title=\"{t}\">"
-
-    def get(url, body):
-        form = dict(urllib.parse.parse_qsl(body.decode(), keep_blank_values=True))
-        if form["search"] == "fails" or form["sid"] != "1":
-            raise OSError("down")
-        html = {"1": row(1, " One ") + row(2, "Two") + "<input name='nextValue' value=2>", "2": row(2, "Two again") + row(3, "Three") + "name='nextValue' value=0"}[form["nextValue"]]
-        return (html + "#@#" + row(9, "after the end")).encode()
-
-    asked = spark.createDataFrame([("act", "x", "1", None, None), ("act", "fails", "1", None, None)], "kind string, query string, ssid string, from_date string, to_date string")
-    got = sorted(web.search_listing(asked, "https://api", get, pause=0).collect(), key=lambda r: r.pos)
-    assert [(r.query, r.title, r.url, r.pos) for r in got] == [("x", "One", "https://h/1.html", 1), ("x", "Two", "https://h/2.html", 2), ("x", "Three", "https://h/3.html", 3)]
-    assert web.search_listing(asked, "https://api", get, max_pages=1, pause=0).count() == 2
-
-
 def test_settings(tmp_path):
     (tmp_path / ".env").write_text("# note\nA = 1\nB=x=y\nC\n\nD=your_key_here\nE=\nF=7\n")
     into = {"F": "set"}
