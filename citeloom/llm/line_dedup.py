@@ -242,7 +242,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _cleaned(docs.select(id_col, text_col), id_col, text_col, min_near).select(id_col, "__ld.n_lines", "__ld.n_equal", "__ld.n_near", F.col("__ld.text").alias("text"))
 
 
-#: What op1 returns, by the common ends that two lines within one edit have: for small tables with unique ids.
+#: What line_report returns, by the common ends that two lines within one edit have: for small tables with unique ids. MIN_NEAR stands for the length.
 ORACLE = r"""
 WITH doc AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ), line AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM doc
@@ -250,7 +250,7 @@ WITH doc AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l
 ), firsts AS (SELECT line, min(p) AS p, length(line) AS n FROM place GROUP BY line
 ), ends AS (
   SELECT line, p, n, unnest([0, 1]) AS half, m, CASE WHEN unnest([0, 1]) = 0 THEN left(line, m // 2) ELSE right(line, m - m // 2) END AS k
-  FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts WHERE n >= 16)
+  FROM (SELECT *, unnest([n, n - 1]) AS m FROM firsts WHERE n >= MIN_NEAR)
 ), near AS (
   SELECT DISTINCT a.line AS a, b.line AS b, a.p AS pa, b.p AS pb, a.n AS na, b.n AS nb FROM ends a JOIN ends b ON a.half = b.half AND a.m = b.m AND a.k = b.k AND b.p < a.p AND abs(a.n - b.n) <= 1
 ), met AS (

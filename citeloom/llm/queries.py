@@ -16,8 +16,8 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those that go because an earlier one is equal or near, and the digest of the text that stays."""
-    cleaned = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    """Per document: its lines, those that go because an earlier one is equal or near, however short, and the digest of the text that stays."""
+    cleaned = line_dedup.line_report(table(spark, sf_dir, "documents"), min_near=1)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
     return cleaned.select("doc_id", "n_lines", "n_equal", "n_near", digest)
 
@@ -97,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_line_dedup": line_dedup.ORACLE,
+        "op1_line_dedup": line_dedup.ORACLE.replace("MIN_NEAR", "1"),
         "op2_exact_dedup": exact_dedup.ORACLE,
         "op3_near_dedup": near_dedup.ORACLE,
         "op7_url_filter": OP7_SQL,
