@@ -31,14 +31,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import idle, save
 
 #: Bytes of a block; characters of the pieces that dictionaries are trained on; bytes of a dictionary; compression level.
 BLOCK, PIECE, DICTIONARY, LEVEL = 1000, 400, 112_640, 3
-#: Bounds of training: labelled rows of each class for its dictionary, other labelled rows for calibration, pieces for a dictionary.
+#: Bounds of training: labelled rows of each class for its dictionary, other labelled rows for calibration, pieces that a dictionary's whole texts hold together.
 DICTIONARY_ROWS, CALIBRATION_ROWS, PIECES = 3000, 6000, 20_000
 #: Score from which a text is predicted good.
 GOOD_FROM = 0.7
@@ -109,13 +109,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def _dictionary_pieces(rows: DataFrame, pieces: int) -> dict[str, list[bytes]]:
-    """Of (role, __id, text) about ``pieces`` pieces for each role, all of them if there are no more, by a bound on their hashes."""
-    totals = {r.role: r.n for r in rows.groupBy("role").agg(F.sum(F.ceil(F.length("text") / PIECE)).alias("n")).collect()}
-    share = F.create_map(*[x for role, n in totals.items() for x in (F.lit(role), F.lit(min(1.0, pieces / max(1, n))))]) if totals else F.lit(None)
-    cut = rows.select("role", "__id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("at", "piece"))
-    place = F.pmod(F.xxhash64("__id", "at", "piece"), F.lit(1 << 40)) / float(1 << 40)
-    found = cut.filter(place < share[F.col("role")]).collect() if totals else []
-    found.sort(key=lambda r: (r["__id"], r["at"], r.piece))
+    """Of (role, __id, text) all pieces of whole texts: rows in order of a hash of their ids, as many as hold ``pieces`` pieces together.
+
+    A text that alone holds more than a quarter of these is not chosen, so that it does not stand for its class.
+    """
+    sized = rows.select("role", "__id", F.xxhash64("text").alias("tx"), F.ceil(F.length("text") / PIECE).alias("n")).filter(F.col("n").between(1, max(1, pieces // 4)))
+    order = Window.partitionBy("role").orderBy(F.xxhash64("__id", F.lit(9)), "__id", "tx")
+    chosen = sized.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= pieces).select("role", "__id", "tx")
+    whole = rows.withColumn("tx", F.xxhash64("text")).join(F.broadcast(chosen.distinct()), ["role", "__id", "tx"]).dropDuplicates(["role", "__id", "tx"])
+    cut = whole.select("role", "__id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("at", "piece"))
+    found = sorted(cut.collect(), key=lambda r: (r["__id"], r["at"], r.piece))
     return {role: [r.piece.encode() for r in found if r.role == role] for role in ("good", "bad")}
 
 
@@ -140,8 +143,9 @@ def fit(
     """Learn from labelled rows that are not held out; None without both classes.
 
     The ids are bounded by 2 * dictionary_rows + calibration_rows, so they are
-    broadcast to find the texts. To the driver come about ``pieces`` pieces for
-    each dictionary, and three numbers for each calibration row.
+    broadcast to find the texts. To the driver come the whole texts of as many
+    rows as hold ``pieces`` pieces for each dictionary, and three numbers for each
+    calibration row.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg((F.min(label_col) > 0).alias("y"))
     order = F.xxhash64("__id", F.lit(4))
@@ -164,14 +168,14 @@ def fit(
 
 
 def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, score, predicted (1 from GOOD_FROM), __tx."""
+    """Per row: id, held_out, score, predicted (1 from GOOD_FROM), __tx. Without a model nothing speaks against a text: every score is GOOD_FROM."""
     kept = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("held_out"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__tx"), F.col(text_col).alias("__text"))
     schema = f"__id {kept.schema['__id'].dataType.simpleString()}, held_out boolean, __tx bigint, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = model.compressors() if model else None
         for batch in batches:
-            scores = [0.5] * batch.num_rows
+            scores = [GOOD_FROM] * batch.num_rows
             if pair:
                 column = batch.column(3).cast(pa.string())
                 scores = [model.score(*figures((column[i].as_py() or "").encode(), *pair)) for i in range(batch.num_rows)]
@@ -183,7 +187,7 @@ def quality_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
 
 def quality_filter(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that are predicted good, columns as they were; scored in place, so nothing is shuffled."""
+    """The rows that ``quality_scores`` predicts good (all of them without a model), columns as they were; scored in place, so nothing is shuffled."""
     from pyspark.sql.types import StructType
 
     if model is None:

@@ -259,7 +259,8 @@ def test_quality(spark, odd):
     again = quality.quality_scores(made(spark, odd), model).collect()
     assert len(again) == len(odd) and all(0 <= r.score <= 1 for r in again)
     assert quality.quality_filter(docs, model).columns == docs.columns
-    assert quality.fit(docs, labels.limit(0)) is None and {r.score for r in quality.quality_scores(docs, None).collect()} == {0.5}
+    assert quality.fit(docs, labels.limit(0)) is None and {(r.score, r.predicted) for r in quality.quality_scores(docs, None).collect()} == {(0.7, 1)}
+    assert quality.quality_filter(docs, None).count() == docs.count()
 
 
 def test_scores_equal_brute_force(spark, odd):
@@ -298,9 +299,11 @@ def test_training_reads_whole_texts(spark):
     assert held and np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
     rows = spark.createDataFrame([("good", i, f"{i:03d}" * 400) for i in range(400)] + [("bad", 1, "x" * 900)], "role string, __id bigint, text string")
     some = quality._dictionary_pieces(rows, 300)
-    assert 200 < len(some["good"]) < 400 and len(some["bad"]) == 3
-    # Every third piece of a text, and rows of large ids, have their share.
+    # Whole texts, as many as fit: three pieces of each, and rows of large ids have their share.
+    assert len(some["good"]) == 300 and len(some["bad"]) == 3 and set(Counter(p[:3] for p in some["good"] if p[:3] != p[3:6]).values()) <= {3}
     assert sum(p.startswith(b"39") for p in some["good"]) > 0 and len(quality._dictionary_pieces(rows, 5000)["good"]) == 1200
+    long = spark.createDataFrame([("good", 1, "y" * 400 * 90), ("good", 2, "x" * 800), ("good", 2, "x" * 800), ("good", 3, ""), ("bad", 4, "z")], "role string, __id bigint, text string")
+    assert Counter(p[:1] for p in quality._dictionary_pieces(long, 100)["good"]) == {b"x": 2}  # none of the long text, all of the other, once
 
 
 def test_the_tail_decides(spark):
