@@ -40,9 +40,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import idle, join_groups, save
-from citeloom.llm.perfect_hash import PerfectHash, mixed
+from citeloom.llm.perfect_hash import PerfectHash, mixed, mixed_one
 
 LONGEST = 4
+#: Words that a mapper numbers before it starts a new vocabulary.
+VOCABULARY = 1_000_000
 #: Words that a mapper adds up at once; bytes of a text that it cuts at once (up to the next end of a piece).
 FLUSH, STRETCH = 2_000_000, 1 << 22
 #: Sums of a shard, on average; rows of a batch that is counted into one array; parts that one copy of a shard's table answers.
@@ -63,6 +65,11 @@ class Bits:
 
     words: np.ndarray
 
+    def has(self, h: int) -> bool:
+        """One hash, without numpy."""
+        at = mixed_one(h) & (64 * len(self.words) - 1)
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = mixed(hashes, 0) & np.uint64(64 * len(self.words) - 1)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -73,53 +80,75 @@ def _rotated(x: np.ndarray, by: int) -> np.ndarray:
 
 
 class _Ids(dict):
-    """Words of one language to numbers that no other language shares."""
+    """Words of one language to numbers that no other language shares; -1 for those that cannot be frequent, and for the ends of pieces."""
 
-    def __init__(self, lang: bytes, words: list[bytes], keys: list[bytes]):
+    def __init__(self, lang: bytes, sums: Sums):
         super().__init__({bytes([_END]): -1})
-        self._lang, self._words, self._keys = lang + b"\n", words, keys
+        self._lang, self._sums = lang + b"\n", sums
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self._words)
-        self._words.append(word)
-        self._keys.append(self._lang + word)
+        self[word] = number = self._sums.number(self._lang + word, word)
         return number
 
 
 class Sums:
-    """Phrases of n words, added up until they are handed on as (key, count); a key is the language, a line feed and the phrase."""
+    """Phrases of n words, added up until they are handed on as (key, count); a key is the language, a line feed and the phrase.
 
-    def __init__(self, n: int, table: Bits | None):
-        self.n, self.table = n, table
-        self._reset()
+    ``words`` and ``table`` are the bit tables of frequent words and of frequent phrases of n - 1 words.
+    """
 
-    def _reset(self) -> None:
-        self._words, self._keys, self._langs, self._ids, self.size = [], [], {}, [], 0
+    def __init__(self, n: int, table: Bits | None = None, words: Bits | None = None):
+        self.n, self.table, self.frequent = n, table, words
+        self._ids, self.size = [], 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts a new vocabulary."""
+        self._words, self._keys, self._hashes, self._langs, self._met, self._counts = [], [], [], {}, 0, np.zeros(0, np.int64)
+
+    def number(self, key: bytes, word: bytes) -> int:
+        self._met += 1
+        if self.frequent is not None:
+            h = xxhash.xxh64_intdigest(key, 42)
+            if not self.frequent.has(h):
+                return -1
+            self._hashes.append(h)
+        self._words.append(word)
+        self._keys.append(key)
+        return len(self._words) - 1
 
     def add(self, lang: bytes, text: bytes) -> None:
         ids = self._langs.get(lang)
         if ids is None:
-            ids = self._langs[lang] = _Ids(lang, self._words, self._keys)
+            ids = self._langs[lang] = _Ids(lang, self)
         end = bytes([_END])
-        numbers = [ids[w] for w in text.translate(_BYTES).replace(end, b" " + end + b" ").split()]
+        numbers = list(map(ids.__getitem__, text.translate(_BYTES).replace(end, b" " + end + b" ").split()))
         self._ids += np.array(numbers, np.int64), np.array([-1])
         self.size += len(numbers)
 
-    def flush(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        if self._words:
-            ids = np.concatenate(self._ids)
-            yield from (self._single(ids) if self.n == 1 else self._several(ids))
-        self._reset()
-
-    def _single(self, ids: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    def flush(self, last: bool = False) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """What was added since the last flush. Words are held back until the vocabulary is full, or to the end."""
+        ids, self._ids, self.size = np.concatenate([*self._ids, np.zeros(0, np.int64)]), [], 0
+        full = last or self._met > VOCABULARY
+        if self.n == 1:
+            counts = np.bincount(ids[ids >= 0], minlength=len(self._words))
+            counts[: len(self._counts)] += self._counts
+            self._counts = counts
+            if full and self._words:
+                yield from self._single(counts)
+        elif len(ids):
+            yield from self._several(ids)
+        if full:
+            self._forget()
+
+    def _single(self, counts: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Words, and for each language the number of all its words, as the empty phrase."""
-        counts = np.bincount(ids[ids >= 0], minlength=len(self._words))
         yield pa.array(self._keys, pa.binary()), counts
-        own = {lang: [n for w, n in ids.items() if n >= 0] for lang, ids in self._langs.items()}
+        own = {lang: [n for n in ids.values() if n >= 0] for lang, ids in self._langs.items()}
         yield pa.array([lang + b"\n" for lang in own], pa.binary()), np.array([counts[n].sum() for n in own.values()], np.int64)
 
     def _several(self, ids: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        hashes = np.array([xxhash.xxh64_intdigest(k, 42) for k in self._keys], np.uint64)
+        hashes = np.array([*self._hashes, 0], np.uint64)
         n, size = self.n, max(0, len(ids) - self.n + 1)
         window = lambda i, length=size: ids[i : i + length]
         # A part is frequent, or may be, where its n - 1 words stand in one piece and its bit is set.
@@ -199,16 +228,16 @@ def unpacked(payloads: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))]), np.concatenate(counts)
 
 
-def _partial_sums(docs: DataFrame, n: int, table: Bits | None, n_shards: int, text_col: str, lang_col: str) -> DataFrame:
+def _partial_sums(docs: DataFrame, n: int, tables: tuple[Bits | None, Bits | None], n_shards: int, text_col: str, lang_col: str) -> DataFrame:
     """shard, payload: phrases of n words and how often a stretch of the documents has them."""
     kept = docs.select(F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("l")).filter("t IS NOT NULL")
-    shared = kept.sparkSession.sparkContext.broadcast(table)
+    shared = kept.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(n, shared.value)
+        sums = Sums(n, *shared.value)
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            for keys, counts in sums.flush():
+        def handed(last: bool = False) -> Iterator[pa.RecordBatch]:
+            for keys, counts in sums.flush(last):
                 rows = packed(keys, counts, n_shards)
                 while part := list(islice(rows, 256)):
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["shard", "payload"])
@@ -221,7 +250,7 @@ def _partial_sums(docs: DataFrame, n: int, table: Bits | None, n_shards: int, te
                     sums.add(lang, stretch)
                     if sums.size >= FLUSH:
                         yield from handed()
-        yield from handed()
+        yield from handed(last=True)
         idle()
 
     return kept.mapInArrow(run, "shard int, payload binary")
@@ -381,16 +410,17 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int
     """
     if least < 1:
         raise ValueError("least must be 1 or more")
-    spark, table, tables, n_shards = docs.sparkSession, None, [], {}
+    spark, words, table, tables, n_shards = docs.sparkSession, None, None, [], {}
     # What tells the number of shards: bytes, then words, then the sums of the level before, which no later level exceeds.
     most = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     for level in range(1, LONGEST + 1):
         n_shards[level] = max(1, -(-most // (SHARD_BYTES if level == 1 else SHARD_SUMS)))
-        tables.append(save(_shards(_partial_sums(docs, level, table, n_shards[level], text_col, lang_col), level, least), f"phrase-shards-{level}"))
+        tables.append(save(_shards(_partial_sums(docs, level, (table, words), n_shards[level], text_col, lang_col), level, least), f"phrase-shards-{level}"))
         if level < LONGEST:
             table = _bits(spark, _counted(tables[-1], least), level)
-            words = _counted(tables[-1], least).filter("phrase = ''").agg(F.sum("a"))
-            most = (words if level == 1 else tables[-1].agg(F.sum("sums"))).first()[0] or 0
+            words = words or table
+            total = _counted(tables[-1], least).filter("phrase = ''").agg(F.sum("a"))
+            most = (total if level == 1 else tables[-1].agg(F.sum("sums"))).first()[0] or 0
     shards = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
     counted = _counted(shards, least)
     candidates = counted.filter("level > 1")

@@ -24,6 +24,15 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed_one(key: int) -> int:
+    """``mixed`` of one key with seed 0."""
+    mask = (1 << 64) - 1
+    x = (key + _ODD) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return x ^ (x >> 31)
+
+
 class PerfectHash:
     """Slots 0 to size - 1 for the keys it was built on."""
 

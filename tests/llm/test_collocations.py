@@ -73,7 +73,7 @@ def test_collocations_equal_brute_force(spark, rows, least):
 
 def test_small_buffers_shards_and_bits_change_nothing(spark, rows, monkeypatch):
     """Flushes after some words, many shards, slices of a few parts, a bit table full of false bits."""
-    for name, value in {"FLUSH": 50, "STRETCH": 64, "SHARD_SUMS": 200, "SHARD_BYTES": 500, "BATCH": 16, "SLICE": 8, "BITS": 64}.items():
+    for name, value in {"FLUSH": 50, "VOCABULARY": 40, "STRETCH": 64, "SHARD_SUMS": 200, "SHARD_BYTES": 500, "BATCH": 16, "SLICE": 8, "BITS": 64}.items():
         monkeypatch.setattr(collocations, name, value)
     monkeypatch.setattr("citeloom.llm.common.HOT", 16)
     assert result(collocations.collocations(with_lang(spark, rows).repartition(3), least=5, top=40)) == brute(rows, 5, 40)
@@ -154,5 +154,6 @@ def test_bits_have_no_false_negatives(spark):
     bits = collocations._bits(spark, counted, 2)
     h = np.array([xxhash.xxh64_intdigest(f"en\n{w}".encode(), 42) for w in words], np.uint64)
     pairs = h[:-1] ^ collocations._rotated(h[1:], 21)
-    assert bits.holds(pairs).all()
+    assert bits.holds(pairs).all() and all(bits.has(int(x)) for x in pairs)
+    assert [bits.has(int(x)) for x in h] == bits.holds(h).tolist()
     assert bits.holds(np.random.default_rng(1).integers(0, 1 << 63, 10_000, dtype=np.int64).view(np.uint64)).mean() < 0.2
