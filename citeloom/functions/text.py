@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from citeloom.functions import patterns as P
+from citeloom.operators.spans import bound
 
 
 def text(value: str | Column) -> Column:
@@ -138,11 +139,17 @@ def locator_tokens(raw: Column) -> Column:
 def locators(before: Column, strict: bool = False) -> Column:
     """What of the cited document is meant, from the text before the citation: struct of raw and six lists. ``strict`` takes dotted numbers as well."""
     raw = F.coalesce(compact(extract(before, P.STRICT_LOCATOR if strict else P.LOCATOR, 1)), F.lit(""))
+    return bound(raw, _located)
+
+
+def _located(raw: Column) -> Column:
     lists = [F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), locator_tokens))).alias(name) for name, p in P.ITEMS.items()]
     annexures = F.transform(F.regexp_extract_all(raw, F.lit(P.ANNEXURE), F.lit(1)), F.upper)
     clause = F.regexp_extract(raw, P.CLAUSE, 1)
     clauses = _distinct(F.transform(F.regexp_extract_all(clause, F.lit(r"\(([^)]+)\)"), F.lit(1)), lambda t: F.lower(F.trim(t))))
-    return F.struct(F.nullif(raw, F.lit("")).alias("raw"), *lists, annexures.alias("annexures"), clauses.alias("clauses"))
+    none = F.array().cast("array<string>")
+    nothing = F.struct(F.lit(None).cast("string").alias("raw"), *[none.alias(name) for name in (*P.ITEMS, "annexures", "clauses")])
+    return F.when(raw == "", nothing).otherwise(F.struct(F.nullif(raw, F.lit("")).alias("raw"), *lists, annexures.alias("annexures"), clauses.alias("clauses")))
 
 
 # --- titles, dates, urls ----------------------------------------------------------------

@@ -49,11 +49,17 @@ def sequenced(paragraphs: DataFrame, merge_dates: bool = True) -> DataFrame:
 def _finding(kind: Column, title: Column, short: Column, identifier: Column, date: Column, year: Column, body: Column, aliases: Column, source: str, match: Column) -> Column:
     none = F.lit(None).cast("string")
     pick = lambda c: none if c is None else c
-    return F.struct(
-        kind.alias("document_type"), T.tidy_title(pick(title)).alias("title"), T.tidy_title(pick(short)).alias("short_title"), T.tidy_title(pick(identifier)).alias("identifier"),
-        T.tidy_title(pick(date)).alias("date"), year.alias("year"), body.alias("issuing_body"), aliases.cast("array<string>").alias("aliases"), F.lit(source).alias("title_source"),
-        T.document_key(kind, pick(title), pick(identifier), pick(date), year).alias("key"), match.alias("match_text"),
-    )
+
+    def told(given: Column) -> Column:
+        title, short, identifier, date = given["title"], given["short"], given["identifier"], given["date"]
+        return F.struct(
+            kind.alias("document_type"), T.tidy_title(title).alias("title"), T.tidy_title(short).alias("short_title"), T.tidy_title(identifier).alias("identifier"),
+            T.tidy_title(date).alias("date"), given["year"].alias("year"), body.alias("issuing_body"), given["aliases"].alias("aliases"), F.lit(source).alias("title_source"),
+            T.document_key(kind, title, identifier, date, given["year"]).alias("key"), match.alias("match_text"),
+        )
+
+    # Bound, as each of these is used more than once and costs a search.
+    return spans.bound(F.struct(pick(title).alias("title"), pick(short).alias("short"), pick(identifier).alias("identifier"), pick(date).alias("date"), year.alias("year"), aliases.cast("array<string>").alias("aliases")), told)
 
 
 def stitched(paragraphs: DataFrame) -> DataFrame:
@@ -89,32 +95,42 @@ def _patterns(paragraph: Column, strict: bool) -> list[tuple[str, Column, object
 
     def master(hit: Column, end: Column) -> Column:
         part = lambda i: F.regexp_extract(hit, P.MASTER_CIRCULAR, i)
-        date, alias = T.compact(part(3)), T.master_circular_alias(part(4))
-        return _finding(
-            F.lit("master_circular"), T.master_circular_title(part(1), part(2), part(4)), F.coalesce(alias, F.lit("Master Circular")), None, date, T.parse_year(date), issuer,
-            F.array_compact(F.array(alias, F.lit("Master Circular"))), "explicit_in_text", T.concise(hit),
-        )
+
+        def told(of: Column) -> Column:
+            date, alias = of["date"], of["alias"]
+            return _finding(
+                F.lit("master_circular"), T.master_circular_title(of["prefix"], of["body"], of["suffix"]), F.coalesce(alias, F.lit("Master Circular")), None, date, T.parse_year(date), issuer,
+                F.array_compact(F.array(alias, F.lit("Master Circular"))), "explicit_in_text", T.concise(hit),
+            )
+
+        groups = F.struct(part(1).alias("prefix"), part(2).alias("body"), part(4).alias("suffix"), T.compact(part(3)).alias("date"))
+        return spans.bound(groups, lambda g: spans.bound(F.struct(g["prefix"].alias("prefix"), g["body"].alias("body"), g["suffix"].alias("suffix"), g["date"].alias("date"), T.master_circular_alias(g["suffix"]).alias("alias")), told))
 
     def circular(hit: Column, end: Column) -> Column:
-        identifier, date = F.regexp_extract(hit, P.CIRCULAR, 1), T.tidy_title(T.extract(hit, P.CIRCULAR, 2))
-        short = F.concat(F.lit("SEBI Circular "), identifier, F.coalesce(F.concat(F.lit(" dated "), date), F.lit("")))
-        return _finding(F.lit("circular"), None, short, identifier, date, T.parse_year(F.coalesce(date, identifier)), issuer, F.array().cast("array<string>"), "not_present_in_text", T.compact(hit))
+        def told(of: Column) -> Column:
+            identifier, date = of["identifier"], of["date"]
+            short = F.concat(F.lit("SEBI Circular "), identifier, F.coalesce(F.concat(F.lit(" dated "), date), F.lit("")))
+            return _finding(F.lit("circular"), None, short, identifier, date, T.parse_year(F.coalesce(date, identifier)), issuer, F.array().cast("array<string>"), "not_present_in_text", T.compact(hit))
+
+        return spans.bound(F.struct(F.regexp_extract(hit, P.CIRCULAR, 1).alias("identifier"), T.tidy_title(T.extract(hit, P.CIRCULAR, 2)).alias("date")), told)
 
     def instrument(hit: Column, end: Column) -> Column:
-        name = T.plural_regulations(T.compact(hit))
-        body = F.when(F.upper(name).startswith(P.ISSUER), issuer).otherwise(none)
-        return _finding(
-            T.document_type(name, strict), name, None, None, None, F.regexp_extract(hit, P.INSTRUMENT, 1).try_cast("int"), body,
-            F.array_compact(F.array(T.following_alias(paragraph, end))), "explicit_in_text", T.compact(hit),
-        )
+        def told(of: Column) -> Column:
+            body = F.when(F.upper(of["name"]).startswith(P.ISSUER), issuer).otherwise(none)
+            return _finding(
+                of["kind"], of["name"], None, None, None, F.regexp_extract(hit, P.INSTRUMENT, 1).try_cast("int"), body,
+                F.array_compact(F.array(T.following_alias(paragraph, end))), "explicit_in_text", T.compact(hit),
+            )
+
+        return spans.bound(T.plural_regulations(T.compact(hit)), lambda name: spans.bound(F.struct(name.alias("name"), T.document_type(name, strict).alias("kind")), told))
 
     def notification(hit: Column, end: Column) -> Column:
-        kind, date = F.initcap(T.compact(F.regexp_extract(hit, P.NOTIFICATION, 1))), T.compact(F.regexp_extract(hit, P.NOTIFICATION, 2))
-        return _finding(F.lit("notification"), kind, kind, None, date, T.parse_year(date), issuer, F.array().cast("array<string>"), "generic_only", T.compact(hit))
+        told = lambda of: _finding(F.lit("notification"), of["kind"], of["kind"], None, of["date"], T.parse_year(of["date"]), issuer, F.array().cast("array<string>"), "generic_only", T.compact(hit))
+        return spans.bound(F.struct(F.initcap(T.compact(F.regexp_extract(hit, P.NOTIFICATION, 1))).alias("kind"), T.compact(F.regexp_extract(hit, P.NOTIFICATION, 2)).alias("date")), told)
 
     return [
-        (P.MASTER_CIRCULAR, low.contains("master") & low.contains("dated"), master), (P.CIRCULAR, low.contains("circular"), circular),
-        (P.INSTRUMENT, year_in & (low.contains("regulation") | low.contains("act")), instrument), (P.NOTIFICATION, low.contains("notification"), notification),
+        (P.MASTER_CIRCULAR, low.contains("master") & low.contains("dated"), master), (P.CIRCULAR, low.contains("circular") & paragraph.contains("/"), circular),
+        (P.INSTRUMENT, year_in & (low.contains("regulation") | low.contains("act")), instrument), (P.NOTIFICATION, low.contains("notification") & low.contains("dated"), notification),
     ]
 
 
@@ -140,7 +156,8 @@ def explicit_findings(paragraphs: DataFrame, strict: bool = False) -> DataFrame:
     paragraph into the next is found, at the paragraph in which it starts.
     """
     units, text = _units(paragraphs, strict), F.col("text")
-    rows = units.withColumn("m", F.explode(text_findings(text, strict))).withColumn("at", _place(F.col("m.start"), strict))
+    # An outer explode, as a plain one makes Spark infer a filter on the array's size, which searches each text once more.
+    rows = units.withColumn("m", F.explode_outer(text_findings(text, strict))).filter("m IS NOT NULL").withColumn("at", _place(F.col("m.start"), strict))
     return rows.select("doc_key", "page_number", "unit", "at.para_seq", "m.*", "at.says_this")
 
 

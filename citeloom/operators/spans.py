@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMPTY = "array<struct<start:int,end:int,hit:string>>"
+#: A character that is set aside for use inside programs.
+_MARK = "\ufdd0"
 #: Distances at which running sums are doubled; arrays are shorter than the last one's double.
 _POWERS = [1 << k for k in range(31)]
 
@@ -24,18 +26,23 @@ def running_sums(numbers: Column) -> Column:
 def find_all(text: Column, pattern: str | Column) -> Column:
     """All matches of a pattern that cannot be empty: array of (start, end, hit), offsets from 0, end exclusive.
 
-    Spark gives matches without offsets; the gaps between them, from a split at
-    the same pattern, restore these: a match ends where the lengths of all gaps
-    and matches so far sum up to.
+    Spark gives matches without offsets; the gaps between them restore these: a
+    match ends where the lengths of all gaps and matches so far sum up to. Every
+    match is put between marks and the text is cut there, which compiles no
+    pattern anew for each row, as a split at the pattern would.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    # A text that holds the mark is split at the pattern instead: gaps and hits in turns, as between marks.
+    apart = lambda gaps, hits: F.flatten(F.zip_with(gaps, hits, lambda g, h: F.when(h.isNull(), F.array(g)).otherwise(F.array(g, h))))
+    marked = F.split(F.regexp_replace(text, regex, F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    parts = F.when(text.contains(_MARK), apart(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)))).otherwise(marked)
 
-    def placed(found: Column) -> Column:
-        lengths = F.zip_with(F.slice(found["gaps"], 1, F.size(found["hits"])), found["hits"], lambda g, h: F.length(g) + F.length(h))
-        return F.zip_with(bound(lengths, running_sums), found["hits"], lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("hit")))
+    def placed(parts: Column) -> Column:
+        ends = bound(F.transform(parts, lambda part: F.length(part)), running_sums)
+        spans = F.zip_with(ends, parts, lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end"), h.alias("hit")))
+        return F.when(F.size(parts) > 1, F.filter(spans, lambda s, i: i % 2 == 1))
 
-    found = F.struct(F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hits"))
-    return F.coalesce(bound(found, placed), F.from_json(F.lit("[]"), EMPTY))
+    return F.coalesce(bound(parts, placed), F.from_json(F.lit("[]"), EMPTY))
 
 
 def drop_contained(findings: DataFrame, within: list[str], *tie: str) -> DataFrame:

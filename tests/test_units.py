@@ -156,3 +156,13 @@ def test_equal_titles_are_compared_once(spark, monkeypatch):
         kind, part = ("act", range(200)) if i % 2 else ("circular", range(80))
         near = [j for j in part if set(names[j % 4].split()) == set(names[i % 4].split()) and (kind == "act" or not i % 3 or j % 5 == i % 5)]
         assert got[i] == (f"/legal/{kind}s/{near[0]}", "resolved")
+
+
+def test_findings_search_a_text_once(spark):
+    text = "SEBI Circular SEBI/A/1/2020 dated 3 Jan 2021 and \ufdd0 SEBI Circular SEBI/A/1/2020; see regulation 4 of the Depositories Act, 1996"
+    df = spark.createDataFrame([(1, 1, 1, text), (1, 2, 2, "nothing")], "doc_key int, page_number int, para_seq int, text string")
+    found = X.explicit_findings(df)
+    spots = sorted((r.start, r.end, r.pattern) for r in found.collect())
+    assert spots == [(0, 44, 1), (text.rindex("SEBI Circular"), text.index(";"), 1), (text.index("Depositories"), len(text), 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]  # Spark infers it for a plain explode
