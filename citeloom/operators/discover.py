@@ -27,7 +27,7 @@ def merge_discoveries(documents: DataFrame, mentions: DataFrame, found: DataFram
     """
     titled = found.join(sources.select("doc_key", F.col("title").alias("__own")), "doc_key", "left")
     clean = clean_discoveries(titled, F.coalesce("__own", F.lit(""))).drop("__own")
-    clean = clean.withColumn("key", T.document_key(F.col("document_type"), F.col("title"), F.col("identifier"), F.col("date"), F.col("year")))
+    clean = clean.withColumn("key", T.document_key(F.col("document_type"), T.tidy_title("title"), F.col("identifier"), F.col("date"), F.col("year")))
     known = documents.select("doc_key", "key", "document_no")
     most = documents.groupBy("doc_key").agg(F.max("document_no").alias("__most"))
     fresh = clean.join(known, ["doc_key", "key"], "left_anti").groupBy("doc_key", "key").agg(

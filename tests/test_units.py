@@ -166,3 +166,23 @@ def test_findings_search_a_text_once(spark):
     assert spots == [(0, 44, 1), (text.rindex("SEBI Circular"), text.index(";"), 1), (text.index("Depositories"), len(text), 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]  # Spark infers it for a plain explode
+
+
+def test_paragraphs_are_ordered_once(spark):
+    plan = X.sequenced(paragraphs(spark, ["dated May 3,", "2021 applies."]))._jdf.queryExecution().executedPlan().toString()
+    assert sum(" Sort [" in line for line in plan.splitlines()) == 1 and sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1
+
+
+def test_findings_compute_what_is_asked_for(spark):
+    found = X.explicit_findings(spark.createDataFrame([(1, 1, 1, "under section 3 of the Depositories Act, 1996")], "doc_key int, page_number int, para_seq int, text string"))
+    plan = found.select("doc_key", "identifier")._jdf.queryExecution().optimizedPlan().toString()
+    assert "annexure" in found._jdf.queryExecution().optimizedPlan().toString() and "annexure" not in plan
+    assert [(r.title, r.key, r.locators.sections) for r in found.collect()] == [("Depositories Act, 1996", "act|DEPOSITORIES ACT, 1996|||1996", ["3"])]
+
+
+def test_single_and_repeated_matches_have_the_same_offsets(spark):
+    texts = ["no match", "one 12 here", "1 22 333 é4 😀55", "﷐ 6 ﷐ 77", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = sorted((r.i, r.pos, r.start, r.end, r.hit) for r in S.search(rows, [(r"\d+", F.lit(True)), ("x", F.lit(False))]).collect())
+    whole = rows.select("i", F.posexplode(S.find_all(F.col("text"), r"\d+")).alias("pos", "m")).select("i", "pos", "m.*")
+    assert got == sorted(tuple(r) for r in whole.collect()) and len(got) == 8
