@@ -43,6 +43,9 @@ def cited_but_missing(cited: DataFrame, own: DataFrame) -> DataFrame:
 
 def orphans(cited: DataFrame, own: DataFrame) -> DataFrame:
     """Documents whose number no other document cites: doc_key, identifier. A document's citation of itself does not count."""
-    told = cited.select(F.col("doc_key").alias("by"), identifier_form("identifier").alias("code")).filter("code <> ''").distinct()
+    told = cited.select("doc_key", identifier_form("identifier").alias("code")).filter("code <> ''")
+    # One row a code: if its first and last citing document are the bearer itself, no other one cites it.
+    told = told.groupBy("code").agg(F.min("doc_key").alias("first"), F.max("doc_key").alias("last"))
     rows = own.select("doc_key", "identifier", identifier_form("identifier").alias("code"))
-    return rows.join(told, (rows["code"] == told["code"]) & (rows["doc_key"] != told["by"]), "left_anti").select("doc_key", "identifier")
+    other = (rows["doc_key"] != told["first"]) | (rows["doc_key"] != told["last"])
+    return rows.join(told, (rows["code"] == told["code"]) & other, "left_anti").select("doc_key", "identifier")

@@ -190,3 +190,14 @@ def test_states_equal_brute_force(spark, period):
     assert all(a.until == b.since for a, b in zip(intervals, intervals[1:])) and intervals[-1].until is None
     assert next(i for i in intervals if str(i.since) == "2012-05-05").amended_by >= 902
     assert V.states(asked.filter("false"), V.changes(table)).collect() == [] and all(r.amended_by is None for r in V.states(asked, V.changes(table.filter("false"))).collect())
+
+
+def test_citations_of_circulars_are_not_expanded(spark):
+    from citeloom.operators import register as N
+
+    own = spark.createDataFrame([(1, "A/1"), (2, "A/2"), (3, "A/3"), (4, "A/4")], "doc_key int, identifier string")
+    cited = spark.createDataFrame([(1, "A/1"), (1, "A/1"), (2, "A-2"), (9, "A/2"), (1, "A/3"), (None, "A/4"), (4, None)], "doc_key int, identifier string")
+    got = N.orphans(cited, own)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "A/1"), (4, "A/4")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(doc_key" in plan  # one row a code meets the bearers
