@@ -186,3 +186,25 @@ def test_single_and_repeated_matches_have_the_same_offsets(spark):
     got = sorted((r.i, r.pos, r.start, r.end, r.hit) for r in S.search(rows, [(r"\d+", F.lit(True)), ("x", F.lit(False))]).collect())
     whole = rows.select("i", F.posexplode(S.find_all(F.col("text"), r"\d+")).alias("pos", "m")).select("i", "pos", "m.*")
     assert got == sorted(tuple(r) for r in whole.collect()) and len(got) == 8
+
+
+def test_a_task_holds_a_part_however_large_the_table(spark, monkeypatch):
+    monkeypatch.setattr(X, "PART_ROWS", 3)
+    texts = ["Master Circular for Brokers dated June 3, 2020 applies.", "Depositories Act, 1996 was amended.", "See the Master Circular and section 3 of the Depositories Act, 1996.", "It begins on June 5,", "2020 onwards"]
+    rows = paragraphs(spark, texts, page=5).drop("doc_key").crossJoin(spark.range(10).selectExpr("concat('d', id) AS doc_key"))
+    for strict in (False, True):
+        found = X.Extraction(rows, strict=strict)
+        assert found.parts == 17 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert found.paragraphs.count() == 40 and found.aliased.count() == 10
+        counts = {(r.n, tuple(r.d)) for r in found.mentions.groupBy("doc_key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("document_id")).alias("d")).collect()}
+        assert counts == {(4, ("doc_001", "doc_001", "doc_002", "doc_002"))}
+        found.close()
+
+
+def test_tables_of_a_citing_document_are_dealt_out_once(spark):
+    found = X.Extraction(paragraphs(spark, ["Master Circular dated June 3, 2020 applies", "the Master Circular"]), store=False)
+    findings = spark.createDataFrame([], found.findings.schema)
+    plan = X.alias_bindings(findings)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    physical = X.documents(findings)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1
