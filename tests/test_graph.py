@@ -201,3 +201,26 @@ def test_citations_of_circulars_are_not_expanded(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "A/1"), (4, "A/4")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "min(doc_key" in plan  # one row a code meets the bearers
+
+
+def test_a_common_key_is_dealt_to_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "HOT", 10)
+    rows = spark.createDataFrame([(i, "act" if i % 2 else f"k{i}") for i in range(100)] + [(0, None)], "doc_key int, key string")
+    hot = G.often(rows)
+    assert [tuple(r) for r in hot.collect()] == [("act", 5)]
+    table = spark.createDataFrame([("act", 1), ("k2", 2), ("k4", 3), ("unused", 4)], "key string, n int")
+    got = G.met(rows, table, hot)
+    assert got.columns == ["key", "doc_key", "n"]
+    assert sorted(map(tuple, got.collect())) == sorted([("act", i, 1) for i in range(1, 100, 2)] + [("k2", 2, 2), ("k4", 4, 3)])
+
+
+def test_circulars_are_dealt_out_before_their_texts_are_spelled(spark, tmp_path):
+    from citeloom.plans import circulars as C
+
+    spark.sql("SELECT id AS o_orderkey, TIMESTAMP '2020-01-02' AS o_orderdate FROM range(30)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert C.parts(spark, str(tmp_path)) == 4
+    rows = C.paragraphs(spark, str(tmp_path), 4)
+    plan = rows.groupBy("doc_key").agg(F.max("text"))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "(k#" in exchanges[0]
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, C.paragraphs(spark, str(tmp_path)).collect()))

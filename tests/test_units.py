@@ -208,3 +208,28 @@ def test_tables_of_a_citing_document_are_dealt_out_once(spark):
     assert plan.count("RepartitionByExpression") == 1
     physical = X.documents(findings)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_mentions_by_key_are_the_mentions(spark):
+    texts = [
+        "CIRCULAR SEBI/A/1 Subject: Depositories Act", "Master Circular for Brokers dated June 3, 2020 has para 2 of SEBI Circular SEBI/B/2 dated 3 Jan 2021 in it.", "Regulation 4 of the SEBI (Mutual Funds) Regulations, 1996 (\"MF Rules\") stand amended.",
+        "Para 3 of the Master Circular and regulation 5 of the MF Rules provides", "SEBI Circular SEBI/B/2; SEBI Circular SEBI/B/2; section 3 of the Depositories Act, 1996", "As per section 1 of the Banking Regulation Act, 1949 read with section 2 of the Banking Regulation Act, 1949",
+    ]
+    for rows in (texts, [t for t in texts if "Master" not in t and "MF" not in t]):
+        for strict in (False, True):
+            found = X.Extraction(paragraphs(spark, rows), strict=strict)
+            keys = found.documents.select("doc_key", "document_id", "key")
+            of = F.coalesce("target_locators.raw", F.array().cast("array<string>"))
+            want = found.mentions.join(keys, ["doc_key", "document_id"]).select("key", "source_page", "relation_type", F.array_sort(of).alias("raws"))
+            got = found.cited().select("key", "source_page", "relation_type", "raws")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and not want.isEmpty()
+            assert found.cited(located=True).count() == want.filter(F.size("raws") > 0).count()
+            found.close()
+
+
+def test_citations_of_dealt_paragraphs_shuffle_no_text(spark):
+    rows = paragraphs(spark, ["CIRCULAR A/1 Subject: X", "SEBI Circular SEBI/B/2"]).repartition(3, "doc_key")
+    found = X.citations(X.sequenced(rows), spark.createDataFrame([("d", "X")], "doc_key string, title string"), parts=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # the paragraphs as given, and the titles
+    assert [(r.key, r.counted) for r in found.collect()] == [("circular||SEBI/B/2||", True)]
