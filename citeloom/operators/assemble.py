@@ -11,10 +11,10 @@ VERSION = "1.0.0"
 STATUSES = ("resolved", "resolved_approx", "unresolved")
 
 
-def _listed(rows: DataFrame, order: Column, fields: list[Column], name: str) -> DataFrame:
-    """Rows of each document as one array of structs, in order."""
-    packed = rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("r")))).alias("l"))
-    return packed.select("doc_key", F.transform("l", lambda x: x["r"]).alias(name))
+def _listed(rows: DataFrame, order: Column, fields: list[Column], name: str, *also: Column) -> DataFrame:
+    """Rows of each document as one array of structs, in order; and ``also``, named aggregates of them."""
+    packed = rows.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*fields).alias("r")))).alias("l"), *also)
+    return packed.withColumn(name, F.transform("l", lambda x: x["r"])).drop("l")
 
 
 def references(extraction: Extraction, documents: DataFrame | None = None, mentions: DataFrame | None = None, parser: str = "", discovered: bool = False, resolved: bool = False) -> DataFrame:
@@ -32,10 +32,9 @@ def references(extraction: Extraction, documents: DataFrame | None = None, menti
     named = ["document_id", "document_type", "title", "short_title", "identifier", "date", "year", "issuing_body", "aliases", "title_source", "resolution_status", "resolved_url"]
     told = ["document_id", "source_page", "source_paragraph_id", "match_texts", "evidence_text", "relation_type", "target_locators", "confidence", "confidence_label", "confidence_reason", "mention_id"]
     number = F.regexp_extract("mention_id", r"(\d+)$", 1).cast("int")
-    listed = _listed(docs, F.col("document_no"), [F.col(c) for c in named], "referenced_documents")
+    listed = _listed(docs, F.col("document_no"), [F.col(c) for c in named], "referenced_documents", *[F.count_if(F.col("resolution_status") == s).alias(s) for s in STATUSES])
     listed_refs = _listed(refs, number, [F.col(c) for c in told], "reference_mentions")
-    counts = docs.groupBy("doc_key").agg(*[F.count_if(F.col("resolution_status") == s).alias(s) for s in STATUSES])
-    rows = extraction.sources.join(listed, "doc_key", "left").join(listed_refs, "doc_key", "left").join(counts, "doc_key", "left")
+    rows = extraction.sources.join(listed, "doc_key", "left").join(listed_refs, "doc_key", "left")
     empty = lambda name: F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType))
     rows = rows.withColumns({"referenced_documents": empty("referenced_documents"), "reference_mentions": empty("reference_mentions")})
     mode = "deterministic_with_ai_discovery" if discovered else "deterministic"

@@ -233,3 +233,14 @@ def test_citations_of_dealt_paragraphs_shuffle_no_text(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 2  # the paragraphs as given, and the titles
     assert [(r.key, r.counted) for r in found.collect()] == [("circular||SEBI/B/2||", True)]
+
+
+def test_references_group_each_table_once(spark):
+    from citeloom.operators import assemble as A
+
+    found = X.Extraction(paragraphs(spark, ["As per the Depositories Act, 1996."]))
+    rows = A.references(found, resolved=True)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [doc_key" in line for line in plan.splitlines()) == 3  # sources, documents, mentions
+    got = rows.first()
+    assert got.url_resolution.unresolved == 1 and got.url_resolution.resolved == 0 and got.summary.reference_mention_count == 1
