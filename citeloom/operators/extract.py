@@ -63,29 +63,34 @@ def sequenced(paragraphs: DataFrame, merge_dates: bool = True) -> DataFrame:
 
 
 def stitched(paragraphs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each page as one text: doc_key, page_number, unit (its first para_seq), text, marks (start, para_seq, says_this, size of each paragraph).
+    """Each page as one text: doc_key, page_number, unit (its first para_seq), text, marks (start, para_seq, para_no, says_this, size of each paragraph).
 
     Paragraphs are joined by a blank, or by a line feed after one that ends a
     sentence, which no title or locator crosses.
     """
-    rows = dealt(paragraphs, parts, "doc_key", "page_number").groupBy("doc_key", "page_number").agg(F.array_sort(F.collect_list(F.struct("para_seq", "text"))).alias("p"))
+    rows = dealt(paragraphs, parts, "doc_key", "page_number").groupBy("doc_key", "page_number").agg(F.array_sort(F.collect_list(F.struct("para_seq", _para_no(paragraphs), "text"))).alias("p"))
     gap = lambda p: F.when(p["text"].rlike("[.;:!?]$"), "\n").otherwise(" ")
     text = F.array_join(F.transform("p", lambda p: F.concat(p["text"], gap(p))), "")
     ends = spans.bound(F.transform("p", lambda p: F.length(p["text"]) + 1), spans.running_sums)
-    mark = lambda p, end: F.struct((end - F.length(p["text"]) - 1).alias("start"), p["para_seq"].alias("para_seq"), F.lower(p["text"]).contains("this circular").alias("says_this"), F.length(p["text"]).alias("size"))
+    mark = lambda p, end: F.struct((end - F.length(p["text"]) - 1).alias("start"), p["para_seq"].alias("para_seq"), p["para_no"].alias("para_no"), F.lower(p["text"]).contains("this circular").alias("says_this"), F.length(p["text"]).alias("size"))
     return rows.select("doc_key", "page_number", F.get("p", F.lit(0))["para_seq"].alias("unit"), text.alias("text"), F.zip_with("p", ends, mark).alias("marks"))
 
 
+def _para_no(paragraphs: DataFrame) -> Column:
+    """A paragraph's place on its page, null where the table does not have it."""
+    return (F.col("para_no") if "para_no" in paragraphs.columns else F.lit(None)).cast("int").alias("para_no")
+
+
 def _units(paragraphs: DataFrame, strict: bool, parts: int | None = None) -> DataFrame:
     """What patterns are searched in: paragraphs, or pages with ``marks``."""
-    return stitched(paragraphs, parts) if strict else paragraphs.select("doc_key", "page_number", F.col("para_seq").alias("unit"), "text")
+    return stitched(paragraphs, parts) if strict else paragraphs.select("doc_key", "page_number", F.col("para_seq").alias("unit"), _para_no(paragraphs), "text")
 
 
 def _place(start: Column, strict: bool) -> Column:
-    """Struct (para_seq, says_this) of a match in a unit."""
+    """Struct (para_seq, para_no, says_this) of a match in a unit."""
     if strict:
         return F.element_at(F.filter("marks", lambda m: m["start"] <= start), -1)
-    return F.struct(F.col("unit").alias("para_seq"), F.lower("text").contains("this circular").alias("says_this"))
+    return F.struct(F.col("unit").alias("para_seq"), "para_no", F.lower("text").contains("this circular").alias("says_this"))
 
 
 def _relation(strict: bool) -> Column:
@@ -210,7 +215,7 @@ def citations(paragraphs: DataFrame, titles: DataFrame, strict: bool = False, pa
     """
     rows = _told(paragraphs, strict, parts).withColumn("relation_type", _relation(strict))
     names = ["key", "document_type", "title", "identifier", "date", "year", "aliases", "match_text", F.nullif("raw", F.lit("")).alias("raw"), "relation_type"]
-    rows = rows.select("doc_key", "page_number", "unit", "at.para_seq", "pattern", "pos", "start", "end", *names, "at.says_this")
+    rows = rows.select("doc_key", "page_number", "unit", "at.para_seq", "at.para_no", "pattern", "pos", "start", "end", *names, "at.says_this")
     rows = rows.withColumn("__apart", spans.apart(["doc_key", "unit"], "pattern", "pos"))
     rows = rows.join(dealt(titles.filter("title <> ''").select("doc_key", F.col("title").alias("__title")), parts), "doc_key", "left")
     return rows.withColumn("counted", F.col("__apart") & ~_own("__title")).drop("__apart", "__title")
@@ -281,7 +286,7 @@ def kept_findings(findings: DataFrame) -> DataFrame:
 
 
 def alias_findings(paragraphs: DataFrame, findings: DataFrame, strict: bool = False, parts: int | None = None) -> DataFrame:
-    """Uses of bound aliases that overlap no full citation: doc_key, unit, para_seq, start, end, document_no, document_id, alias, match_text, says_this, locators, key, page_number, relation_type.
+    """Uses of bound aliases that overlap no full citation: doc_key, unit, para_seq, start, end, document_no, document_id, alias, match_text, says_this, raw (null for none), locators, key, page_number, para_no, relation_type.
 
     A unit is searched for its document's aliases at once, and only what is
     found goes on. A use takes the last binding up to its paragraph: bindings and
@@ -289,7 +294,7 @@ def alias_findings(paragraphs: DataFrame, findings: DataFrame, strict: bool = Fa
     the work grows with their number, not with the product. Uses and citations of
     a unit are put in one order as well: of the citations that start before a use
     ends, the furthest end tells whether one overlaps it; those that lie in
-    others change nothing there.
+    others change nothing there. Through these orders go the words of a locator; its lists are told of what is left.
     """
     text = F.col("text")
     named = findings.select("doc_key", F.explode("aliases").alias("alias")).select("doc_key", F.lower("alias").alias("alias"))
@@ -299,8 +304,8 @@ def alias_findings(paragraphs: DataFrame, findings: DataFrame, strict: bool = Fa
     quoted = F.concat(F.lit("(?iU)\\b\\Q"), "alias", F.lit("\\E\\b"))
     uses = spans.search(met, [(quoted, F.lit(True))]).withColumn("at", _place(F.col("start"), strict))
     uses = uses.withColumns({"match_text": T.compact("hit"), "locator": T.locator_text(F.substring(text, F.lit(1), F.col("start")), strict)})
-    uses = uses.withColumn("raw", F.coalesce(T.compact("locator"), F.lit(""))).withColumn("locators", T.located(F.col("raw")))
-    uses = uses.select("doc_key", "alias", "at.para_seq", F.struct("unit", "start", "end", "match_text", "at.says_this", "locators", "page_number", _relation(strict).alias("relation_type")).alias("use"))
+    uses = uses.withColumn("raw", F.nullif(T.compact("locator"), F.lit("")))
+    uses = uses.select("doc_key", "alias", "at.para_seq", F.struct("unit", "start", "end", "match_text", "at.says_this", "raw", "page_number", "at.para_no", _relation(strict).alias("relation_type")).alias("use"))
     bound = _bound(findings, parts).select("doc_key", "alias", "para_seq", F.lit(None).cast(uses.schema["use"].dataType).alias("use"), F.struct("document_no", "key").alias("document"))
     events = uses.withColumn("document", F.lit(None).cast(bound.schema["document"].dataType)).unionByName(bound)
     # Bindings come first at their paragraph: nulls do.
@@ -310,9 +315,11 @@ def alias_findings(paragraphs: DataFrame, findings: DataFrame, strict: bool = Fa
     cited = dealt(findings.select("doc_key", "unit", F.col("start").alias("__at"), F.col("end").alias("__end")), parts).withColumn("__use", F.lit(None).cast(carried.schema["__use"].dataType))
     furthest = F.max("__end").over(Window.partitionBy("doc_key", "unit").orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
     free = carried.unionByName(cited).withColumn("__end", furthest).filter("__use IS NOT NULL").filter(F.col("__end").isNull() | (F.col("__end") <= F.col("__use.use.start")))
-    found = free.select("doc_key", "unit", "__use.para_seq", "__use.use.start", "__use.use.end", "__use.document.*", "__use.alias", "__use.use.match_text", "__use.use.says_this", "__use.use.locators", "__use.use.page_number", "__use.use.relation_type")
+    told = ("match_text", "says_this", "raw", "page_number", "para_no", "relation_type")
+    found = free.select("doc_key", "unit", "__use.para_seq", "__use.use.start", "__use.use.end", "__use.document.*", "__use.alias", *[f"__use.use.{c}" for c in told])
     rows = spans.drop_contained(found, ["doc_key", "unit"], "alias")
-    return rows.select("doc_key", "unit", "para_seq", "start", "end", "document_no", document_id(F.col("document_no")).alias("document_id"), "alias", "match_text", "says_this", "locators", "key", "page_number", "relation_type")
+    locators = T.located(F.coalesce("raw", F.lit(""))).alias("locators")
+    return rows.select("doc_key", "unit", "para_seq", "start", "end", "document_no", document_id(F.col("document_no")).alias("document_id"), "alias", "match_text", "says_this", "raw", locators, "key", "page_number", "para_no", "relation_type")
 
 
 def self_reference(match: Column, says_this: Column, source_title: Column) -> Column:
@@ -333,6 +340,12 @@ def merged_locators(ordered: Column) -> Column:
     return F.struct(F.when(F.size(raw) > 0, raw).alias("raw"), *lists)
 
 
+def _target(items: Column) -> Column:
+    """The merged locators of ordered items, of the words (raw) that these have: words that repeat are read once."""
+    raws = F.array_distinct(F.filter(F.transform(items, _field("raw")), lambda r: r.isNotNull()))
+    return spans.bound(F.transform(raws, T.located), merged_locators)
+
+
 def mentions(paragraphs: DataFrame, findings: DataFrame, aliased: DataFrame, titles: DataFrame, strict: bool = False, parts: int | None = None) -> DataFrame:
     """One row per paragraph and cited document, numbered in reading order; ``titles`` are the citing documents' own (doc_key, title).
 
@@ -340,8 +353,8 @@ def mentions(paragraphs: DataFrame, findings: DataFrame, aliased: DataFrame, tit
     paragraphs' texts come last. How sure a mention by full citation is follows
     from what the key of its document holds, and so from any finding of it.
     """
-    columns = ["doc_key", "para_seq", "document_no", "alias_only", "start", "end", "match_text", "says_this", "locators", "sure"]
-    known = findings.select("doc_key", "unit", "pattern", "pos", "para_seq", "key", "start", "end", "match_text", "says_this", "locators", "document_type", "title", "identifier", "date")
+    columns = ["doc_key", "para_seq", "document_no", "alias_only", "start", "end", "match_text", "says_this", "raw", "sure"]
+    known = findings.select("doc_key", "unit", "pattern", "pos", "para_seq", "key", "start", "end", "match_text", "says_this", "locators.raw", "document_type", "title", "identifier", "date")
     sure = lambda alias_only: T.confidence(F.lit(alias_only), F.col("document_type"), F.col("title"), F.col("identifier"), F.col("date"))
     full = kept_findings(numbered(dealt(known, parts)).drop("key")).withColumn("alias_only", F.lit(False)).withColumn("sure", sure(False)).select(*columns)
     none = {c: F.lit(None).cast("string") for c in ("document_type", "title", "identifier", "date")}
@@ -351,13 +364,13 @@ def mentions(paragraphs: DataFrame, findings: DataFrame, aliased: DataFrame, tit
     found = found.filter(~_own("source_title"))
     # The first item is a full citation, if there is one.
     grouped = found.groupBy("doc_key", "para_seq", "document_no").agg(
-        F.array_sort(F.collect_set("match_text")).alias("match_texts"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "locators", "sure"))).alias("items"),
+        F.array_sort(F.collect_set("match_text")).alias("match_texts"), F.array_sort(F.collect_list(F.struct(order.alias("o"), "raw", "sure"))).alias("items"),
     )
     rows = grouped.withColumn("__n", F.row_number().over(Window.partitionBy("doc_key").orderBy("para_seq", "document_no")))
     rows = rows.join(dealt(paragraphs.select("doc_key", "para_seq", "page_number", "paragraph_id", "text"), parts, "doc_key", "para_seq"), ["doc_key", "para_seq"])
     return rows.select(
         "doc_key", F.format_string("ref_%03d", "__n").alias("mention_id"), document_id(F.col("document_no")).alias("document_id"), F.col("page_number").alias("source_page"), F.col("paragraph_id").alias("source_paragraph_id"), "match_texts",
-        F.col("text").alias("evidence_text"), T.relation_type(F.col("text"), strict).alias("relation_type"), merged_locators(F.transform("items", _field("locators"))).alias("target_locators"), F.get("items", F.lit(0))["sure"].alias("sure"),
+        F.col("text").alias("evidence_text"), T.relation_type(F.col("text"), strict).alias("relation_type"), _target(F.col("items")).alias("target_locators"), F.get("items", F.lit(0))["sure"].alias("sure"),
     ).select("*", "sure.*").drop("sure")
 
 
@@ -370,12 +383,42 @@ def cited(citations: DataFrame, aliased: DataFrame | None, titles: DataFrame, lo
     columns = ["doc_key", "para_seq", "key", F.col("page_number").alias("source_page"), "relation_type"]
     found = citations.filter("counted").select(*columns, "raw")
     if aliased is not None:
-        others = aliased.join(titles.filter("title <> ''").select("doc_key", F.col("title").alias("__title")), "doc_key", "left").filter(~_own("__title"))
-        found = found.unionByName(others.select(*columns, F.col("locators.raw").alias("raw")))
+        found = found.unionByName(_others(aliased, titles).select(*columns, "raw"))
     found = found.filter("raw IS NOT NULL") if located else found
     return found.groupBy("doc_key", "para_seq", "key", "source_page", "relation_type").agg(F.array_sort(F.collect_set("raw")).alias("raws"))
 
 
+def _others(aliased: DataFrame, titles: DataFrame) -> DataFrame:
+    """Uses of aliases that do not mean the citing document itself."""
+    return aliased.join(titles.filter("title <> ''").select("doc_key", F.col("title").alias("__title")), "doc_key", "left").filter(~_own("__title"))
+
+
+def named_mentions(citations: DataFrame, aliased: DataFrame | None, titles: DataFrame, parts: int | None = None) -> DataFrame:
+    """What ``mentions`` has, by key and with what the key's document is called, without numbers and evidence: one row per paragraph and cited document, with
+    doc_key, key, para_seq, para_no, source_page, relation_type, document_type and title as first seen, match_texts, target_locators, confidence.
+
+    One group of a citing document's findings tells its documents and mentions at
+    once: a document's first finding, counted or not, comes no later than any use of its aliases.
+    """
+    columns = ["doc_key", "key", "para_seq", "para_no", F.col("page_number").alias("source_page"), "relation_type"]
+    seen = F.struct("pattern", "pos", "document_type", "title").alias("seen")
+    sure = F.when(F.col("counted"), T.confidence(F.lit(False), F.col("document_type"), F.col("title"), F.col("identifier"), F.col("date"))["confidence"]).alias("sure")
+    found = citations.select(*columns, "counted", F.lit(False).alias("alias_only"), "start", "end", "match_text", "raw", seen, sure)
+    if aliased is not None:
+        none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("seen", "sure")]
+        short = _others(aliased, titles).select(*columns, F.lit(True).alias("counted"), F.lit(True).alias("alias_only"), "start", "end", "match_text", "raw", *none)
+        found = found.unionByName(short)
+    item = F.when(F.col("counted") & F.col("raw").isNotNull(), F.struct("alias_only", "start", (-F.col("end")).alias("e"), "raw"))
+    grouped = dealt(found, parts).groupBy("doc_key", "key", "para_seq", "para_no", "source_page", "relation_type").agg(
+        F.min("seen").alias("seen"), F.array_sort(F.collect_set(F.when(F.col("counted"), F.col("match_text")))).alias("match_texts"), F.array_sort(F.collect_list(item)).alias("items"), F.max("sure").alias("sure"), F.max("counted").alias("counted"),
+    )
+    by_then = Window.partitionBy("doc_key", "key").orderBy("para_seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = grouped.withColumn("seen", F.first("seen", ignorenulls=True).over(by_then)).filter("counted")
+    return rows.select(
+        "doc_key", "key", "para_seq", "para_no", "source_page", "relation_type", "seen.document_type", "seen.title", "match_texts", _target(F.col("items")).alias("target_locators"), F.coalesce("sure", F.lit(P.CONFIDENCE["alias"][0])).alias("confidence")
+    )
+
+
 def first_pages(paragraphs: DataFrame) -> DataFrame:
     """Circular number, first date and subject of page 1, for citing documents that have one."""
     return _headed(paragraphs.filter("page_number = 1").groupBy("doc_key").agg(F.collect_list(F.struct("para_no", "text")).alias("p")))
@@ -463,7 +506,13 @@ class Extraction:
         """Uses of aliases. Only where a citation gives an alias are the paragraphs stored and searched for them."""
         if self.citations.filter(F.size("aliases") > 0).isEmpty():
             return None
-        return self._once(alias_findings(self.paragraphs, self.citations, self._strict, self.parts))
+        # Where the given paragraphs are dealt out they are put in order again, which shuffles no text; stored ones would be dealt out once more.
+        paragraphs = self._sequenced() if self._dealt else self.paragraphs
+        return self._once(alias_findings(paragraphs, self.citations, self._strict, self.parts))
+
+    def named(self) -> DataFrame:
+        """Mentions by key with their documents' kinds and titles, not stored."""
+        return named_mentions(self.citations, self._uses, self.heads.select("doc_key", "title"), self.parts)
 
     def cited(self, located: bool = False) -> DataFrame:
         """Mentions by key, not stored: each plan computes what it asks for."""

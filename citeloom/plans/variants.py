@@ -28,12 +28,23 @@ PARAGRAPHS = (
 )
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_key, page_number, para_no, paragraph_id, text; the first paragraph is page 1."""
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """How many parts the corpus is dealt into: Spark's own number, or more if a part would have more than PART_ROWS paragraphs."""
+    paragraphs = spark.read.parquet(f"{sf_dir}/orders.parquet").count() * len(PARAGRAPHS)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-paragraphs // X.PART_ROWS))
+
+
+def paragraphs(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """doc_key, page_number, para_no, paragraph_id, text; the first paragraph is page 1.
+
+    With ``parts`` orders are dealt out before their paragraphs are spelled: keys and dates are shuffled, texts are not.
+    """
     key = F.col("o_orderkey")
     number = lambda n: (key % 10 + n).cast("string")
-    parts = {"k": key.cast("string"), "l": F.date_format("o_orderdate", "MMMM d, yyyy"), "a": number(10), "b": number(30), "c": number(50)}
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("doc_key"), F.posexplode(F.array(*[_spelled(t, parts) for t in PARAGRAPHS])).alias("i", "text"))
+    words = {"k": key.cast("string"), "l": F.date_format("o_orderdate", "MMMM d, yyyy"), "a": number(10), "b": number(30), "c": number(50)}
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key, "o_orderdate")
+    orders = orders.repartition(parts, key) if parts else orders
+    rows = orders.select(key.alias("doc_key"), F.posexplode(F.array(*[_spelled(t, words) for t in PARAGRAPHS])).alias("i", "text"))
     page, para = F.when(F.col("i") == 0, 1).otherwise(2), F.when(F.col("i") == 0, 1).otherwise(F.col("i"))
     return rows.select("doc_key", page.alias("page_number"), para.alias("para_no"), F.format_string("p%d.%d", page, para).alias("paragraph_id"), "text")
 
@@ -75,11 +86,10 @@ _MENTIONS_SQL = " UNION ALL ".join(
 @query(_MENTIONS_SQL)
 def variant_mentions(spark, sf_dir):
     """Mentions of the rarer forms: titles in brackets and trailers, merged locators, the longer of two aliases, no citation of the document itself."""
-    found = X.Extraction(paragraphs(spark, sf_dir))
-    titles = found.documents.select("doc_key", "document_id", "document_type", "title")
+    dealt = parts(spark, sf_dir)
+    found = X.Extraction(paragraphs(spark, sf_dir, dealt), parts=dealt)
     at = F.col("target_locators")
-    rows = found.mentions.join(titles, ["doc_key", "document_id"]).withColumn("para_no", F.regexp_extract("source_paragraph_id", r"(\d+)$", 1).cast("int"))
-    return rows.select("doc_key", "para_no", "document_type", "title", "match_texts", at["raw"].alias("raw"), at["sections"].alias("sections"), "relation_type", "confidence")
+    return found.named().select("doc_key", "para_no", "document_type", "title", "match_texts", at["raw"].alias("raw"), at["sections"].alias("sections"), "relation_type", "confidence")
 
 
 @query(f"SELECT o_orderkey AS doc_key, 2 AS page_count, 'SEBI/HO/' || o_orderkey AS circular_number, {_PARTS['l']} AS issue_date, 'Desk' || o_orderkey || ' Norms' AS title FROM orders")

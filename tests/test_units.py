@@ -227,6 +227,35 @@ def test_mentions_by_key_are_the_mentions(spark):
             found.close()
 
 
+def test_named_mentions_are_the_mentions(spark):
+    texts = [
+        "CIRCULAR SEBI/A/1 Subject: Depositories Act", "section 2 of the DEPOSITORIES ACT, 1996 (\"Norms\") and the Banking Regulation Act, 1949", "Master Circular for Brokers (\"MCB\") dated June 3, 2020 and the like; section 9 of the Banking regulation act, 1949", "Clause (b) of regulation 4 of the SEBI (Mutual Funds) Regulations, 1996 (\"MF Norms\") stand amended.",
+        "Para 3 of the Master Circular and regulation 5 of the MF Norms provides MF Norms", "SEBI Circular SEBI/B/2; para 7 of SEBI Circular SEBI/B/2; section 3 and 4 of the Banking Regulation Act, 1949; section 1 of the Banking Regulation Act, 1949", "sections 4 of the Norms; section 6 of the MF NORMS", "Notification dated June 3, 2020",
+    ]
+    columns = ["doc_key", "source_page", "document_type", "title", "match_texts", "target_locators", "relation_type", "confidence"]
+    for strict, parts in ((False, 3), (True, None)):
+        given = paragraphs(spark, texts * 2, page=3)
+        found = X.Extraction(given.repartition(parts, "doc_key") if parts else given, strict=strict, parts=parts)
+        titles = found.documents.select("doc_key", "document_id", "document_type", "title")
+        want = found.mentions.join(titles, ["doc_key", "document_id"]).select(F.regexp_extract("source_paragraph_id", r"(\d+)$", 1).cast("int").alias("para_no"), *columns).collect()
+        assert sorted(map(repr, found.named().select("para_no", *columns).collect())) == sorted(map(repr, want)) and len(want) > 15
+        found.close()
+
+
+def test_variants_are_dealt_out_before_they_are_spelled(spark, tmp_path):
+    from citeloom.plans import variants as V
+
+    spark.range(40).selectExpr("id AS o_orderkey", "timestamp'2020-06-03' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = X.sequenced(V.paragraphs(spark, str(tmp_path), parts=3))
+    lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(at) == 1 and any("Generate posexplode" in line for line in lines[: at[0]])
+    found = X.Extraction(V.paragraphs(spark, str(tmp_path), parts=3), parts=3)
+    assert found.named().count() == 40 * len(V.MENTIONS)
+    assert not {"paragraphs", "findings", "documents", "mentions"} & set(vars(found))  # none of these is made
+    found.close()
+
+
 def test_citations_of_dealt_paragraphs_shuffle_no_text(spark):
     rows = paragraphs(spark, ["CIRCULAR A/1 Subject: X", "SEBI Circular SEBI/B/2"]).repartition(3, "doc_key")
     found = X.citations(X.sequenced(rows), spark.createDataFrame([("d", "X")], "doc_key string, title string"), parts=3)
