@@ -93,6 +93,27 @@ def test_reach_equals_brute_force_with_cycles(spark, kept):
     assert G.reach(links.filter("false"), roots, kept).collect() == []
 
 
+def test_reach_doubles_its_depth_in_a_round(spark, kept, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(20)] + [(20, 4), (2, 30), (30, 5), (3, 31), (31, 5)] + [(rng.randrange(40, 60), rng.randrange(40, 60)) for _ in range(40)]
+    links = spark.createDataFrame(pairs, "source int, target int")
+    nodes = sorted({n for p in pairs for n in p})
+    roots = spark.createDataFrame([(n,) for n in nodes], "root int")
+    want, rounds = brute_reach(pairs, nodes), []
+    counted = lambda df: rounds.append(1) or kept(df)
+    told = lambda found: {(r.root, r.reached): (r.depth, r.path) for r in found.collect()}
+    assert max(depth for depth, _ in want.values()) > 16
+    found = G.reach(links, roots, counted)
+    assert told(found) == want and len(rounds) <= 9 and found.count() == len(want)  # the steps, the first pairs, and depths 2, 4, 8, 16, 32
+    assert told(G.reach(links, roots, kept, most=7)) == {k: v for k, v in want.items() if v[0] <= 7}
+    rounds.clear()
+    some = {k: v for k, v in want.items() if k[0] in (19, 45)}
+    assert told(G.reach(links, roots.filter("root IN (19, 45)"), counted)) == some and len(rounds) > 9  # the others' reach is not computed
+    monkeypatch.setattr(G, "LEAPS", 0)
+    assert told(G.reach(links, roots.filter("root >= 40"), kept, most=3)) == {k: v for k, v in want.items() if k[0] >= 40 and v[0] <= 3}
+    assert told(G.reach(links, roots, kept, most=3)) == {k: v for k, v in want.items() if v[0] <= 3}
+
+
 def test_ranks(spark, kept):
     links = spark.createDataFrame([(1, 2, 3), (1, 3, 1), (2, 3, 1), (3, 1, 1), (4, 3, 2), (4, 4, 1), (None, 1, 1)], "source int, target int, weight bigint")
     rank = {n: G.UNIT for n in (1, 2, 3, 4)}
